@@ -71,7 +71,9 @@ def drop_duplicates_of(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of `docs` that stay, with all their columns: one for each text.
 
     Rows that repeat both id and text are one row afterwards. Empty and null texts are one text.
+    The key holds id and digest, so that the copies of one text are spread over all tasks.
     """
-    key = "__keep_id"
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(key)).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(key))).drop(key).dropDuplicates([id_col])
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.concat(name, F.lit(":"), "text_sha256").alias("__key"))
+    rows = docs.withColumn("__key", F.concat(name, F.lit(":"), F.sha2(F.encode(normalised(F.col(text_col)), "utf-8"), 256)))
+    return rows.join(kept.distinct(), "__key").dropDuplicates(["__key"]).select(*docs.columns)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import bpe, exact_dedup, mixing
+from rasterlake.llm import bpe, exact_dedup, mixing, ngram_join, quality_fm
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -23,12 +23,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times", "weight")
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op10_mixing": op10_mixing}
+    return {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality_fm": op3_quality_fm, "op4_ngram_jaccard": op4_ngram_jaccard, "op10_mixing": op10_mixing}
 
 
 OP2_SQL = r"""

@@ -49,6 +49,7 @@ class DigestIndex:
         rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.encode(normalised(F.col(text_col)), "utf-8"), 256)).alias("digest"))
         rows = stage(rows, "digests")  # 40 bytes a row, so that no text is read or hashed twice
         groups = rows.groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = stage(groups, "digest-groups")  # so that the joins below meet plain tables, whose skewed partitions Spark splits
         if self.exists():
             known = self.spark.table(self.table)
             new = groups.join(known.hint("merge"), "digest", "left_anti")
@@ -57,7 +58,6 @@ class DigestIndex:
         else:
             self._append(groups.select("digest", F.col("first_id").alias("keep_id")))
             kept = groups.withColumn("keep_id", F.col("first_id"))
-        # The many copies of one text meet a single row here, and skewed partitions are split.
         out = rows.join(kept.select("digest", "keep_id", "group_size").hint("merge"), "digest")
         return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -45,10 +45,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     before = W.Window.orderBy(F.col("cap") / F.col("w"), F.col("source").isNull(), F.col("source")).rowsBetween(W.Window.unboundedPreceding, -1)
     s = s.withColumn("total", F.sum("source_size").over(everything) * F.lit(float(share)))
     s = s.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0.0))).withColumn("open", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    # This source and all later ones stay open at the level that what is left would give them.
-    s = s.withColumn("level", (F.col("total") - F.col("full")) / F.col("open"))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything))
-    return s.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
+    # What a unit of weight gets if all sources before this one are full. It rises as long as sources
+    # really are too small for it, and falls after that: the largest is the level of those not full.
+    s = s.withColumn("level", F.max((F.col("total") - F.col("full")) / F.col("open")).over(everything))
+    return s.select("source", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, weight: Column | None = None) -> DataFrame:

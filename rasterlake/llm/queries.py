@@ -58,9 +58,8 @@ w as (select *, list_extract([5.0::double, 2.0, 1.0], cast((row_number() over (o
 f as (select *, sum(source_size) over () * 1.5::double as total,
     coalesce(sum(cap) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as full_,
     sum(w) over () - coalesce(sum(w) over (order by cap / w, source nulls last rows between unbounded preceding and 1 preceding), 0) as open_ from w),
-l as (select *, (total - full_) / open_ as lv from f),
-m as (select *, min(case when lv * w <= cap then lv end) over () as level from l),
-t as (select source, source_size, case when level is null then cap else least(cap, level * w) end as target from m),
+l as (select *, max((total - full_) / open_) over () as level from f),
+t as (select source, source_size, least(cap, level * w) as target from l),
 e as (select *, cast(coalesce(floor(target / nullif(source_size, 0)), 0) as bigint) as epochs from t),
 r as (select k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size as rest,
     coalesce(sum(size) over (partition by k.source order by sample_key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before_

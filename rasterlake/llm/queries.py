@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import bpe, exact_dedup, mixing, ngram_join, quality_fm
+from rasterlake.llm import bpe, exact_dedup, license_scan, mixing, ngram_join, pii, quality_fm, quality_rules
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -31,12 +31,24 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times", "weight")
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality_fm": op3_quality_fm, "op4_ngram_jaccard": op4_ngram_jaccard, "op10_mixing": op10_mixing}
+    return {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality_fm": op3_quality_fm, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_license_scan": op5_license_scan, "op6_pii": op6_pii, "op8_host_rules": op8_host_rules, "op10_mixing": op10_mixing}
 
 
 OP2_SQL = r"""
@@ -69,5 +81,47 @@ from (select *, epochs + case when before_ + size / 2 <= rest then 1 else 0 end
 """
 
 
+OP5_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+n as (select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from d),
+p as (select doc_id, w, len(w) as n_words,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'mit' and w[i + 2] = 'license') as mit,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'apache' and w[i + 2] = 'license') as apache,
+    list_filter(range(len(w)), lambda i: w[i + 1] = 'general' and w[i + 2] = 'public' and w[i + 3] = 'license') as gpl from n),
+t(label, notice) as (values """ + ", ".join(f"('{k}', '{' '.join(license_scan._ascii_words(v))}')" for k, v in license_scan.TEMPLATES.items()) + r"""),
+tt as (select label, list_distinct(string_split(notice, ' ')) as tokens from t),
+b as (select doc_id, list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) as w
+  from (select doc_id, unnest(string_split(text, chr(10))) as line from d)),
+m as (select doc_id, label, len(list_intersect(w, tokens)) as common, len(tokens) as size from b, tt where len(w) >= ceil(0.8 * len(tokens) - 1e-9)),
+f as (select doc_id, list(distinct label) as found, max(common::double / size) as best from m where common >= ceil(0.8 * size - 1e-9) group by doc_id)
+select p.doc_id, cast(n_words as bigint) as n_words, cast(len(mit) + len(apache) + len(gpl) as bigint) as n_base,
+  list_min(mit || apache || gpl) as first_word, list_max(mit || apache || gpl) as last_word,
+  concat_ws(',', case when len(apache) > 0 then 'apache' end, case when len(gpl) > 0 then 'gpl' end, case when len(mit) > 0 then 'mit' end) as base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(found, []::varchar[]) || list_filter([case when len(apache) > 0 then 'apache' end, case when len(gpl) > 0 then 'gpl' end, case when len(mit) > 0 then 'mit' end], lambda x: x is not null))), ',') as labels,
+  case when len(mit) + len(apache) + len(gpl) > 0 then 1.0::double else coalesce(best, 0.0) end as score
+from p left join f on p.doc_id = f.doc_id
+"""
+
+OP8_SQL = r"""
+with d as (select doc_id, source, coalesce(text, '') as text from documents),
+w as (select doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+g as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+r as (select doc_id, unnest([i, i + 1, i + 2]) as i from (select *, count(*) over (partition by doc_id, g) as c from g) where c > 1),
+n as (select doc_id, count(distinct i) as n from r group by doc_id),
+m as (select w.doc_id, source, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
+    cast(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+    cast(coalesce(n.n, 0) as bigint) as n_repeat_words from w left join n on w.doc_id = n.doc_id),
+v as (select *, n_words < 50 or n_repeat_words * 100 > n_words * 50 as base_failed,
+    n_words = 0 or n_symbols * 10 > n_words or n_dup_lines * 20 > n_words or n_repeat_words * 100 > n_words * 30 or word_chars > n_words * 12 or word_chars < n_words * 2 as poor from m),
+h as (select source, count(*)::double as n, sum(case when base_failed or poor then 1 else 0 end)::double as f from v group by source),
+q as (select avg(f / n) as mean, coalesce(var_samp(f / n), 0) as var from h),
+s as (select mean, greatest(mean * (1 - mean), 1e-9) / least(greatest(var, 1e-4), greatest(mean * (1 - mean), 1e-9) * 0.999) - 1 as strength from q),
+x as (select source, (f + mean * strength) / (n + strength) as rate from h, s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (rate > 0.5 and poor) as kept, round(rate, 9) as host_rate
+from v join x on v.source is not distinct from x.source
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_license_scan": OP5_SQL, "op8_host_rules": OP8_SQL, "op10_mixing": OP10_SQL}

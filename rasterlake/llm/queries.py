@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import bpe, exact_dedup, license_scan, mixing, ngram_join, pii, quality_fm, quality_rules
+from rasterlake.llm import bpe, exact_dedup, html_text, license_scan, mixing, ngram_join, pii, quality_fm, quality_rules, substring_dedup
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -39,16 +39,26 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html_text.fit(html_text.labelled_pages(pages, table(spark, sf_dir, "documents")))
+    return html_text.extract(pages, model)
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times", "weight")
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality_fm": op3_quality_fm, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_license_scan": op5_license_scan, "op6_pii": op6_pii, "op8_host_rules": op8_host_rules, "op10_mixing": op10_mixing}
+    return {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality_fm": op3_quality_fm, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_license_scan": op5_license_scan, "op6_pii": op6_pii, "op7_html_text": op7_html_text, "op8_host_rules": op8_host_rules, "op9_substring_dedup": op9_substring_dedup, "op10_mixing": op10_mixing}
 
 
 OP2_SQL = r"""
@@ -123,5 +133,17 @@ from v join x on v.source is not distinct from x.source
 """
 
 
+OP9_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+m as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by h) as least from s) where least < doc_id),
+p as (select distinct doc_id, unnest(range(i, i + 50)) as i from m),
+r as (select doc_id, list(i) as gone, count(*) as n_removed from p group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, j: not list_contains(gone, j)) end, ' ')) as kept_sha256
+from d left join r on d.doc_id = r.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_license_scan": OP5_SQL, "op8_host_rules": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_license_scan": OP5_SQL, "op8_host_rules": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL}

@@ -17,7 +17,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes of text worked on at a time; longer documents are taken whole, alone.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rasterlake.functions.scalars import dot, lab, norm, normalise, squared_distance
+from rasterlake.functions.scalars import affinity, clamp_power, dot, lab, norm, normalise, squared_distance
 from rasterlake.operators import graph as G
 from rasterlake.operators import metrics as M
 from rasterlake.operators import raster as R
@@ -56,6 +56,8 @@ query("f03_softmax_temperature", duck("v_patch v_class", "select image_id, node,
     lambda s, d: rounded(G.zero_shot_scores(V.patches(s, d), V.class_vectors(s, d), ["image_id", "node"], 100.0)))
 query("f02_vector_functions", duck("v_patch", f"select image_id, node, round(sqrt({DOT.format('feat', 'feat')}), 6) norm, round(feat[1] / sqrt({DOT.format('feat', 'feat')}), 6) first, round(list_sum(list_transform(feat, lambda x: (x - 0.1) * (x - 0.1))), 6) far, round(0.1 * list_sum(feat), 6) dot from v_patch"))(
     lambda s, d: rounded(V.patches(s, d).withColumn("c", F.transform("feat", lambda x: F.lit(0.1))).select("image_id", "node", norm(F.col("feat")).alias("norm"), F.element_at(normalise(F.col("feat")), 1).alias("first"), squared_distance(F.col("feat"), F.col("c")).alias("far"), dot(F.col("feat"), F.col("c")).alias("dot"))))
+query("f04_affinity_functions", duck("v_patch", "select image_id, node, round(exp(-0.01::double * pow(sqrt(px * px + py * py), 2.0)), 6) near, round(pow(greatest(feat[1], 0.0), 3.0), 6) alike from v_patch"))(
+    lambda s, d: rounded(V.patches(s, d).select("image_id", "node", affinity(F.sqrt((F.col("px") * F.col("px") + F.col("py") * F.col("py")).cast("double")), 0.01, 2.0).alias("near"), clamp_power(F.element_at("feat", 1), 3.0).alias("alike"))))
 query("m00_zero_shot_mean_iou", duck("v_patch v_class", "select round((select sum(a_inter)::double / sum(a_gt) from t), 6) a_acc, round(avg(a_inter::double / nullif(a_union, 0)), 6) m_iou, round(avg(a_inter::double / nullif(a_gt, 0)), 6) m_acc from t", **SCORES, ranked=RANKED, lab="select image_id, gt, class_id pred from ranked where rank = 1", areas=areas_sql("lab", 10), t="select class_id, sum(a_inter) a_inter, sum(a_union) a_union, sum(a_gt) a_gt from areas group by class_id"))(
     lambda s, d: rounded(M.mean_metrics(M.total_areas(M.areas_per_image(M.argmax_label(scores(s, d).withColumn("score", F.round("score", 9)), ["image_id", "node", "gt"]).withColumnRenamed("label", "pred"), 10))).select("a_acc", "m_iou", "m_acc")))
 query("a25_prompt_mean", duck("v_patch", f"select gt, unnest(range(len(m)))::int d, round(unnest(list_transform(m, lambda x: x / sqrt({DOT.format('m', 'm')}))), 6) v from (select gt, list(v order by d) m from (select gt, d, avg(v) v from (select gt, unnest(range(len(feat))) d, unnest(list_transform(feat, lambda x: x / sqrt({DOT.format('feat', 'feat')}))) v from v_patch) group by gt, d) group by gt)"))(

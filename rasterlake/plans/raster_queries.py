@@ -45,8 +45,11 @@ query("r11_random_crop", duck("v_raster", "select c.image_id, c.y - c.oy y, c.x
     sh="select image_id, attempt, max(n)::double / sum(n) share, count(*) k from (select image_id, attempt, gt, count(*) n from cells where gt <> 255 group by all) group by all", ch="select i.image_id, coalesce(min(attempt), 10) attempt from v_image i left join (select * from sh where share < 0.75 and k > 1) s on i.image_id = s.image_id group by 1"))(lambda s, d: R.random_crop(raster(s, d), V.images(s, d), 16, 0.75).select(*PX, "gt"))
 query("a30_region_label_share", duck("v_raster", "select image_id, y // 8 by_, x // 8 bx, max(n)::double / sum(n) share, count(*) n_classes from (select image_id, y // 8 yy, y, x, gt, 1 n from v_raster) group by all".replace("select image_id, y // 8 by_", "select image_id, by_").replace("x // 8 bx, max", "bx, max").replace("(select image_id, y // 8 yy, y, x, gt, 1 n from v_raster)", "(select image_id, y // 8 by_, x // 8 bx, gt, count(*) n from v_raster where gt <> 255 group by all)")))(
     lambda s, d: R.label_share(raster(s, d).withColumn("by_", F.floor(F.col("y") / 8)).withColumn("bx", F.floor(F.col("x") / 8)), ["image_id", "by_", "bx"]))
-query("r12_rotate")(lambda s, d: R.warp(raster(s, d), V.images(s, d), F.lit(10.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), {"gt": 255}).select(*PX, "gt"))
-query("r14_shift_scale_rotate")(lambda s, d: R.warp(raster(s, d), V.images(s, d), F.lit(5.0), F.lit(1.1), F.lit(1.0), F.lit(-2.0), {"gt": 255, "r": 0}, "reflect").select(*PX, "gt", "r"))
+WARP = """select image_id, h, w, y, x, cast(floor(round((cos(radians({a})) * u - sin(radians({a})) * v) / {s}::double + (w - 1) / 2.0::double, 6) + 0.5) as bigint) sx, cast(floor(round((sin(radians({a})) * u + cos(radians({a})) * v) / {s}::double + (h - 1) / 2.0::double, 6) + 0.5) as bigint) sy
+  from (select *, y - (h - 1) / 2.0::double - {dy} v, x - (w - 1) / 2.0::double - {dx} u from (select *, unnest(range(w)) x from (select *, unnest(range(h)) y from v_image)))"""
+_mirror = lambda i, n: f"case when (({i} % (2 * ({n} - 1))) + 2 * ({n} - 1)) % (2 * ({n} - 1)) < {n} then (({i} % (2 * ({n} - 1))) + 2 * ({n} - 1)) % (2 * ({n} - 1)) else 2 * ({n} - 1) - (({i} % (2 * ({n} - 1))) + 2 * ({n} - 1)) % (2 * ({n} - 1)) end"
+query("r12_rotate", duck("v_raster", "select t.image_id, t.y, t.x, coalesce(p.gt, 255) gt from warp t left join v_raster p on p.image_id = t.image_id and p.y = t.sy and p.x = t.sx", warp=WARP.format(a="10.0::double", s=1.0, dy=0.0, dx=0.0)))(lambda s, d: R.warp(raster(s, d), V.images(s, d), F.lit(10.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), {"gt": 255}).select(*PX, "gt"))
+query("r14_shift_scale_rotate", duck("v_raster", f"select t.image_id, t.y, t.x, p.gt, p.r from warp t join v_raster p on p.image_id = t.image_id and p.y = {_mirror('t.sy', 't.h')} and p.x = {_mirror('t.sx', 't.w')}", warp=WARP.format(a="5.0::double", s=1.1, dy=1.0, dx=-2.0)))(lambda s, d: R.warp(raster(s, d), V.images(s, d), F.lit(5.0), F.lit(1.1), F.lit(1.0), F.lit(-2.0), {"gt": 255, "r": 0}, "reflect").select(*PX, "gt", "r"))
 query("r15_normalize", duck("v_raster", "select image_id, y, x, round((r - 123.675::double) / 58.395::double, 6) r, round((g - 116.28::double) / 57.12::double, 6) g, round((b - 103.53::double) / 57.375::double, 6) b from v_raster"))(lambda s, d: rounded(R.normalize(raster(s, d), (123.675, 116.28, 103.53), (58.395, 57.12, 57.375)).select(*PX, "r", "g", "b")))
 query("r16_rerange", duck("v_raster", "select image_id, y, x, round((r - min(r) over w)::double / (max(r) over w - min(r) over w) * 255, 6) r from v_raster window w as (partition by image_id)"))(lambda s, d: rounded(R.rerange(raster(s, d), "r").select(*PX, "r")))
 query("r17_clahe")(lambda s, d: rounded(R.clahe(R.to_gray(raster(s, d)), "gray", 2)))

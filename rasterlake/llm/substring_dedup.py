@@ -131,24 +131,44 @@ def _split(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, text_key long, anchor long, first int, words binary")
 
 
-def _least_ids(distinct: DataFrame, shards: int, length: int) -> DataFrame:
-    """For each different segment, the smallest id that has each of its windows: one FM-index a shard, its segments streamed through it."""
+def _runs(flags: np.ndarray) -> list[dict]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags, [0]])))
+    return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def _earlier(distinct: DataFrame, shards: int, length: int) -> DataFrame:
+    """For each different segment its windows, and the runs of those that a smaller id than its own least one has.
+
+    One FM-index a shard; the shard's segments are streamed through it.
+    """
 
     def search(table: pa.Table) -> pa.Table:
         words = [np.frombuffer(w.as_py(), "<u4") for w in table["words"]]
-        ends = np.cumsum([len(w) for w in words])
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
         flat = np.concatenate(words).astype(np.int64)
-        index = FMIndex(flat, ends, table["least"].to_numpy(), length)
-        least = index.least_values(flat, ends)
-        out = np.concatenate([[0], np.cumsum([len(w) - length + 1 for w in words])]).astype(np.int32)
-        return pa.table({"anchor": table["anchor"], "digest": table["digest"], "leasts": pa.ListArray.from_arrays(pa.array(out), pa.array(least))})
+        own = table["least"].to_numpy()
+        found = FMIndex(flat, ends, own, length).least_values(flat, ends)
+        n = sizes - length + 1
+        flags = (found < np.repeat(own, n)).astype(np.int8)
+        at = np.cumsum(n)
+        runs = [_runs(flags[b - k : b]) if flags[b - k : b].any() else [] for b, k in zip(at, n, strict=True)]
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        return pa.table({"anchor": table["anchor"], "digest": table["digest"], "least": table["least"], "n": pa.array(n.astype(np.int32)), "runs": pa.array(runs, kind)})
 
     rows = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(search, "anchor long, digest long, leasts array<long>")
+    return rows.groupBy("shard").applyInArrow(search, "anchor long, digest long, least long, n int, runs array<struct<a: int, b: int>>")
+
+
+def _texts_once(base: DataFrame) -> DataFrame:
+    """The smallest id of each text; rows with a null id have no part in it."""
+    return base.where(F.col("id").isNotNull()).groupBy("all_sha256").agg(F.min("id").alias("first_id"))
 
 
-def repeated_windows(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
-    """The base rows, and the windows that also start in a document with a smaller id: id, text_key, start.
+def repeated_windows(docs: DataFrame, base: DataFrame, length: int = 50) -> DataFrame:
+    """The windows that also start in a document with a smaller id, as runs [a, b) of starts: id, text_key, runs.
+
+    Of equal texts only the one with the smallest id is surely searched; the others are wholly repeated.
 
     1. Winnowing: each window has an anchor, about one anchor in 20 words. Only anchors that two
        ids share can lie in a repeated window; all are counted, over all documents.
@@ -158,24 +178,37 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> tuple[DataFrame, Data
     3. Each shard builds a compressed FM-index and streams its segments through backward search;
        the interval of a window tells the smallest id that has it.
     """
-    docs = docs.select(F.col("id").cast("long").alias("id"), "text")
-    base = stage(_base(docs, length), "passages")
-    anchors = base.where(F.col("id").isNotNull()).select("id", F.explode("anchors").alias("anchor"))
+    once = base.join(_texts_once(base), "all_sha256").where("id = first_id")
+    once = stage(once.select("id", "anchors"), "once")
+    anchors = once.select("id", F.explode("anchors").alias("anchor"))
     repeated = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     repeated = stage(repeated, "anchors")
-    rows = stage(_segments(docs.where(F.col("id").isNotNull()), repeated, length).withColumn("digest", F.xxhash64("words")), "segments")
-    counts = rows.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("n")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    hot = stage(counts.where(F.col("n") > HOT_SEGMENTS).select("anchor"), "hot")
+    first = docs.sparkSession.sparkContext.broadcast(key_filter.collect(once.select(key_filter.place("id").alias("at"))))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(key_filter.passes(first.value, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)))).select([0, 1])
+
+    texts = docs.where(F.col("id").isNotNull()).select("id", "text", key_filter.place("id").alias("at")).mapInArrow(firsts, "id long, text string")
+    # Made twice from the texts: places without words, and each different segment's words once.
+    segments = _segments(texts, repeated, length).withColumn("digest", F.xxhash64("words"))
+    places = stage(segments.drop("words"), "places")
+    distinct = stage(segments.groupBy("anchor", "digest", "words").agg(F.min("id").alias("least")), "distinct")
+    hot = stage(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor"), "hot")
     if hot.limit(1).count():
-        split = _split(rows.drop("digest").join(hot, "anchor").select("id", "text_key", "anchor", "first", "words"), length)
-        split = split.withColumn("digest", F.xxhash64("words"))
-        rows = stage(rows.join(hot, "anchor", "left_anti").unionByName(split), "segments")
-    distinct = stage(rows.groupBy("anchor", "digest", "words").agg(F.min("id").alias("least")), "distinct")
+        few = places.join(hot, "anchor").join(distinct.drop("least"), ["anchor", "digest"])
+        split = _split(few.select("id", "text_key", "anchor", "first", "words"), length).withColumn("digest", F.xxhash64("words"))
+        split = stage(split, "split")
+        places = places.join(hot, "anchor", "left_anti").unionByName(split.drop("words"))
+        distinct = distinct.join(hot, "anchor", "left_anti").unionByName(split.groupBy("anchor", "digest", "words").agg(F.min("id").alias("least")))
     shards = max(1, -(-distinct.count() // SHARD_SEGMENTS))
-    leasts = stage(_least_ids(distinct, shards, length), "leasts")
-    found = rows.select("id", "text_key", "first", "anchor", "digest").join(leasts, ["anchor", "digest"])
-    starts = F.filter(F.transform("leasts", lambda x, i: F.when(x < F.col("id"), F.col("first") + i)), lambda x: x.isNotNull())
-    return base, found.select("id", "text_key", F.explode(starts).alias("start"))
+    earlier = stage(_earlier(distinct, shards, length), "earlier")
+    found = places.join(earlier, ["anchor", "digest"])
+    # A later holder of the segment has all its windows after the first holder; the first has those found in smaller ids.
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
+    runs = F.when(F.col("id") > F.col("least"), whole).otherwise(F.col("runs"))
+    found = found.select("id", "text_key", F.transform(runs, lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))).alias("runs"))
+    return found.where(F.size("runs") > 0).groupBy("id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
@@ -187,8 +220,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Windows are compared by 32 bits of each word's hash within equal 64-bit anchors.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base, windows_ = repeated_windows(docs, length)
-    cuts = stage(windows_.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("start")).alias("starts")), "cuts")
+    base = stage(_base(docs, length), "passages")
+    cuts = stage(repeated_windows(docs, base, length), "cuts")
     shared = docs.sparkSession.sparkContext.broadcast(key_filter.collect(cuts.select(key_filter.place("id").alias("at"))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,12 +234,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, digests = [], []
-            for text, starts in zip(batch.column(2), batch.column(3), strict=True):
+            for text, runs in zip(batch.column(2), batch.column(3), strict=True):
                 words = text.as_py().encode().split()
                 change = np.zeros(len(words) + 1, np.int64)
-                at = np.array(starts.as_py(), np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + length, -1)
+                at = np.array([(r["a"], r["b"]) for r in runs.as_py()], np.int64)
+                np.add.at(change, at[:, 0], 1)
+                np.add.at(change, at[:, 1] - 1 + length, -1)
                 kept = np.cumsum(change[:-1]) == 0
                 removed.append(int(len(words) - kept.sum()))
                 digests.append(_digest([words[i] for i in np.flatnonzero(kept)]))
@@ -214,5 +247,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     texts = docs.where(F.col("id").isNotNull()).select("id", "text", key_filter.place("id").alias("at")).mapInArrow(pick, "id long, text_key long, text string")
     changed = texts.join(cuts, ["id", "text_key"]).mapInArrow(cut, "id long, text_key long, n_removed long, sha string").dropDuplicates(["id", "text_key"])
-    out = base.select("id", "text_key", "n_words", "all_sha256").join(changed, ["id", "text_key"], "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("sha", "all_sha256").alias("kept_sha256"))
+    rows = base.select("id", "text_key", "n_words", "all_sha256").join(stage(_texts_once(base), "texts"), "all_sha256", "left")
+    out = rows.join(changed, ["id", "text_key"], "left")
+    copy = (F.col("id") > F.col("first_id")) & (F.col("n_words") >= length)
+    gone = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    return out.select(F.col("id").alias(id_col), "n_words", gone.alias("n_removed"), F.when(copy, F.lit(_digest([]))).otherwise(F.coalesce("sha", "all_sha256")).alias("kept_sha256"))

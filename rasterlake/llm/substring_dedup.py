@@ -20,7 +20,7 @@ ANCHOR = 10
 #: Segments (of up to 2 * length - ANCHOR words) in an index: some 400,000 words.
 SHARD_SEGMENTS = 6000
 #: An anchor with more different segments than this is split by the windows themselves.
-HOT_SEGMENTS = 3000
+HOT_SEGMENTS = 10_000
 
 
 def _anchors(hashes: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,28 +90,31 @@ def _base(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, text_key long, n_words long, all_sha256 string, anchors array<long>")
 
 
-def _segments(docs: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
+def _segments(docs: DataFrame, once: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
     """The words around each anchor that more than one document has: `anchor, words` (32-bit word ids), id, text_key, `first`.
 
-    Anchors are made again from the texts and pass a bitmap of fixed size, so that no text is moved.
+    Ids that keep a text, and then the anchors made again from the texts, pass bitmaps of fixed
+    size, so that no text is moved.
     """
     bits = key_filter.BITS
+    first = docs.sparkSession.sparkContext.broadcast(key_filter.collect(once.select(key_filter.place("id").alias("at"))))
     shared = docs.sparkSession.sparkContext.broadcast(key_filter.collect(repeated.select(F.shiftrightunsigned("anchor", 64 - bits).cast("int").alias("at"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(key_filter.passes(first.value, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64))))
             for start, texts in blocks(batch.column(1)):
                 hashes, _, _, offsets = split_words(*text_buffer(texts))
-                row, anchor, first, last = _anchors(hashes, offsets, length)
+                row, anchor, start_at, last = _anchors(hashes, offsets, length)
                 keep = key_filter.passes(shared.value, (anchor >> np.uint64(64 - bits)).astype(np.int64))
-                row, anchor, first, last = row[keep], anchor[keep], first[keep], last[keep]
-                size = last - first + length
+                row, anchor, start_at, last = row[keep], anchor[keep], start_at[keep], last[keep]
+                size = last - start_at + length
                 ends = np.cumsum(size)
-                take = np.repeat(offsets[row] + first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+                take = np.repeat(offsets[row] + start_at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
                 words = (hashes[take] & np.uint64(0xFFFFFFFF)).astype("<u4")
                 packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
                 keys = _text_keys(hashes, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)).take(pa.array(row)), pa.array(keys[row]), pa.array(anchor.view(np.int64)), pa.array(first.astype(np.int32)), packed], names=["id", "text_key", "anchor", "first", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)).take(pa.array(row)), pa.array(keys[row]), pa.array(anchor.view(np.int64)), pa.array(start_at.astype(np.int32)), packed], names=["id", "text_key", "anchor", "first", "words"])
 
     return docs.mapInArrow(run, "id long, text_key long, anchor long, first int, words binary")
 
@@ -183,20 +186,14 @@ def repeated_windows(docs: DataFrame, base: DataFrame, length: int = 50) -> Data
     anchors = once.select("id", F.explode("anchors").alias("anchor"))
     repeated = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     repeated = stage(repeated, "anchors")
-    first = docs.sparkSession.sparkContext.broadcast(key_filter.collect(once.select(key_filter.place("id").alias("at"))))
-
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(key_filter.passes(first.value, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)))).select([0, 1])
-
-    texts = docs.where(F.col("id").isNotNull()).select("id", "text", key_filter.place("id").alias("at")).mapInArrow(firsts, "id long, text string")
+    texts = docs.where(F.col("id").isNotNull()).select("id", "text", key_filter.place("id").alias("at"))
     # Made twice from the texts: places without words, and each different segment's words once.
-    segments = _segments(texts, repeated, length).withColumn("digest", F.xxhash64("words"))
+    segments = _segments(texts, once, repeated, length).withColumn("digest", F.xxhash64("words"))
     places = stage(segments.drop("words"), "places")
     distinct = stage(segments.groupBy("anchor", "digest", "words").agg(F.min("id").alias("least")), "distinct")
     hot = stage(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor"), "hot")
     if hot.limit(1).count():
-        few = places.join(hot, "anchor").join(distinct.drop("least"), ["anchor", "digest"])
+        few = places.join(hot, "anchor").join(distinct.join(hot, "anchor").drop("least"), ["anchor", "digest"])
         split = _split(few.select("id", "text_key", "anchor", "first", "words"), length).withColumn("digest", F.xxhash64("words"))
         split = stage(split, "split")
         places = places.join(hot, "anchor", "left_anti").unionByName(split.drop("words"))

@@ -22,6 +22,9 @@ SKETCH_BITS = 20
 _CHUNKS = 64
 #: 64-bit words of a set's parity signature.
 SIGNATURE = 8
+#: Of a block of sets whose links are counted: n-grams and sets at most, on average, and the blocks
+#: that a component below these sizes is dealt to; the n-grams of a matrix product.
+_BLOCK_GRAMS, _BLOCK_SETS, _SPREAD, _COLUMNS = 1 << 19, 768, 6, 1024
 
 
 def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,22 +155,78 @@ def _suffix(a: str, b: str, na: Column, nb: Column, percent: int) -> Column:
     return _differ(a, b) * (100 + percent) <= (na + nb) * (100 - percent)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, info: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets meet the threshold, each compared once."""
+def _fetch(docs: DataFrame, pairs: DataFrame, info: DataFrame, k: int, known: DataFrame | None = None) -> DataFrame:
+    """`sid, grams` of the sets in `pairs` (a, b) that are not in `known`; a repeated row repeats its set."""
     ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    if known is not None:
+        ids = ids.join(known.select("sid"), "sid", "left_anti")
     wanted = stage(ids.join(info.select("sid", "rep"), "sid"), "wanted")
-    sets = stage(_whole_sets(docs, wanted, k), "sets")
+    return stage(_whole_sets(docs, wanted, k), "sets")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets meet the threshold, each compared once."""
     one = pairs.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
     both = one.join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a")
     common = F.size(F.array_intersect("ga", "gb"))
     return both.where(common * 100 >= (F.size("ga") + F.size("gb") - common) * percent).select("a", "b").distinct()  # a repeated row repeats its set
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def _common(rows: np.ndarray, grams: np.ndarray, m: int) -> np.ndarray:
+    """The n-grams that each two of `m` sets share, from the n-grams of each row."""
+    _, column, counts = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = counts > 1
+    rows, column = rows[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    total = np.zeros((m, m))
+    for start in range(0, int(shared.sum()), _COLUMNS):
+        a, b = np.searchsorted(column, [start, start + _COLUMNS])
+        part = np.zeros((m, _COLUMNS), np.float32)
+        part[rows[a:b], column[a:b] - start] = 1
+        total += part @ part.T
+    return total
+
+
+def _count_links(sets: DataFrame, comps: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """`sid, n_links`: the sets of the same component that each set meets the threshold with, all compared.
+
+    Linked sets are in one component, so no other pairs are needed; in a component of two sets the
+    link is known. The sets of a larger one go to blocks by their hash, of about `_BLOCK_GRAMS`
+    n-grams or `_BLOCK_SETS` sets at most, and a task compares two blocks by matrix products and
+    returns counts, never pairs: rows grow with the members times the blocks.
+    """
+    placed = comps.withColumnRenamed("v", "sid").join(info.select("sid", "n"), "sid")
+    sizes = placed.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    spread = F.least(F.lit(_SPREAD), F.ceil(F.col("m") / 64))  # a middling component goes to several tasks too
+    sizes = sizes.withColumn("blocks", F.greatest(spread, F.ceil(F.col("w") / _BLOCK_GRAMS), F.ceil(F.col("m") / _BLOCK_SETS)).cast("int"))
+    placed = stage(placed.join(sizes, "c").select("sid", "c", "m", "blocks"), "members")
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    rows = sets.join(placed.where("m > 2"), "sid").select("c", "sid", "grams", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "grams")
+
+    def count(table: pa.Table) -> pa.Table:
+        sid, first = np.unique(table["sid"].to_numpy(), return_index=True)  # a repeated row repeats its set
+        grams = table["grams"].combine_chunks().take(pa.array(first))
+        n = grams.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        common = _common(np.repeat(np.arange(len(sid)), n), grams.flatten().to_numpy(zero_copy_only=False), len(sid))
+        linked = common * 100 >= (n[:, None] + n[None, :] - common) * percent
+        np.fill_diagonal(linked, False)
+        block = table["own"].to_numpy()[first]
+        if table["i"][0].as_py() != table["j"][0].as_py():  # pairs within a block are counted where it meets itself
+            linked &= block[:, None] != block[None, :]
+        return pa.table({"sid": pa.array(sid, pa.int64()), "n_links": pa.array(linked.sum(axis=1), pa.int64())})
+
+    counts = rows.groupBy("c", "i", "j").applyInArrow(count, "sid long, n_links long").groupBy("sid").agg(F.sum("n_links").alias("n_links"))
+    return counts.unionByName(placed.where("m = 2").select("sid", F.lit(1).cast("long").alias("n_links")))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS, count_links: bool = True) -> DataFrame:
     """Groups of documents whose sets of k-word n-grams have a Jaccard similarity of percent/100 or more.
 
     Returns per input row the id, `n_shingles`, `set_id` (documents with the same set share it),
-    `n_links` (links found to other sets) and `component_id` (the smallest id that links reach).
+    `n_links` (all links to other sets) and `component_id` (the smallest id that links reach);
+    without `count_links` no `n_links`.
     Lower-cased ASCII, whole texts. A text of fewer than k words is one n-gram; a text without
     words, or null, has none and is linked with nothing. Repeated rows share a set. A null id
     takes part, but is never a component's id unless the group has no other.
@@ -179,7 +238,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     each n-gram's sets are compared with two of them only. Then the sets that share an n-gram
     but are in different components are compared, all of them, which finds every link that is
     still missing between components. So a large group of near copies gives about as many pairs as it has
-    members, and the result is that of the full join.
+    members, and the components are those of the full join. Last, the links within each
+    component are counted, between all its sets (`_count_links`).
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = stage(_describe(docs.select("id", "text"), k, percent, sketch_bits), "described")
@@ -201,7 +261,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     # Each set is verified with the likeliest of its pivots only; step 2 finds what that leaves apart.
     near = near.groupBy(F.col("x.sid").alias("sid")).agg(F.min_by("b", F.struct(_differ("x", "y"), "b")).alias("b"))
     near = stage(near.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct(), "pairs")
-    links = stage(_verify(docs, near, info, k, percent), "links")
+    whole = _fetch(docs, near, info, k)
+    links = stage(_verify(near, whole, percent), "links")
     comps = components(links)
 
     # Step 2: what is left between different components, in full.
@@ -211,19 +272,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     x, y = placed.alias("x"), placed.alias("y")
     left = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.c") != F.col("y.c")) & _length(F.col("x.n"), F.col("y.n"), percent) & _positional(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent) & _suffix("x", "y", F.col("x.n"), F.col("y.n"), percent))
     left = stage(left.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "pairs")
-    links = stage(links.unionByName(_verify(docs, left, info, k, percent)), "links")
-    comps = components(links)
+    whole = whole.unionByName(_fetch(docs, left, info, k, whole))
+    links = stage(links.unionByName(_verify(left, whole, percent)), "links")
+    comps = stage(components(links), "components")
 
-    degree = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
     named = info.select("sid", "rep").join(comps.withColumnRenamed("v", "sid"), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
     smallest = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "c").join(degree, "sid", "left").select("sid", "component_id", "n_links")
-    out = sets.select("id", "n", "sid").join(named, "sid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("set_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    named = named.join(smallest, "c")
+    if count_links:
+        named = named.join(_count_links(whole, comps, info, percent), "sid", "left")
+    out = sets.select("id", "n", "sid").join(named.drop("c", "rep"), "sid", "left")
+    counted = [F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("sid")).alias("set_id"), *counted, F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that name their group, with all their columns; rows with a null id stay."""
-    groups = near_duplicates(docs, k, percent, id_col, text_col)
+    groups = near_duplicates(docs, k, percent, id_col, text_col, count_links=False)
     gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__id")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")

@@ -187,6 +187,25 @@ def test_ngram_join_of_many_near_copies(spark, awkward, empty):
     assert kept.columns == awkward.columns and kept.where("doc_id = 42").count() == 0 and kept.where("doc_id = 5").count() == 1
 
 
+@pytest.mark.parametrize("blocks", [1, 6])
+def test_ngram_join_counts_every_link(spark, monkeypatch, blocks):
+    monkeypatch.setattr(ngram_join, "_BLOCK_SETS", 40 if blocks > 1 else 10**6)
+    monkeypatch.setattr(ngram_join, "_SPREAD", blocks)
+    r = random.Random(7)
+    changed = [r.sample(range(150), r.randint(1, 4)) for _ in range(150)]
+    texts = {i: " ".join(f"v{i}" if j in at else f"w{j}" for j in range(150)) for i, at in enumerate(changed)}
+    texts |= {200 + i: f"x{i} " + " ".join(f"z{j}" for j in range(60)) for i in range(3)}  # three sets, all linked
+    texts |= {210: " ".join(f"y{j}" for j in range(60)), 211: " ".join(f"y{j}" for j in range(61)), 212: "alone " * 3, 213: None}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(0, texts[0]), (201, texts[201])], "doc_id long, text string").repartition(4)
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, t in texts.items() for w in [(t or "").split()]}
+    different = {frozenset(s) for s in sets.values() if s}
+    want = {i: sum(len(s & x) * 100 >= len(s | x) * 90 for x in different if x != s) if s else 0 for i, s in sets.items()}
+    assert want[200] == want[201] == want[202] == 2 and want[210] == 1 and 50 < max(want.values()) < 149
+    got = ngram_join.near_duplicates(df, 3, 90, sketch_bits=10).collect()
+    assert len(got) == len(texts) + 2
+    assert all(x["n_links"] == want[x["doc_id"]] for x in got)
+
+
 def test_license_scan(docs, awkward, empty):
     same(license_scan.scan(docs), queries.OP5_SQL)
     got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}

@@ -29,7 +29,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Z0-9])")
+_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _WORD = re.compile(r"[A-Za-z-]+")
 
 
@@ -83,9 +83,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _iban_end(text: str, start: int, last: int) -> int | None:
+    """The longest end of an IBAN with no ASCII letter or digit after it, or else with a small letter after it."""
+    glued = None
+    for end in range(last, start + 14, -1):
+        after = text[end : end + 1]
+        if text[end - 1] == " " or (after.isascii() and (after.isupper() or after.isdigit())):
+            continue
+        iban = text[start:end].replace(" ", "")
+        if len(iban) >= 15 and mod97(iban):
+            if not (after.isascii() and after.islower()):
+                return end
+            glued = glued or end
+    return glued
+
+
 def method_spans(text: str) -> list[tuple[int, int, int]]:
-    """IBANs that pass mod-97."""
-    return [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    """IBANs of 15 to 34 characters that pass mod-97.
+
+    A run of capitals and digits may go on into the next word, so that every end is tried; the
+    search goes on after the span, or else after the run's first character.
+    """
+    out, at = [], 0
+    while m := _IBAN.search(text, at):
+        at = m.start() + 1
+        if end := _iban_end(text, m.start(), m.end()):
+            out.append((m.start(), 4, end))
+            at = end
+    return out
 
 
 def score(text: str, span: tuple[int, int, int]) -> float:

@@ -242,6 +242,19 @@ def test_pii(docs, awkward, empty):
     assert masked.columns == awkward.columns and "[iban]" in masked.where("doc_id = 72").first()["text"]
 
 
+def test_ibans_before_other_words():
+    for iban in ("GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947"):
+        for after in ("", ".", " On Monday", " Bank", " 12 items", " WESTGB2L", " WESTGB2LXXX 77", " A", "\nBIC", "é x"[1:]):
+            for before in ("", "iban ", "ACCT 12 ", "é "):
+                text = before + iban + after
+                assert pii.method_spans(text) == [(len(before), 4, len(before) + len(iban))]
+        assert not pii.method_spans(f"X{iban}") and not pii.method_spans(f"{iban}7")
+        assert pii.method_spans(f"iban{iban}und") == [(4, 4, 4 + len(iban))] and pii.method_spans(f"号{iban}号") == [(1, 4, 1 + len(iban))]
+    assert not pii.method_spans("GB83 WEST 1234 5698 7654 32 On")
+    two = "GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00"
+    assert [two[a:b] for a, _, b in pii.method_spans(two)] == [two[:27], two[28:]]
+
+
 def test_html(spark):
     model = html_text.fit(spark.createDataFrame([], "html string, text string"))
     page = (

@@ -53,9 +53,12 @@ def template_tokens(spark: SparkSession) -> DataFrame:
 
 
 def template_matches(rows: DataFrame, containment: float = 0.8) -> DataFrame:
-    """`id, label, score` of the blocks (lines) that hold at least `containment` of a template's distinct words.
+    """`id, label, score` of the blocks that hold at least `containment` of a template's distinct words.
 
-    `rows` has `id` and `text`. Tokens are ordered by the number of documents that hold them,
+    `rows` has `id` and `text`. Blocks are lines, and for notices that are wrapped over lines,
+    windows of twice a template's words over the whole text, each half over the next: any run of
+    words as long as the notice is in one of them. Only texts that hold enough of a template's
+    words at all have blocks. Tokens are ordered by the number of documents that hold them,
     counted over all documents. A block that reaches the threshold holds one of a template's
     first size - ceil(t size) + 1 tokens (prefix filter), has at least ceil(t size) distinct
     words (length filter), and has enough of the template's tokens from its first match on
@@ -63,8 +66,14 @@ def template_matches(rows: DataFrame, containment: float = 0.8) -> DataFrame:
     """
     spark = rows.sparkSession
     templates = template_tokens(spark)
-    vocabulary = F.array(*[F.lit(t) for t in sorted({w for n in TEMPLATES.values() for w in _ascii_words(n)})])
-    found = rows.select(F.array_intersect(F.split(words_line(F.col("text")), " "), vocabulary).alias("tokens"))
+    tokens_of = {label: sorted(set(_ascii_words(n))) for label, n in sorted(TEMPLATES.items())}
+    needs = {label: -(-int(containment * 1000) * len(tokens) // 1000) for label, tokens in tokens_of.items()}
+    vocabulary = F.array(*[F.lit(t) for t in sorted({w for tokens in tokens_of.values() for w in tokens})])
+    found = rows.select("id", "text", F.array_intersect(F.split(words_line(F.col("text")), " "), vocabulary).alias("tokens"))
+    enough = F.lit(False)
+    for label, tokens in tokens_of.items():
+        enough = enough | (F.size(F.array_intersect("tokens", F.array(*map(F.lit, tokens)))) >= needs[label])
+    found = stage(found.select("id", "tokens", F.when(enough, F.col("text")).alias("text")), "license-tokens")  # whole texts of the few that may match
     df = found.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     df = stage(df, "license-df")  # at most one row a template token
     order = W.Window.partitionBy("label").orderBy("df", "token")
@@ -74,18 +83,33 @@ def template_matches(rows: DataFrame, containment: float = 0.8) -> DataFrame:
     by_label = ranked.groupBy("label", "size", "need").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("all"))
     template = by_label.select("label", "size", "need", F.transform("all", lambda x: x["token"]).alias("all"))
     prefix = ranked.where(F.col("pos") <= F.col("size") - F.col("need")).select("label", "token", "pos")
-    blocks = rows.select("id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    blocks = blocks.select("id", "block", F.array_distinct(F.split(F.trim(words_line(F.col("line"))), " ")).alias("tokens"))
-    least = min(-(-int(containment * 1000) * len(set(_ascii_words(n))) // 1000) for n in TEMPLATES.values())
-    blocks = blocks.where(F.size("tokens") >= least)
-    first = F.array(*[F.lit(r["token"]) for r in prefix.select("token").distinct().collect()])  # some tens of the templates' tokens
-    hits = blocks.select("id", "block", "tokens", F.explode(F.array_intersect("tokens", first)).alias("token"))
-    hits = hits.join(F.broadcast(prefix), "token").groupBy("id", "block", "label").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"))
+    firsts = {label: [] for label in tokens_of}
+    for r in prefix.select("label", "token").collect():  # some tens of the templates' tokens
+        firsts[r["label"]].append(r["token"])
+    texts = found.where(F.col("text").isNotNull())
+    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    lines = lines.select("id", F.lit(None).cast("string").alias("only"), F.col("block").cast("long").alias("block"), F.array_distinct(F.split(F.trim(words_line(F.col("line"))), " ")).alias("tokens"))
+    lines = lines.where(F.size("tokens") >= min(needs.values()))
+    texts = texts.select("id", F.split(F.trim(words_line(F.col("text"))), " ").alias("words"))
+    windows = F.concat(*[_windows(label, len(_ascii_words(TEMPLATES[label])), needs[label], firsts[label]) for label in tokens_of])
+    wrapped = texts.select("id", F.explode(windows).alias("w")).select("id", "w.only", "w.block", "w.tokens")
+    blocks = lines.unionByName(wrapped)
+    first = F.array(*[F.lit(t) for t in sorted({t for tokens in firsts.values() for t in tokens})])
+    hits = blocks.select("id", "only", "block", "tokens", F.explode(F.array_intersect("tokens", first)).alias("token"))
+    hits = hits.join(F.broadcast(prefix), "token").where(F.col("only").isNull() | (F.col("only") == F.col("label")))
+    hits = hits.groupBy("id", "only", "block", "label").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"))
     both = hits.join(F.broadcast(template), "label").where((F.size("tokens") >= F.col("need")) & (F.col("size") - F.col("pos") >= F.col("need")))
     both = both.withColumn("common", F.size(F.array_intersect("all", "tokens"))).where(F.col("common") >= F.col("need"))
     return both.groupBy("id", "label").agg(F.max(F.col("common") / F.col("size")).alias("score"))
 
 
+def _windows(label: str, n: int, need: int, first: list[str]) -> Column:
+    """Windows of 2 n words, n words apart, that pass the length filter and hold a prefix token of the label."""
+    starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / n).cast("int"))
+    windows = F.transform(starts, lambda q: F.struct(F.lit(label).alias("only"), q.cast("long").alias("block"), F.array_distinct(F.slice("words", q * n + 1, F.lit(2 * n))).alias("tokens")))
+    return F.filter(windows, lambda w: (F.size(w["tokens"]) >= need) & F.arrays_overlap(w["tokens"], F.array(*map(F.lit, first))))
+
+
 def _ascii_words(text: str) -> list[str]:
     return "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
 

@@ -213,6 +213,16 @@ def test_license_scan(docs, awkward, empty):
     assert license_scan.scan(awkward).count() == awkward.count() and license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
+    cc = "* Licensed under\n * CC BY-NC\n * 4.0."
+    fill = "\n".join(["some other words of a page"] * 40)
+    texts = [mit, bsd, cc, fill + "\n\n" + mit + "\n" + fill, "one " * 31 + bsd + "\n" + mit, "\n".join(mit.split()[:10]), fill, None]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("cc", 1.0), 3: ("mit", 1.0), 4: ("bsd,mit", 1.0), 5: ("", 0.0), 6: ("", 0.0), 7: ("", 0.0)}
+
+
 def plain_spans(t):
     out = []
     for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):

@@ -112,12 +112,34 @@ def test_bpe(spark, awkward, empty):
     ids = bpe.encode(awkward, queries.RANKS, public_tokenizers.PATTERN)
     assert all(r["decoded"].decode() == text[r["doc_id"]] for r in bpe.decode(ids, queries.RANKS).collect() if r["doc_id"] is not None)
     assert bpe.round_trip(empty, queries.RANKS, public_tokenizers.PATTERN).count() == 0
-    q = bpe.RankQueue(max(ranks.values()) + 1)
+
+
+def test_merging_in_bulk():
+    """Many pre-tokens in one queue, in bulk and one position at a time, against tiktoken; also ranks that no training gives."""
+    ranks = bpe.read_ranks(queries.RANKS)
     r = random.Random(2)
-    for piece in ["ab" * 4000, "a" * 3000, *("".join(r.choice("aabthené ß") for _ in range(r.randint(1, 900))) for _ in range(60))]:
-        want = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary(piece)
-        assert bpe.merge_piece(piece.encode(), ranks, q) == want
-        assert bpe._merge_long(piece.encode(), ranks.get, q) == bpe._merge_short(piece.encode(), ranks.get, q) if 1 < len(piece.encode()) <= bpe.SHORT and piece.encode() not in ranks else True
+    pieces = ["ab" * 4000, "a" * 3000, " " * 777, "x", *("".join(r.choice("aabthené ß") for _ in range(r.randint(1, 900))) for _ in range(60)), *("".join(r.choice("ab=-") for _ in range(r.randint(1, 60))) for _ in range(2000))]
+    odd = {bytes([i]): i for i in range(256)} | {b"bc": 256, b"ab": 300, b"aab": 270, b"aa": 310, b"abab": 290, b"ba": 305}
+    for table in (ranks, odd):
+        whole = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={})
+        merger = bpe.Merger(table)
+        some = [p.encode() for p in pieces if p.encode() not in table]
+        want = [whole.encode_ordinary(p.decode()) for p in some]
+        for in_bulk in (True, False):
+            assert [np.frombuffer(x, "<u4").tolist() for x in merger.merge(some, in_bulk)] == want
+            assert not merger.queue.top and not merger.queue.buckets
+    assert merger.merge([]) == []
+
+
+def test_bpe_of_long_texts_and_a_small_cache(monkeypatch):
+    ranks = bpe.read_ranks(queries.RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    monkeypatch.setattr(bpe, "TEXT_BYTES", 4000)
+    monkeypatch.setattr(bpe, "RUN", 7)
+    r = random.Random(3)
+    tokenizer = bpe.Tokenizer(ranks, public_tokenizers.PATTERN, cache=50)
+    for text in ["", prose(r, 900), "é" * 3000 + " " + prose(r, 400), prose(r, 900)]:
+        assert [x.tolist() for x in tokenizer.encode([text])] == [enc.encode_ordinary(text)]
 
 
 def test_exact_dedup(spark, docs, awkward, empty):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.words import blocks, split_words, text_buffer
+from rasterlake.llm.words import BLOCK_BYTES, blocks, split_words, text_buffer
 
 #: Hashed words; structure and metadata features follow them.
 WORD_BUCKETS = 1 << 16
@@ -44,14 +44,17 @@ def features(texts: pa.Array, declared: np.ndarray) -> tuple[np.ndarray, np.ndar
     value = value / np.sqrt(np.bincount(word_rows, value * value, n))[word_rows]
 
     size = np.diff(at)
-    byte_rows = np.repeat(np.arange(n), size)
-    shares = np.bincount(byte_rows * _N_CLASSES + _CLASS_OF[raw], minlength=n * _N_CLASSES).reshape(n, _N_CLASSES) / np.maximum(size, 1)[:, None]
-    lines = np.bincount(byte_rows[raw == 10], minlength=n) + 1
+    if n == 1:  # one text, of any length: by parts, so that nothing is held for each byte
+        shares = sum((np.bincount(_CLASS_OF[raw[i : i + BLOCK_BYTES]], minlength=_N_CLASSES) for i in range(0, len(raw), BLOCK_BYTES)), np.zeros(_N_CLASSES, np.int64)).reshape(1, -1)
+    else:
+        shares = np.bincount(np.repeat(np.arange(n), size) * _N_CLASSES + _CLASS_OF[raw], minlength=n * _N_CLASSES).reshape(n, _N_CLASSES)
+    shares = shares / np.maximum(size, 1)[:, None]
+    breaks = np.flatnonzero(raw == 10)
+    lines = np.bincount(np.searchsorted(at, breaks, side="right") - 1, minlength=n)[:n] + 1
     distinct = np.bincount(word_rows, minlength=n) / np.maximum(words, 1)
     again = np.bincount(rows[1:][(hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])], minlength=n) / np.maximum(words, 1)
     # A line is known by the sum of its words' hashes in order.
-    line_of = np.cumsum(np.concatenate([[0], raw == 10]))[:-1] if len(raw) else np.zeros(0, np.int64)
-    line_keys = line_of[starts] + rows if len(starts) else np.zeros(0, np.int64)
+    line_keys = np.searchsorted(breaks, starts) + rows
     change = np.flatnonzero(np.concatenate([[True], line_keys[1:] != line_keys[:-1]])) if len(line_keys) else np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         sums = np.add.reduceat(hashes, change) if len(change) else np.zeros(0, np.uint64)

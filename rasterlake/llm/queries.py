@@ -28,7 +28,7 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90).drop("text_hash")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ p as (select doc_id, w, len(w) as n_words,
     list_filter(range(len(w)), lambda i: w[i + 1] = 'mit' and w[i + 2] = 'license') as mit,
     list_filter(range(len(w)), lambda i: w[i + 1] = 'apache' and w[i + 2] = 'license') as apache,
     list_filter(range(len(w)), lambda i: w[i + 1] = 'general' and w[i + 2] = 'public' and w[i + 3] = 'license') as gpl from n),
-t(label, notice) as (values """ + ", ".join(f"('{k}', '{' '.join(license_scan._ascii_words(v))}')" for k, v in license_scan.TEMPLATES.items()) + r"""),
+t(label, notice) as (values """ + ", ".join(f"('{k}', '{' '.join(license_scan._ascii_words(v))}')" for k, v in license_scan.TEMPLATES) + r"""),
 tt as (select label, list_distinct(string_split(notice, ' ')) as tokens from t),
 b as (select doc_id, list_distinct(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')) as w
   from (select doc_id, unnest(string_split(text, chr(10))) as line from d)),

@@ -11,8 +11,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; only where that is unset (tests, a laptop) a new local folder."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
+    """`spark.checkpoint.dir`; where that is unset and Spark runs in this machine alone, a new local folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _LOCAL.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -27,7 +32,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

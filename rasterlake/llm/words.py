@@ -16,21 +16,26 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: dict[str, np.ndarray] = {}
-#: Bytes of text worked on at a time; longer documents are taken whole, alone.
+#: Bytes of text worked on at a time; a longer document is a block alone, and its words are hashed
+#: part by part, so that what is held for it is a few numbers a word and not a byte.
 BLOCK_BYTES = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept between calls."""
+    """base**i and base**-i modulo 2**64 for i < n; those of a part's usual size are kept."""
     have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            for name, step in (("up", _BASE), ("down", _INVERSE)):
-                out = np.full(size, step, dtype=np.uint64)
-                out[0] = 1
-                _POWERS[name] = np.multiply.accumulate(out)
-    return _POWERS["up"], _POWERS["down"]
+    if have is not None and len(have) >= n:
+        return have, _POWERS["down"]
+    size = max(n, BLOCK_BYTES + (1 << 16))
+    made = []
+    with np.errstate(over="ignore"):
+        for step in (_BASE, _INVERSE):
+            out = np.full(size, step, dtype=np.uint64)
+            out[0] = 1
+            made.append(np.multiply.accumulate(out, out=out))
+    if size == BLOCK_BYTES + (1 << 16):
+        _POWERS.update(up=made[0], down=made[1])
+    return made[0], made[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,16 +67,39 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def _cuts(raw: np.ndarray) -> list[int]:
+    """Ends of parts of about BLOCK_BYTES that start with white space, so that no word is cut."""
+    cuts, look = [0], 1 << 16
+    at = BLOCK_BYTES
+    while at < len(raw):
+        found = np.flatnonzero(_SPACE[raw[at : at + look]])
+        if len(found):
+            cuts.append(at + int(found[0]))
+            at = cuts[-1] + BLOCK_BYTES
+        else:
+            at += look
+    return [*cuts, len(raw)]
+
+
 def split_words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, byte starts and ends, and n+1 word offsets of the documents."""
+    cuts = _cuts(raw)
+    parts = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        inside = at[np.searchsorted(at, a, side="right") : np.searchsorted(at, b)] - a
+        hashes, s, e = _split_part(raw[a:b], inside, lower)
+        parts.append((hashes, s + a, e + a) if a else (hashes, s, e))
+    hashes, s, e = parts[0] if len(parts) == 1 else [np.concatenate(x) for x in zip(*parts, strict=True)]
+    return hashes, s, e, np.searchsorted(s, at)
+
+
+def _split_part(raw: np.ndarray, cut: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if lower:
         raw = _LOWER[raw]
     word = ~_SPACE[raw]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]
-    cut = at[1:-1]
-    cut = cut[(cut > 0) & (cut < len(raw))]
     begins[cut] |= word[cut]
     ends[cut - 1] |= word[cut - 1]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
@@ -80,7 +108,26 @@ def split_words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[n
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
         hashes = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-    return hashes, s, e, np.searchsorted(s, at)
+    return hashes, s, e
+
+
+def spaced(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one space behind each, and n+1 places: words i to j alone are out[at[i] : at[j] - 1]."""
+    at = np.concatenate([[0], np.cumsum(e - s + 1)])
+    inside = np.ones(at[-1], bool)
+    inside[at[1:] - 1] = False
+    out = np.full(at[-1], 0x20, np.uint8)
+    out[inside] = raw[~_SPACE[raw]]
+    return out, at
+
+
+def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values data[start:end]."""
+    size = ends - starts
+    stop = np.cumsum(size)
+    take = np.repeat(starts - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)
+    offsets = np.concatenate([[0], stop]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[take].tobytes())])
 
 
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES):

@@ -2,35 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from rasterlake.functions.scalars import affinity, clamp_power, dot, lab, normalise, squared_distance
+from rasterlake.sources.scratch import stage
 
-_LOCAL: dict[str, str] = {}
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes to the shared folder of spark.checkpoint.dir (a local one where unset) and reads back, which cuts the lineage."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Tile edge of the pixel graph, in pixels.
+TILE = 64
+#: Blocks of nodes that a graph's few scalars are repeated for, so that no join has one graph as one key.
+NODE_BLOCKS = 32
 
 
 def zero_shot_scores(patches: DataFrame, classes: DataFrame, keys: list[str], temperature: float | None = None) -> DataFrame:
     """The cosine of each vector with each class vector; with a temperature, the softmax over classes.
 
-    Class vectors are as few as there are class names and are the broadcast side.
+    All class vectors are one row, a list, so that the join repeats no patch and Spark chooses by
+    the list's size whether to broadcast it.
     """
-    rows = patches.join(F.broadcast(classes)).select(*keys, "class_id", dot(F.col("feat"), F.col("class_feat")).alias("score"))
+    listed = classes.agg(F.collect_list(F.struct("class_id", "class_feat")).alias("__classes"))
+    rows = patches.join(listed).select("*", F.inline("__classes")).select(*keys, "class_id", dot(F.col("feat"), F.col("class_feat")).alias("score"))
     if temperature is None:
         return rows
     w = W.Window.partitionBy(*keys)
@@ -60,20 +54,20 @@ def _within(block_size: int, k: int):
     return run
 
 
-def knn_join(vectors: DataFrame, k: int, block_size: int = 1024, blocks: int | None = None) -> DataFrame:
+def knn_join(vectors: DataFrame, k: int, block_size: int = 1024) -> DataFrame:
     """The k vectors of largest inner product in each vector's graph, itself included, ties by node.
 
-    `vectors` has graph_id, node, feat. A graph's nodes fall into blocks of bounded size; each
-    pair of blocks is one task's matrix product that keeps k a row, and the k best of all blocks
-    are ranked at the end. No task holds more than two blocks, whatever the graph's size.
+    `vectors` has graph_id, node, feat. A graph's nodes fall into blocks of about `block_size`, as
+    many as its own size asks for; each pair of blocks is one task's matrix product that keeps k a
+    row, and the k best of all blocks are ranked at the end. No task holds more than two blocks,
+    whatever the graph's size, and a small graph is not repeated because another one is large.
     """
-    if blocks is None:
-        largest = vectors.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 1
-        blocks = -(-largest // block_size)
-    rows = vectors.select("graph_id", "node", "feat", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("b"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = rows.withColumn("o", F.explode(every)).select("graph_id", F.col("b").alias("l"), F.col("o").alias("r"), "node", "feat")
-    right = rows.withColumn("o", F.explode(every)).select("graph_id", F.col("o").alias("l"), F.col("b").alias("r"), "node", "feat")
+    sizes = vectors.groupBy("graph_id").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("blocks"))
+    rows = vectors.select("graph_id", "node", "feat").join(sizes, "graph_id").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    same = [F.col(c).alias(c) for c in ("graph_id", "node", "feat")]  # columns of its own for each side
+    left = rows.withColumn("o", every).select(F.col("b").alias("l"), F.col("o").alias("r"), *same)
+    right = rows.withColumn("o", every).select(F.col("o").alias("l"), F.col("b").alias("r"), *same)
     run = _within(256, k)
 
     def one(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -125,16 +119,39 @@ def normalize_graph(edges: DataFrame) -> DataFrame:
 
 
 def pixel_grid_edges(pixels: DataFrame, neigh: int, tau: float) -> DataFrame:
-    """Edges to all pixels within `neigh` steps, by likeness of colour; both directions, no loops. Offsets are literals, so the join is by key."""
+    """Edges to all pixels within `neigh` steps, by likeness of colour; both directions, no loops. A node is y * 100000 + x.
+
+    Images are dealt to tiles, each with a rim of `neigh` pixels of its neighbours, and a task
+    compares a tile's own pixels with shifted views of it: what moves is the pixels and their rims,
+    not a row for each pixel and offset.
+    """
     l, a, b = lab(F.col("r"), F.col("g"), F.col("b"))
-    rows = pixels.select("image_id", "y", "x", l.alias("l"), a.alias("a"), b.alias("bb"))
-    moves = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-neigh, neigh + 1) for dx in range(-neigh, neigh + 1) if dy or dx])
-    here = rows.select("*", F.inline(moves)).withColumn("y2", F.col("y") + F.col("dy")).withColumn("x2", F.col("x") + F.col("dx"))
-    there = rows.select("image_id", F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("l").alias("l2"), F.col("a").alias("a2"), F.col("bb").alias("b2"))
-    out = here.join(there, ["image_id", "y2", "x2"])
-    dist = F.sqrt(sum((F.col(p) - F.col(q)) * (F.col(p) - F.col(q)) for p, q in (("l", "l2"), ("a", "a2"), ("bb", "b2"))))
-    node = lambda y, x: F.col(y) * 100000 + F.col(x)
-    return out.select(F.col("image_id").alias("graph_id"), node("y", "x").alias("src"), node("y2", "x2").alias("dst"), affinity(dist, 1 / tau).alias("w"))
+    rows = pixels.select(F.col("image_id").cast("long").alias("graph_id"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), l.alias("l"), a.alias("a"), b.alias("b"))
+    tiles = lambda c: F.sequence(F.greatest(F.floor((F.col(c) - neigh) / TILE), F.lit(0)), F.floor((F.col(c) + neigh) / TILE))
+    rows = rows.withColumn("ty", F.explode(tiles("y"))).withColumn("tx", F.explode(tiles("x")))
+
+    def compare(table: pa.Table) -> pa.Table:
+        y, x = table["y"].to_numpy(), table["x"].to_numpy()
+        y0, x0 = table["ty"][0].as_py() * TILE, table["tx"][0].as_py() * TILE
+        side = TILE + 2 * neigh
+        lab_ = np.full((side + 2 * neigh, side + 2 * neigh, 3), np.nan)  # NaN where there is no pixel
+        at = y - y0 + 2 * neigh, x - x0 + 2 * neigh
+        lab_[at] = np.stack([table[c].to_numpy() for c in ("l", "a", "b")], axis=1)
+        own = (y >= y0) & (y < y0 + TILE) & (x >= x0) & (x < x0 + TILE)
+        y, x, at = y[own], x[own], (at[0][own], at[1][own])
+        src, dst, w = [], [], []
+        for dy in range(-neigh, neigh + 1):
+            for dx in range(-neigh, neigh + 1):
+                if dy or dx:
+                    d = np.sqrt(((lab_[at] - lab_[at[0] + dy, at[1] + dx]) ** 2).sum(axis=1))
+                    ok = ~np.isnan(d)
+                    src.append((y * 100000 + x)[ok])
+                    dst.append(((y + dy) * 100000 + x + dx)[ok])
+                    w.append(np.exp(-d[ok] / tau))
+        n = sum(map(len, src))
+        return pa.table({"graph_id": pa.array(np.full(n, table["graph_id"][0].as_py()), pa.int64()), "src": np.concatenate(src), "dst": np.concatenate(dst), "w": np.concatenate(w)})
+
+    return rows.groupBy("graph_id", "ty", "tx").applyInArrow(compare, "graph_id long, src long, dst long, w double")
 
 
 def laplacian(x: DataFrame, edges: DataFrame, alpha: float, value: str = "x") -> DataFrame:
@@ -148,25 +165,28 @@ def propagate(edges: DataFrame, start: DataFrame, alpha: float = 0.95, iteration
     """Solves (I - alpha W) x = y by conjugate gradients, `iterations` at most, by graph and class at once.
 
     `edges` are normalised; `start` has graph_id, node, class_id, y. A step is one edge join and
-    two sums by graph and class; the state is written once a step, which cuts the lineage. A
-    system that has converged, or is all zero, stops changing (its step is 0).
+    two sums by graph and class; the state is written once a step, which cuts the lineage. The
+    sums go back to the nodes by graph, class and block of nodes, so that a graph of any size is
+    spread over tasks. A system that has converged, or is all zero, stops changing (its step is 0).
     """
     edges = stage(edges.repartition("graph_id", "dst"), "edges")
-    state = start.select("graph_id", "node", "class_id", F.lit(0.0).alias("x"), F.col("y").alias("r"), F.col("y").alias("p"))
+    block = F.pmod(F.xxhash64("node"), F.lit(NODE_BLOCKS)).cast("int")
+    state = start.select("graph_id", "node", "class_id", F.lit(0.0).alias("x"), F.col("y").alias("r"), F.col("y").alias("p"), block.alias("block"))
     state = stage(state, "cg")
     keys = ["graph_id", "class_id"]
+    every = F.explode(F.sequence(F.lit(0), F.lit(NODE_BLOCKS - 1))).alias("block")
     limit = stage(state.groupBy(*keys).agg((F.sum(F.col("r") * F.col("r")) * tol * tol).alias("limit")), "cg-limit")
     for _ in range(iterations):
         q = laplacian(state, edges, alpha, "p").withColumnRenamed("lx", "q")
         q = stage(q, "cg-q")
         sums = q.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("rho"), F.sum(F.col("p") * F.col("q")).alias("pq")).join(limit, keys)
         step = F.when(F.col("rho") <= F.col("limit"), 0.0).otherwise(F.coalesce(F.try_divide("rho", "pq"), F.lit(0.0)))
-        moved = q.join(sums.select(*keys, "rho", step.alias("a")), keys)
+        moved = q.join(sums.select(*keys, "rho", step.alias("a"), every), [*keys, "block"])
         moved = moved.withColumn("x", F.col("x") + F.col("a") * F.col("p")).withColumn("r", F.col("r") - F.col("a") * F.col("q"))
         moved = stage(moved, "cg-m")
         after = moved.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("rho2"))
-        state = moved.join(after, keys).withColumn("p", F.col("r") + F.coalesce(F.try_divide("rho2", "rho"), F.lit(0.0)) * F.col("p"))
-        state = stage(state.select("graph_id", "node", "class_id", "x", "r", "p"), "cg")
+        state = moved.join(after.select(*keys, "rho2", every), [*keys, "block"]).withColumn("p", F.col("r") + F.coalesce(F.try_divide("rho2", "rho"), F.lit(0.0)) * F.col("p"))
+        state = stage(state.select("graph_id", "node", "class_id", "x", "r", "p", "block"), "cg")
     return state.select("graph_id", "node", "class_id", "x")
 
 
@@ -197,7 +217,8 @@ def propagate_in_groups(edges: DataFrame, start: DataFrame, alpha: float = 0.95,
 
 def soft_codebook(vectors: DataFrame, codebook: DataFrame, key: str = "image_id", scale: float = -1.0) -> DataFrame:
     """Residuals to codewords, weighted by the softmax of scale * squared distance, summed by image, code and dimension."""
-    rows = vectors.join(F.broadcast(codebook)).withColumn("s", scale * squared_distance(F.col("feat"), F.col("code_feat")))
+    listed = codebook.agg(F.collect_list(F.struct("code_id", "code_feat")).alias("__codes"))  # one row
+    rows = vectors.join(listed).select("*", F.inline("__codes")).drop("__codes").withColumn("s", scale * squared_distance(F.col("feat"), F.col("code_feat")))
     w = W.Window.partitionBy(key, "node")
     rows = rows.withColumn("e", F.exp(F.col("s") - F.max("s").over(w))).withColumn("a", F.col("e") / F.sum("e").over(w))
     parts = rows.select(key, "code_id", F.posexplode(F.zip_with(F.col("feat"), F.col("code_feat"), lambda x, c: F.col("a") * (x - c))).alias("d", "v"))
@@ -243,6 +264,24 @@ def window_pixels(wins: DataFrame) -> DataFrame:
     return wins.withColumn("y", F.explode(F.sequence("y1", F.col("y2") - 1))).withColumn("x", F.explode(F.sequence("x1", F.col("x2") - 1)))
 
 
+def covering_windows(pixels: DataFrame, crop: int, stride: int) -> DataFrame:
+    """Each pixel (with its image's h and w) once for each of its windows: `window_id`, and `wy`, `wx` within the window.
+
+    The few windows that can cover a row or column follow from its number, so there is no join.
+    """
+
+    def covering(i: str, size: str) -> Column:
+        last = F.floor(F.greatest(F.col(size) - crop + stride - 1, F.lit(0)) / stride)
+        some = F.sequence(F.greatest(F.floor((F.col(i) - crop) / stride) + 1, F.lit(0)), F.least(F.floor((F.col(i) + stride - 1) / stride), last))
+        starts = F.transform(some, lambda k: F.struct(k.alias("k"), F.greatest(F.least(k * stride + crop, F.col(size)) - crop, F.lit(0)).alias("s")))
+        return F.filter(starts, lambda w: (w["s"] <= F.col(i)) & (F.col(i) < F.least(w["s"] + crop, F.col(size))))
+
+    n_columns = F.floor(F.greatest(F.col("w") - crop + stride - 1, F.lit(0)) / stride) + 1
+    rows = pixels.withColumn("__v", F.explode(covering("y", "h"))).withColumn("__u", F.explode(covering("x", "w")))
+    rows = rows.withColumn("window_id", F.col("__v.k") * n_columns + F.col("__u.k"))
+    return rows.withColumn("wy", F.col("y") - F.col("__v.s")).withColumn("wx", F.col("x") - F.col("__u.s")).drop("__v", "__u")
+
+
 def overlap_merge(scores: DataFrame, keys: tuple[str, ...] = ("image_id", "y", "x", "class_id")) -> DataFrame:
     """The mean of the scores that overlapping windows give a pixel."""
     return scores.groupBy(*keys).agg((F.sum("score") / F.count(F.lit(1))).alias("score"), F.count(F.lit(1)).alias("n_windows"))
@@ -262,3 +301,65 @@ def tta_merge(views: DataFrame, keys: tuple[str, ...] = ("image_id", "y", "x", "
     x = F.when(F.col("flip") & (F.col("direction") == "horizontal"), F.col("w") - 1 - F.col("x")).otherwise(F.col("x"))
     y = F.when(F.col("flip") & (F.col("direction") == "vertical"), F.col("h") - 1 - F.col("y")).otherwise(F.col("y"))
     return views.withColumn("x", x).withColumn("y", y).groupBy(*keys).agg(F.avg("score").alias("score"))
+
+
+def refine_pixels(scores: DataFrame, pixels: DataFrame, neigh: int = 6, tau: float = 0.01, alpha: float = 0.95, iterations: int = 10) -> DataFrame:
+    """Scores (image_id, y, x, class_id, score) propagated over the grid of pixels (image_id, y, x, r, g, b), alike in colour."""
+    edges = normalize_graph(pixel_grid_edges(pixels, neigh, tau))
+    start = scores.select(F.col("image_id").alias("graph_id"), (F.col("y") * 100000 + F.col("x")).cast("long").alias("node"), "class_id", F.col("score").alias("y"))
+    out = propagate(edges, start, alpha, iterations)
+    return out.select(F.col("graph_id").alias("image_id"), F.floor(F.col("node") / 100000).alias("y"), (F.col("node") % 100000).alias("x"), "class_id", F.col("x").alias("score"))
+
+
+def window_scores(patches: DataFrame, classes: DataFrame, images: DataFrame, crop: int, stride: int, patch: int, k: int = 400, gamma: float = 3.0, sigma: float = 0.01, power: float = 1.0, alpha: float = 0.95, iterations: int = 10) -> DataFrame:
+    """Scores of each pixel and class (image_id, y, x, class_id, score) from features of windows' patches.
+
+    `patches` has image_id, window_id, py, px and feat; windows are those of `windows(images, crop,
+    stride)` of images at least as large, and have crop / patch patches a side. Zero-shot scores of
+    all patches; one graph an image over the patches of all its windows, by likeness and distance,
+    normalised; propagation; each window's scores resized to its pixels and averaged where windows
+    overlap.
+    """
+    from rasterlake.operators.raster import resize_bilinear
+
+    side = crop // patch
+    square = side * side
+    node = (F.col("window_id") * square + F.col("py") * side + F.col("px")).cast("long")
+    nodes = patches.select(F.col("image_id").alias("graph_id"), "window_id", "py", "px", node.alias("node"), normalise(F.col("feat")).alias("feat"))
+    corners = windows(images, crop, stride).select("image_id", "window_id", "y1", "x1")
+    centres = patch_centers(nodes.drop("feat").join(corners.withColumnRenamed("image_id", "graph_id"), ["graph_id", "window_id"]), patch, F.col("y1"), F.col("x1"))
+    edges = normalize_graph(symmetrize(knn_affinity(knn_join(nodes, k), centres, gamma, sigma, power)))
+    start = zero_shot_scores(nodes, classes, ["graph_id", "node"]).withColumnRenamed("score", "y")
+    found = propagate(edges, start, alpha, iterations)
+    window = F.struct(F.col("graph_id").alias("g"), F.floor(F.col("node") / square).alias("window_id"))
+    maps = found.select(window.alias("image_id"), F.floor(F.col("node") % square / side).alias("y"), (F.col("node") % side).alias("x"), "class_id", F.col("x").alias("score"))
+    sizes = maps.select("image_id").distinct().withColumn("h", F.lit(side).cast("long")).withColumn("w", F.lit(side).cast("long"))
+    fine = resize_bilinear(maps, sizes, F.lit(crop), F.lit(crop), ["score"], ("class_id",))
+    fine = fine.select(F.col("image_id.g").alias("image_id"), F.col("image_id.window_id").alias("window_id"), F.col("y").alias("wy"), F.col("x").alias("wx"), "class_id", "score")
+    placed = fine.join(corners, ["image_id", "window_id"]).select("image_id", (F.col("y1") + F.col("wy")).alias("y"), (F.col("x1") + F.col("wx")).alias("x"), "class_id", "score")
+    return stage(overlap_merge(placed).drop("n_windows"), "merged")
+
+
+def labels_at_original_size(scores: DataFrame, images: DataFrame, n_background: int = 1, digits: int = 6) -> DataFrame:
+    """A label for each pixel of the original images (h0, w0 in `images`) from scores at size h, w: `image_id, y, x, label`.
+
+    The expanded background columns are reduced, scores resized, and the class of the best score to
+    `digits` digits taken, the lowest of equals.
+    """
+    from rasterlake.operators.metrics import argmax_label
+    from rasterlake.operators.raster import resize_bilinear
+
+    true = synonym_max(scores, ["image_id", "y", "x"], n_background)
+    full = resize_bilinear(true, images, F.col("h0"), F.col("w0"), ["score"], ("class_id",))
+    return argmax_label(full.withColumn("score", F.round("score", digits)), ["image_id", "y", "x"])
+
+
+def segment(patches: DataFrame, classes: DataFrame, pixels: DataFrame, images: DataFrame, crop: int, stride: int, patch: int, n_background: int = 1, refine: bool = True, neigh: int = 6, tau: float = 0.01, alpha: float = 0.95, iterations: int = 10, **graph) -> DataFrame:
+    """The whole chain: `window_scores`, with `refine` `refine_pixels` over the images as the model saw them (`pixels`), `labels_at_original_size`.
+
+    Every step is a Spark join or sum, also for one large image.
+    """
+    scores = window_scores(patches, classes, images, crop, stride, patch, alpha=alpha, iterations=iterations, **graph)
+    if refine:
+        scores = refine_pixels(scores, pixels, neigh, tau, alpha, iterations)
+    return labels_at_original_size(scores, images, n_background)

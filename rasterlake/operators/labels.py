@@ -107,11 +107,15 @@ def colorize(df: DataFrame, palette: list[tuple[int, int, int]], label: str = "l
 
 
 def overlay(df: DataFrame, palette: list[tuple[int, int, int]], alpha: float = 0.4, label: str = "label", skip: tuple[int, ...] = (0, IGNORE), rounding: str = "trunc", wrap: bool = False) -> DataFrame:
-    """Image and class colour blended; labels in `skip` keep the image. `rounding` is trunc or round (which saturates)."""
+    """Image and class colour blended; labels in `skip` keep the image.
+
+    `rounding` is trunc, round (which saturates), or rgba: an opacity of 8 bits, cut off, is laid over the image, rounded half up.
+    """
     df = colorize(df, palette, label, wrap)
 
     def blend(v: str, c: str) -> Column:
-        mixed = F.col(v) * (1 - alpha) + F.col(c) * alpha
+        a = int(alpha * 255)
+        mixed = F.col(v) * (1 - alpha) + F.col(c) * alpha if rounding != "rgba" else (F.col(v) * (255 - a) + F.col(c) * a) / 255 + 0.5
         out = F.bround(mixed) if rounding == "round" else F.floor(mixed)
         return F.when(F.col(label).isin(*skip), F.col(v)).otherwise(F.least(F.lit(255), out.cast("int"))) if skip else F.least(F.lit(255), out.cast("int"))
 

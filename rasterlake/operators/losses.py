@@ -69,7 +69,7 @@ def reduce_loss(df: DataFrame, reduction: str = "mean", avg_factor: float | None
     if avg_factor is None:
         return df.agg((F.avg(term) if reduction == "mean" else F.sum(term)).alias("loss"))
     if reduction != "mean":
-        raise ValueError('avg_factor can not be used with reduction="sum"')
+        raise ValueError("a sum is not divided: a factor needs the mean")
     return df.agg((F.sum(term) / (avg_factor + eps)).alias("loss"))
 
 
@@ -104,12 +104,7 @@ def lovasz_hinge(logits: DataFrame, keys: list[str], ignore: int = IGNORE) -> Da
 
 def hard_by_threshold(df: DataFrame, thresh: float, min_kept: int, n_images: int, key: str = "pixel") -> DataFrame:
     """Weight 1 for rows whose probability of the truth `p` is below max(thresh, the min_kept-per-image smallest)."""
-    kept = min_kept * n_images
-    n = df.count()
-    if not n:
-        return df.withColumn("weight", F.lit(0.0))
-    at = min(kept, n - 1)
-    smallest = df.orderBy("p").limit(at + 1).agg(F.max("p").alias("m"))  # a top-k plan; at + 1 rows are asked for by the feature
+    smallest = df.select("p").orderBy("p").limit(min_kept * n_images + 1).agg(F.max("p").alias("m"))  # a top-k plan, of as many rows as the feature asks for
     return df.join(F.broadcast(smallest)).withColumn("weight", (F.col("p") < F.greatest(F.col("m"), F.lit(thresh))).cast("double")).drop("m")  # one row
 
 

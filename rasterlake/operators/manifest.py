@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from rasterlake.functions.scalars import draw
+from rasterlake.sources.scratch import stage
 
 
 def has_extension(name: Column, extensions: tuple[str, ...]) -> Column:
@@ -89,13 +90,19 @@ def size_check(declared: DataFrame, actual: DataFrame, key: str = "image_id") ->
 RANK_CLASSES = 4096
 
 
-def dense_index(df: DataFrame, order: list[Column], bucket: Column, name: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, order: list[Column], bucket: Column | None = None, name: str = "idx") -> DataFrame:
     """A whole-table row index, 0 up, in `order`.
 
-    `bucket` must not decrease along the order. Buckets are counted, their offsets summed in a
-    table of one row per bucket, and only the rows of one bucket are sorted together.
+    Buckets are counted, their offsets summed in a table of one row per bucket, and only the rows of
+    one bucket are sorted together. `bucket` must not decrease along the order and have a fixed
+    number of values; without one, buckets are ranges of the order that Spark samples, as many as
+    there are shuffle partitions, and the table is written once, so that they stay what they are.
     """
-    rows = df.withColumn("__b", bucket)
+    if bucket is None:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = stage(df.repartitionByRange(n, *order).withColumn("__b", F.spark_partition_id()), "ranges")
+    else:
+        rows = df.withColumn("__b", bucket)
     sizes = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select("__b", F.coalesce(F.sum("__n").over(W.Window.orderBy("__b").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
     rank = F.row_number().over(W.Window.partitionBy("__b").orderBy(*order)) - 1
@@ -122,7 +129,7 @@ def concat_datasets(parts: list[DataFrame], key: str) -> DataFrame:
     """All parts with dataset_idx, sample_idx within the part, and a global idx by cumulative size."""
     rows = None
     for i, part in enumerate(parts):
-        part = dense_index(part, [F.col(key)], F.floor(F.col(key) / 1000), "sample_idx").withColumn("dataset_idx", F.lit(i))
+        part = dense_index(part, [F.col(key)], name="sample_idx").withColumn("dataset_idx", F.lit(i))
         rows = part if rows is None else rows.unionByName(part)
     sizes = rows.groupBy("dataset_idx").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select("dataset_idx", F.coalesce(F.sum("__n").over(W.Window.orderBy("dataset_idx").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))

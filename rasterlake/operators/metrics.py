@@ -167,14 +167,20 @@ def boundary_mask(mask: DataFrame, d: int, key: str = "image_id", label: str = "
     return rows.withColumn("__in", F.coalesce(F.sum("__row").over(across), F.lit(0)) == 2 * d + 1).where("not __in").drop("__row", "__in")
 
 
-def boundary_areas(df: DataFrame, ratio: float = 0.02, ignore: int = IGNORE, key: str = "image_id") -> DataFrame:
+def boundary_areas(df: DataFrame, ratio: float = 0.02, ignore: int = IGNORE, key: str = "image_id", widths: list[int] | None = None) -> DataFrame:
     """Areas of boundary masks by image and class, over the classes in ground truth or prediction.
 
     `df` has h and w. The window frames need literal widths: one branch for each of the few widths.
+    They are `widths` (an image of another width is an error), or are looked up by a job of its own.
     """
     df = df.withColumn("d", boundary_width(F.col("h"), F.col("w"), ratio)).withColumn("pred", F.when(F.col("gt") == ignore, ignore).otherwise(F.col("pred")))
     out = None
-    for (d,) in df.select("d").distinct().collect():  # few image sizes, fewer widths
+    if widths is None:
+        widths = sorted(d for (d,) in df.select("d").distinct().collect())  # few image sizes, fewer widths
+    else:
+        known = F.when(F.col("d").isin(*widths), F.col("d")).otherwise(F.raise_error(F.concat(F.lit("no such boundary width: "), F.col("d").cast("string"))).cast("int"))
+        df = df.withColumn("d", known)
+    for d in widths:
         part = df.where(F.col("d") == d)
         sides = [boundary_mask(part.select(key, "y", "x", F.col(c).alias("label")).where(F.col("label") != ignore), d, key).select(key, "label", "y", "x", F.lit(int(c == "gt")).alias("g")) for c in ("gt", "pred")]
         both = sides[0].unionByName(sides[1]).groupBy(key, "label", "y", "x").agg(F.max("g").alias("g"), F.max(1 - F.col("g")).alias("p"))

@@ -152,9 +152,11 @@ def crop_offsets(images: DataFrame, size: int, tries: int = 10, salt: int = 0) -
 
 def random_crop(pixels: DataFrame, images: DataFrame, size: int, max_share: float = 1.0, tries: int = 10, salt: int = 0, label: str = "gt") -> DataFrame:
     """The first of `tries` drawn crops in which no class has more than `max_share`, else the last redraw."""
-    offs = crop_offsets(images, size, tries if max_share < 1 else 0, salt).select("image_id", "attempt", "oy", "ox")
-    inside = (F.col("y") >= F.col("oy")) & (F.col("y") < F.col("oy") + size) & (F.col("x") >= F.col("ox")) & (F.col("x") < F.col("ox") + size)
-    cells = pixels.join(offs, "image_id").where(inside)
+    offs = crop_offsets(images, size, tries if max_share < 1 else 0, salt)
+    offs = offs.groupBy("image_id").agg(F.collect_list(F.struct("attempt", "oy", "ox")).alias("__offs"))  # one short list an image
+    inside = lambda o: (F.col("y") >= o["oy"]) & (F.col("y") < o["oy"] + size) & (F.col("x") >= o["ox"]) & (F.col("x") < o["ox"] + size)
+    # A pixel gets rows only for the crops that hold it.
+    cells = pixels.join(offs, "image_id").select("*", F.inline(F.filter("__offs", inside))).drop("__offs")
     if max_share < 1:
         shares = label_share(cells, ["image_id", "attempt"], label)
         good = shares.where((F.col("share") < max_share) & (F.col("n_classes") > 1)).groupBy("image_id").agg(F.min("attempt").alias("good"))
@@ -163,21 +165,42 @@ def random_crop(pixels: DataFrame, images: DataFrame, size: int, max_share: floa
     return cells.withColumn("y", F.col("y") - F.col("oy")).withColumn("x", F.col("x") - F.col("ox")).drop("oy", "ox", "attempt", "h", "w")
 
 
-def warp(pixels: DataFrame, images: DataFrame, angle: Column, scale: Column, shift_y: Column, shift_x: Column, values: dict[str, int], mode: str = "constant") -> DataFrame:
-    """Rotation by degrees, scaling and shifting about the centre, nearest source; beyond the image a fixed value or its mirror image."""
-    t = _target(images.withColumn("__a", F.radians(angle)).withColumn("__s", scale).withColumn("__dy", shift_y).withColumn("__dx", shift_x).withColumn("__p", F.struct("__a", "__s", "__dy", "__dx")), F.col("h"), F.col("w"))
-    params = images.select("image_id", F.radians(angle).alias("a"), scale.alias("s"), shift_y.alias("dy"), shift_x.alias("dx"))
-    t = t.join(params, "image_id")
+def warp(pixels: DataFrame, images: DataFrame, angle: Column, scale: Column, shift_y: Column, shift_x: Column, values: dict[str, int], mode: str = "constant", bilinear: bool = False, auto_bound: bool = False) -> DataFrame:
+    """Rotation by degrees, scaling and shifting about the centre; beyond the image a fixed value or its mirror image.
+
+    Masks take the nearest source pixel; with `bilinear`, as for colours, the four around, rounded.
+    With `auto_bound` the result is as large as the rotated image needs.
+    """
+    p = images.select("image_id", "h", "w", F.radians(angle).alias("__a"), scale.cast("double").alias("__s"), shift_y.cast("double").alias("__dy"), shift_x.cast("double").alias("__dx"))
+    co, si = F.abs(F.cos("__a")), F.abs(F.sin("__a"))
+    high, wide = F.round(F.col("h") * co + F.col("w") * si, 6), F.round(F.col("h") * si + F.col("w") * co, 6)
+    if auto_bound:
+        p = p.withColumns({"nh": F.bround(high).cast("long"), "nw": F.bround(wide).cast("long"), "__my": (high - F.col("h")) / 2, "__mx": (wide - F.col("w")) / 2})
+    else:
+        p = p.withColumns({"nh": F.col("h").cast("long"), "nw": F.col("w").cast("long"), "__my": F.lit(0.0), "__mx": F.lit(0.0)})
+    t = p.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nh") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nw") - 1)))
     cy, cx = (F.col("h") - 1) / 2, (F.col("w") - 1) / 2
-    v, u = F.col("y") - cy - F.col("dy"), F.col("x") - cx - F.col("dx")
-    sx = F.round((F.cos("a") * u - F.sin("a") * v) / F.col("s") + cx, 6)
-    sy = F.round((F.sin("a") * u + F.cos("a") * v) / F.col("s") + cy, 6)
-    iy, ix = F.floor(sy + 0.5), F.floor(sx + 0.5)
+    v, u = F.col("y") - F.col("__my") - cy - F.col("__dy"), F.col("x") - F.col("__mx") - cx - F.col("__dx")
+    sx = F.round((F.cos("__a") * u - F.sin("__a") * v) / F.col("__s") + cx, 6)
+    sy = F.round((F.sin("__a") * u + F.cos("__a") * v) / F.col("__s") + cy, 6)
+    if bilinear:
+        t = t.withColumns({"__sy": sy, "__sx": sx})
+        dy, dx = F.col("__sy") - F.floor("__sy"), F.col("__sx") - F.floor("__sx")
+        corner = lambda a, b: F.struct((F.floor("__sy") + a).alias("sy"), (F.floor("__sx") + b).alias("sx"), ((dy if a else 1 - dy) * (dx if b else 1 - dx)).alias("k"))
+        corners = F.filter(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)]), lambda c: c["k"] > 0)
+        t = t.select("image_id", "h", "w", "nh", "nw", "y", "x", F.inline(corners))
+    else:
+        t = t.select("image_id", "h", "w", "nh", "nw", "y", "x", F.floor(sy + 0.5).alias("sy"), F.floor(sx + 0.5).alias("sx"))
     if mode == "reflect":
-        iy, ix = reflect(iy, F.col("h")), reflect(ix, F.col("w"))
-    t = t.select("image_id", "h", "w", "y", "x", iy.alias("sy"), ix.alias("sx"))
+        t = t.withColumns({"sy": reflect(F.col("sy"), F.col("h")), "sx": reflect(F.col("sx"), F.col("w"))})
     s = pixels.select("image_id", F.col("y").alias("sy"), F.col("x").alias("sx"), *values)
-    return t.join(s, ["image_id", "sy", "sx"], "left").select("image_id", "h", "w", "y", "x", *[F.coalesce(c, F.lit(d)).alias(c) for c, d in values.items()])
+    out = t.join(s, ["image_id", "sy", "sx"], "left")
+    filled = {c: F.coalesce(c, F.lit(d)) for c, d in values.items()}
+    size = [F.col("nh").alias("h"), F.col("nw").alias("w")]
+    if not bilinear:
+        return out.select("image_id", *size, "y", "x", *[v.alias(c) for c, v in filled.items()])
+    blended = [F.floor(F.round(F.sum(F.col("k") * v), 6) + 0.5).cast("int").alias(c) for c, v in filled.items()]
+    return out.groupBy("image_id", *size, "y", "x").agg(*blended)
 
 
 def normalize(pixels: DataFrame, mean: tuple[float, ...], std: tuple[float, ...], to_bgr: bool = False) -> DataFrame:
@@ -288,49 +311,114 @@ def cutout(pixels: DataFrame, holes: int, size: int, fill: dict[str, int], salt:
     return pixels.withColumn("__hit", hit).withColumns({c: F.when(F.col("__hit"), v).otherwise(F.col(c)) for c, v in fill.items()}).drop("__hit")
 
 
-def _with_partner(pixels: DataFrame, partners: DataFrame, values: list[str]) -> DataFrame:
-    """Each pixel with its image's partner's pixel at the same place; without one, with itself."""
-    other = pixels.select(F.col("image_id").alias("partner_id"), "y", "x", *[F.col(v).alias(f"o{v}") for v in values])
+#: Equal shares of probability that a drawn Beta variable has one value in.
+BETA_STEPS = 256
+
+
+def beta_quantiles(alpha: float, n: int = BETA_STEPS) -> list[float]:
+    """Quantiles of Beta(alpha, alpha) in the middle of n equal shares, to six digits.
+
+    The density's pole at 0 is removed by v = (2 t)^alpha, the rest summed by trapezes; the upper
+    half mirrors the lower one.
+    """
+    steps = 4096
+    v = [i / steps for i in range(steps + 1)]
+    t = [x ** (1 / alpha) / 2 for x in v]
+    f = [(1 - x) ** (alpha - 1) for x in t]
+    total = [0.0]
+    for a, b in zip(f, f[1:]):
+        total.append(total[-1] + (a + b) / 2)
+    out, i = [], 0
+    for j in range(n // 2):
+        want = (j + 0.5) / n * 2 * total[-1]
+        while total[i + 1] < want:
+            i += 1
+        x = v[i] + (want - total[i]) / (total[i + 1] - total[i]) / steps
+        out.append(round(x ** (1 / alpha) / 2, 6))
+    return out + [round(1 - q, 6) for q in reversed(out)]
+
+
+def beta(u: Column, alpha: float) -> Column:
+    """A Beta(alpha, alpha) variable of a draw in [0, 1), by a literal table."""
+    return F.element_at(F.array(*[F.lit(q) for q in beta_quantiles(alpha)]), (F.floor(u * BETA_STEPS) + 1).cast("int"))
+
+
+def pixel_key(y: str = "y", x: str = "x") -> Column:
+    """A key for draws by pixel."""
+    return F.pmod(F.col("image_id") * 1000003 + F.col(y) * 1009 + F.col(x), F.lit(999999937))
+
+
+def _with_partner(pixels: DataFrame, partners: DataFrame, values: list[str], others: DataFrame | None = None) -> DataFrame:
+    """Each pixel with its image's partner's pixel at the same place (of `others`, if given); without one, with itself."""
+    other = (pixels if others is None else others).select(F.col("image_id").alias("partner_id"), "y", "x", *[F.col(v).alias(f"o{v}") for v in values])
     rows = pixels.join(partners.select("image_id", "partner_id"), "image_id").join(other, ["partner_id", "y", "x"], "left")
     return rows.withColumns({f"o{v}": F.coalesce(f"o{v}", v) for v in values})
 
 
-def mixup(pixels: DataFrame, partners: DataFrame, salt: int = 0) -> DataFrame:
-    """Image blended by a drawn weight, cut off; mask from the side of weight 1/2 or more. The weight is the median of three draws: a Beta(2, 2) variable."""
-    u = [unit(F.col("image_id"), salt + i) for i in range(3)]
-    lam = u[0] + u[1] + u[2] - F.greatest(*u) - F.least(*u)
-    rows = _with_partner(pixels, partners, ["r", "g", "b", "gt"]).withColumn("lam", lam)
-    out = {c: F.floor(F.col("lam") * F.col(c) + (1 - F.col("lam")) * F.col("o" + c)).cast("int") for c in "rgb"} | {"gt": F.when(F.col("lam") >= 0.5, F.col("gt")).otherwise(F.col("ogt"))}
+def mixup(pixels: DataFrame, partners: DataFrame, alpha: float = 0.3, salt: int = 0, others: DataFrame | None = None) -> DataFrame:
+    """Each pixel blended with its partner's by a Beta(alpha, alpha) weight drawn for the pixel, cut off; its label from the side of weight 1/2 or more."""
+    rows = _with_partner(pixels, partners, ["r", "g", "b", "gt"], others).withColumn("lam", beta(unit(pixel_key(), salt), alpha))
+    out = {c: F.floor(F.round(F.col("lam") * F.col(c) + (1 - F.col("lam")) * F.col("o" + c), 6)).cast("int") for c in "rgb"} | {"gt": F.when(F.col("lam") >= 0.5, F.col("gt")).otherwise(F.col("ogt"))}
     return rows.withColumns(out).drop("or", "og", "ob", "ogt", "partner_id")
 
 
-def cutmix(pixels: DataFrame, partners: DataFrame, salt: int = 0) -> DataFrame:
-    """A drawn box, clipped to the image, taken from the partner; its sides are the image's times sqrt(1 - ratio)."""
-    ratio = unit(F.col("image_id"), salt)
+def cutmix(pixels: DataFrame, partners: DataFrame, alpha: float = 0.8, salt: int = 0, others: DataFrame | None = None) -> DataFrame:
+    """A drawn box, clipped to the image, taken from the partner; its sides are the image's times sqrt(1 - ratio), the ratio a Beta(alpha, alpha) variable of the image."""
+    ratio = beta(unit(F.col("image_id"), salt), alpha)
     bh, bw = F.floor(F.col("h") * F.sqrt(1 - ratio)), F.floor(F.col("w") * F.sqrt(1 - ratio))
     cy, cx = draw(F.col("image_id"), salt + 1) % F.col("h"), draw(F.col("image_id"), salt + 2) % F.col("w")
     box = lambda i, c, b, n: (F.col(i) >= F.greatest(c - F.floor(b / 2), F.lit(0))) & (F.col(i) < F.least(c + F.floor(b / 2), F.col(n)))
-    rows = _with_partner(pixels, partners, ["r", "g", "b", "gt"]).withColumn("__in", box("y", cy, bh, "h") & box("x", cx, bw, "w"))
+    rows = _with_partner(pixels, partners, ["r", "g", "b", "gt"], others).withColumn("__in", box("y", cy, bh, "h") & box("x", cx, bw, "w"))
     return rows.withColumns({v: F.when(F.col("__in"), F.col(f"o{v}")).otherwise(F.col(v)) for v in ("r", "g", "b", "gt")}).drop("or", "og", "ob", "ogt", "partner_id", "__in")
 
 
-def mosaic(pixels: DataFrame, quads: DataFrame, size: int, salt: int = 0, pad_value: int = 114) -> DataFrame:
-    """Four images around a drawn centre of a canvas of 2 * size: each is placed with its inner corner at the centre and cut off at the canvas.
+def fit_within(images: DataFrame, size: int) -> DataFrame:
+    """Sizes nh, nw that fit a square with the aspect kept, cut off."""
+    scale = F.least(F.lit(float(size)) / F.col("h"), F.lit(float(size)) / F.col("w"))
+    return images.select("image_id", "h", "w", F.floor(F.round(F.col("h") * scale, 6)).cast("long").alias("nh"), F.floor(F.round(F.col("w") * scale, 6)).cast("long").alias("nw"))
+
 
-    `quads` has image_id, quadrant (0 to 3) and source_id. Empty canvas: `pad_value`, mask to ignore.
+def mosaic(pixels: DataFrame, images: DataFrame, quads: DataFrame, size: int, center: tuple[float, float] = (0.5, 1.5), salt: int = 0, pad_value: int = 0) -> DataFrame:
+    """Four images around a drawn centre of a canvas of 2 * size.
+
+    Each image is resized to fit size x size with its aspect kept (colours bilinear and rounded,
+    the mask nearest), placed with its inner corner at the centre, and cut off at the canvas.
+    `quads` has image_id, quadrant (0 to 3: top left, top right, bottom left, bottom right) and
+    source_id. Empty canvas: `pad_value`, mask to ignore.
     """
-    low, span = size // 2, size
-    cy, cx = draw(F.col("image_id"), salt) % span + low, draw(F.col("image_id"), salt + 1) % span + low
-    src = pixels.select(F.col("image_id").alias("source_id"), "h", "w", F.col("y").alias("sy"), F.col("x").alias("sx"), "r", "g", "b", "gt")
-    placed = quads.join(src, "source_id").withColumn("cy", cy).withColumn("cx", cx)
-    y = F.when(F.col("quadrant") < 2, F.col("cy") - F.col("h") + F.col("sy")).otherwise(F.col("cy") + F.col("sy"))
-    x = F.when(F.col("quadrant") % 2 == 0, F.col("cx") - F.col("w") + F.col("sx")).otherwise(F.col("cx") + F.col("sx"))
+    fit = fit_within(images, size)
+    colours = resize_bilinear(pixels, fit, F.col("nh"), F.col("nw"), ["r", "g", "b"])
+    labels = resize_nearest(pixels, fit, F.col("nh"), F.col("nw"), ["gt"]).drop("h", "w")
+    src = colours.join(labels, ["image_id", "y", "x"]).join(fit.select("image_id", "nh", "nw"), "image_id")
+    src = src.select(F.col("image_id").alias("source_id"), "nh", "nw", F.col("y").alias("sy"), F.col("x").alias("sx"), *[F.floor(F.round(c, 6) + 0.5).cast("int").alias(c) for c in "rgb"], "gt")
+    lo, hi = center
+    along = lambda s: F.floor((unit(F.col("image_id"), s) * (hi - lo) + lo) * size)
+    placed = quads.join(src, "source_id").withColumn("cy", along(salt)).withColumn("cx", along(salt + 1))
+    y = F.when(F.col("quadrant") < 2, F.col("cy") - F.col("nh") + F.col("sy")).otherwise(F.col("cy") + F.col("sy"))
+    x = F.when(F.col("quadrant") % 2 == 0, F.col("cx") - F.col("nw") + F.col("sx")).otherwise(F.col("cx") + F.col("sx"))
     placed = placed.withColumn("y", y).withColumn("x", x).where((F.col("y") >= 0) & (F.col("y") < 2 * size) & (F.col("x") >= 0) & (F.col("x") < 2 * size))
-    canvas = quads.select("image_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * size - 1).cast("long")))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2 * size - 1).cast("long"))))
+    edge = F.sequence(F.lit(0).cast("long"), F.lit(2 * size - 1).cast("long"))
+    canvas = quads.select("image_id").distinct().withColumn("y", F.explode(edge)).withColumn("x", F.explode(edge))
     out = canvas.join(placed.select("image_id", "y", "x", "r", "g", "b", "gt"), ["image_id", "y", "x"], "left")
     return out.select("image_id", "y", "x", *[F.coalesce(c, F.lit(pad_value)).alias(c) for c in "rgb"], F.coalesce("gt", F.lit(IGNORE)).alias("gt"))
 
 
+def mix_pipeline(pixels: DataFrame, steps: list[tuple[str, Callable, int]], draw_partners: Callable[[int], DataFrame], skip: set[str] | None = None) -> DataFrame:
+    """Steps (name, function, number of partners) in order, those named in `skip` left out.
+
+    A step with partners is called with the samples so far, the drawn partners of each
+    (`draw_partners(salt)` of image_id and partner_id, one call a partner), and the samples as they
+    were before any step, since partners come from the dataset itself.
+    """
+    out, salt = pixels, 0
+    for name, step, n in steps:
+        if name not in (skip or set()):
+            drawn = [draw_partners(salt + i) for i in range(n)]
+            out = step(out, *drawn, others=pixels) if n else step(out)
+        salt += n
+    return out
+
+
 def compose(df: DataFrame, steps: list[Callable[[DataFrame], DataFrame]], skip: set[str] | None = None) -> DataFrame:
     """Steps in order, those named in `skip` left out; a step drops samples by filtering."""
     for step in steps:

@@ -9,6 +9,10 @@ from pyspark.sql import window as W
 from rasterlake.functions.scalars import normalise
 
 
+#: Of the vectors of `embeddings`.
+DIMENSIONS = 64
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,15 +47,15 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalised mean vector of each label."""
-    d = patches(spark, sf_dir).select("gt", F.posexplode("feat").alias("d", "v")).groupBy("gt", "d").agg(F.avg("v").alias("v"))
-    return d.groupBy(F.col("gt").alias("class_id")).agg(normalise(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda s: s["v"])).alias("class_feat"))
+    means = patches(spark, sf_dir).groupBy(F.col("gt").alias("class_id")).agg(*[F.avg(F.try_element_at("feat", F.lit(i + 1))).alias(f"d{i}") for i in range(DIMENSIONS)])
+    return means.select("class_id", normalise(F.array(*[f"d{i}" for i in range(DIMENSIONS)])).alias("class_feat"))
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs, epochs and steps with a loss."""
-    e = table(spark, sf_dir, "events")
-    order = W.Window.partitionBy("event_type", F.dayofmonth("ts")).orderBy("ts", "event_id")
-    return e.select(F.col("event_type").alias("run_id"), F.dayofmonth("ts").cast("long").alias("epoch"), F.row_number().over(order).cast("long").alias("step"), F.col("value").alias("loss"), "props", "event_id")
+    """Runs, epochs (dates, as days since 2000) and steps with a loss; an epoch's events are its steps."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.datediff(F.to_date("ts"), F.to_date(F.lit("2000-01-01"))).cast("long"))
+    order = W.Window.partitionBy("event_type", "day").orderBy("ts", "event_id")
+    return e.select(F.col("event_type").alias("run_id"), F.col("day").alias("epoch"), F.row_number().over(order).cast("long").alias("step"), F.col("value").alias("loss"), "props", "event_id")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +87,7 @@ DUCK = {
     "v_patch": "select cast(vec_id // 100 as bigint) image_id, cast(vec_id % 100 as bigint) node, cast(vec_id % 100 // 10 as bigint) py, cast(vec_id % 10 as bigint) px, cast(label as int) gt, cast(embedding as double[]) feat from embeddings",
     "v_class_raw": "select gt, list(v order by d) m from (select gt, d, avg(v) v from (select gt, unnest(range(len(feat))) d, unnest(feat) v from v_patch) group by gt, d) group by gt",
     "v_class": "select gt class_id, list_transform(m, lambda x: x / sqrt(list_sum(list_transform(m, lambda q: q * q)))) class_feat from v_class_raw",
-    "v_step": "select event_type run_id, cast(day(ts) as bigint) epoch, cast(row_number() over (partition by event_type, day(ts) order by ts, event_id) as bigint) step, value loss, props, event_id from events",
+    "v_step": "select event_type run_id, date_diff('day', date '2000-01-01', cast(ts as date)) epoch, cast(row_number() over (partition by event_type, cast(ts as date) order by ts, event_id) as bigint) step, value loss, props, event_id from events",
     "v_file": "select concat('h', page_id % 7, '-IMG_', page_id, case when page_id % 5 = 0 then '.JPG' when page_id % 11 = 0 then '.txt' else '.png' end) file_name, page_id from pages",
     "v_pair": "select cast(l_orderkey as bigint) image_id, f gt, case when l_linestatus = 'F' then f else (f + 1) % 3 end pred from (select *, case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end f from lineitem)",
     "v_doc": "select l.doc_id image_id, cast(quality as int) gt, cast(case when n_chars >= 500 then 1 else 0 end as int) pred from labels l join documents d on l.doc_id = d.doc_id",

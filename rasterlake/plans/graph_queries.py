@@ -42,14 +42,24 @@ AFF = {
     "deg": "select graph_id, src, case when sum(w) = 0 then 1 else sum(w) end s from off group by all",
     "wn": "select o.graph_id, o.src, o.dst, o.w / sqrt(a.s) / sqrt(b.s) w from off o join deg a on o.graph_id = a.graph_id and o.src = a.src join deg b on o.graph_id = b.graph_id and o.dst = b.src",
 }
-CG = {"s0": "select image_id graph_id, node, class_id, 0.0::double x, score r, score p from scores", "lim": "select graph_id, class_id, sum(r * r) * 1e-12 l from s0 group by all"}
-for _i in range(10):
-    CG |= {
-        f"q{_i}": f"select s.*, s.p - 0.95::double * coalesce(m.v, 0) q from s{_i} s left join (select e.graph_id, e.src node, t.class_id, sum(e.w * t.p) v from wn e join s{_i} t on e.graph_id = t.graph_id and e.dst = t.node group by all) m on s.graph_id = m.graph_id and s.node = m.node and s.class_id = m.class_id",
-        f"a{_i}": f"select q.graph_id, q.class_id, sum(r * r) rho, case when sum(r * r) <= min(l) then 0 else coalesce(sum(r * r) / nullif(sum(p * q), 0), 0) end a from q{_i} q join lim on q.graph_id = lim.graph_id and q.class_id = lim.class_id group by all",
-        f"m{_i}": f"select q.graph_id, node, q.class_id, x + a * p x, r - a * q r, p, rho from q{_i} q join a{_i} a on q.graph_id = a.graph_id and q.class_id = a.class_id",
-        f"s{_i + 1}": f"select m.graph_id, node, m.class_id, x, r, r + coalesce(rho2 / nullif(rho, 0), 0) * p p from m{_i} m join (select graph_id, class_id, sum(r * r) rho2 from m{_i} group by all) z on m.graph_id = z.graph_id and m.class_id = z.class_id",
-    }
+
+
+def cg_sql(start: str, edges: str, p: str = "") -> dict[str, str]:
+    """Ten conjugate-gradient steps as SQL tables; the last is `{p}s10`."""
+    out = {f"{p}s0": start, f"{p}lim": f"select graph_id, class_id, sum(r * r) * 1e-12 l from {p}s0 group by all"}
+    for i in range(10):
+        out |= {
+            f"{p}v{i}": f"select e.graph_id, e.src node, t.class_id, sum(e.w * t.p) v from {edges} e join {p}s{i} t on e.graph_id = t.graph_id and e.dst = t.node group by all",
+            f"{p}q{i}": f"select s.*, s.p - 0.95::double * coalesce(m.v, 0) q from {p}s{i} s left join {p}v{i} m on s.graph_id = m.graph_id and s.node = m.node and s.class_id = m.class_id",
+            f"{p}a{i}": f"select q.graph_id, q.class_id, sum(r * r) rho, case when sum(r * r) <= min(l) then 0 else coalesce(sum(r * r) / nullif(sum(p * q), 0), 0) end a from {p}q{i} q join {p}lim l on q.graph_id = l.graph_id and q.class_id = l.class_id group by all",
+            f"{p}m{i}": f"select q.graph_id, node, q.class_id, x + a * p x, r - a * q r, p, rho from {p}q{i} q join {p}a{i} a on q.graph_id = a.graph_id and q.class_id = a.class_id",
+            f"{p}z{i}": f"select graph_id, class_id, sum(r * r) rho2 from {p}m{i} group by all",
+            f"{p}s{i + 1}": f"select m.graph_id, node, m.class_id, x, r, r + coalesce(rho2 / nullif(rho, 0), 0) * p p from {p}m{i} m join {p}z{i} z on m.graph_id = z.graph_id and m.class_id = z.class_id",
+        }
+    return out
+
+
+CG = cg_sql("select image_id graph_id, node, class_id, 0.0::double x, score r, score p from scores", "wn")
 
 query("g01_zero_shot_scores", duck("v_patch v_class", "select image_id, node, gt, class_id, round(score, 6) score from scores", **SCORES))(lambda s, d: rounded(scores(s, d)))
 query("f03_softmax_temperature", duck("v_patch v_class", "select image_id, node, class_id, round(e / sum(e) over (partition by image_id, node), 6) score from (select *, exp((score - max(score) over (partition by image_id, node)) * 100) e from scores)", **SCORES))(
@@ -89,13 +99,12 @@ query("a29_soft_codebook", duck("v_patch v_class", "select image_id, class_id co
 WIN = {"win": "select image_id, h, w, i * (nw + 1) + j window_id, greatest(least(i * 12 + 20, h) - 20, 0) y1, least(i * 12 + 20, h) y2, greatest(least(j * 12 + 20, w) - 20, 0) x1, least(j * 12 + 20, w) x2 from (select *, unnest(range(nw + 1)) j from (select *, unnest(range(nh + 1)) i from (select *, greatest(h - 20 + 11, 0) // 12 nh, greatest(w - 20 + 11, 0) // 12 nw from v_image)))"}
 query("r01_sliding_windows", duck("v_image", "select image_id, h, w, window_id, y1, y2, x1, x2 from win", **WIN))(lambda s, d: G.windows(V.images(s, d), 20, 12))
 WPIX = {"wp": "select image_id, window_id, y, x from (select *, unnest(range(x1, x2)) x from (select *, unnest(range(y1, y2)) y from win))"}
-query("j09_window_pixels", duck("v_image", "select image_id, y, x, count(*) n from wp group by all", **WIN, **WPIX))(lambda s, d: G.window_pixels(G.windows(V.images(s, d), 20, 12)).groupBy("image_id", "y", "x").agg(F.count(F.lit(1)).alias("n")))
+query("j09_window_pixels", duck("v_image", "select image_id, y, x, count(*) n from wp group by all", **WIN, **WPIX))(lambda s, d: G.covering_windows(V.grid(V.images(s, d)), 20, 12).groupBy("image_id", "y", "x").agg(F.count(F.lit(1)).alias("n")))
 
 
 def window_scores(spark, sf):
     """A score of two classes per window pixel, from its colour."""
-    cells = G.window_pixels(G.windows(V.images(spark, sf), 20, 12)).select("image_id", "window_id", "y", "x")
-    cells = cells.join(V.raster(spark, sf).select("image_id", "y", "x", "r", "g"), ["image_id", "y", "x"])
+    cells = G.covering_windows(V.raster(spark, sf).select("image_id", "h", "w", "y", "x", "r", "g"), 20, 12)
     return cells.select("image_id", "window_id", "y", "x", F.inline(F.array(*[F.struct(F.lit(c).alias("class_id"), ((F.col(v) + F.col("window_id") * 3) % 97 / 97.0).alias("score")) for c, v in ((0, "r"), (1, "g"))])))
 
 
@@ -113,33 +122,89 @@ LAB = {
     "lab": "select image_id, y, x, (116 * fy - 16) / 100 l, 500 * (fx - fy) / 128 a, 200 * (fy - fz) / 128 bb from ft",
 }
 query("f05_srgb_to_lab", duck("v_raster", "select image_id, y, x, round(l, 6) + 0.0 l, round(a, 6) + 0.0 a, round(bb, 6) + 0.0 bb from lab", **LAB))(lambda s, d: rounded(V.raster(s, d).select("image_id", "y", "x", *[c.alias(n) for c, n in zip(lab(F.col("r"), F.col("g"), F.col("b")), ("l", "a", "bb"), strict=True)])))
-query("g07_pixel_grid_edges", duck("v_raster", "select p.image_id graph_id, p.y * 100000 + p.x src, q.y * 100000 + q.x dst, round(exp(-1 / 0.1::double * sqrt((p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.bb - q.bb) * (p.bb - q.bb))), 6) w from lab p join (select * from (values (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) t(dy, dx)) m on true join lab q on q.image_id = p.image_id and q.y = p.y + m.dy and q.x = p.x + m.dx", **LAB))(
+
+
+def grid_edges_sql(lab_table: str, neigh: int, tau: float) -> dict[str, str]:
+    """Edges of pixels (graph_id, y, x, l, a, bb) by equality joins only: each pixel's places first, then the pixel at each place."""
+    steps = ", ".join(f"({dy}, {dx})" for dy in range(-neigh, neigh + 1) for dx in range(-neigh, neigh + 1) if dy or dx)
+    return {
+        "there": f"select graph_id, y, x, l, a, bb, y + dy y2, x + dx x2 from {lab_table}, (values {steps}) t(dy, dx)",
+        "grid": f"select p.graph_id, p.y * 100000 + p.x src, q.y * 100000 + q.x dst, exp(-1 / {tau}::double * sqrt((p.l - q.l) * (p.l - q.l) + (p.a - q.a) * (p.a - q.a) + (p.bb - q.bb) * (p.bb - q.bb))) w from there p join {lab_table} q on q.graph_id = p.graph_id and q.y = p.y2 and q.x = p.x2",
+    }
+
+
+query("g07_pixel_grid_edges", duck("v_raster", "select graph_id, src, dst, round(w, 6) w from grid", **LAB, glab="select image_id graph_id, y, x, l, a, bb from lab", **grid_edges_sql("glab", 1, 0.1)))(
     lambda s, d: rounded(G.pixel_grid_edges(V.raster(s, d), 1, 0.1)))
 
 
-def propagated_patches(spark, sf):
-    x = G.propagate_in_groups(edges(spark, sf), starts(spark, sf))
-    return x.select(F.col("graph_id").alias("image_id"), F.floor(F.col("node") / 10).alias("y"), (F.col("node") % 10).alias("x"), "class_id", F.col("x").alias("score"))
+# The segmentation chain: the vectors of a graph are the 5 x 5 patches of the four windows (20 pixels, 12 apart) of
+# a picture of 32 x 32 pixels, which is the raster of supplier graph + 1 resized.
+
+
+def chain_patches(spark, sf):
+    n = F.col("node")
+    return V.patches(spark, sf).select("image_id", F.floor(n / 25).alias("window_id"), F.floor(n % 25 / 5).alias("py"), (n % 5).alias("px"), "feat")
+
+
+def chain_images(spark, sf):
+    known = V.patches(spark, sf).select("image_id").distinct()
+    edge = F.lit(32).cast("long")
+    return V.images(spark, sf).select((F.col("image_id") - 1).alias("image_id"), edge.alias("h"), edge.alias("w"), F.col("h").alias("h0"), F.col("w").alias("w0")).join(known, "image_id", "left_semi")
+
+
+def chain_pixels(spark, sf):
+    own = chain_images(spark, sf).select("image_id", F.col("h0").alias("h"), F.col("w0").alias("w"))
+    colours = V.raster(spark, sf).select((F.col("image_id") - 1).alias("image_id"), "y", "x", "r", "g", "b")
+    fine = R.resize_bilinear(colours, own, F.lit(32), F.lit(32), ["r", "g", "b"])
+    return fine.select("image_id", "y", "x", *[F.floor(F.col(c) + 0.5).cast("int").alias(c) for c in "rgb"])
+
+
+def bilinear_sql(p: str, images: str, source: str, h: str, w: str, values: str, keys: str = "") -> dict[str, str]:
+    """`{p}out`: image_id, y, x, the keys, and sums named as `values` lists; images have h and w."""
+    key = "".join(f", s.{k}" for k in keys.split())
+    return {
+        f"{p}t": f"select *, least(greatest((y + 0.5) * h / {h} - 0.5, 0), h - 1)::double fy, least(greatest((x + 0.5) * w / {w} - 0.5, 0), w - 1)::double fx from (select *, unnest(range({w})) x from (select *, unnest(range({h})) y from {images}))",
+        f"{p}f": f"select *, floor(fy)::bigint y0, floor(fx)::bigint x0 from {p}t",
+        f"{p}c": f"select image_id, y, x, least(y0 + a, h - 1) sy, least(x0 + b, w - 1) sx, (case a when 1 then fy - y0 else 1 - fy + y0 end) * (case b when 1 then fx - x0 else 1 - fx + x0 end) k from {p}f, (values (0), (1)) ta(a), (values (0), (1)) tb(b)",
+        f"{p}out": f"select c.image_id, c.y, c.x{key}, {', '.join(f'sum(k * s.{v}) {v}' for v in values.split())} from {p}c c join {source} s on s.image_id = c.image_id and s.y = c.sy and s.x = c.sx group by c.image_id, c.y, c.x{key}",
+    }
+
+
+LAB_OF = {name: text.replace("v_raster", "cpx") for name, text in LAB.items()}
+CHAIN = {
+    "cimg": "select image_id - 1 image_id, h, w from v_image where image_id - 1 in (select image_id from v_patch)",
+    "craw": "select image_id - 1 image_id, y, x, r, g, b from v_raster",
+    **bilinear_sql("p_", "cimg", "craw", "32", "32", "r g b"),
+    "cpx": "select image_id, y, x, floor(r + 0.5)::bigint r, floor(g + 0.5)::bigint g, floor(b + 0.5)::bigint b from p_out",
+    **KNN, **AFF, **SCORES,
+    "ctr": "select image_id graph_id, node, node // 50 * 12 + 2 + node % 25 // 5 * 4 cy, node // 25 % 2 * 12 + 2 + node % 5 * 4 cx from v_patch where image_id in (select image_id from cimg)",
+    **CG,
+    "wimg": "select distinct graph_id * 4 + node // 25 image_id, 5 h, 5 w from s10",
+    "wmap": "select graph_id * 4 + node // 25 image_id, node % 25 // 5 y, node % 5 x, class_id, x score from s10",
+    **bilinear_sql("w_", "wimg", "wmap", "20", "20", "score", "class_id"),
+    "merged": "select image_id // 4 image_id, y + image_id % 4 // 2 * 12 y, x + image_id % 2 * 12 x, class_id, avg(score) score from w_out group by all",
+    **LAB_OF,
+    "glab": "select image_id graph_id, y, x, l, a, bb from lab",
+    **grid_edges_sql("glab", 2, 0.1),
+    "gdeg": "select graph_id, src, case when sum(w) = 0 then 1 else sum(w) end s from grid group by all",
+    "gwn": "select o.graph_id, o.src, o.dst, o.w / sqrt(a.s) / sqrt(b.s) w from grid o join gdeg a on o.graph_id = a.graph_id and o.src = a.src join gdeg b on o.graph_id = b.graph_id and o.dst = b.src",
+    **cg_sql("select image_id graph_id, y * 100000 + x node, class_id, 0.0::double x, score r, score p from merged", "gwn", "g"),
+}
+REDUCED = {
+    "oimg": "select i.image_id, 32 h, 32 w, i.h h0, i.w w0 from cimg i",
+    "true_": "select graph_id image_id, node // 100000 y, node % 100000 x, greatest(class_id - 1, 0) class_id, max(x) score from gs10 group by all",
+    **bilinear_sql("o_", "oimg", "true_", "h0", "w0", "score", "class_id"),
+}
 
 
-@query("g10_pixel_refinement")
+@query("g10_pixel_refinement", duck("v_image v_raster v_patch v_class", "select graph_id image_id, node // 100000 y, node % 100000 x, class_id, round(x, 2) + 0.0 score from gs10", **CHAIN))
 def pixel_refinement(spark, sf):
-    """Patch scores resized to 20 x 20 pixels and propagated over their grid by colour."""
-    p = propagated_patches(spark, sf)
-    size = p.select("image_id").distinct().withColumn("h", F.lit(10).cast("long")).withColumn("w", F.lit(10).cast("long"))
-    fine = R.resize_bilinear(p, size, F.lit(20), F.lit(20), ["score"], ("class_id",))
-    colour = fine.where("class_id = 0").select("image_id", "y", "x", ((F.col("image_id") * 7 + F.col("y") * 11) % 256).cast("int").alias("r"), ((F.col("x") * 13) % 256).cast("int").alias("g"), F.lit(90).alias("b"))
-    grid = G.normalize_graph(G.pixel_grid_edges(colour, 1, 0.1))
-    start = fine.select(F.col("image_id").alias("graph_id"), (F.col("y") * 100000 + F.col("x")).alias("node"), "class_id", F.col("score").alias("y"))
-    return rounded(G.propagate_in_groups(grid, start), 4)
+    """Scores of all windows, merged, propagated over the pixels by colour."""
+    scores = G.window_scores(chain_patches(spark, sf), V.class_vectors(spark, sf), chain_images(spark, sf), 20, 12, 4, k=10)
+    return rounded(G.refine_pixels(scores, chain_pixels(spark, sf), 2, 0.1), 2)
 
 
-@query("g12_segment")
+@query("g12_segment", duck("v_image v_raster v_patch v_class", "select image_id, y, x, class_id as label from (select *, row_number() over (partition by image_id, y, x order by round(score, 6) desc, class_id) rk from o_out) where rk = 1", **CHAIN, **REDUCED))
 def segment(spark, sf):
-    """Whole chain: scores, graph, propagation, resizing, background reduction, labels, areas by image."""
-    p = propagated_patches(spark, sf)
-    size = p.select("image_id").distinct().withColumn("h", F.lit(10).cast("long")).withColumn("w", F.lit(10).cast("long"))
-    fine = R.resize_bilinear(G.synonym_max(p, ["image_id", "y", "x"], 2), size, F.lit(40), F.lit(40), ["score"], ("class_id",))
-    labels = M.argmax_label(fine.withColumn("score", F.round("score", 5)), ["image_id", "y", "x"])
-    truth = V.patches(spark, sf).select("image_id", F.col("py").alias("y"), F.col("px").alias("x"), F.greatest(F.col("gt") - 1, F.lit(0)).alias("gt"))
-    return M.areas_per_image(labels.join(R.resize_nearest(truth, size, F.lit(40), F.lit(40), ["gt"]).drop("h", "w"), ["image_id", "y", "x"]).withColumnRenamed("label", "pred"), 9)
+    """The whole chain: windows, scores, graph, propagation, merging, refinement, reduction, resizing, labels."""
+    return G.segment(chain_patches(spark, sf), V.class_vectors(spark, sf), chain_pixels(spark, sf), chain_images(spark, sf), 20, 12, 4, n_background=2, neigh=2, tau=0.1, k=10)

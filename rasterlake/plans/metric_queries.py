@@ -144,6 +144,8 @@ PALETTE = L.bit_palette(21)
 _pal = lambda ch: "[" + ", ".join(str(c[ch]) for c in PALETTE) + "]"
 query("l12_colorize", duck("v_raster", f"select image_id, y, x, {', '.join(f'{_pal(i)}[gt % 21 + 1] c{c}' for i, c in enumerate('rgb'))} from v_raster"))(lambda s, d: L.colorize(V.raster(s, d), PALETTE, "gt").select("image_id", "y", "x", "cr", "cg", "cb"))
 query("l13_overlay_blend", duck("v_raster", f"select image_id, y, x, {', '.join(f'cast(case when gt in (0, 255) then {c} else least(255, floor({c} * (1 - 0.4::double) + {_pal(i)}[gt + 1] * 0.4::double)) end as int) out_{c}' for i, c in enumerate('rgb'))} from v_raster"))(lambda s, d: L.overlay(V.raster(s, d), PALETTE, 0.4, "gt").select("image_id", "y", "x", "out_r", "out_g", "out_b"))
+query("l13_overlay_rgba", duck("v_raster", f"select image_id, y, x, {', '.join(f'cast(case when gt in (0, 255) then {c} else least(255, floor(({c} * (255 - 102) + {_pal(i)}[gt + 1] * 102) / 255.0::double + 0.5)) end as int) out_{c}' for i, c in enumerate('rgb'))} from v_raster"))(
+    lambda s, d: L.overlay(V.raster(s, d), PALETTE, 0.4, "gt", rounding="rgba").select("image_id", "y", "x", "out_r", "out_g", "out_b"))
 query("j04_palette_inverse", duck("v_raster", "select image_id, y, x, case when gt = 255 then null else gt end label from v_raster"))(lambda s, d: L.palette_inverse(L.colorize(V.raster(s, d), PALETTE, "gt", wrap=False).select("image_id", "y", "x", F.when(F.col("gt") == 255, 1).otherwise(F.col("cr")).alias("r"), F.col("cg").alias("g"), F.col("cb").alias("b")), PALETTE).select("image_id", "y", "x", "label"))
 query("l16_random_palette", "select l_orderkey % 12 class_id, " + ", ".join(f"{V.duck_draw(f'(3 * (l_orderkey % 12) + {i})', 9)} % 256 {c}" for i, c in enumerate("rgb")) + ", count(*) n from lineitem group by all")(
     lambda s, d: L.colorize(V.table(s, d, "lineitem").select((F.col("l_orderkey") % 12).alias("class_id")), L.random_palette(12, 9), "class_id").groupBy("class_id", F.col("cr").cast("long").alias("r"), F.col("cg").cast("long").alias("g"), F.col("cb").cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n")))

@@ -14,6 +14,7 @@ from rasterlake.plans.fixtures import duck, duck_draw
 from rasterlake.plans.registry import query, rounded
 
 PX = ["image_id", "y", "x"]
+KEYED = "(image_id * 1000003 + y * 1009 + x) % 999999937"
 U = lambda key, salt: f"({duck_draw(key, salt)} / 2147483647.0::double)"
 
 
@@ -50,6 +51,12 @@ WARP = """select image_id, h, w, y, x, cast(floor(round((cos(radians({a})) * u -
 _mirror = lambda i, n: f"case when (({i} % (2 * ({n} - 1))) + 2 * ({n} - 1)) % (2 * ({n} - 1)) < {n} then (({i} % (2 * ({n} - 1))) + 2 * ({n} - 1)) % (2 * ({n} - 1)) else 2 * ({n} - 1) - (({i} % (2 * ({n} - 1))) + 2 * ({n} - 1)) % (2 * ({n} - 1)) end"
 query("r12_rotate", duck("v_raster", "select t.image_id, t.y, t.x, coalesce(p.gt, 255) gt from warp t left join v_raster p on p.image_id = t.image_id and p.y = t.sy and p.x = t.sx", warp=WARP.format(a="10.0::double", s=1.0, dy=0.0, dx=0.0)))(lambda s, d: R.warp(raster(s, d), V.images(s, d), F.lit(10.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), {"gt": 255}).select(*PX, "gt"))
 query("r14_shift_scale_rotate", duck("v_raster", f"select t.image_id, t.y, t.x, p.gt, p.r from warp t join v_raster p on p.image_id = t.image_id and p.y = {_mirror('t.sy', 't.h')} and p.x = {_mirror('t.sx', 't.w')}", warp=WARP.format(a="5.0::double", s=1.1, dy=1.0, dx=-2.0)))(lambda s, d: R.warp(raster(s, d), V.images(s, d), F.lit(5.0), F.lit(1.1), F.lit(1.0), F.lit(-2.0), {"gt": 255, "r": 0}, "reflect").select(*PX, "gt", "r"))
+_TURN = """select image_id, h, w, y, x, round((cos(a) * u - sin(a) * v) + (w - 1) / 2.0::double, 6) fx, round((sin(a) * u + cos(a) * v) + (h - 1) / 2.0::double, 6) fy from
+  (select *, y - (hh - h) / 2.0::double - (h - 1) / 2.0::double v, x - (ww - w) / 2.0::double - (w - 1) / 2.0::double u from (select *, unnest(range(cast(round_even(ww, 0) as bigint))) x from (select *, unnest(range(cast(round_even(hh, 0) as bigint))) y from
+  (select *, round(h * abs(cos(a)) + w * abs(sin(a)), 6) hh, round(h * abs(sin(a)) + w * abs(cos(a)), 6) ww from (select *, radians(25.0::double) a from v_image)))))"""
+_TURN_FOUR = "select image_id, y, x, floor(fy)::bigint + a sy, floor(fx)::bigint + b sx, (case a when 1 then fy - floor(fy) else 1 - fy + floor(fy) end) * (case b when 1 then fx - floor(fx) else 1 - fx + floor(fx) end) k from turn, (values (0), (1)) ta(a), (values (0), (1)) tb(b)"
+query("r12_rotate_whole_bilinear", duck("v_raster", "select c.image_id, c.y, c.x, cast(floor(round(sum(k * coalesce(p.r, 9)), 6) + 0.5) as int) r from four c left join v_raster p on p.image_id = c.image_id and p.y = c.sy and p.x = c.sx where k > 0 group by c.image_id, c.y, c.x", turn=_TURN, four=_TURN_FOUR))(
+    lambda s, d: R.warp(raster(s, d), V.images(s, d), F.lit(25.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), {"r": 9}, bilinear=True, auto_bound=True).select(*PX, "r"))
 query("r15_normalize", duck("v_raster", "select image_id, y, x, round((r - 123.675::double) / 58.395::double, 6) r, round((g - 116.28::double) / 57.12::double, 6) g, round((b - 103.53::double) / 57.375::double, 6) b from v_raster"))(lambda s, d: rounded(R.normalize(raster(s, d), (123.675, 116.28, 103.53), (58.395, 57.12, 57.375)).select(*PX, "r", "g", "b")))
 query("r16_rerange", duck("v_raster", "select image_id, y, x, round((r - min(r) over w)::double / (max(r) over w - min(r) over w) * 255, 6) r from v_raster window w as (partition by image_id)"))(lambda s, d: rounded(R.rerange(raster(s, d), "r").select(*PX, "r")))
 query("r17_clahe")(lambda s, d: rounded(R.clahe(R.to_gray(raster(s, d)), "gray", 2)))
@@ -74,7 +81,11 @@ query("f10_percent_half_even", duck("v_raster", "select image_id, round_even(sum
 query("r20_photometric")(lambda s, d: R.photometric(raster(s, d), 11).select(*PX, "r", "g", "b"))
 query("r21_rgb_shift", duck("v_raster", f"select image_id, y, x, {', '.join(f'cast(least(greatest({c} + cast(floor({U('image_id', 20 + i)} * 41) as bigint) - 20, 0), 255) as int) {c}' for i, c in enumerate('rgb'))} from v_raster"))(lambda s, d: R.rgb_shift(raster(s, d), (20, 20, 20), 20).select(*PX, "r", "g", "b"))
 query("r21_hue_sat_value")(lambda s, d: R.hue_saturation_value(raster(s, d), (10, 20, 20), 30).select(*PX, "r", "g", "b"))
-query("r21_gauss_noise")(lambda s, d: R.gauss_noise(raster(s, d), 5.0, 40).select(*PX, "r", "g", "b"))
+NOISE = {
+    "k": f"select *, {KEYED} k0 from v_raster",
+    "d": f"select *, {', '.join(f'({duck_draw("k0", 40 + 2 * i)} + 1) / 2147483648.0::double a{i}, {U("k0", 41 + 2 * i)} b{i}' for i in range(3))} from k",
+}
+query("r21_gauss_noise", duck("v_raster", f"select image_id, y, x, {', '.join(f'cast(trunc(least(greatest({c} + sqrt(-2 * ln(a{i})) * cos(6.283185307179586::double * b{i}) * 5.0::double, 0), 255)) as int) {c}' for i, c in enumerate('rgb'))} from d", **NOISE))(lambda s, d: R.gauss_noise(raster(s, d), 5.0, 40).select(*PX, "r", "g", "b"))
 query("r21_box_blur", duck("v_raster", "select p.image_id, p.y, p.x, round(avg(q.r), 6) r from v_raster p join v_raster q on q.image_id = p.image_id and q.y between p.y - 1 and p.y + 1 and q.x between p.x - 1 and p.x + 1 group by all"))(lambda s, d: rounded(R.box_blur(raster(s, d), 1, ["r"]).select(*PX, "r")))
 query("r21_brightness_contrast", duck("v_raster", "select image_id, y, x, cast(trunc(least(greatest(r * 1.2::double + 15, 0), 255)) as int) r from v_raster"))(lambda s, d: raster(s, d).select(*PX, R.brightness_contrast(F.col("r"), F.lit(15.0), F.lit(1.2)).alias("r")))
 _hole = " or ".join(f"(y >= {duck_draw('image_id', 50 + 2 * i)} % h and y < {duck_draw('image_id', 50 + 2 * i)} % h + 6 and x >= {duck_draw('image_id', 51 + 2 * i)} % w and x < {duck_draw('image_id', 51 + 2 * i)} % w + 6)" for i in range(3))
@@ -86,25 +97,79 @@ def partners(spark, sf, salt=60):
     return N.partner_pairing(ims.withColumn("idx", F.col("image_id")), ims.count(), salt)
 
 
-PAIR = {"pr": f"select a.image_id, b.image_id partner_id from (select *, (image_id + 1 + {duck_draw('image_id', 60)} % greatest((select count(*) from v_image) - 1, 1)) % (select count(*) from v_image) pi from v_image) a join v_image b on b.image_id = a.pi"}
+PAIR = {
+    "pr_n": "select count(*) n from v_image",
+    "pr_d": f"select image_id, (image_id + 1 + {duck_draw('image_id', 60)} % greatest(n - 1, 1)) % n pi from v_image, pr_n",
+    "pr": "select a.image_id, b.image_id partner_id from pr_d a join v_image b on b.image_id = a.pi",
+}
 query("j08_partner_pairing", duck("v_image", "select * from pr", **PAIR))(lambda s, d: partners(s, d).select("image_id", "partner_id"))
-_u = [U("p.image_id", 70 + i) for i in range(3)]
-query("r23_mixup", duck("v_raster", f"select image_id, y, x, cast(floor(lam * r + (1 - lam) * qr) as int) r, case when lam >= 0.5 then gt else qgt end gt from (select p.*, coalesce(q.r, p.r) qr, coalesce(q.gt, p.gt) qgt, {' + '.join(_u)} - greatest({', '.join(_u)}) - least({', '.join(_u)}) lam from v_raster p join pr on p.image_id = pr.image_id left join v_raster q on q.image_id = pr.partner_id and q.y = p.y and q.x = p.x)", **PAIR))(
-    lambda s, d: R.mixup(raster(s, d), partners(s, d), 70).select(*PX, "r", "gt"))
-query("r24_cutmix", duck("v_raster", f"""select image_id, y, x, case when y >= greatest(cy - bh // 2, 0) and y < least(cy + bh // 2, h) and x >= greatest(cx - bw // 2, 0) and x < least(cx + bw // 2, w) then qgt else gt end gt from (select p.*, coalesce(q.gt, p.gt) qgt, cast(floor(p.h * sqrt(1 - {U('p.image_id', 80)})) as bigint) bh, cast(floor(p.w * sqrt(1 - {U('p.image_id', 80)})) as bigint) bw,
-  {duck_draw('p.image_id', 81)} % p.h cy, {duck_draw('p.image_id', 82)} % p.w cx from v_raster p join pr on p.image_id = pr.image_id left join v_raster q on q.image_id = pr.partner_id and q.y = p.y and q.x = p.x)""", **PAIR))(lambda s, d: R.cutmix(raster(s, d), partners(s, d), 80).select(*PX, "gt"))
-
-
-@query("r25_mosaic")
+BETA = lambda u, alpha: f"([{', '.join(f'{q}::double' for q in R.beta_quantiles(alpha))}])[cast(floor({u} * {R.BETA_STEPS}) as int) + 1]"
+
+
+def with_partner_sql(source: str = "v_raster") -> dict[str, str]:
+    """Each pixel beside its partner's, by equality joins of tables that are made first."""
+    return {
+        "mine": f"select p.*, pr.partner_id from {source} p join pr on p.image_id = pr.image_id",
+        "two": "select m.*, coalesce(q.r, m.r) qr, coalesce(q.gt, m.gt) qgt from mine m left join v_raster q on q.image_id = m.partner_id and q.y = m.y and q.x = m.x",
+    }
+
+
+def mixed_sql(salt: int, alpha: float) -> dict[str, str]:
+    """`mixed`: pixels of `two` blended by a weight a pixel."""
+    return {
+        "u1": f"select *, {KEYED} k0 from two",
+        "u2": f"select *, {U('k0', salt)} u from u1",
+        "u3": f"select *, {BETA('u', alpha)} lam from u2",
+        "mixed": "select image_id, y, x, cast(floor(round(lam * r + (1 - lam) * qr, 6)) as int) r, case when lam >= 0.5 then gt else qgt end gt from u3",
+    }
+
+
+query("r23_mixup", duck("v_image v_raster", "select image_id, y, x, r, gt from mixed", **PAIR, **with_partner_sql(), **mixed_sql(70, 0.3)))(lambda s, d: R.mixup(raster(s, d), partners(s, d), 0.3, 70).select(*PX, "r", "gt"))
+query("r24_cutmix", duck("v_image v_raster", "select image_id, y, x, case when y >= greatest(cy - bh // 2, 0) and y < least(cy + bh // 2, h) and x >= greatest(cx - bw // 2, 0) and x < least(cx + bw // 2, w) then qgt else gt end gt from two join box using (image_id)", **PAIR, **with_partner_sql(),
+    ratio=f"select image_id, h bh0, w bw0, {U('image_id', 80)} u, {duck_draw('image_id', 81)} % h cy, {duck_draw('image_id', 82)} % w cx from v_image",
+    box=f"select image_id, cy, cx, cast(floor(bh0 * sqrt(1 - lam)) as bigint) bh, cast(floor(bw0 * sqrt(1 - lam)) as bigint) bw from (select *, {BETA('u', 0.8)} lam from ratio)"))(lambda s, d: R.cutmix(raster(s, d), partners(s, d), 0.8, 80).select(*PX, "gt"))
+
+
+def pair_sql(name: str, salt: int) -> dict[str, str]:
+    """`{name}`: each image and its drawn partner."""
+    return {
+        f"{name}_n": "select count(*) n from v_image",
+        f"{name}_d": f"select image_id, (image_id + 1 + {duck_draw('image_id', salt)} % greatest(n - 1, 1)) % n pi from v_image, {name}_n",
+        name: f"select a.image_id, b.image_id partner_id from {name}_d a join v_image b on b.image_id = a.pi",
+    }
+
+
+MOSAIC = {
+    **pair_sql("pa", 91), **pair_sql("pb", 92), **pair_sql("pc", 93),
+    "quads": "select image_id, 0 quadrant, image_id source_id from v_image union all select image_id, 1, partner_id from pa union all select image_id, 2, partner_id from pb union all select image_id, 3, partner_id from pc",
+    "fit": "select image_id, h, w, cast(floor(round(h * sc, 6)) as bigint) nh, cast(floor(round(w * sc, 6)) as bigint) nw from (select *, least(24.0::double / h, 24.0::double / w) sc from v_image)",
+    "t": "select *, least(greatest((y + 0.5) * h / nh - 0.5, 0), h - 1)::double fy, least(greatest((x + 0.5) * w / nw - 0.5, 0), w - 1)::double fx from (select *, unnest(range(nw)) x from (select *, unnest(range(nh)) y from fit))",
+    "c": "select image_id, y, x, least(floor(fy)::bigint + a, h - 1) sy, least(floor(fx)::bigint + b, w - 1) sx, (case a when 1 then fy - floor(fy) else 1 - fy + floor(fy) end) * (case b when 1 then fx - floor(fx) else 1 - fx + floor(fx) end) k from t, (values (0), (1)) ta(a), (values (0), (1)) tb(b)",
+    "col": "select c.image_id, c.y, c.x, cast(floor(round(sum(k * p.r), 6) + 0.5) as int) r from c join v_raster p on p.image_id = c.image_id and p.y = c.sy and p.x = c.sx group by c.image_id, c.y, c.x",
+    "near": "select image_id source_id, y sy, x sx, y * h // nh oy, x * w // nw ox, nh, nw from t",
+    "lab": "select n.source_id, n.sy, n.sx, n.nh, n.nw, p.gt from near n join v_raster p on p.image_id = n.source_id and p.y = n.oy and p.x = n.ox",
+    "src": "select l.*, col.r from lab l join col on col.image_id = l.source_id and col.y = l.sy and col.x = l.sx",
+    "spot": f"select image_id, quadrant, source_id, cast(floor(({U('image_id', 95)} + 0.5) * 24) as bigint) cy, cast(floor(({U('image_id', 96)} + 0.5) * 24) as bigint) cx from quads",
+    "put": "select a.image_id, case when quadrant < 2 then cy - nh + sy else cy + sy end y, case when quadrant % 2 = 0 then cx - nw + sx else cx + sx end x, s.r, s.gt from spot a join src s on s.source_id = a.source_id",
+    "canvas": "select *, unnest(range(48)) x from (select image_id, unnest(range(48)) y from v_image)",
+}
+
+
+@query("r25_mosaic", duck("v_image v_raster", "select c.image_id, c.y, c.x, coalesce(p.r, 0) r, coalesce(p.gt, 255) gt from canvas c left join put p on p.image_id = c.image_id and p.y = c.y and p.x = c.x", **MOSAIC))
 def mosaic(spark, sf):
     own = V.images(spark, sf).select("image_id", F.lit(0).alias("quadrant"), F.col("image_id").alias("source_id"))
     for q in (1, 2, 3):
         own = own.unionByName(partners(spark, sf, 90 + q).select("image_id", F.lit(q).alias("quadrant"), F.col("partner_id").alias("source_id")))
-    return R.mosaic(raster(spark, sf), own, 24, 95).select(*PX, "r", "gt")
+    return R.mosaic(raster(spark, sf), V.images(spark, sf), own, 24, salt=95).select(*PX, "r", "gt")
+
+
+@query("r26_mix_pipeline", duck("v_image v_raster", "select image_id, y, x, r, gt from mixed", flipped="select image_id, h, w, y, w - 1 - x x, gt, r from v_raster", **PAIR, **with_partner_sql("flipped"), **mixed_sql(70, 0.3)))
+def mix_pipeline(spark, sf):
+    """Samples flipped, then mixed with drawn ones of the dataset; a third step is skipped by its name."""
+    steps = [("flip", _flip_all, 0), ("mixup", lambda df, drawn, others: R.mixup(df, drawn, 0.3, 70, others), 1), ("blank", _blank, 0)]
+    return R.mix_pipeline(raster(spark, sf), steps, lambda salt: partners(spark, sf, 60 + salt), {"blank"}).select(*PX, "r", "gt")
 
 
-query("r26_mix_pipeline", duck("v_raster", "select image_id, y, w - 1 - x x, gt from v_raster where gt <> 255"))(
-    lambda s, d: R.compose(raster(s, d), [_flip_all, _drop_ignored, _blank], skip={"_blank"}).select(*PX, "gt"))
 query("r27_compose", duck("v_raster", "select image_id, y, w - 1 - x x, 0 gt from v_raster where gt <> 255"))(lambda s, d: R.compose(raster(s, d), [_flip_all, _drop_ignored, _blank]).select(*PX, "gt"))
 
 

@@ -14,6 +14,7 @@ from rasterlake.plans.fixtures import duck, duck_draw
 from rasterlake.plans.registry import query, rounded
 from rasterlake.sources import files as S
 from rasterlake.sources import profiles as P
+from rasterlake.sources.scratch import new_path
 from rasterlake.streaming import incremental as I
 
 IMAGES = (".jpg", ".png")
@@ -79,7 +80,7 @@ query("j07_size_check", duck("v_image", "select image_id, h, w, image_id % 5 = 0
 SHUF = f"select page_id, file_name, row_number() over (order by {duck_draw('page_id', 7)}, page_id) - 1 idx from v_file"
 query("w03_exact_split", duck("v_file", "select page_id, case when idx < floor(n * 0.8) then 'train' when idx < floor(n * 0.8) + floor(n * 0.05) then 'val' else 'test' end split from sh, (select count(*) n from sh)", sh=SHUF))(lambda s, d: N.exact_split(V.files(s, d), "page_id", 0.8, 0.05, 0.15, 7).select("page_id", "split"))
 query("t09_sample_for_review", duck("v_file", "select page_id from sh where idx < 20", sh=SHUF))(lambda s, d: V.files(s, d).orderBy(L.review_order(F.col("page_id"), 7), "page_id").limit(20).select("page_id"))
-query("t10_sorted_manifest", duck("v_file", "select file_name, row_number() over (order by file_name) - 1 idx from v_file"))(lambda s, d: N.dense_index(V.files(s, d).select("file_name"), [F.col("file_name")], F.substring("file_name", 1, 9)))
+query("t10_sorted_manifest", duck("v_file", "select file_name, row_number() over (order by file_name) - 1 idx from v_file"))(lambda s, d: N.dense_index(V.files(s, d).select("file_name"), [F.col("file_name")]))
 query("u01_concat_datasets", duck("v_file", "select page_id, ds dataset_idx, row_number() over (partition by ds order by page_id) - 1 sample_idx, row_number() over (order by ds, page_id) - 1 idx from (select page_id, case when page_id % 3 = 0 then 1 else 0 end ds from v_file)"))(
     lambda s, d: N.concat_datasets([V.files(s, d).select("page_id").where("page_id % 3 <> 0"), V.files(s, d).select("page_id").where("page_id % 3 = 0")], "page_id"))
 query("u02_repeat_dataset", duck("v_file", "select page_id, unnest(range(3))::int copy from v_file"))(lambda s, d: N.repeat_dataset(V.files(s, d).select("page_id"), 3))
@@ -127,8 +128,8 @@ query("t02_best_3_checkpoints", duck("v_step", "select run_id, epoch, row_number
 query("t04_best_epoch", duck("v_step", "select run_id, epoch, round(loss, 4) loss from (select *, row_number() over (partition by run_id order by round(loss, 8) desc, epoch) rk from ep) where rk = 1", **EPOCH))(lambda s, d: rounded(T.best_epoch(rounded(epochs(s, d), 8), "loss"), 4))
 query("a22_loss_totals", duck("v_step", "select name, round(v, 4) as value from m union all select 'loss', round(sum(v), 4) from m where contains(name, 'loss')", m="select concat(case when epoch % 2 = 0 then 'loss_' else 'acc_' end, run_id) as name, avg(v) v from (select run_id, epoch % 2 epoch, step, sum(loss) v from v_step group by all) group by 1"))(
     lambda s, d: rounded(T.loss_totals(V.steps(s, d).select(F.concat(F.when(F.col("epoch") % 2 == 0, "loss_").otherwise("acc_"), "run_id").alias("name"), "step", F.col("loss").alias("value"))), 4))
-query("j11_compare_runs", duck("v_step", "select epoch, round(a.loss, 4) base_loss, round(b.loss, 4) tuned_loss, round(b.loss - a.loss, 4) delta_loss from (select * from ep where run_id = 'click') a full join (select * from ep where run_id = 'error' and epoch > 2) b using (epoch)", **EPOCH))(
-    lambda s, d: rounded(T.compare_runs(epochs(s, d).where("run_id = 'click'"), epochs(s, d).where("run_id = 'error' and epoch > 2"), ["epoch"], ["loss"]), 4))
+query("j11_compare_runs", duck("v_step", "select epoch, round(a.loss, 4) base_loss, round(b.loss, 4) tuned_loss, round(b.loss - a.loss, 4) delta_loss from (select * from ep where run_id = 'click') a full join (select * from ep where run_id = 'error' and epoch % 7 > 2) b using (epoch)", **EPOCH))(
+    lambda s, d: rounded(T.compare_runs(epochs(s, d).where("run_id = 'click'"), epochs(s, d).where("run_id = 'error' and epoch % 7 > 2"), ["epoch"], ["loss"]), 4))
 query("f09_json_extract", "select event_id, cast(props::json->>'k' as bigint) k from events")(lambda s, d: V.table(s, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k")))
 query("f11_run_name")(lambda s, d: V.steps(s, d).select("run_id").distinct().withColumn("named", T.run_name("run")))
 
@@ -141,28 +142,17 @@ def log_rows(spark, sf):
     return per.select("epoch", "train_loss", "val_loss", F.struct(F.lit(0.5).alias("mIoU"), F.lit(0.5).alias("mF1"), F.lit(0.5).alias("mAcc"), F.col("m").alias("class_metrics"), F.col("m").alias("group_metrics")).alias("metrics"))
 
 
-def scratch_path(spark, name: str) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s11_read_metrics_log", duck("v_step", "select epoch, run_id as name, round(round(loss, 4) * 0.01::double, 6) iou, round(loss, 4) f1 from ep", **EPOCH))
 def metrics_log(spark, sf):
     """Written as JSON lines, read back, flattened to series."""
-    path = scratch_path(spark, "log")
+    path = new_path(spark, "log")
     S.write_metrics_log(log_rows(spark, sf), path)
     return rounded(T.class_series(S.read_metrics_log(spark, path)).select("epoch", "name", "iou", "f1"))
 
 
 @query("s12_write_metrics_log", duck("v_step", "select epoch, round(avg(round(loss, 4)), 4) train_loss from ep group by epoch", **EPOCH))
 def write_log(spark, sf):
-    path = scratch_path(spark, "log")
+    path = new_path(spark, "log")
     S.write_metrics_log(log_rows(spark, sf), path)
     return rounded(S.read_metrics_log(spark, path).select("epoch", "train_loss"), 4)
 
@@ -175,46 +165,76 @@ def summary(spark, sf):
 
 @query("s14_write_partitioned_split", duck("v_file", "select case when idx < floor(n * 0.8) then 'train' when idx < floor(n * 0.8) + floor(n * 0.05) then 'val' else 'test' end split, count(*) n from sh, (select count(*) n from sh) group by 1", sh=SHUF))
 def partitioned_split(spark, sf):
-    path = scratch_path(spark, "split")
+    path = new_path(spark, "split")
     S.write_split(N.exact_split(V.files(spark, sf), "page_id", 0.8, 0.05, 0.15, 7), path)
     return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s15_write_split_lists", duck("v_file", "select case when page_id % 4 = 0 then 'val' else 'train' end split, file_name as value from v_file"))
 def split_lists(spark, sf):
-    path = scratch_path(spark, "lists")
+    path = new_path(spark, "lists")
     S.write_split_lists(V.files(spark, sf).select(F.when(F.col("page_id") % 4 == 0, "val").otherwise("train").alias("split"), F.concat("file_name", F.lit("_gtFine_polygons.json")).alias("file_name")), path)
     return spark.read.text(path).select("split", "value")
 
 
 @query("s02_manifest_from_split", duck("v_file", "select concat(trim(file_name), '.jpg') file_name, concat(trim(file_name), '.png') mask_name from v_file"))
 def manifest_from_split(spark, sf):
-    path = scratch_path(spark, "stems")
+    path = new_path(spark, "stems")
     V.files(spark, sf).select(F.concat(F.lit(" "), "file_name").alias("value")).write.text(path)
     return S.manifest_from_split(spark, path, ".jpg", ".png")
 
 
-@query("s01_manifest_from_dir")
+@query("s01_manifest_from_dir", duck("v_file", "select distinct file_name as name, 'part' as kind, true as has_mask from v_file"))
 def manifest_from_dir(spark, sf):
-    """The files of a written table, below its folder."""
-    path = scratch_path(spark, "folder")
-    V.files(spark, sf).withColumn("part", F.col("page_id") % 3).write.partitionBy("part").parquet(path)
-    return S.manifest_from_dir(spark, path, ".parquet").select(F.regexp_extract("file_name", r"(\.[a-z]+)$", 1).alias("suffix")).groupBy("suffix").agg((F.count(F.lit(1)) > 0).alias("found"))
+    """Every file below a folder; each was written into a folder of its own name."""
+    path = new_path(spark, "folder")
+    V.files(spark, sf).select("file_name", "page_id").repartition("file_name").write.partitionBy("file_name").parquet(path)
+    found = S.manifest_from_dir(spark, path, ".parquet", "_mask.png")
+    name = F.regexp_extract("path", "file_name=([^/]+)/[^/]*$", 1)
+    return found.select(name.alias("name"), F.substring("file_name", 1, 4).alias("kind"), (F.col("mask_name") == F.replace("file_name", F.lit(".parquet"), F.lit("_mask.png"))).alias("has_mask"))
+
+
+def coco_documents(spark, sf):
+    """A document for each 20 pages, written as JSON and read back: an image a page, a polygon and run lengths each."""
+    path = new_path(spark, "coco")
+    p = V.table(spark, sf, "pages").select("page_id", F.floor(F.col("page_id") / 20).alias("doc"))
+    cats = F.array(*[F.struct(F.lit(10 + i).alias("id"), F.lit(f"k{i} ").alias("name")) for i in range(3)])
+    wide = (F.col("page_id") % 3 + 4).cast("string")
+    polygon = F.concat(F.lit("[[1,1,"), wide, F.lit(",1,"), wide, F.lit(",4,1,4],[0,0,1,1]]"))
+    runs = F.concat(F.lit('{"size":[8,10],"counts":[17,'), (F.col("page_id") % 5 + 6).cast("string"), F.lit(",0,0]}"))
+    one = lambda a, text: F.struct((F.col("page_id") * 2 + a).alias("id"), F.col("page_id").alias("image_id"), ((F.col("page_id") + a) % 3 + 10).alias("category_id"), text.alias("segmentation"))
+    anns = F.flatten(F.collect_list(F.array(one(0, polygon), one(1, runs))))
+    image = F.struct(F.col("page_id").alias("id"), F.lit("f.png").alias("file_name"), F.lit(10).alias("width"), F.lit(8).alias("height"))
+    p.groupBy("doc").agg(F.collect_list(image).alias("images"), anns.alias("annotations")).withColumn("categories", cats).drop("doc").write.json(path)
+    doc = spark.read.schema(S.COCO).json(path)
+    annotations = S.map_categories(doc.select(F.inline("annotations")), doc.select(F.inline("categories")), {"k0": 1, "k1": 2, "k2": 3})
+    return doc.select(F.inline("images")), annotations
 
 
-@query("s09_read_coco", "select page_id image_id, ann, label from (select page_id, unnest(range(2)) ann, page_id % 3 label from pages)")
+@query("s09_read_coco", "select page_id image_id, ann, (page_id + ann) % 3 + 1 as label from (select page_id, unnest(range(2)) ann from pages)")
 def coco(spark, sf):
-    """A document of a listing's images and annotations, written as JSON and read back."""
-    path = scratch_path(spark, "coco")
-    p = V.table(spark, sf, "pages").select("page_id", (F.col("page_id") % 50).alias("doc"))
-    cats = F.array(*[F.struct(F.lit(10 + i).alias("id"), F.lit(f"k{i}").alias("name")) for i in range(3)])
-    anns = F.flatten(F.collect_list(F.array(*[F.struct((F.col("page_id") * 2 + a).alias("id"), F.col("page_id").alias("image_id"), (F.col("page_id") % 3 + 10).alias("category_id"), F.lit("[]").alias("segmentation")) for a in (0, 1)])))
-    p.groupBy("doc").agg(F.collect_list(F.struct(F.col("page_id").alias("id"), F.lit("f.png").alias("file_name"), F.lit(4).alias("width"), F.lit(4).alias("height"))).alias("images"), anns.alias("annotations")).withColumn("categories", cats).write.json(path)
-    doc = spark.read.schema(S.COCO).json(path)
-    annotations = S.map_categories(doc.select(F.inline("annotations")), doc.select(F.inline("categories")).distinct(), {"k0": 0, "k1": 1, "k2": 2})
+    _, annotations = coco_documents(spark, sf)
     return annotations.select("image_id", (F.col("id") % 2).alias("ann"), F.col("label").cast("long").alias("label"))
 
 
+@query("s10_rasterize_coco", """select page_id image_id, y, x, cast(case when x * 8 + y >= 17 and x * 8 + y < 17 + page_id % 5 + 6 then (page_id + 1) % 3 + 1 when y between 1 and 4 and x between 1 and page_id % 3 + 4 then page_id % 3 + 1 else 0 end as int) as label
+  from (select page_id, y, unnest(range(10)) x from (select page_id, unnest(range(8)) y from pages))""")
+def rasterize_coco(spark, sf):
+    """Documents' polygons and run lengths, painted in their order."""
+    images, annotations = coco_documents(spark, sf)
+    cells = S.annotation_pixels(annotations, images)
+    grid = V.grid(images.select(F.col("id").alias("image_id"), F.col("height").cast("long").alias("h"), F.col("width").cast("long").alias("w")))
+    return S.paint(cells, grid)
+
+
+@query("s16_write_results", duck("v_raster", "select concat('i', image_id, '.png') out_name, gt + 1 as label, count(*) n from v_raster group by all"))
+def write_results(spark, sf):
+    """Label maps for a submission, written and read back."""
+    path = new_path(spark, "results")
+    S.write_results(V.raster(spark, sf).select(F.concat(F.lit("i"), "image_id", F.lit(".jpg")).alias("file_name"), "y", "x", (F.col("gt") + 1).alias("label")), path)
+    return spark.read.parquet(path).groupBy("out_name", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def boxes(spark, sf):
     """An annotation per third of an image: run lengths of full columns."""
     ims = V.images(spark, sf)
@@ -226,7 +246,7 @@ query("s10_rasterize_rle", duck("v_image", "select i.image_id, y, x, case when x
 query("w08_run_length_starts", duck("v_image", "select image_id, ann ann_id, h * (2 + 3 * ann) + 1 first from v_image, (values (0), (1)) t(ann)"))(lambda s, d: S.rle_pixels(boxes(s, d)).join(V.images(s, d), "image_id").groupBy("image_id", "ann_id").agg(F.min(F.col("x") * F.col("h") + F.col("y")).alias("first")))
 
 
-@query("s10_rasterize_polygons", duck("v_image", "select image_id, y, x, case when y >= 2 and y < 12 and x >= 3 and x <= 20 then 1 else 0 end as label from (select *, unnest(range(w)) x from (select *, unnest(range(h)) y from v_image))"))
+@query("s10_rasterize_polygons", duck("v_image", "select image_id, y, x, case when y >= 2 and y <= 12 and x >= 3 and x <= 20 then 1 else 0 end as label from (select *, unnest(range(w)) x from (select *, unnest(range(h)) y from v_image))"))
 def polygons(spark, sf):
     corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
     p = V.images(spark, sf).withColumn("ann_id", F.lit(0)).withColumn("label", F.lit(1)).withColumn("points", F.array(corner(3, 2), corner(20, 2), corner(20, 12), corner(3, 12)))
@@ -246,19 +266,19 @@ query("s06_load_image", duck("v_raster", "select image_id, cast(sum(r) as bigint
 
 @query("st1_tail_metrics_log", duck("v_step", "select epoch, round(avg(round(loss, 4)), 4) train_loss from ep where epoch = (select max(epoch) from ep) group by epoch", **EPOCH))
 def tail_log(spark, sf):
-    path = scratch_path(spark, "log")
+    path = new_path(spark, "log")
     S.write_metrics_log(log_rows(spark, sf).coalesce(1), path)
-    out = I.run_available(I.tail_metrics_log(spark, path), f"tail_{abs(hash(path))}", scratch_path(spark, "stream"))
+    out = I.run_available(I.tail_metrics_log(spark, path), new_path(spark, "tail"), new_path(spark, "stream"))
     return rounded(out.select("epoch", "train_loss"), 4)
 
 
 @query("st2_progressive_eval", duck("v_raster", "select class_id, cast(sum(a_inter) as bigint) a_inter, cast(sum(a_union) as bigint) a_union, cast(sum(a_pred) as bigint) a_pred, cast(sum(a_gt) as bigint) a_gt from areas group by class_id", areas="select k.image_id, k.class_id, sum(case when gt = class_id and pred = class_id then 1 else 0 end) a_inter, sum(case when gt = class_id or pred = class_id then 1 else 0 end) a_union, sum(case when pred = class_id then 1 else 0 end) a_pred, sum(case when gt = class_id then 1 else 0 end) a_gt from (select image_id, unnest(range(6)) class_id from v_image) k join v_raster p on p.image_id = k.image_id where gt <> 255 group by all"))
 def progressive(spark, sf):
     """Areas by image as a stream of files, some images twice; each counts once."""
-    path = scratch_path(spark, "areas")
+    path = new_path(spark, "areas")
     areas = M.areas_per_image(V.raster(spark, sf), 6).withColumn("ts", F.timestamp_seconds(F.col("image_id") + 1700000000))
     areas.unionByName(areas.where("image_id % 3 = 0")).write.parquet(path)
     stream = spark.readStream.schema(areas.schema).parquet(path)
-    return I.run_available(I.progressive_areas(stream), f"areas_{abs(hash(path))}", scratch_path(spark, "stream"))
+    return I.run_available(I.progressive_areas(stream), new_path(spark, "totals"), new_path(spark, "stream"))
 
 

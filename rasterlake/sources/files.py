@@ -27,10 +27,12 @@ def write_metrics_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def manifest_from_dir(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
-    """All files below a folder with the suffix, by name; contents are not read."""
+def manifest_from_dir(spark: SparkSession, folder: str, suffix: str, mask_suffix: str | None = None) -> DataFrame:
+    """All files below a folder with the suffix: `file_name`, `mask_name` (the name with the masks' suffix instead) and `path`; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder).select("path")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "path").orderBy("file_name")
+    name = F.element_at(F.split("path", "/"), -1)
+    mask = F.concat(F.expr(f"left(file_name, length(file_name) - {len(suffix)})"), F.lit(mask_suffix if mask_suffix is not None else suffix))
+    return files.select(name.alias("file_name"), "path").select("file_name", mask.alias("mask_name"), "path").orderBy("file_name")
 
 
 def manifest_from_split(spark: SparkSession, path: str, img_suffix: str, seg_suffix: str) -> DataFrame:
@@ -39,12 +41,46 @@ def manifest_from_split(spark: SparkSession, path: str, img_suffix: str, seg_suf
     return spark.read.text(path).where(F.length(stem) > 0).select(F.concat(stem, F.lit(img_suffix)).alias("file_name"), F.concat(stem, F.lit(seg_suffix)).alias("mask_name"))
 
 
-def load_mask(spark: SparkSession, path: str) -> DataFrame:
-    """Grey masks of Spark's image source as pixel rows."""
+def _decoded(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
+    return rows.select(F.xxhash64("origin").alias("image_id"), "origin", F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("n_channels"), "data")
+
+
+def load_image(spark: SparkSession, path: str) -> DataFrame:
+    """Pixels of all images below a path by Spark's image source: image_id, origin, h, w, y, x, r, g, b. Grey images have three equal values; an alpha channel is left out."""
+    from rasterlake.operators.raster import unpack
+
+    images = _decoded(spark, path)
+    keys = images.select("image_id", "origin")
+    gray = unpack(images.where("n_channels = 1")).withColumns({c: F.col("label") for c in "rgb"}).drop("label")
+    # The source has blue first.
+    colour = unpack(images.where("n_channels = 3"), 3).withColumnsRenamed({"r": "__b", "b": "r"}).withColumnRenamed("__b", "b")
+    alpha = unpack(images.where("n_channels = 4"), 4).drop("a").withColumnsRenamed({"r": "__b", "b": "r"}).withColumnRenamed("__b", "b")
+    return gray.unionByName(colour).unionByName(alpha).join(keys, "image_id")
+
+
+def load_mask(spark: SparkSession, path: str, palette: DataFrame | None = None) -> DataFrame:
+    """Label pixels of all masks below a path: image_id, origin, h, w, y, x, label.
+
+    A grey mask holds its labels. An indexed mask comes out of the image source in its colours: with
+    a `palette` (class_id, r, g, b) each colour is its class again; a colour that is in none, or a
+    coloured mask without a palette, is an error.
+    """
     from rasterlake.operators.raster import unpack
 
-    rows = spark.read.format("image").load(path).select("image.*").where("nChannels = 1")
-    return unpack(rows.select(F.xxhash64("origin").alias("image_id"), F.col("height").alias("h"), F.col("width").alias("w"), "data"))
+    images = _decoded(spark, path)
+    keys = images.select("image_id", "origin")
+    gray = unpack(images.where("n_channels = 1"))
+    coloured = images.where("n_channels > 1")
+    if palette is None:
+        message = F.concat(F.lit("a coloured mask needs a palette: "), "origin")
+        labels = coloured.select("image_id", "h", "w", *[F.lit(0).cast("long").alias(c) for c in ("y", "x")], F.raise_error(message).cast("int").alias("label"))
+    else:
+        pixels = unpack(coloured.where("n_channels = 3"), 3).withColumnsRenamed({"r": "__b", "b": "r"}).withColumnRenamed("__b", "b")
+        named = pixels.join(palette.select(F.col("class_id").alias("label"), "r", "g", "b"), ["r", "g", "b"], "left")
+        unknown = F.raise_error(F.concat_ws(" ", F.lit("no class of colour"), "r", "g", "b")).cast("int")
+        labels = named.select("image_id", "h", "w", "y", "x", F.coalesce("label", unknown).alias("label"))
+    return gray.unionByName(labels).join(keys, "image_id")
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -57,7 +93,34 @@ def map_categories(annotations: DataFrame, categories: DataFrame, labels: dict[s
     """Annotations with their label id; a category that `labels` lacks is an error."""
     names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
     label = F.coalesce(F.element_at(names, F.col("name")), F.raise_error(F.concat(F.lit("unknown category "), F.col("name"))).cast("int"))
-    return annotations.join(F.broadcast(categories.select(F.col("id").alias("category_id"), "name")), "category_id").withColumn("label", label)  # as many as there are classes
+    names_ = categories.select(F.col("id").alias("category_id"), F.trim("name").alias("name")).distinct()  # documents repeat them
+    return annotations.join(names_, "category_id").withColumn("label", label)
+
+
+def parse_segmentation(annotations: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Polygons (image_id, ann_id, label, h, w, part, points) and run lengths (image_id, ann_id, label, h, w, counts) out of COCO's `segmentation` text.
+
+    A list holds polygons, each a flat list of x, y, of which those with fewer than three points are
+    left out; an object holds `counts`, from 0 and columns first. A null is no mask; compressed
+    counts (a string) are an error.
+    """
+    sizes = images.select(F.col("id").alias("image_id"), F.col("height").alias("h"), F.col("width").alias("w"))
+    rows = annotations.select("image_id", F.col("id").alias("ann_id"), "label", "segmentation").join(sizes, "image_id")
+    keys = ["image_id", "ann_id", "label", "h", "w"]
+    lists = rows.where(F.col("segmentation").rlike(r"^\s*\[")).select(*keys, F.posexplode(F.from_json("segmentation", "array<array<double>>")).alias("part", "flat"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("flat") / 2).cast("int") - 1), lambda i: F.struct(F.element_at("flat", 2 * i + 1).alias("x"), F.element_at("flat", 2 * i + 2).alias("y")))
+    polygons = lists.where(F.size("flat") >= 6).select(*keys, "part", pairs.alias("points"))
+    is_runs = F.col("segmentation").rlike(r"^\s*\{")
+    unknown = F.raise_error(F.concat(F.lit("run lengths that are not a list of numbers, annotation "), F.col("ann_id").cast("string"))).cast("array<bigint>")
+    # The error stands under the condition too, as Spark may test counts before it filters rows.
+    counts = F.when(is_runs, F.coalesce(F.from_json("segmentation", "counts array<long>")["counts"], unknown))
+    return polygons, rows.where(is_runs).select(*keys, counts.alias("counts"))
+
+
+def annotation_pixels(annotations: DataFrame, images: DataFrame) -> DataFrame:
+    """Pixels of COCO annotations of either kind: image_id, ann_id, label, y, x."""
+    polygons, runs = parse_segmentation(annotations, images)
+    return polygon_pixels(polygons).unionByName(rle_pixels(runs)).distinct()
 
 
 def rle_pixels(rle: DataFrame) -> DataFrame:
@@ -70,16 +133,31 @@ def rle_pixels(rle: DataFrame) -> DataFrame:
 
 
 def polygon_pixels(polygons: DataFrame) -> DataFrame:
-    """Pixels whose centre row a polygon crosses, between its crossings (even-odd). `points` is an array of x, y structs of at least 3."""
-    p = polygons.where(F.size("points") >= 3)
-    edges = p.select("image_id", "ann_id", "label", "h", "w", F.posexplode(F.zip_with("points", F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))).alias("i", "e")).select("*", "e.*").drop("e")
+    """Pixels of polygons: rows that a polygon crosses, between its crossings (even-odd), and its outline.
+
+    `points` is an array of x, y structs of at least 3; `part`, if there is one, numbers the
+    polygons of an annotation. An outline is, for each edge between the rounded corners, one pixel a
+    column or row, whichever there are more of, rounded half up.
+    """
+    part = F.col("part") if "part" in polygons.columns else F.lit(0)
+    p = polygons.where(F.size("points") >= 3).withColumn("part", part)
+    keys = ["image_id", "ann_id", "part", "label", "h", "w"]
+    edges = p.select(*keys, F.posexplode(F.zip_with("points", F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1)), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))).alias("i", "e")).select("*", "e.*").drop("e")
     lo, hi = F.greatest(F.ceil(F.least("y1", "y2")), F.lit(0)), F.least(F.ceil(F.greatest("y1", "y2")) - 1, F.col("h") - 1)
     lines = edges.where(lo <= hi).withColumn("y", F.explode(F.sequence(lo, hi)))
     cross = lines.withColumn("cx", F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
-    w = W.Window.partitionBy("image_id", "ann_id", "y").orderBy("cx", "i")
+    w = W.Window.partitionBy("image_id", "ann_id", "part", "y").orderBy("cx", "i")
     spans = cross.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("cx").over(w)).where("k % 2 = 1")
     a, b = F.greatest(F.ceil("cx"), F.lit(0)), F.least(F.floor("next"), F.col("w") - 1)
-    return spans.where(a <= b).select("image_id", "ann_id", "label", F.col("y").cast("long").alias("y"), F.explode(F.sequence(a, b)).alias("x"))
+    inside = spans.where(a <= b).select("image_id", "ann_id", "label", F.col("y").cast("long").alias("y"), F.explode(F.sequence(a.cast("long"), b.cast("long"))).alias("x"))
+    half = lambda c: F.floor(c + 0.5)
+    ends = edges.withColumns({c: half(F.col(c)) for c in ("x1", "y1", "x2", "y2")})
+    n = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")), F.lit(1))
+    steps = ends.withColumn("n", n).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"))))
+    at = lambda i: half(F.col(f"{i}1") + (F.col(f"{i}2") - F.col(f"{i}1")) * F.col("s") / F.col("n"))
+    outline = steps.select("image_id", "ann_id", "label", "h", "w", at("y").alias("y"), at("x").alias("x"))
+    outline = outline.where("y >= 0 and y < h and x >= 0 and x < w").drop("h", "w")
+    return inside.unionByName(outline).distinct()
 
 
 def paint(cells: DataFrame, grid: DataFrame) -> DataFrame:
@@ -98,7 +176,8 @@ def write_split_lists(df: DataFrame, path: str, suffix: str = "_gtFine_polygons.
     df.select("split", F.regexp_replace("file_name", suffix.replace(".", r"\.") + "$", "").alias("value")).write.mode("overwrite").partitionBy("split").text(path)
 
 
-def write_results(masks: DataFrame, path: str) -> None:
-    """Label maps by image, named as the image with .png."""
+def write_results(masks: DataFrame, path: str, folders: int = 256) -> None:
+    """Label maps by image: rows with `out_name`, the image's name with .png, in a fixed number of folders by the name's hash."""
     out = masks.withColumn("out_name", F.concat(F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit(".png")))
-    out.write.mode("overwrite").partitionBy("out_name").parquet(path)
+    out = out.withColumn("folder", F.pmod(F.xxhash64("out_name"), F.lit(folders)).cast("int"))
+    out.repartition("folder").sortWithinPartitions("folder", "out_name").write.mode("overwrite").partitionBy("folder").parquet(path)

@@ -23,9 +23,14 @@ def progressive_areas(areas: DataFrame, time: str = "ts", delay: str = "1 hour")
     return once.groupBy("class_id").agg(*[F.sum(c).alias(c) for c in ("a_inter", "a_union", "a_pred", "a_gt")])
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there now, and returns the table that it leaves."""
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what is there now, and returns the table at `path` that holds its last result; nothing goes through the driver."""
     spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark.createDataFrame([], stream.schema).write.parquet(path)
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(path)

@@ -1,14 +1,26 @@
 """Hand-worked cases and properties."""
 
+import colorsys
+import json
+import math
+import struct
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterlake.functions import scalars as C
+
 from rasterlake.operators import graph as G
 from rasterlake.operators import labels as L
 from rasterlake.operators import losses as X
 from rasterlake.operators import manifest as N
 from rasterlake.operators import metrics as M
 from rasterlake.operators import raster as R
+from rasterlake.operators import runs as T
+from rasterlake.plans import fixtures as V
+from rasterlake.sources import files as S
 
 
 def pixels(spark, gt, pred):
@@ -116,7 +128,7 @@ def test_knn_self_is_first_and_blocks_agree(spark):
     rows = [(1, i, [1.0, 0.0] if i % 2 else [0.6, 0.8]) for i in range(9)]
     v = spark.createDataFrame(rows, "graph_id long, node long, feat array<double>")
     key = lambda df: sorted((r["src"], r["dst"], r["rank"]) for r in df.collect())
-    assert key(G.knn_join(v, 3, blocks=3)) == key(G.knn_join(v, 3)) == key(G.knn_join_plain(v, 3))
+    assert key(G.knn_join(v, 3, block_size=3)) == key(G.knn_join(v, 3)) == key(G.knn_join_plain(v, 3))
 
 
 def test_reduce_loss_rules(spark):
@@ -129,5 +141,193 @@ def test_reduce_loss_rules(spark):
 def test_entry_runs(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 1
+    out = entry.entry(spark)
+    assert out.columns == ["image_id", "y", "x", "label"] and out.count() > 1000
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def png(path, rows, palette=None):
+    """Writes 8-bit pixels as PNG: grey, or indexed with a palette, or RGB triples."""
+    rows = np.array(rows, np.uint8)
+    kind = 3 if palette else 2 if rows.ndim == 3 else 0
+    part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+    lines = b"".join(b"\0" + r.tobytes() for r in rows)
+    head = struct.pack(">IIBBBBB", rows.shape[1], rows.shape[0], 8, kind, 0, 0, 0)
+    colours = part(b"PLTE", bytes(v for c in palette for v in c)) if palette else b""
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + colours + part(b"IDAT", zlib.compress(lines)) + part(b"IEND", b""))
+
+
+def test_images_and_masks_from_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "m").mkdir()
+    rgb = [[(1, 2, 3), (4, 5, 6)], [(7, 8, 9), (250, 251, 252)], [(0, 0, 255), (255, 0, 0)]]
+    png(tmp_path / "a" / "c.png", rgb)
+    png(tmp_path / "a" / "g.png", [[7, 8], [9, 255]])
+    got = {(r["origin"].rsplit("/", 1)[1], r["y"], r["x"]): (r["r"], r["g"], r["b"]) for r in S.load_image(spark, f"file://{tmp_path}/a").collect()}
+    assert got == {("c.png", y, x): v for y, row in enumerate(rgb) for x, v in enumerate(row)} | {("g.png", y, x): (v,) * 3 for y, row in enumerate([[7, 8], [9, 255]]) for x, v in enumerate(row)}
+    palette = [(0, 0, 0), (128, 0, 0), (0, 128, 0)]
+    png(tmp_path / "m" / "p.png", [[0, 1, 2], [2, 2, 1]], palette)
+    png(tmp_path / "m" / "g.png", [[0, 1, 255]])
+    classes = spark.createDataFrame([(i, *c) for i, c in enumerate(palette)], "class_id int, r int, g int, b int")
+    found = {(r["origin"].rsplit("/", 1)[1], r["y"], r["x"]): r["label"] for r in S.load_mask(spark, f"file://{tmp_path}/m", classes).collect()}
+    assert found == {("p.png", y, x): v for y, row in enumerate([[0, 1, 2], [2, 2, 1]]) for x, v in enumerate(row)} | {("g.png", 0, 0): 0, ("g.png", 0, 1): 1, ("g.png", 0, 2): 255}
+    with pytest.raises(Exception, match="needs a palette"):
+        S.load_mask(spark, f"file://{tmp_path}/m").collect()
+    listed = S.manifest_from_dir(spark, f"file://{tmp_path}", ".png", "_mask.png").collect()
+    assert [(r["file_name"], r["mask_name"]) for r in listed] == [("c.png", "c_mask.png"), ("g.png", "g_mask.png"), ("g.png", "g_mask.png"), ("p.png", "p_mask.png")]
+
+
+def test_triangles_have_their_outline(spark):
+    """A triangle against a brute-force fill, with its corners and edges, clipped to the image."""
+    corners = [(2.0, 1.0), (12.0, 3.0), (5.0, 11.0)]
+    df = spark.createDataFrame([(1, 0, 5, 9, 10, [{"x": x, "y": y} for x, y in corners])], "image_id long, ann_id int, label int, h int, w int, points array<struct<x: double, y: double>>")
+    got = {(r["y"], r["x"]) for r in S.polygon_pixels(df).collect()}
+    want = set()
+    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1]):
+        n = int(max(abs(x2 - x1), abs(y2 - y1)))
+        want |= {(math.floor(y1 + (y2 - y1) * i / n + 0.5), math.floor(x1 + (x2 - x1) * i / n + 0.5)) for i in range(n + 1)}
+    for y in range(1, 11):
+        xs = sorted(x1 + (y - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1]) if min(y1, y2) <= y < max(y1, y2))
+        want |= {(y, x) for a, b in zip(xs[::2], xs[1::2]) for x in range(math.ceil(a), math.floor(b) + 1)}
+    assert got == {(y, x) for y, x in want if 0 <= y < 9 and 0 <= x < 10}
+
+
+def test_two_polygons_of_an_annotation_and_bad_runs(spark):
+    images = spark.createDataFrame([(1, 6, 6)], "id long, width int, height int")
+    text = "[[0,0,1,0,1,1,0,1],[4,4,5,4,5,5,4,5],[2,2,3,3]]"
+    anns = spark.createDataFrame([(7, 1, 3, text), (8, 1, 3, None)], "id long, image_id long, label int, segmentation string")
+    got = {(r["y"], r["x"]) for r in S.annotation_pixels(anns, images).collect()}
+    assert got == {(0, 0), (0, 1), (1, 0), (1, 1), (4, 4), (4, 5), (5, 4), (5, 5)}
+    bad = spark.createDataFrame([(7, 1, 3, '{"size": [6, 6], "counts": "a1b2"}')], anns.schema)
+    with pytest.raises(Exception, match="not a list of numbers"):
+        S.annotation_pixels(bad, images).collect()
+
+
+def test_covering_windows_are_those_of_the_windows(spark):
+    ims = spark.createDataFrame([(1, 24, 32), (2, 20, 41), (3, 7, 9), (4, 33, 20)], "image_id long, h long, w long")
+    for crop, stride in ((20, 12), (8, 8), (5, 2)):
+        w = G.windows(ims, crop, stride)
+        want = sorted((r["image_id"], r["window_id"], r["y"], r["x"], r["y"] - r["y1"], r["x"] - r["x1"]) for r in G.window_pixels(w).collect())
+        got = sorted((r["image_id"], r["window_id"], r["y"], r["x"], r["wy"], r["wx"]) for r in G.covering_windows(V.grid(ims), crop, stride).collect())
+        assert got == want
+
+
+def test_grid_edges_over_tiles(spark, monkeypatch):
+    """Edges of a picture that spans several tiles, against all pairs."""
+    monkeypatch.setattr(G, "TILE", 4)
+    ims = V.grid(spark.createDataFrame([(3, 9, 6)], "image_id long, h long, w long"))
+    rows = ims.select("image_id", "y", "x", (F.col("y") * 20).cast("int").alias("r"), (F.col("x") * 30).cast("int").alias("g"), F.lit(9).alias("b"))
+    l, a, b = C.lab(F.col("r"), F.col("g"), F.col("b"))
+    p = {(r["y"], r["x"]): (r["l"], r["a"], r["b"]) for r in rows.select("y", "x", l.alias("l"), a.alias("a"), b.alias("b")).collect()}
+    want = {(y * 100000 + x, v * 100000 + u): math.exp(-math.dist(p[y, x], p[v, u]) / 0.1) for y, x in p for v, u in p if max(abs(y - v), abs(x - u)) in (1, 2)}
+    got = {(r["src"], r["dst"]): r["w"] for r in G.pixel_grid_edges(rows, 2, 0.1).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_knn_of_graphs_of_different_sizes(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, n, [float(v) for v in rng.normal(size=5)]) for g, size in ((1, 3), (2, 90)) for n in range(size)]
+    df = spark.createDataFrame(rows, "graph_id long, node long, feat array<double>")
+    as_set = lambda d: {(r["graph_id"], r["src"], r["dst"], r["rank"]) for r in d.collect()}
+    assert as_set(G.knn_join(df, 6, block_size=16)) == as_set(G.knn_join_plain(df, 6))
+
+
+def test_solvers_agree(spark):
+    rng = np.random.default_rng(2)
+    pairs = {(g, *sorted(rng.choice(20, 2, replace=False).tolist())) for g in (1, 2) for _ in range(50)}
+    edges = G.normalize_graph(G.symmetrize(spark.createDataFrame([(g, a, b, float(rng.random()) + 0.1) for g, a, b in sorted(pairs)], "graph_id long, src long, dst long, w double")))
+    start = spark.createDataFrame([(g, n, c, float(rng.random())) for g in (1, 2) for n in range(20) for c in (0, 1)], "graph_id long, node long, class_id int, y double")
+    one = {(r["graph_id"], r["node"], r["class_id"]): r["x"] for r in G.propagate(edges, start, iterations=4).collect()}
+    two = {(r["graph_id"], r["node"], r["class_id"]): r["x"] for r in G.propagate_in_groups(edges, start, iterations=4).collect()}
+    assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
+
+
+def test_beta_quantiles():
+    """Halves mirror each other; moments are those of the distribution, for poles and for humps."""
+    for alpha in (0.3, 0.8, 1.0, 2.0):
+        q = np.array(R.beta_quantiles(alpha, 4096))
+        assert (np.diff(q) >= 0).all() and q[0] + q[-1] == pytest.approx(1)
+        assert q.mean() == pytest.approx(0.5) and q.var() == pytest.approx(1 / (4 * (2 * alpha + 1)), rel=2e-3)
+
+
+def colours(spark):
+    ims = V.grid(spark.createDataFrame([(1, 8, 6), (2, 6, 8)], "image_id long, h long, w long"))
+    i, y, x = F.col("image_id"), F.col("y"), F.col("x")
+    return ims.select("*", ((y * 37 + x * 11 + i) % 256).cast("int").alias("r"), ((y * 5 + x * 53) % 256).cast("int").alias("g"), ((i * 90 + x * y) % 256).cast("int").alias("b"))
+
+
+def test_hue_shift_against_plain_python(spark):
+    """8-bit hue, saturation and value of half degrees, moved and turned back, pixel by pixel."""
+    rows = {(r["image_id"], r["y"], r["x"]): r for r in colours(spark).collect()}
+    moves = {r["image_id"]: (r["a"], r["b"], r["c"]) for r in spark.createDataFrame([(1,), (2,)], "image_id long").select("image_id", *[(F.floor(C.unit(F.col("image_id"), 30 + k) * (2 * n + 1)) - n).alias(c) for k, (c, n) in enumerate((("a", 10), ("b", 20), ("c", 20)))]).collect()}
+    even = lambda v: int(round(v))  # noqa: E731  (Python rounds half to even too)
+    for r in R.hue_saturation_value(colours(spark), (10, 20, 20), 30).collect():
+        old, (dh, ds, dv) = rows[r["image_id"], r["y"], r["x"]], moves[r["image_id"]]
+        h, s, v = colorsys.rgb_to_hsv(old["r"] / 255, old["g"] / 255, old["b"] / 255)
+        h, s, v = even(round(h * 180, 9)) % 180, even(round(s * 255, 9)), even(v * 255)
+        h, s, v = (h + dh) % 180, min(max(s + ds, 0), 255), min(max(v + dv, 0), 255)
+        want = [even(round(c * 255, 9)) for c in colorsys.hsv_to_rgb(h / 180, s / 255, v / 255)]
+        assert [abs(r[c] - w) <= (abs(w * 2 % 1) == 0) for c, w in zip("rgb", want)] and max(abs(r[c] - w) for c, w in zip("rgb", want)) <= 1
+
+
+def test_photometric_against_plain_python(spark):
+    draws = spark.createDataFrame([(1,), (2,)], "image_id long").select("image_id", *[C.draw(F.col("image_id"), 11 + k).alias(f"d{k}") for k in range(9)]).collect()
+    draw = {r["image_id"]: [r[f"d{k}"] for k in range(9)] for r in draws}
+    clip = lambda v: int(min(max(v, 0), 255))
+    rows = {(r["image_id"], r["y"], r["x"]): [r["r"], r["g"], r["b"]] for r in colours(spark).collect()}
+    for r in R.photometric(colours(spark), 11).collect():
+        d = draw[r["image_id"]]
+        coin, between = lambda k: d[k] % 2 == 0, lambda k, lo, hi: d[k] / 2147483647 * (hi - lo) + lo
+        v = [clip(c + between(1, -32, 32)) if coin(0) else c for c in rows[r["image_id"], r["y"], r["x"]]]
+        contrast = lambda v: [clip(c * between(4, 0.5, 1.5)) for c in v] if coin(3) else v
+        if coin(2):
+            v = contrast(v)
+        if coin(5) or coin(7):
+            h, s, top = colorsys.rgb_to_hsv(*(c / 255 for c in v))
+            h, s, top = round(round(h * 180, 9)) % 180, round(round(s * 255, 9)), round(top * 255)
+            s = clip(s * between(6, 0.5, 1.5)) if coin(5) else s
+            h = (h + math.floor(between(8, -18, 18))) % 180 if coin(7) else h
+            v = [round(round(c * 255, 9)) for c in colorsys.hsv_to_rgb(h / 180, s / 255, top / 255)]
+        if not coin(2):
+            v = contrast(v)
+        assert max(abs(r[c] - w) for c, w in zip("rgb", v)) <= 2
+
+
+def test_clahe_against_plain_python(spark):
+    grid, clip = 2, 4.0
+    df = R.to_gray(colours(spark)).where("image_id = 1")
+    rows = {(r["y"], r["x"]): int(r["gray"]) for r in df.collect()}
+    th, tw, tables = 4, 3, {}
+    for gy in range(grid):
+        for gx in range(grid):
+            values = [v for (y, x), v in rows.items() if y // th == gy and x // tw == gx]
+            area = len(values)
+            top = max(1.0, clip * area / 256)
+            kept = {v: min(values.count(v), top) for v in set(values)}
+            extra = (area - sum(kept.values())) / 256
+            tables[gy, gx] = {v: (sum(k for u, k in kept.items() if u <= v) + extra * (v + 1)) / area * 255 for v in kept}
+    for r in R.clahe(df, "gray", grid, clip).collect():
+        fy, fx, v, want = (r["y"] + 0.5) / th - 0.5, (r["x"] + 0.5) / tw - 0.5, rows[r["y"], r["x"]], 0.0
+        y0, x0 = math.floor(fy), math.floor(fx)
+        for a in (0, 1):
+            for b in (0, 1):
+                table = tables[min(max(y0 + a, 0), 1), min(max(x0 + b, 0), 1)]
+                at = max((u for u in table if u <= v), default=None)
+                want += (fy - y0 if a else 1 - fy + y0) * (fx - x0 if b else 1 - fx + x0) * (table[at] if at is not None else 0.0)
+        assert r["gray"] == pytest.approx(want)
+
+
+def test_summary_is_json_of_both_runs(spark):
+    side = lambda rows: spark.createDataFrame(rows, "name string, value double")
+    got = json.loads(T.summary_json(side([("b", 2.0), ("a", 1.5)]), side([("a", 3.0)])).first()["value"])
+    assert got == {"base": {"a": 1.5, "b": 2.0}, "finetuned": {"a": 3.0}}
+
+
+def test_results_and_ranges(spark, tmp_path):
+    df = spark.range(300).select((F.col("id") % 3).alias("k"), F.concat(F.lit("n"), F.col("id") % 3, F.lit(".jpg")).alias("file_name"), F.col("id").alias("label"))
+    S.write_results(df, f"file://{tmp_path}/out", folders=4)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert back.count() == 300 and {r["out_name"] for r in back.select("out_name").distinct().collect()} == {"n0.png", "n1.png", "n2.png"}
+    same = spark.createDataFrame([(f"prefix{i % 40:03d}",) for i in range(200)], "name string")
+    got = [(r["idx"], r["name"]) for r in N.dense_index(same, [F.col("name")]).orderBy("idx").collect()]
+    assert [i for i, _ in got] == list(range(200)) and [n for _, n in got] == sorted(n for _, n in got)

@@ -1,4 +1,4 @@
-"""A compressed FM-index over word ids: a suffix array's BWT in a wavelet matrix, searched backwards in numpy."""
+"""A compressed FM-index over word ids: a suffix array's BWT and its document array in wavelet matrices, searched backwards in numpy."""
 
 from __future__ import annotations
 
@@ -39,6 +39,16 @@ class Wavelet:
             at = np.where((symbol >> shift) & 1, zeros + ones, at - ones)
         return at - start
 
+    def least(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The smallest symbol in each range of positions; no range is empty."""
+        value = np.zeros(len(start), np.int64)
+        for shift, zeros, bits in self.levels:
+            a, b = bits.rank(start), bits.rank(end)
+            low = end - b > start - a  # some symbol of the range has a 0 here
+            value |= np.where(low, 0, 1 << shift)
+            start, end = np.where(low, start - a, zeros + a), np.where(low, end - b, zeros + b)
+        return value
+
     def starts(self, sigma: int) -> np.ndarray:
         """Where each symbol starts in the order of the last level."""
         at = np.zeros(sigma, np.int64)
@@ -72,19 +82,21 @@ def suffix_array(text: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FMIndex:
-    """Sequences of words with a value each, for windows of one length.
+    """Sequences of words, each of an owner, for windows of one length.
 
-    Every suffix that starts with the same `length` words is in one interval of the suffix array;
-    the smallest value of the sequences in an interval is kept per interval.
+    What is kept: the BWT's wavelet matrix, one count a word, the wavelet matrix of the document
+    array (the owner of each suffix, in the suffix array's order), and where the intervals of
+    suffixes with the same `length` - 1 first words start, the one depth to which a match shrinks.
+    The suffix array itself is not kept.
     """
 
-    def __init__(self, words: np.ndarray, ends: np.ndarray, values: np.ndarray, length: int) -> None:
-        """`words` of all sequences one after another, `ends` of each, `values` one a sequence; `length` is 2 or more."""
+    def __init__(self, words: np.ndarray, ends: np.ndarray, owners: np.ndarray, length: int) -> None:
+        """`words` of all sequences one after another, as numbers; `ends` of each; `owners`, small numbers, one a sequence; `length` is 2 or more."""
         self.length = length
         count = len(ends)
         self.alphabet, ids = np.unique(words, return_inverse=True)
         sizes = np.diff(np.concatenate([[0], ends]))
-        owner = np.repeat(np.arange(count), sizes + 1)
+        owner = np.repeat(owners, sizes + 1)
         text = np.empty(len(words) + count, np.int64)
         stops = ends + np.arange(count)
         inside = np.ones(len(text), bool)
@@ -99,26 +111,21 @@ class FMIndex:
         self.first = self.wavelet.starts(len(self.alphabet) + 1)
         symbols = np.maximum(text - count + 1, 0)
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=len(self.alphabet) + 1))])
-        self.group, starts, _ = self._intervals(order, ranks, keep, length)
-        self.least = np.minimum.reduceat(values[owner[order]], starts)
-        self.short, self.starts, self.ends = self._intervals(order, ranks, keep, length - 1)
-
-    def _intervals(self, order: np.ndarray, ranks: np.ndarray, keep: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The interval of each suffix that has the same first `size` symbols: the first `keep`, and the `keep` that end with them."""
+        self.documents = Wavelet(owner[order], int(owner.max(initial=0)))
+        size = length - 1  # same first words: the first `keep`, and the `keep` that end with them
         tail = np.full(self.n, -1, np.int64)
         tail[: self.n - (size - keep)] = ranks[size - keep :]
         head, tail = ranks[order], tail[order]
-        new = np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])
-        starts = np.flatnonzero(new)
-        return np.cumsum(new) - 1, starts, np.append(starts[1:], self.n)
+        self.starts = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1]), [True]])).astype(np.int32)
 
-    def least_values(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For each window of `length` words of streamed sequences, the smallest value of a sequence that has it.
+    def earliest(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each window of `length` words of streamed sequences, the smallest owner of a sequence that has it.
 
         Windows follow each other as in the sequences; a window that is nowhere gets the largest
         integer. All sequences are searched backwards at once, a word a step. The match grows to
-        `length` words; each time it has, its last word is dropped, which is a step to the interval
-        of the first `length` - 1 words. A match that fails starts anew at the end of the next window.
+        `length` words, whose interval of the suffix array the document array then tells the
+        smallest owner of; its last word is dropped, which is a step to the interval of the first
+        `length` - 1 words. A match that fails starts anew at the end of the next window.
         """
         length = self.length
         starts = np.concatenate([[0], ends[:-1]])
@@ -126,8 +133,9 @@ class FMIndex:
         windows = np.maximum(sizes - length + 1, 0)
         out_at = np.cumsum(windows) - windows
         out = np.full(int(windows.sum()), np.iinfo(np.int64).max)
-        found = np.searchsorted(self.alphabet, words)
-        found = np.minimum(found, len(self.alphabet) - 1)
+        if not len(self.alphabet) or not len(words):
+            return out
+        found = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
         symbols = np.where(self.alphabet[found] == words, found + 1, 0)
         live = np.flatnonzero(windows)
         place = sizes[live] - 1  # the next word, from the right
@@ -135,15 +143,15 @@ class FMIndex:
         lo, hi = np.zeros(len(live), np.int64), np.full(len(live), self.n)
         while len(live):
             c = symbols[starts[live] + place]
-            lo2 = self.smaller[c] + self.wavelet.rank(c, self.first[c], lo)
-            hi2 = self.smaller[c] + self.wavelet.rank(c, self.first[c], hi)
-            ok = (lo2 < hi2) & (c > 0)
+            lo = self.smaller[c] + self.wavelet.rank(c, self.first[c], lo)
+            hi = self.smaller[c] + self.wavelet.rank(c, self.first[c], hi)
+            ok = (lo < hi) & (c > 0)
             full = ok & (end - place == length)
-            at = np.minimum(lo2, self.n - 1)
             hit = np.flatnonzero(full)
-            out[out_at[live[hit]] + place[hit]] = self.least[self.group[at[hit]]]
-            short = self.short[at]
-            lo, hi = np.where(full, self.starts[short], lo2), np.where(full, self.ends[short], hi2)
+            if len(hit):
+                out[out_at[live[hit]] + place[hit]] = self.documents.least(lo[hit], hi[hit])
+                short = np.searchsorted(self.starts, lo[hit], side="right")
+                lo[hit], hi[hit] = self.starts[short - 1], self.starts[short]
             # The window that ends here is done or absent: the next one ends a word further left.
             end = end - (full | ~ok)
             place = np.where(ok, place - 1, end - 1)

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.llm import key_filter
 from rasterlake.llm.fm_index import FMIndex
-from rasterlake.llm.scratch import stage
-from rasterlake.llm.words import blocks, combine, split_words, text_buffer, windows
+from rasterlake.llm.scratch import drop, stage
+from rasterlake.llm.words import blocks, combine, slices, spaced, split_words, text_buffer, windows
 
 #: Words of an anchor; a window's anchor is its least-hashed run of so many words.
 ANCHOR = 10
@@ -67,11 +68,11 @@ def _text_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+#: SHA-256 of no words.
+_NOTHING = hashlib.sha256(b"").digest()
 
 
-def _base(docs: DataFrame, length: int) -> DataFrame:
+def _base(docs: DataFrame, kind: str, length: int) -> DataFrame:
     """Per row: id, text_key, n_words, the digest of all words, and anchor hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,19 +80,20 @@ def _base(docs: DataFrame, length: int) -> DataFrame:
             for start, texts in blocks(batch.column(1)):
                 n = len(texts)
                 raw, at = text_buffer(texts)
-                hashes, _, _, offsets = split_words(raw, at)
+                hashes, s, e, offsets = split_words(raw, at)
                 row, anchor, _, _ = _anchors(hashes, offsets, length)
                 ends = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
-                data = raw.tobytes()
-                digests = [_digest(data[a:b].split()) for a, b in zip(at[:-1], at[1:], strict=True)]
+                data, place = spaced(raw, s, e)
+                view = memoryview(data)
+                digests = [hashlib.sha256(view[place[a] : place[b] - 1]).digest() if a < b else _NOTHING for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(anchor.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(_text_keys(hashes, offsets)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(digests, pa.string()), lists], names=["id", "text_key", "n_words", "all_sha256", "anchors"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), pa.array(_text_keys(hashes, offsets)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(digests, pa.binary()), lists], names=["id", "text_key", "n_words", "all_sha256", "anchors"])
 
-    return docs.mapInArrow(run, "id long, text_key long, n_words long, all_sha256 string, anchors array<long>")
+    return docs.mapInArrow(run, f"id {kind}, text_key long, n_words long, all_sha256 binary, anchors array<long>")
 
 
-def _segments(docs: DataFrame, once: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """The words around each anchor that more than one document has: `anchor, words` (32-bit word ids), id, text_key, `first`.
+def _segments(docs: DataFrame, kind: str, once: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
+    """The words around each anchor that more than one document has: `anchor, words` (with one space between), id, text_key, `first`.
 
     Ids that keep a text, and then the anchors made again from the texts, pass bitmaps of fixed
     size, so that no text is moved.
@@ -104,34 +106,40 @@ def _segments(docs: DataFrame, once: DataFrame, repeated: DataFrame, length: int
         for batch in batches:
             batch = batch.filter(pa.array(key_filter.passes(first.value, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64))))
             for start, texts in blocks(batch.column(1)):
-                hashes, _, _, offsets = split_words(*text_buffer(texts))
+                raw, at = text_buffer(texts)
+                hashes, s, e, offsets = split_words(raw, at)
                 row, anchor, start_at, last = _anchors(hashes, offsets, length)
                 keep = key_filter.passes(shared.value, (anchor >> np.uint64(64 - bits)).astype(np.int64))
                 row, anchor, start_at, last = row[keep], anchor[keep], start_at[keep], last[keep]
-                size = last - start_at + length
-                ends = np.cumsum(size)
-                take = np.repeat(offsets[row] + start_at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-                words = (hashes[take] & np.uint64(0xFFFFFFFF)).astype("<u4")
-                packed = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+                data, place = spaced(raw, s, e)
                 keys = _text_keys(hashes, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)).take(pa.array(row)), pa.array(keys[row]), pa.array(anchor.view(np.int64)), pa.array(start_at.astype(np.int32)), packed], names=["id", "text_key", "anchor", "first", "words"])
+                for i in range(0, len(row), 20_000):  # a long text has many
+                    r = row[i : i + 20_000]
+                    from_ = offsets[r] + start_at[i : i + 20_000]
+                    to = offsets[r] + last[i : i + 20_000] + length
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)).take(pa.array(r)), pa.array(keys[r]), pa.array(anchor[i : i + 20_000].view(np.int64)), pa.array(start_at[i : i + 20_000].astype(np.int32)), slices(data, place[from_], place[to] - 1)], names=["id", "text_key", "anchor", "first", "words"])
 
-    return docs.mapInArrow(run, "id long, text_key long, anchor long, first int, words binary")
+    return docs.mapInArrow(run, f"id {kind}, text_key long, anchor long, first int, words binary")
 
 
-def _split(rows: DataFrame, length: int) -> DataFrame:
+def _split(rows: DataFrame, kind: str, length: int) -> DataFrame:
     """Each window of a segment as a segment of its own, whose anchor is its own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                words = np.frombuffer(batch.column(4)[i].as_py(), "<u4")
-                hashes, _ = windows(words.astype(np.uint64), np.array([0, len(words)]), length)
-                n, first = len(hashes), batch.column(3)[i].as_py()
-                cut = pa.array([words[j : j + length].tobytes() for j in range(n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * n, pa.int64())), batch.column(1).take(pa.array([i] * n, pa.int64())), pa.array(hashes.view(np.int64)), pa.array(np.arange(first, first + n, dtype=np.int32)), cut], names=batch.schema.names)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                raw, at = text_buffer(part.column(4))
+                hashes, s, e, offsets = split_words(raw, at)
+                anchor, row = windows(hashes, offsets, length)
+                data, place = spaced(raw, s, e)
+                n = np.bincount(row, minlength=part.num_rows)
+                inside = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                from_ = offsets[row] + inside
+                first = part.column(3).to_numpy()[row] + inside
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(anchor.view(np.int64)), pa.array(first.astype(np.int32)), slices(data, place[from_], place[from_ + length] - 1)], names=batch.schema.names)
 
-    return rows.mapInArrow(run, "id long, text_key long, anchor long, first int, words binary")
+    return rows.mapInArrow(run, f"id {kind}, text_key long, anchor long, first int, words binary")
 
 
 def _runs(flags: np.ndarray) -> list[dict]:
@@ -139,28 +147,30 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _earlier(distinct: DataFrame, shards: int, length: int) -> DataFrame:
+def _earlier(distinct: DataFrame, kind: str, shards: int, length: int) -> DataFrame:
     """For each different segment its windows, and the runs of those that a smaller id than its own least one has.
 
-    One FM-index a shard; the shard's segments are streamed through it.
+    One FM-index a shard, over the shard's own dictionary of words; the shard's segments are
+    streamed through it. A window's interval in the suffix array holds all segments that have it,
+    and the document array tells the smallest id of them.
     """
 
     def search(table: pa.Table) -> pa.Table:
-        words = [np.frombuffer(w.as_py(), "<u4") for w in table["words"]]
-        sizes = np.array([len(w) for w in words])
+        lists = pc.split_pattern(table["words"].combine_chunks(), " ")
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
-        flat = np.concatenate(words).astype(np.int64)
-        own = table["least"].to_numpy()
-        found = FMIndex(flat, ends, own, length).least_values(flat, ends)
+        words = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, own = np.unique(np.array(table["least"].to_pylist()), return_inverse=True)
+        found = FMIndex(words, ends, own, length).earliest(words, ends)
         n = sizes - length + 1
         flags = (found < np.repeat(own, n)).astype(np.int8)
         at = np.cumsum(n)
         runs = [_runs(flags[b - k : b]) if flags[b - k : b].any() else [] for b, k in zip(at, n, strict=True)]
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        return pa.table({"anchor": table["anchor"], "digest": table["digest"], "least": table["least"], "n": pa.array(n.astype(np.int32)), "runs": pa.array(runs, kind)})
+        type_ = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        return pa.table({"anchor": table["anchor"], "digest": table["digest"], "least": table["least"], "n": pa.array(n.astype(np.int32)), "runs": pa.array(runs, type_)})
 
     rows = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(search, "anchor long, digest long, least long, n int, runs array<struct<a: int, b: int>>")
+    return rows.groupBy("shard").applyInArrow(search, f"anchor long, digest long, least {kind}, n int, runs array<struct<a: int, b: int>>")
 
 
 def _texts_once(base: DataFrame) -> DataFrame:
@@ -178,9 +188,10 @@ def repeated_windows(docs: DataFrame, base: DataFrame, length: int = 50) -> Data
     2. The words that such anchors stand for go to the anchor's shard, each different segment
        once with the smallest id that has it. Anchors with very many different segments are
        split by window, so that a shard stays of bounded size whatever repeats.
-    3. Each shard builds a compressed FM-index and streams its segments through backward search;
-       the interval of a window tells the smallest id that has it.
+    3. Each shard builds a compressed FM-index over the words themselves and streams its segments
+       through backward search; the interval of a window tells the smallest id that has it.
     """
+    kind = docs.schema["id"].dataType.simpleString()
     once = base.join(_texts_once(base), "all_sha256").where("id = first_id")
     once = stage(once.select("id", "anchors"), "once")
     anchors = once.select("id", F.explode("anchors").alias("anchor"))
@@ -188,37 +199,57 @@ def repeated_windows(docs: DataFrame, base: DataFrame, length: int = 50) -> Data
     repeated = stage(repeated, "anchors")
     texts = docs.where(F.col("id").isNotNull()).select("id", "text", key_filter.place("id").alias("at"))
     # Made twice from the texts: places without words, and each different segment's words once.
-    segments = _segments(texts, once, repeated, length).withColumn("digest", F.xxhash64("words"))
+    segments = _segments(texts, kind, once, repeated, length).withColumn("digest", F.xxhash64("words"))
+    drop(once)
+    drop(repeated)
     places = stage(segments.drop("words"), "places")
     distinct = stage(segments.groupBy("anchor", "digest", "words").agg(F.min("id").alias("least")), "distinct")
     hot = stage(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor"), "hot")
+    used = [places, distinct]
     if hot.limit(1).count():
         few = places.join(hot, "anchor").join(distinct.join(hot, "anchor").drop("least"), ["anchor", "digest"])
-        split = _split(few.select("id", "text_key", "anchor", "first", "words"), length).withColumn("digest", F.xxhash64("words"))
+        split = _split(few.select("id", "text_key", "anchor", "first", "words"), kind, length).withColumn("digest", F.xxhash64("words"))
         split = stage(split, "split")
+        used.append(split)
         places = places.join(hot, "anchor", "left_anti").unionByName(split.drop("words"))
         distinct = distinct.join(hot, "anchor", "left_anti").unionByName(split.groupBy("anchor", "digest", "words").agg(F.min("id").alias("least")))
     shards = max(1, -(-distinct.count() // SHARD_SEGMENTS))
-    earlier = stage(_earlier(distinct, shards, length), "earlier")
+    earlier = stage(_earlier(distinct, kind, shards, length), "earlier")
     found = places.join(earlier, ["anchor", "digest"])
     # A later holder of the segment has all its windows after the first holder; the first has those found in smaller ids.
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     runs = F.when(F.col("id") > F.col("least"), whole).otherwise(F.col("runs"))
     found = found.select("id", "text_key", F.transform(runs, lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["b"] + F.col("first")).alias("b"))).alias("runs"))
-    return found.where(F.size("runs") > 0).groupBy("id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    found = stage(found.where(F.size("runs") > 0).groupBy("id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs")), "cuts")
+    for table in (*used, earlier):
+        drop(table)
+    return found
+
+
+def _without(words: np.ndarray, place: np.ndarray, runs: np.ndarray, length: int) -> tuple[int, bytes]:
+    """How many words windows at the runs' starts cover, and the digest of the other words; `words` and `place` are of `spaced`."""
+    change = np.zeros(len(place), np.int64)
+    np.add.at(change, runs[:, 0], 1)
+    np.add.at(change, runs[:, 1] - 1 + length, -1)
+    kept = np.cumsum(change[:-1]) == 0
+    left = words[np.repeat(kept, np.diff(place))].tobytes()
+    return int(len(kept) - kept.sum()), hashlib.sha256(memoryview(left)[: len(left) - 1] if left else b"").digest()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
     """Per input row: the id, `n_words`, `n_removed` and `kept_sha256` (the kept words joined by one space).
 
     A word goes if a window of `length` words over it also starts in a document with a smaller
-    id. Null and empty texts have no words. Rows that repeat an id are one document, so none
-    removes from another; rows with a null id neither lose words nor make others lose any.
-    Windows are compared by 32 bits of each word's hash within equal 64-bit anchors.
+    id, of whatever type ids are. Null and empty texts have no words. Rows that repeat an id are
+    one document, so none removes from another; rows with a null id neither lose words nor make
+    others lose any. Windows are compared by their words.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    base = stage(_base(docs, length), "passages")
-    cuts = stage(repeated_windows(docs, base, length), "cuts")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
+    base = stage(_base(docs, kind, length), "passages")
+    cuts = repeated_windows(docs, base, length)
+    rows = stage(base.drop("anchors").join(_texts_once(base), "all_sha256", "left"), "rows")
+    drop(base)
     shared = docs.sparkSession.sparkContext.broadcast(key_filter.collect(cuts.select(key_filter.place("id").alias("at"))))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,22 +261,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, digests = [], []
-            for text, runs in zip(batch.column(2), batch.column(3), strict=True):
-                words = text.as_py().encode().split()
-                change = np.zeros(len(words) + 1, np.int64)
-                at = np.array([(r["a"], r["b"]) for r in runs.as_py()], np.int64)
-                np.add.at(change, at[:, 0], 1)
-                np.add.at(change, at[:, 1] - 1 + length, -1)
-                kept = np.cumsum(change[:-1]) == 0
-                removed.append(int(len(words) - kept.sum()))
-                digests.append(_digest([words[i] for i in np.flatnonzero(kept)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=["id", "text_key", "n_removed", "sha"])
-
-    texts = docs.where(F.col("id").isNotNull()).select("id", "text", key_filter.place("id").alias("at")).mapInArrow(pick, "id long, text_key long, text string")
-    changed = texts.join(cuts, ["id", "text_key"]).mapInArrow(cut, "id long, text_key long, n_removed long, sha string").dropDuplicates(["id", "text_key"])
-    rows = base.select("id", "text_key", "n_words", "all_sha256").join(stage(_texts_once(base), "texts"), "all_sha256", "left")
+            for start, texts in blocks(batch.column(2)):
+                raw, at = text_buffer(texts)
+                _, s, e, offsets = split_words(raw, at)
+                data, place = spaced(raw, s, e)
+                out = []
+                for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                    runs = np.array([(r["a"], r["b"]) for r in batch.column(3)[start + i].as_py()], np.int64)
+                    out.append(_without(data[place[a] : place[b]], place[a : b + 1] - place[a], runs, length))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), batch.column(1).slice(start, len(texts)), pa.array([n for n, _ in out], pa.int64()), pa.array([h for _, h in out], pa.binary())], names=["id", "text_key", "n_removed", "sha"])
+
+    texts = docs.where(F.col("id").isNotNull()).select("id", "text", key_filter.place("id").alias("at")).mapInArrow(pick, f"id {kind}, text_key long, text string")
+    changed = texts.join(cuts, ["id", "text_key"]).mapInArrow(cut, f"id {kind}, text_key long, n_removed long, sha binary").dropDuplicates(["id", "text_key"])
     out = rows.join(changed, ["id", "text_key"], "left")
     copy = (F.col("id") > F.col("first_id")) & (F.col("n_words") >= length)
     gone = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
-    return out.select(F.col("id").alias(id_col), "n_words", gone.alias("n_removed"), F.when(copy, F.lit(_digest([]))).otherwise(F.coalesce("sha", "all_sha256")).alias("kept_sha256"))
+    kept = F.when(copy, F.lit(_NOTHING)).otherwise(F.coalesce("sha", "all_sha256"))
+    return out.select(F.col("id").alias(id_col), "n_words", gone.alias("n_removed"), F.lower(F.hex(kept)).alias("kept_sha256"))

@@ -165,7 +165,7 @@ def propagate(edges: DataFrame, start: DataFrame, alpha: float = 0.95, iteration
     """Solves (I - alpha W) x = y by conjugate gradients, `iterations` at most, by graph and class at once.
 
     `edges` are normalised; `start` has graph_id, node, class_id, y. A step is one edge join and
-    two sums by graph and class; the state is written once a step, which cuts the lineage. The
+    two sums by graph and class; the state is written twice a step, which cuts the lineage. The
     sums go back to the nodes by graph, class and block of nodes, so that a graph of any size is
     spread over tasks. A system that has converged, or is all zero, stops changing (its step is 0).
     """
@@ -183,7 +183,6 @@ def propagate(edges: DataFrame, start: DataFrame, alpha: float = 0.95, iteration
         step = F.when(F.col("rho") <= F.col("limit"), 0.0).otherwise(F.coalesce(F.try_divide("rho", "pq"), F.lit(0.0)))
         moved = q.join(sums.select(*keys, "rho", step.alias("a"), every), [*keys, "block"])
         moved = moved.withColumn("x", F.col("x") + F.col("a") * F.col("p")).withColumn("r", F.col("r") - F.col("a") * F.col("q"))
-        moved = stage(moved, "cg-m")
         after = moved.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("rho2"))
         state = moved.join(after.select(*keys, "rho2", every), [*keys, "block"]).withColumn("p", F.col("r") + F.coalesce(F.try_divide("rho2", "rho"), F.lit(0.0)) * F.col("p"))
         state = stage(state.select("graph_id", "node", "class_id", "x", "r", "p", "block"), "cg")

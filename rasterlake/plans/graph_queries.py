@@ -197,11 +197,12 @@ REDUCED = {
 }
 
 
-@query("g10_pixel_refinement", duck("v_image v_raster v_patch v_class", "select graph_id image_id, node // 100000 y, node % 100000 x, class_id, round(x, 2) + 0.0 score from gs10", **CHAIN))
+@query("g10_pixel_refinement", duck("v_image v_raster v_patch v_class", "select graph_id image_id, node // 100000 y, class_id, round(avg(x), 3) + 0.0 score, count(*) n from gs10 group by all", **CHAIN))
 def pixel_refinement(spark, sf):
-    """Scores of all windows, merged, propagated over the pixels by colour."""
+    """Scores of all windows, merged, propagated over the pixels by colour; means of rows of pixels, as ten steps leave few digits of single ones."""
     scores = G.window_scores(chain_patches(spark, sf), V.class_vectors(spark, sf), chain_images(spark, sf), 20, 12, 4, k=10)
-    return rounded(G.refine_pixels(scores, chain_pixels(spark, sf), 2, 0.1), 2)
+    fine = G.refine_pixels(scores, chain_pixels(spark, sf), 2, 0.1)
+    return rounded(fine.groupBy("image_id", "y", "class_id").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n")), 3)
 
 
 @query("g12_segment", duck("v_image v_raster v_patch v_class", "select image_id, y, x, class_id as label from (select *, row_number() over (partition by image_id, y, x order by round(score, 6) desc, class_id) rk from o_out) where rk = 1", **CHAIN, **REDUCED))

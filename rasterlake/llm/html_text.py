@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -143,6 +144,10 @@ def tree(html: str) -> list[Node]:
     return out.nodes
 
 
+#: Names of elements are counted in so many hashed classes, all of them, however many names pages use.
+NAME_CLASSES = 1 << 15
+
+
 def _bin(n: float, ends: tuple[float, ...]) -> int:
     return sum(n > e for e in ends)
 
@@ -164,57 +169,74 @@ def node_features(nodes: list[Node]) -> list[list[str]]:
             mark = "copyright" if "©" in text or "all rights reserved" in text.lower() else "plain"
             out.append(["text", f"size{_bin(len(text), (20, 60, 150, 400))}", f"end{text[-1] in '.!?:;\"'}", mark, links])
         else:
-            out.append([f"tag={node.tag}", links, *[f"name={n}" for n in dict.fromkeys(_NAME.findall(node.names.lower()))]])
+            out.append([f"tag={node.tag}", links, *dict.fromkeys(f"name={zlib.crc32(n.encode()) % NAME_CLASSES}" for n in _NAME.findall(node.names.lower()))])
     return out
 
 
+#: Labels of an element: none of its text is content, all is, or some is. A block of text has one of the first two.
+NONE, ALL, SOME = 0, 1, 2
+#: What is assumed of children before any is counted: under none, all and some.
+_EDGES = ((8.0, 0.05, 0.05), (0.05, 8.0, 0.05), (1.0, 1.0, 1.0))
+#: A single mark or tag tells labels apart by at most this factor, and a name by at most that one, so
+#: that no count of a site's habits overrules what several nodes say together.
+MARK_MOST, NAME_MOST = 6.0, 100.0
+
+
 class Model:
     """Counts of labelled nodes: labels of children by their parent's label, and what nodes of a label show."""
 
     def __init__(self, counts: dict[str, float], smooth: float = 0.5) -> None:
         get = counts.get
-        edge = [[get(f"edge:{p}:{c}", 0) + (4.0 if p == c else 0.2) for c in (0, 1)] for p in (0, 1)]
-        self.edge = [[min(max(edge[p][c] / sum(edge[p]), 0.01), 0.99) for c in (0, 1)] for p in (0, 1)]
-        total = [get("label:0", 0) + 1.0, get("label:1", 0) + 1.0]
-        names = {k[8:] for k in counts if k.startswith(("shows:0:", "shows:1:"))}
-        self.shows = {n: tuple((get(f"shows:{y}:{n}", 0) + smooth) / (total[y] + 2 * smooth) for y in (0, 1)) for n in names}
+        edge = [[get(f"edge:{p}:{c}", 0) + _EDGES[p][c] for c in range(3)] for p in range(3)]
+        self.edge = [[max(v / sum(row), 0.002) for v in row] for row in edge]
+        total = [get(f"label:{y}", 0) + 1.0 for y in range(3)]
+        self.shows = {}
+        for n in {k[8:] for k in counts if k.startswith("shows:")}:
+            p = [(get(f"shows:{y}:{n}", 0) + smooth) / (total[y] + 2 * smooth) for y in range(3)]
+            least = max(p) / (NAME_MOST if n.startswith("name=") else MARK_MOST)
+            self.shows[n] = tuple(max(v, least) for v in p)
+
+    def own(self, node: Node, found: list[str]) -> list[float]:
+        """What a node shows of itself, as odds of its labels that add up to 1."""
+        a = b = c = 1.0
+        for f in found:
+            if shows := self.shows.get(f):
+                a *= shows[0]
+                b *= shows[1]
+                c *= shows[2]
+        if node.tag is None:  # a text's marks go together, so that each counts for half
+            a, b, c = a**0.5, b**0.5, 0.0
+        t = a + b + c
+        return [a / t, b / t, c / t]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
-        """P(content) of each node: messages from the leaves to the root, then back."""
-        n, e, shows = len(nodes), self.edge, self.shows
-        own = []
-        for node, found in zip(nodes, node_features(nodes), strict=True):
-            a = b = 1.0
-            for f in found:
-                pair = shows.get(f)
-                if pair:
-                    a *= pair[0]
-                    b *= pair[1]
-            if node.tag is None:  # a text's marks go together, so that each counts for half
-                a, b = a**0.5, b**0.5
-            own.append([a / (a + b), b / (a + b)])
-        up = [[1.0, 1.0]] * n  # message of a node to its parent
-        for i in range(n - 1, 0, -1):  # children come after parents
-            a, b = own[i]
-            ma, mb = e[0][0] * a + e[0][1] * b, e[1][0] * a + e[1][1] * b
-            s = ma + mb
-            up[i] = [ma / s, mb / s]
-            p = own[nodes[i].parent]
-            p[0] *= up[i][0]
-            p[1] *= up[i][1]
-            if (t := p[0] + p[1]) < 1e-100:
-                p[0], p[1] = p[0] / t, p[1] / t
+        """P(all content) of each node: messages from the leaves to the root, then back."""
+        n = len(nodes)
+        (e00, e01, e02), (e10, e11, e12), (e20, e21, e22) = self.edge
+        belief = [self.own(node, found) for node, found in zip(nodes, node_features(nodes), strict=True)]
+        up = [(1.0, 1.0, 1.0)] * n  # message of a node to its parent
+        for i in range(n - 1, 0, -1):  # children come after parents; a node's belief holds its subtree's by then
+            a, b, c = belief[i]
+            m0, m1, m2 = e00 * a + e01 * b + e02 * c, e10 * a + e11 * b + e12 * c, e20 * a + e21 * b + e22 * c
+            s = m0 + m1 + m2
+            up[i] = m0, m1, m2 = m0 / s, m1 / s, m2 / s
+            p = belief[nodes[i].parent]
+            p[0] *= m0
+            p[1] *= m1
+            p[2] *= m2
+            if (t := p[0] + p[1] + p[2]) < 1e-100:
+                p[0], p[1], p[2] = p[0] / t, p[1] / t, p[2] / t
         out = [0.0] * n
-        belief = own  # own evidence and that of the subtree; becomes the marginal
         for i in range(n):
-            a, b = belief[i]
+            a, b, c = belief[i]
             if i:
-                p = belief[nodes[i].parent]
-                da, db = p[0] / max(up[i][0], 1e-300), p[1] / max(up[i][1], 1e-300)  # the parent without this child
-                a *= da * e[0][0] + db * e[1][0]
-                b *= da * e[0][1] + db * e[1][1]
-            s = a + b
-            belief[i] = [a / s, b / s] if s > 0 else [0.5, 0.5]
+                p, m = belief[nodes[i].parent], up[i]
+                d0, d1, d2 = p[0] / m[0], p[1] / m[1], p[2] / m[2]  # the parent without this child
+                a *= d0 * e00 + d1 * e10 + d2 * e20
+                b *= d0 * e01 + d1 * e11 + d2 * e21
+                c *= d0 * e02 + d1 * e12 + d2 * e22
+            s = a + b + c
+            belief[i] = [a / s, b / s, c / s] if s > 0 else [1 / 3] * 3
             out[i] = belief[i][1]
         return out
 
@@ -229,8 +251,8 @@ def main_text(html: str | None, model: Model) -> str:
 
 
 def count_labels(nodes: list[Node]) -> Counter:
-    """Counts for a model from a page whose text blocks have labels; an element is content if all its text is."""
-    weight = [[0.0, 0.0] for _ in nodes]
+    """Counts for a model from a page whose text blocks have labels; elements are labelled by the text in them, empty ones as pure parents."""
+    weight = [[0, 0] for _ in nodes]
     for i in range(len(nodes) - 1, -1, -1):
         node = nodes[i]
         if node.tag is None:
@@ -241,7 +263,8 @@ def count_labels(nodes: list[Node]) -> Counter:
     out: Counter = Counter()
     for i, (node, found) in enumerate(zip(nodes, node_features(nodes), strict=True)):
         if node.tag is not None:
-            node.label = int(weight[i][0] == 0) if sum(weight[i]) else (nodes[node.parent].label if i else 0)
+            other, content = weight[i]
+            node.label = SOME if other and content else ALL if content else NONE if other else nodes[node.parent].label % SOME if i else NONE
         out[f"label:{node.label}"] += 1
         if i:
             out[f"edge:{nodes[node.parent].label}:{node.label}"] += 1
@@ -286,7 +309,8 @@ def seed_counts() -> Counter:
 def fit(labelled: DataFrame) -> Model:
     """A model from pages with known text (`html`, `text`), counted by tasks, and from the seed pages.
 
-    The counts have one row per edge, label, tag, name part and form: some hundreds.
+    The counts have one row per edge, label, tag, form and class of names that occurs: at most
+    some 2 * NAME_CLASSES, whatever the pages hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,11 +324,8 @@ def fit(labelled: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["what", "n"])
 
     counted = labelled.select("html", "text").mapInArrow(run, "what string, n long").groupBy("what").agg(F.sum("n").alias("n"))
-    # Names are what pages call things; the most frequent 2,000 decide, as a page's own rare names say nothing of others.
-    names = counted.where(F.col("what").contains("name=")).orderBy(F.desc("n"), "what").limit(2000)
-    rest = counted.where(~F.col("what").contains("name=")).orderBy(F.desc("n"), "what").limit(2000)
     counts = seed_counts()
-    for row in [*names.collect(), *rest.collect()]:
+    for row in counted.collect():
         counts[row["what"]] += row["n"]
     return Model(counts)
 

@@ -10,15 +10,28 @@ from rasterlake.llm.scratch import stage
 
 #: Phrases of the base rule.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices as their licenses word them; a block that holds `containment` of a notice's words has its label.
-TEMPLATES = {
-    "apache": "Licensed under the Apache License, Version 2.0.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc": "Licensed under CC BY-NC 4.0.",
-    "gpl": "This work is licensed under the GNU General Public License, version 3.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License",
-}
+#: Notices as their licenses word them, several of a label where a license has several; a block
+#: that holds `containment` of a notice's words has its label. Fixed values.
+TEMPLATES = [
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("apache", "Licensed under the Apache License, Version 2.0."),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("cc", "Licensed under CC BY-NC 4.0."),
+    ("cc", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("cc0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of what is not a letter, a digit or beyond ASCII.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -46,16 +59,21 @@ def phrase_places(line: Column, phrase: str) -> Column:
     return F.aggregate(spaces, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("at")), lambda acc, s: F.struct((acc["sum"] + s + length - 1).alias("sum"), F.concat(acc["at"], F.array(acc["sum"] + s - 1)).alias("at")))["at"]
 
 
+def _name(i: int) -> str:
+    """The name of a template: its label and number."""
+    return f"{TEMPLATES[i][0]}#{i}"
+
+
 def template_tokens(spark: SparkSession) -> DataFrame:
-    """`label, token` of the templates: some tens of rows, whatever the corpus holds."""
-    rows = spark.createDataFrame(list(TEMPLATES.items()), "label string, notice string")
-    return rows.select("label", F.explode(F.array_distinct(F.split(F.trim(words_line(F.col("notice"))), " "))).alias("token"))
+    """`name, token` of the templates: some hundreds of rows, whatever the corpus holds."""
+    rows = spark.createDataFrame([(_name(i), notice) for i, (_, notice) in enumerate(TEMPLATES)], "name string, notice string")
+    return rows.select("name", F.explode(F.array_distinct(F.split(F.trim(words_line(F.col("notice"))), " "))).alias("token"))
 
 
 def template_matches(rows: DataFrame, containment: float = 0.8) -> DataFrame:
-    """`id, label, score` of the blocks that hold at least `containment` of a template's distinct words.
+    """`id, key, label, score` of the blocks that hold at least `containment` of a template's distinct words.
 
-    `rows` has `id` and `text`. Blocks are lines, and for notices that are wrapped over lines,
+    `rows` has `id`, `key` (which tells the texts of an id apart) and `text`. Blocks are lines, and for notices that are wrapped over lines,
     windows of twice a template's words over the whole text, each half over the next: any run of
     words as long as the notice is in one of them. Only texts that hold enough of a template's
     words at all have blocks. Tokens are ordered by the number of documents that hold them,
@@ -66,47 +84,48 @@ def template_matches(rows: DataFrame, containment: float = 0.8) -> DataFrame:
     """
     spark = rows.sparkSession
     templates = template_tokens(spark)
-    tokens_of = {label: sorted(set(_ascii_words(n))) for label, n in sorted(TEMPLATES.items())}
-    needs = {label: -(-int(containment * 1000) * len(tokens) // 1000) for label, tokens in tokens_of.items()}
+    words_of = {_name(i): _ascii_words(notice) for i, (_, notice) in enumerate(TEMPLATES)}
+    tokens_of = {name: sorted(set(words)) for name, words in words_of.items()}
+    needs = {name: -(-int(containment * 1000) * len(tokens) // 1000) for name, tokens in tokens_of.items()}
     vocabulary = F.array(*[F.lit(t) for t in sorted({w for tokens in tokens_of.values() for w in tokens})])
-    found = rows.select("id", "text", F.array_intersect(F.split(words_line(F.col("text")), " "), vocabulary).alias("tokens"))
+    found = rows.select("id", "key", "text", F.array_intersect(F.split(words_line(F.col("text")), " "), vocabulary).alias("tokens"))
     enough = F.lit(False)
-    for label, tokens in tokens_of.items():
-        enough = enough | (F.size(F.array_intersect("tokens", F.array(*map(F.lit, tokens)))) >= needs[label])
-    found = stage(found.select("id", "tokens", F.when(enough, F.col("text")).alias("text")), "license-tokens")  # whole texts of the few that may match
+    for name, tokens in tokens_of.items():
+        enough = enough | (F.size(F.array_intersect("tokens", F.array(*map(F.lit, tokens)))) >= needs[name])
+    found = stage(found.select("id", "key", "tokens", F.when(enough, F.col("text")).alias("text")), "license-tokens")  # whole texts of the few that may match
     df = found.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     df = stage(df, "license-df")  # at most one row a template token
-    order = W.Window.partitionBy("label").orderBy("df", "token")
-    size = F.count(F.lit(1)).over(W.Window.partitionBy("label"))
+    order = W.Window.partitionBy("name").orderBy("df", "token")
+    size = F.count(F.lit(1)).over(W.Window.partitionBy("name"))
     ranked = templates.join(df, "token", "left").na.fill(0, ["df"]).withColumn("pos", F.row_number().over(order) - 1).withColumn("size", size)
     ranked = ranked.withColumn("need", F.ceil(F.lit(containment) * F.col("size") - 1e-9).cast("int"))
-    by_label = ranked.groupBy("label", "size", "need").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("all"))
-    template = by_label.select("label", "size", "need", F.transform("all", lambda x: x["token"]).alias("all"))
-    prefix = ranked.where(F.col("pos") <= F.col("size") - F.col("need")).select("label", "token", "pos")
-    firsts = {label: [] for label in tokens_of}
-    for r in prefix.select("label", "token").collect():  # some tens of the templates' tokens
-        firsts[r["label"]].append(r["token"])
+    by_label = ranked.groupBy("name", "size", "need").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("all"))
+    template = by_label.select("name", "size", "need", F.transform("all", lambda x: x["token"]).alias("all"))
+    prefix = ranked.where(F.col("pos") <= F.col("size") - F.col("need")).select("name", "token", "pos")
+    firsts = {name: [] for name in tokens_of}
+    for r in prefix.select("name", "token").collect():  # some of the templates' tokens
+        firsts[r["name"]].append(r["token"])
     texts = found.where(F.col("text").isNotNull())
-    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    lines = lines.select("id", F.lit(None).cast("string").alias("only"), F.col("block").cast("long").alias("block"), F.array_distinct(F.split(F.trim(words_line(F.col("line"))), " ")).alias("tokens"))
+    lines = texts.select("id", "key", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+    lines = lines.select("id", "key", F.lit(None).cast("string").alias("only"), F.col("block").cast("long").alias("block"), F.array_distinct(F.split(F.trim(words_line(F.col("line"))), " ")).alias("tokens"))
     lines = lines.where(F.size("tokens") >= min(needs.values()))
-    texts = texts.select("id", F.split(F.trim(words_line(F.col("text"))), " ").alias("words"))
-    windows = F.concat(*[_windows(label, len(_ascii_words(TEMPLATES[label])), needs[label], firsts[label]) for label in tokens_of])
-    wrapped = texts.select("id", F.explode(windows).alias("w")).select("id", "w.only", "w.block", "w.tokens")
+    texts = texts.select("id", "key", F.split(F.trim(words_line(F.col("text"))), " ").alias("words"))
+    windows = F.concat(*[_windows(name, len(words), needs[name], firsts[name]) for name, words in words_of.items()])
+    wrapped = texts.select("id", "key", F.explode(windows).alias("w")).select("id", "key", "w.only", "w.block", "w.tokens")
     blocks = lines.unionByName(wrapped)
     first = F.array(*[F.lit(t) for t in sorted({t for tokens in firsts.values() for t in tokens})])
-    hits = blocks.select("id", "only", "block", "tokens", F.explode(F.array_intersect("tokens", first)).alias("token"))
-    hits = hits.join(F.broadcast(prefix), "token").where(F.col("only").isNull() | (F.col("only") == F.col("label")))
-    hits = hits.groupBy("id", "only", "block", "label").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"))
-    both = hits.join(F.broadcast(template), "label").where((F.size("tokens") >= F.col("need")) & (F.col("size") - F.col("pos") >= F.col("need")))
+    hits = blocks.select("id", "key", "only", "block", "tokens", F.explode(F.array_intersect("tokens", first)).alias("token"))
+    hits = hits.join(F.broadcast(prefix), "token").where(F.col("only").isNull() | (F.col("only") == F.col("name")))
+    hits = hits.groupBy("id", "key", "only", "block", "name").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"))
+    both = hits.join(F.broadcast(template), "name").where((F.size("tokens") >= F.col("need")) & (F.col("size") - F.col("pos") >= F.col("need")))
     both = both.withColumn("common", F.size(F.array_intersect("all", "tokens"))).where(F.col("common") >= F.col("need"))
-    return both.groupBy("id", "label").agg(F.max(F.col("common") / F.col("size")).alias("score"))
+    return both.groupBy("id", "key", F.substring_index("name", "#", 1).alias("label")).agg(F.max(F.col("common") / F.col("size")).alias("score"))
 
 
-def _windows(label: str, n: int, need: int, first: list[str]) -> Column:
-    """Windows of 2 n words, n words apart, that pass the length filter and hold a prefix token of the label."""
+def _windows(name: str, n: int, need: int, first: list[str]) -> Column:
+    """Windows of 2 n words, n words apart, that pass the length filter and hold a prefix token of the template."""
     starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / n).cast("int"))
-    windows = F.transform(starts, lambda q: F.struct(F.lit(label).alias("only"), q.cast("long").alias("block"), F.array_distinct(F.slice("words", q * n + 1, F.lit(2 * n))).alias("tokens")))
+    windows = F.transform(starts, lambda q: F.struct(F.lit(name).alias("only"), q.cast("long").alias("block"), F.array_distinct(F.slice("words", q * n + 1, F.lit(2 * n))).alias("tokens")))
     return F.filter(windows, lambda w: (F.size(w["tokens"]) >= need) & F.arrays_overlap(w["tokens"], F.array(*map(F.lit, first))))
 
 
@@ -119,23 +138,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contai
 
     `n_base`, `first_word`, `last_word` and `base_labels` are of the phrases. `labels` adds the
     templates' labels; `score` is 1 with a phrase, else the best containment, else 0. Null and
-    empty texts have no words. Rows that repeat an id share the template labels of that id; a
-    null id has its phrases only.
+    empty texts have no words. Each row has the labels of its own text, whether its id is
+    repeated or null.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     line = words_line(text)
-    rows = docs.select(F.col(id_col).alias("id"), line.alias("line"))
+    key = F.md5(text.cast("binary"))
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), line.alias("line"))
     hit = F.lit(False)
     for phrase in PHRASES:
         hit = hit | F.contains("line", F.lit(f" {phrase} "))
-    rows = rows.select("id", _n_words(F.col("line")).cast("long").alias("n_words"), F.when(hit, F.col("line")).alias("line"))
+    rows = rows.select("id", "key", _n_words(F.col("line")).cast("long").alias("n_words"), F.when(hit, F.col("line")).alias("line"))
     places = {label: F.when(F.col("line").isNotNull(), phrase_places(F.col("line"), phrase)) for phrase, label in PHRASES.items()}
-    rows = rows.select("id", "n_words", *[p.alias(label) for label, p in places.items()])
+    rows = rows.select("id", "key", "n_words", *[p.alias(label) for label, p in places.items()])
     # Whole texts are read for the phrases once, and their small rows kept.
-    rows = stage(rows.select("id", "n_words", F.coalesce(F.concat(*[F.col(x) for x in places]), F.array().cast("array<int>")).alias("at"), F.filter(F.array(*[F.when(F.size(F.coalesce(F.col(x), F.array().cast("array<int>"))) > 0, F.lit(x)) for x in sorted(places)]), lambda x: x.isNotNull()).alias("base")), "license-base")
-    matches = template_matches(docs.select(F.col(id_col).alias("id"), text.alias("text")), containment)
-    matches = matches.groupBy("id").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
-    out = rows.join(matches, "id", "left")
+    rows = stage(rows.select("id", "key", "n_words", F.coalesce(F.concat(*[F.col(x) for x in places]), F.array().cast("array<int>")).alias("at"), F.filter(F.array(*[F.when(F.size(F.coalesce(F.col(x), F.array().cast("array<int>"))) > 0, F.lit(x)) for x in sorted(places)]), lambda x: x.isNotNull()).alias("base")), "license-base")
+    matches = template_matches(docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text")), containment)
+    matches = matches.groupBy(F.col("id").alias("m_id"), F.col("key").alias("m_key")).agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
+    out = rows.join(matches, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left")
     none = F.array().cast("array<string>")
     return out.select(
         F.col("id").alias(id_col), "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"),

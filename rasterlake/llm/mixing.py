@@ -9,8 +9,10 @@ from pyspark.sql import window as W
 from rasterlake.llm.scratch import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Classes of a source's keys. The cut falls in one of them; only its rows are sorted exactly.
-KEY_CLASSES = 4096
+#: Classes of a source's keys in an octave. A key is an exponential draw over a weight, so that an
+#: octave holds at most some 35 % of the keys of any one weight, and a class at most 0.1 % of a source,
+#: whatever its weights. The cut falls in one class of a source; only its rows are sorted exactly.
+OCTAVE_CLASSES = 512
 
 
 def word_count(text: Column) -> Column:
@@ -59,7 +61,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     complete epoch in the target; the rest of the target goes to the documents with the least
     exponential keys -ln(u)/weight (a sample without replacement, likelier for a larger weight),
     in order of key, id and size, up to the document in whose middle the budget ends. So each
-    source comes within one document's half of its target. Only whole documents are taken.
+    source comes within one document's half of its target. Only whole documents are taken. Rows
+    that are equal in source, id, key, size and text are one document of all their sizes here.
 
     Null or empty texts have size 0 and are taken with the epochs; a null source is a source of
     its own; a null id has a key too; repeated rows count each. Nothing is sampled by a random
@@ -69,9 +72,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.col(text_col)
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
-        F.round((weight if weight is not None else letter_share(text)), 6).alias("weight"), uniform(F.col(id_col), seed).alias("u"),
+        F.round((weight if weight is not None else letter_share(text)), 6).alias("weight"), uniform(F.col(id_col), seed).alias("u"), F.xxhash64(text.cast("string")).alias("text_hash"),
     )
-    rows = rows.withColumn("sample_key", F.round(-F.log("u") / F.col("weight"), 9)).withColumn("class", F.floor((1 - F.exp(-F.col("sample_key"))) * KEY_CLASSES).cast("int")).drop("u")
+    rows = rows.withColumn("sample_key", F.round(-F.log("u") / F.col("weight"), 9)).drop("u")
+    rows = rows.withColumn("class", F.floor(F.log2(F.greatest("sample_key", F.lit(1e-9))) * OCTAVE_CLASSES).cast("int"))
     rows = stage(rows, "mix")
     classes = rows.groupBy("source", "class").agg(F.sum("size").alias("class_size"))
     classes = stage(classes, "mix-classes")
@@ -79,22 +83,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = targets.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     below = W.Window.partitionBy("source").orderBy("class").rowsBetween(W.Window.unboundedPreceding, -1)
-    # At most KEY_CLASSES rows a source. A class wholly within the budget, or wholly beyond it, is decided here.
+    # Some 20,000 rows a source. A class wholly within the budget, or wholly beyond it, is decided here.
     t = targets.withColumnRenamed("source", "s")
     cuts = classes.withColumn("before", F.coalesce(F.sum("class_size").over(below), F.lit(0))).join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     cuts = cuts.withColumn("state", F.when(F.col("before") + F.col("class_size") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).otherwise(2))
     c = cuts.select(F.col("source").alias("s"), F.col("class").alias("c"), "before", "rest", "epochs", "source_size", "target", "state")
     rows = rows.join(c, (F.col("class") == F.col("c")) & F.col("source").eqNullSafe(F.col("s"))).drop("s", "c")
     done = rows.where("state <> 2").withColumn("extra", F.col("state"))
-    inside = W.Window.partitionBy("source").orderBy("sample_key", "id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
-    cut = rows.where("state = 2").withColumn("sum_before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    cut = cut.withColumn("extra", (F.col("sum_before") + F.col("size") / 2 <= F.col("rest")).cast("int")).drop("sum_before")
+    order = ["sample_key", "id", "size", "text_hash"]
+    up_to = W.Window.partitionBy("source").orderBy(*order).rangeBetween(W.Window.unboundedPreceding, W.Window.currentRow)  # with all equal rows
+    equal = F.sum("size").over(W.Window.partitionBy("source", *order))
+    cut = rows.where("state = 2").withColumn("middle", F.col("before") + F.sum("size").over(up_to) - equal / 2)
+    cut = cut.withColumn("extra", (F.col("middle") <= F.col("rest")).cast("int")).drop("middle")
     out = done.unionByName(cut).withColumn("times", F.col("epochs") + F.col("extra"))
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "weight", "sample_key")
+    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "weight", "sample_key", "text_hash")
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus: each row of `docs` as often as the mix takes it, with its own columns."""
-    times = mix(docs, id_col, **options).groupBy(id_col).agg(F.min("times").alias("__times")).withColumnRenamed(id_col, "__id")
-    rows = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id"))).where("__times > 0")
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixed corpus: each row of `docs` as often as the mix takes it, with its own columns.
+
+    A row is known by id, source and text, so that rows that share an id are each taken as often
+    as the mix says; rows equal in all three are taken alike.
+    """
+    mixed = mix(docs, id_col, text_col, source_col, **options)
+    times = mixed.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("text_hash").alias("__text")).agg(F.first("times").alias("__times"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__text"))
+    rows = docs.join(times.where("__times > 0"), same)
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)

@@ -66,9 +66,12 @@ def poor() -> Column:
     return (n == 0) | (F.col("n_symbols") * 10 > n) | (F.col("n_dup_lines") * 20 > n) | (F.col("n_repeat_words") * 100 > n * 30) | (F.col("word_chars") > n * 12) | (F.col("word_chars") < n * 2)
 
 
-def host_verdicts(measured: DataFrame, limit: float = 0.5) -> DataFrame:
+def host_verdicts(measured: DataFrame, limit: float = 1.0) -> DataFrame:
     """One row per host: documents, failures, the shrunk failure rate and `bad`.
 
+    A host is bad if its shrunk rate is above the prior's mean by more than `limit` of the prior's
+    standard deviations: hosts are judged by what hosts of this corpus are like.
+
     The prior is a beta distribution with the mean and variance of the hosts' own rates (method
     of moments, hosts weighted alike), so that a host with few documents stays near the mean.
     Failures are counted per task before the shuffle; a host of any size is one row after it.
@@ -79,17 +82,17 @@ def host_verdicts(measured: DataFrame, limit: float = 0.5) -> DataFrame:
     mean, var = mean or 0.0, var if var == var and var is not None else 0.0
     # Moments that no beta distribution has (no spread, or too much) are moved to the nearest that one has.
     top = max(mean * (1 - mean), 1e-9)
-    strength = top / min(max(var, 1e-4), top * 0.999) - 1
+    var = min(max(var, 1e-4), top * 0.999)
+    strength = top / var - 1
     shrunk = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))
-    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > limit).alias("host_bad"))
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (shrunk > mean + limit * var**0.5).alias("host_bad"))
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = 0.5) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = 1.0) -> DataFrame:
     """Measures, `base_failed` and `kept` per input row.
 
     A document that fails the base rules goes. Of the others, one that fails a softer rule goes
-    if its host fails more than `limit` of its documents after shrinkage; clean documents stay,
-    whatever their host. A null host is one host; repeated rows count each.
+    if its host is bad (see `host_verdicts`); clean documents stay, whatever their host. A null host is one host; repeated rows count each.
     """
     measured = stage(measure(docs, id_col, text_col, host_col), "rules")
     verdicts = host_verdicts(measured, limit).select(F.col("host").alias("h"), "host_rate", "host_bad")

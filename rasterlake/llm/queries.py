@@ -126,9 +126,9 @@ v as (select *, n_words < 50 or n_repeat_words * 100 > n_words * 50 as base_fail
     n_words = 0 or n_symbols * 10 > n_words or n_dup_lines * 20 > n_words or n_repeat_words * 100 > n_words * 30 or word_chars > n_words * 12 or word_chars < n_words * 2 as poor from m),
 h as (select source, count(*)::double as n, sum(case when base_failed or poor then 1 else 0 end)::double as f from v group by source),
 q as (select avg(f / n) as mean, coalesce(var_samp(f / n), 0) as var from h),
-s as (select mean, greatest(mean * (1 - mean), 1e-9) / least(greatest(var, 1e-4), greatest(mean * (1 - mean), 1e-9) * 0.999) - 1 as strength from q),
-x as (select source, (f + mean * strength) / (n + strength) as rate from h, s)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (rate > 0.5 and poor) as kept, round(rate, 9) as host_rate
+s as (select mean, sqrt(v) as sd, top / v - 1 as strength from (select mean, top, least(greatest(var, 1e-4), top * 0.999) as v from (select mean, var, greatest(mean * (1 - mean), 1e-9) as top from q))),
+x as (select source, (f + mean * strength) / (n + strength) as rate, mean + sd as bar from h, s)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not (rate > bar and poor) as kept, round(rate, 9) as host_rate
 from v join x on v.source is not distinct from x.source
 """
 

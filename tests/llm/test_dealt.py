@@ -1,14 +1,19 @@
 """The numbered operators against brute force, on small tables with awkward rows."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 import tiktoken
@@ -16,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rasterlake.llm import bpe, exact_dedup, html_text, license_scan, mixing, ngram_join, pii, quality_fm, quality_rules, queries, substring_dedup
 from rasterlake.llm.fm_index import FMIndex
-from rasterlake.llm.words import blocks, split_words, text_buffer
+from rasterlake.llm.words import blocks, spaced, split_words, text_buffer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside, and so might clash with.
@@ -98,6 +103,19 @@ def test_words_as_the_pattern(docs):
         assert len(set(seen.values())) == len(seen)
 
 
+def test_words_of_long_texts_in_parts(monkeypatch):
+    """Hashes and places do not depend on where a long text is cut for hashing."""
+    r = random.Random(8)
+    texts = pa.array([prose(r, 3000) + "\n \t" + "y" * 70_000 + " " + prose(r, 500), None, "z" * 9000, prose(r, 40)])
+    whole = split_words(*text_buffer(texts), lower=True)
+    monkeypatch.setattr("rasterlake.llm.words.BLOCK_BYTES", 997)
+    parts = split_words(*text_buffer(texts), lower=True)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    raw, _ = text_buffer(texts)
+    data, place = spaced(raw, whole[1], whole[2])
+    assert [data[a : b - 1].tobytes() for a, b in zip(place[:-1], place[1:])] == [raw[a:b].tobytes() for a, b in zip(whole[1], whole[2])]
+
+
 def test_bpe(spark, awkward, empty):
     ranks = bpe.read_ranks(queries.RANKS)
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -153,14 +171,36 @@ def test_exact_dedup(spark, docs, awkward, empty):
     assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.drop_duplicates_of(empty).count() == 0
 
 
+def test_exact_dedup_of_awkward_rows(spark, awkward):
+    """Repeated rows and null ids against brute force; nothing of the index stays."""
+    tables = len(spark.catalog.listTables())
+    got = sorted((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in exact_dedup.exact_duplicates(awkward).collect())
+    same_text = defaultdict(list)
+    all_ = [(r["doc_id"], re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "")) for r in awkward.collect()]
+    for i, t in all_:
+        same_text[t].append(i)
+    want = []
+    for i, t in all_:
+        keep = min((x for x in same_text[t] if x is not None), default=None)
+        want.append((str(i), keep, len(same_text[t]), i == keep, hashlib.sha256(t.encode()).hexdigest()))
+    assert got == sorted(want)
+    assert len(spark.catalog.listTables()) == tables
+    names = awkward.select(F.concat(F.lit("n"), "doc_id").alias("doc_id"), "text")
+    assert exact_dedup.exact_duplicates(names).where("kept").count() == sum(w[3] for w in want)
+
+
 def test_digest_index_keeps_between_batches(spark, docs):
     index = exact_dedup.DigestIndex(spark, "batches_of_digests", 4)
-    first = index.add(docs.where("doc_id >= 40"))
+    first = index.deduplicate(docs.where("doc_id >= 40"))
     assert first.where("kept").count() == first.select("text_sha256").distinct().count()
-    again = {r["doc_id"]: r for r in index.add(docs.where("doc_id < 40")).collect()}
+    again = {r["doc_id"]: r for r in index.deduplicate(docs.where("doc_id < 40")).collect()}
     assert again[0]["keep_id"] == 40 and not again[0]["kept"] and again[1]["kept"]
     assert spark.table("batches_of_digests").count() == docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).distinct().count()
-    spark.sql("drop table batches_of_digests")
+    groups_ = spark.createDataFrame([(b"x", 1)], "digest binary, first_id long")
+    plan = groups_.join(index._known(), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1  # the batch's; the index is read by its buckets
+    index.forget()
+    assert not spark.catalog.tableExists("batches_of_digests")
 
 
 def groups(texts, k, percent):
@@ -228,6 +268,46 @@ def test_ngram_join_counts_every_link(spark, monkeypatch, blocks):
     assert all(x["n_links"] == want[x["doc_id"]] for x in got)
 
 
+def test_ngram_join_of_awkward_rows(spark, awkward):
+    """Repeated rows and null ids against brute force: a null id is in a group, but names none that has another id."""
+    rows_ = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    texts = dict(enumerate(t for _, t in rows_))
+    ids = [i for i, _ in rows_]
+    group = groups(texts, 3, 90)
+    members = defaultdict(set)
+    for i, (_, top) in group.items():
+        if ids[i] is not None:
+            members[top].add(ids[i])
+    want = sorted((str(ids[i]), n, min(members[top]) if n else ids[i]) for i, (n, top) in group.items())
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(awkward, 3, 90).collect()) == want
+
+
+def test_ngram_join_links_sets_of_null_ids_and_tells_short_names_apart(spark):
+    r = random.Random(1)
+    base = [f"w{j}" for j in range(80)]
+    texts = [(None, " ".join(base)), (4, " ".join([*base, "end"])), (9, " ".join(f"q{j}" for j in range(40)))]
+    texts += [(100 + i, prose(r, 30)) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in ngram_join.near_duplicates(df, 3, 90).collect()}
+    assert got[None]["component_id"] == 4 and got[None]["n_links"] == got[4]["n_links"] == 1
+    short = {x["doc_id"]: x for x in ngram_join.near_duplicates(df, 3, 90, name_bits=4).collect()}
+    assert {i: (x["n_shingles"], x["component_id"], x["n_links"]) for i, x in short.items()} == {i: (x["n_shingles"], x["component_id"], x["n_links"]) for i, x in got.items()}
+    two = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base, "x"])), (2, "another text of the same id , not near")], "doc_id long, text string")
+    assert sorted(x["text"][:7] for x in ngram_join.keep_one_of_each(two).collect()) == ["another", "w0 w1 w"]
+
+
+def test_ngram_join_of_a_list_in_many_components(spark, monkeypatch):
+    """2,000 sets that share one n-gram, rare in none of them, of which a few are near each other."""
+    monkeypatch.setattr(ngram_join, "_LIST_BLOCK", 100)
+    texts = {i: f"same three words {' '.join(f'u{i // 2 if i < 40 else i}x{j}' for j in range(19))}" + (" more" if i < 40 and i % 2 else "") for i in range(2000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.near_duplicates(df, 3, 90).collect()}
+    assert got == {i: i - i % 2 if i < 40 else i for i in texts}
+    placed = spark.createDataFrame([(7, i, i // 3, 20, 0, *[0] * ngram_join.SIGNATURE) for i in range(700)], "token long, sid long, c long, n int, pos int, " + ", ".join(f"s{i} long" for i in range(ngram_join.SIGNATURE)))
+    pairs = [(x["a"], x["b"]) for x in ngram_join._list_pairs(placed, 90).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(i, j) for i in range(700) for j in range(i + 1, 700) if i // 3 != j // 3}
+
+
 def test_license_scan(docs, awkward, empty):
     same(license_scan.scan(docs), queries.OP5_SQL)
     got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
@@ -235,6 +315,22 @@ def test_license_scan(docs, awkward, empty):
     assert license_scan.scan(awkward).count() == awkward.count() and license_scan.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_license_scan_of_repeated_and_null_ids(spark, order):
+    """Each row has the labels of its own text, in whatever order rows come."""
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    rows_ = [(1, notice), (1, "software " + " ".join(f"v{i}" for i in range(30))), (None, notice), (None, None), (1, notice)][::order]
+    got = license_scan.scan(spark.createDataFrame(rows_, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((str(r["doc_id"]), r["labels"], r["score"]) for r in got) == [("1", "", 0.0), ("1", "mit", 1.0), ("1", "mit", 1.0), ("None", "", 0.0), ("None", "mit", 1.0)]
+
+
+def test_every_notice_has_its_label(spark):
+    """Wrapped after each three words, between other words."""
+    rows_ = [(j, "Some words before it.\n" + re.sub(r"(\S+ \S+ \S+) ", r"\1\n", notice) + "\nand some after it") for j, (_, notice) in enumerate(license_scan.TEMPLATES)]
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert all(label in got[j] for j, (label, _) in enumerate(license_scan.TEMPLATES))
+
+
 def test_license_scan_of_wrapped_notices(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
     bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:"
@@ -306,22 +402,54 @@ def test_html(spark):
         html_text.main_text(hard, model)
 
 
+LAYOUTS = {
+    "article": "<body><nav><a href='/'>Home</a></nav><article><h1>Head</h1><p>First of all there is a paragraph, which has a clause, some more words, and then an end of its own.</p><p>Then another one follows, which is about as long as the first, and says what it has to say in full.</p></article><footer>Imprint of the site</footer></body>",
+    "classes": "<body><div class='topnav'><a href='/'>Home</a> <a href='/n'>News</a></div><div id='main'><h1>Head</h1><p>First of all there is a paragraph, which has a clause, some more words, and then an end of its own.</p><p>Then another one follows, which is about as long as the first, and says what it has to say in full.</p></div><div class='sidebar'><a href='/x'>Other</a></div></body>",
+    "banner": "<body><div class='cookie-banner'><p>We use cookies. Accept them.</p></div><main><h1>Head</h1><p>First of all there is a paragraph, which has a clause, some more words, and then an end of its own.</p><p>Then another one follows, which is about as long as the first, and says what it has to say in full.</p></main><form class='newsletter'><p>Subscribe now.</p></form></body>",
+    "comments": "<body><article><h1>Head</h1><p>First of all there is a paragraph, which has a clause, some more words, and then an end of its own.</p><p>Then another one follows, which is about as long as the first, and says what it has to say in full.</p></article><section id='comments'><div class='comment'><p>I do not agree with any of this.</p></div></section></body>",
+    "advert": "<body><div class='content'><h1>Head</h1><p>First of all there is a paragraph, which has a clause, some more words, and then an end of its own.</p><div class='advert'><p>Buy this fine thing today.</p></div><p>Then another one follows, which is about as long as the first, and says what it has to say in full.</p></div><aside><p>A note at the side.</p></aside></body>",
+}
+
+
+@pytest.mark.parametrize("layout", list(LAYOUTS))
+def test_html_layouts(layout):
+    model = html_text.Model(html_text.seed_counts())
+    assert html_text.main_text(f"<html>{LAYOUTS[layout]}</html>", model) == "Head\n\nFirst of all there is a paragraph, which has a clause, some more words, and then an end of its own.\n\nThen another one follows, which is about as long as the first, and says what it has to say in full."
+
+
+def test_html_learns_names_that_no_seed_has(spark):
+    """Pages of a site with names of its own: what the seeds alone keep, the counts of labelled pages drop."""
+    r = random.Random(4)
+
+    def page(i):
+        body = [prose(r, r.randint(15, 40)) + "." for _ in range(4)]
+        html = f"<html><body><div class='haupt'>{''.join(f'<p>{b}</p>' for b in body)}<div class='werbung'><p>{prose(r, 12)}.</p></div></div><div class='fuss'><p>{prose(r, 12)}.</p></div></body></html>"
+        return html, "\n\n".join(body)
+
+    pages = [page(i) for i in range(60)]
+    learned = html_text.fit(spark.createDataFrame(pages[:40], "html string, text string").repartition(3))
+    seeds = html_text.Model(html_text.seed_counts())
+    assert all(html_text.main_text(h, learned) == t for h, t in pages[40:])
+    assert not any(html_text.main_text(h, seeds) == t for h, t in pages[40:])
+
+
 def test_html_marginals_are_those_of_the_whole_table():
     model = html_text.Model(html_text.seed_counts())
     nodes = html_text.tree("<body><nav><a href='/'>Home</a></nav><article><p>Some words of text here.</p></article></body>")
     found = html_text.node_features(nodes)
     total, content = 0.0, np.zeros(len(nodes))
-    for code in range(1 << len(nodes)):
-        y = [(code >> i) & 1 for i in range(len(nodes))]
+    for y in itertools.product(range(3), repeat=len(nodes)):
         p = 1.0
         for i, n in enumerate(nodes):
-            own = math.prod(model.shows[f][y[i]] / sum(model.shows[f]) for f in found[i] if f in model.shows)
-            p *= own**0.5 if n.tag is None else own
+            p *= model.own(n, found[i])[y[i]]
             if i:
                 p *= model.edge[y[n.parent]][y[i]]
         total += p
-        content += p * np.array(y)
+        content += p * (np.array(y) == html_text.ALL)
     assert model.marginals(nodes) == pytest.approx(list(content / total), abs=1e-9)
+    shown = [model.shows[f] for f in found[-1] if f in model.shows]
+    odds = [math.prod(s[y] for s in shown) ** 0.5 for y in range(2)]
+    assert model.own(nodes[-1], found[-1]) == pytest.approx([odds[0] / sum(odds), odds[1] / sum(odds), 0])
 
 
 def test_host_rules(docs, awkward, empty):
@@ -329,6 +457,63 @@ def test_host_rules(docs, awkward, empty):
     assert quality_rules.apply_rules(awkward).count() == awkward.count() and quality_rules.apply_rules(empty).count() == 0
 
 
+def test_a_bad_host_takes_its_poor_documents_along(spark):
+    """Of six hosts one fails far more often: its poor documents go, those of the others and all clean ones stay."""
+    r = random.Random(6)
+    clean = lambda: " ".join(f"word{r.randint(0, 10**6)}" for _ in range(60))
+    poor = lambda: clean() + " #" * 40
+    rows_ = [(h * 1000 + i, f"h{h}", i < (80 if h == 3 else 8)) for h in range(6) for i in range(100)]
+    df = spark.createDataFrame([(i, h, poor() if bad else clean()) for i, h, bad in rows_], "doc_id long, source string, text string")
+    got = {x["doc_id"]: x["kept"] for x in quality_rules.apply_rules(df).collect()}
+    assert all(got[i] == (not (bad and h == "h3")) for i, h, bad in rows_)
+
+
+def test_awkward_rows_as_plain_python(awkward):
+    """Repeated rows and null ids of the operators that work row by row, each row compared."""
+    texts = sorted((str(x["doc_id"]), x["text"] or "") for x in awkward.collect())
+    spans = sorted((str(x["doc_id"]), x["n_email"], x["n_ip"], x["n_card"], x["n_phone"]) for x in pii.find(awkward).collect())
+    assert [x[0] for x in spans] == [i for i, _ in texts]
+    assert all(x[1:] == ((1, 1, 1, 1) if i == "72" else (0, 0, 0, 0)) for x, (i, _) in zip(spans, texts))
+    scanned = sorted((str(x["doc_id"]), x["n_words"]) for x in license_scan.scan(awkward).collect())
+    assert scanned == sorted((i, len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))) for i, t in texts)
+    ruled = sorted((str(x["doc_id"]), x["n_words"], x["word_chars"]) for x in quality_rules.apply_rules(awkward).collect())
+    assert ruled == sorted((i, len(words(t)), sum(map(len, words(t)))) for i, t in texts)
+    mixed = sorted((str(x["doc_id"]), x["size"]) for x in mixing.mix(awkward).collect())
+    assert mixed == sorted((i, len(words(t))) for i, t in texts)
+
+
+def test_substring_dedup_of_awkward_rows(spark, awkward):
+    """Against brute force: rows of one id are one document, rows without an id neither lose words nor take any."""
+    all_ = [(x["doc_id"], words(x["text"] or "")) for x in awkward.collect()]
+    first = {}
+    for i, w in all_:
+        if i is not None:
+            for j in range(len(w) - 49):
+                key = tuple(w[j : j + 50])
+                first[key] = min(first.get(key, i), i)
+    want = []
+    for i, w in all_:
+        gone = set()
+        if i is not None:
+            for j in range(len(w) - 49):
+                if first[tuple(w[j : j + 50])] < i:
+                    gone |= set(range(j, j + 50))
+        want.append((str(i), len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    got = sorted((str(x["doc_id"]), x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring_dedup.remove_repeats(awkward).collect())
+    assert got == sorted(want)
+    named = awkward.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")).alias("doc_id"), "text")
+    assert sorted(x["n_removed"] for x in substring_dedup.remove_repeats(named).collect()) == sorted(w[2] for w in want)
+
+
+def test_substring_dedup_tells_words_with_near_hashes_apart(spark):
+    """Two words whose hashes agree in 32 bits: windows that differ in them alone are different."""
+    tail = " ".join(f"q0_{i}" for i in range(49))
+    hashes, _, _, _ = split_words(*text_buffer(pa.array(["w10615 w65804"])))
+    assert hashes[0] & np.uint64(0xFFFFFFFF) == hashes[1] & np.uint64(0xFFFFFFFF)
+    df = spark.createDataFrame([(1, f"w10615 {tail}"), (2, f"w65804 {tail}"), (3, f"w10615 {tail}")], "doc_id long, text string")
+    assert {x["doc_id"]: x["n_removed"] for x in substring_dedup.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 50}
+
+
 def test_substring_dedup(docs, awkward, empty):
     same(substring_dedup.remove_repeats(docs), queries.OP9_SQL)
     assert substring_dedup.remove_repeats(awkward).count() == awkward.count() and substring_dedup.remove_repeats(empty).count() == 0
@@ -352,7 +537,7 @@ def test_fm_index():
                 best[tuple(s[i : i + length])] = min(best[tuple(s[i : i + length])], v)
         asked = [*seqs, *(r.integers(0, sigma + 1, r.integers(1, 25)) * 7 for _ in range(4))]
         want = [best[tuple(s[i : i + length])] for s in asked for i in range(len(s) - length + 1)]
-        assert index.least_values(np.concatenate(asked), np.cumsum([len(s) for s in asked])).tolist() == want
+        assert index.earliest(np.concatenate(asked), np.cumsum([len(s) for s in asked])).tolist() == want
 
 
 def test_mixing(docs, awkward, empty):
@@ -380,6 +565,25 @@ def test_mixing(docs, awkward, empty):
     assert applied.columns == docs.columns and applied.count() == sum(r["times"] for r in got)
 
 
+def test_mixing_of_rows_that_share_an_id(spark):
+    texts = [(1, "s", "one two three"), (1, "t", "four five six"), (1, "t", "seven eight nine"), (2, "s", "a b"), (2, "s", "a b"), (None, None, "x y z"), (None, "t", None)]
+    df = spark.createDataFrame(texts * 3 + [(10 + i, "st"[i % 2], f"word{i} " * (i + 1)) for i in range(40)], "doc_id long, source string, text string")
+    mixed = mixing.mix(df)
+    applied = mixing.apply_mix(df)
+    want = sorted((str(r["doc_id"]), str(r["source"]), r["size"]) for r in mixed.collect() for _ in range(r["times"]))
+    assert sorted((str(r["doc_id"]), str(r["source"]), len((r["text"] or "").split())) for r in applied.collect()) == want
+    per_row = mixed.groupBy("doc_id", "source", "text_hash").agg(F.countDistinct("times").alias("n")).where("n > 1")
+    assert per_row.count() == 0
+
+
+def test_mixing_classes_are_small_for_any_weight(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("123 456").alias("text"))
+    mixed = mixing.mix(df)
+    largest = mixed.groupBy(F.floor(F.log2("sample_key") * mixing.OCTAVE_CLASSES)).count().agg(F.max("count")).first()[0]
+    assert largest < 40
+    assert abs(mixed.agg(F.sum("taken")).first()[0] - 1.5 * 40_000) <= 1
+
+
 def test_quality(spark, awkward, empty):
     r = random.Random(1)
     good = [(i, prose(r, 80) + ".", "en", "s", 5) for i in range(300)]
@@ -422,3 +626,44 @@ def test_pipeline_stages(spark, awkward):
             assert out.columns == docs.columns
         docs = out
     assert docs.columns == ["doc_id", "ids", "n_tokens"]
+
+
+LONG = """
+import sys
+import numpy as np, pyarrow as pa
+from rasterlake.llm import ngram_join, quality_fm, substring_dedup
+from rasterlake.llm.words import spaced, split_words, text_buffer
+r = np.random.default_rng(1)
+words = np.array([f"w{i:05d}" for i in range(60_000)])
+text = " ".join(words[r.integers(0, len(words), 9_300_000)].tolist())
+del words
+texts = pa.array([text], pa.large_string() if len(text) > 2**31 - 1 else pa.string())
+size = len(text)
+del text
+memory = lambda key: next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith(key))
+before = memory("VmRSS:")
+open("/proc/self/clear_refs", "w").write("5")  # the peak starts anew
+assert size > 64_000_000
+if sys.argv[1] == "quality":
+    rows, index, x = quality_fm.features(texts, np.array([np.nan]))
+    assert len(rows) > 60_000 // 2
+elif sys.argv[1] == "ngrams":
+    grams, rows = ngram_join._sets(texts, 3)
+    assert len(grams) > 9_000_000
+else:
+    raw, at = text_buffer(texts)
+    hashes, s, e, offsets = split_words(raw, at)
+    row, anchor, first, last = substring_dedup._anchors(hashes, offsets, 50)
+    data, place = spaced(raw, s, e)
+    assert len(place) == 9_300_001 and len(row) > 300_000
+print(size // 10**6, before // 1024, memory("VmHWM:") // 1024)
+"""
+
+
+@pytest.mark.parametrize("what", ["quality", "ngrams", "passages"])
+def test_memory_of_a_very_long_text(what):
+    """A text of 65 MB takes less than 1 GB of a worker's memory in the steps that hold most for it."""
+    done = subprocess.run([sys.executable, "-c", LONG, what], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    size, before, peak = map(int, done.stdout.split()[-3:])
+    assert peak - before + size < 1024, (size, before, peak)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rasterlake.llm import key_filter
 from rasterlake.llm.fm_index import FMIndex
 from rasterlake.llm.scratch import drop, stage
-from rasterlake.llm.words import blocks, combine, slices, spaced, split_words, text_buffer, windows
+from rasterlake.llm.words import blocks, combine, mix, powers, slices, spaced, split_words, text_buffer, windows
 
 #: Words of an anchor; a window's anchor is its least-hashed run of so many words.
 ANCHOR = 10
@@ -22,6 +22,8 @@ ANCHOR = 10
 SHARD_SEGMENTS = 6000
 #: An anchor with more different segments than this is split by the windows themselves.
 HOT_SEGMENTS = 10_000
+#: Segments that a task remembers having sent the words of; to forget them costs only sending some twice.
+SENT = 1_000_000
 
 
 def _anchors(hashes: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,17 +94,27 @@ def _base(docs: DataFrame, kind: str, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, text_key long, n_words long, all_sha256 binary, anchors array<long>")
 
 
-def _segments(docs: DataFrame, kind: str, once: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
-    """The words around each anchor that more than one document has: `anchor, words` (with one space between), id, text_key, `first`.
+def _digests(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the words from each start to each end."""
+    up, down = powers(len(hashes) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
+        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
 
-    Ids that keep a text, and then the anchors made again from the texts, pass bitmaps of fixed
-    size, so that no text is moved.
+
+def _segments(docs: DataFrame, kind: str, once: DataFrame, repeated: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """The words around each anchor that more than one document has: places, and words.
+
+    Places have `id, text_key, anchor, first, digest` (64 bits of the words), a row for each; words
+    have `anchor, digest, words` (with one space between), once a task for each different segment.
+    Both are made from the texts when they are read. Ids that keep a text, and then the anchors made
+    again from the texts, pass bitmaps of fixed size, so that no text is moved.
     """
     bits = key_filter.BITS
     first = docs.sparkSession.sparkContext.broadcast(key_filter.collect(once.select(key_filter.place("id").alias("at"))))
     shared = docs.sparkSession.sparkContext.broadcast(key_filter.collect(repeated.select(F.shiftrightunsigned("anchor", 64 - bits).cast("int").alias("at"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             batch = batch.filter(pa.array(key_filter.passes(first.value, batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64))))
             for start, texts in blocks(batch.column(1)):
@@ -112,14 +124,31 @@ def _segments(docs: DataFrame, kind: str, once: DataFrame, repeated: DataFrame,
                 keep = key_filter.passes(shared.value, (anchor >> np.uint64(64 - bits)).astype(np.int64))
                 row, anchor, start_at, last = row[keep], anchor[keep], start_at[keep], last[keep]
                 data, place = spaced(raw, s, e)
-                keys = _text_keys(hashes, offsets)
-                for i in range(0, len(row), 20_000):  # a long text has many
-                    r = row[i : i + 20_000]
-                    from_ = offsets[r] + start_at[i : i + 20_000]
-                    to = offsets[r] + last[i : i + 20_000] + length
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)).take(pa.array(r)), pa.array(keys[r]), pa.array(anchor[i : i + 20_000].view(np.int64)), pa.array(start_at[i : i + 20_000].astype(np.int32)), slices(data, place[from_], place[to] - 1)], names=["id", "text_key", "anchor", "first", "words"])
-
-    return docs.mapInArrow(run, f"id {kind}, text_key long, anchor long, first int, words binary")
+                yield batch.column(0).slice(start, len(texts)), hashes, offsets, data, place, row, anchor, start_at, last + length
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, hashes, offsets, _, _, row, anchor, first_, end in found(batches):
+            digest = _digests(hashes, offsets[row] + first_, offsets[row] + end)
+            columns = [ids.take(pa.array(row)), pa.array(_text_keys(hashes, offsets)[row]), pa.array(anchor.view(np.int64)), pa.array(first_.astype(np.int32)), pa.array(digest)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "anchor", "first", "digest"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
+        for _, hashes, offsets, data, place, row, anchor, first_, end in found(batches):
+            starts, ends = offsets[row] + first_, offsets[row] + end
+            digest = _digests(hashes, starts, ends)
+            new = []
+            for i, key in enumerate(zip(anchor.tolist(), digest.tolist(), strict=True)):
+                if key not in sent:
+                    sent.add(key)
+                    new.append(i)
+            if len(sent) > SENT:
+                sent.clear()
+            for i in range(0, len(new), 20_000):  # a long text has many
+                n = np.array(new[i : i + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[n].view(np.int64)), pa.array(digest[n]), slices(data, place[starts[n]], place[ends[n]] - 1)], names=["anchor", "digest", "words"])
+
+    return docs.mapInArrow(places, f"id {kind}, text_key long, anchor long, first int, digest long"), docs.mapInArrow(words, "anchor long, digest long, words binary")
 
 
 def _split(rows: DataFrame, kind: str, length: int) -> DataFrame:
@@ -147,7 +176,7 @@ def _runs(flags: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _earlier(distinct: DataFrame, kind: str, shards: int, length: int) -> DataFrame:
+def _earlier(words: DataFrame, least: DataFrame, kind: str, shards: int, length: int) -> DataFrame:
     """For each different segment its windows, and the runs of those that a smaller id than its own least one has.
 
     One FM-index a shard, over the shard's own dictionary of words; the shard's segments are
@@ -155,13 +184,24 @@ def _earlier(distinct: DataFrame, kind: str, shards: int, length: int) -> DataFr
     and the document array tells the smallest id of them.
     """
 
-    def search(table: pa.Table) -> pa.Table:
-        lists = pc.split_pattern(table["words"].combine_chunks(), " ")
+    def in_order(table: pa.Table) -> np.ndarray:
+        """Rows by anchor and digest, one of each."""
+        anchor, digest = table["anchor"].to_numpy(), table["digest"].to_numpy()
+        order = np.lexsort((digest, anchor))
+        a, d = anchor[order], digest[order]
+        return order[np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])])]
+
+    def search(texts: pa.Table, table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(in_order(table)))
+        texts = texts.take(pa.array(in_order(texts)))
+        if not (texts["anchor"].equals(table["anchor"]) and texts["digest"].equals(table["digest"])):
+            raise RuntimeError("places and words of segments differ")  # both are made from the same texts
+        lists = pc.split_pattern(texts["words"].combine_chunks(), " ")
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
-        words = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
         _, own = np.unique(np.array(table["least"].to_pylist()), return_inverse=True)
-        found = FMIndex(words, ends, own, length).earliest(words, ends)
+        found = FMIndex(flat, ends, own, length).earliest(flat, ends)
         n = sizes - length + 1
         flags = (found < np.repeat(own, n)).astype(np.int8)
         at = np.cumsum(n)
@@ -169,8 +209,9 @@ def _earlier(distinct: DataFrame, kind: str, shards: int, length: int) -> DataFr
         type_ = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         return pa.table({"anchor": table["anchor"], "digest": table["digest"], "least": table["least"], "n": pa.array(n.astype(np.int32)), "runs": pa.array(runs, type_)})
 
-    rows = distinct.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(search, f"anchor long, digest long, least {kind}, n int, runs array<struct<a: int, b: int>>")
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+    one, other = words.select(shard, "anchor", "digest", "words"), least.select(shard, "anchor", "digest", "least")
+    return one.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(search, f"anchor long, digest long, least {kind}, n int, runs array<struct<a: int, b: int>>")
 
 
 def _texts_once(base: DataFrame) -> DataFrame:
@@ -186,7 +227,7 @@ def repeated_windows(docs: DataFrame, base: DataFrame, length: int = 50) -> Data
     1. Winnowing: each window has an anchor, about one anchor in 20 words. Only anchors that two
        ids share can lie in a repeated window; all are counted, over all documents.
     2. The words that such anchors stand for go to the anchor's shard, each different segment
-       once with the smallest id that has it. Anchors with very many different segments are
+       once a task, and the smallest id that has it. Anchors with very many different segments are
        split by window, so that a shard stays of bounded size whatever repeats.
     3. Each shard builds a compressed FM-index over the words themselves and streams its segments
        through backward search; the interval of a window tells the smallest id that has it.
@@ -198,23 +239,25 @@ def repeated_windows(docs: DataFrame, base: DataFrame, length: int = 50) -> Data
     repeated = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     repeated = stage(repeated, "anchors")
     texts = docs.where(F.col("id").isNotNull()).select("id", "text", key_filter.place("id").alias("at"))
-    # Made twice from the texts: places without words, and each different segment's words once.
-    segments = _segments(texts, kind, once, repeated, length).withColumn("digest", F.xxhash64("words"))
+    places, words = _segments(texts, kind, once, repeated, length)
     drop(once)
     drop(repeated)
-    places = stage(segments.drop("words"), "places")
-    distinct = stage(segments.groupBy("anchor", "digest", "words").agg(F.min("id").alias("least")), "distinct")
-    hot = stage(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor"), "hot")
-    used = [places, distinct]
+    places = stage(places, "places")
+    least = stage(places.groupBy("anchor", "digest").agg(F.min("id").alias("least")), "least")
+    hot = stage(least.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_SEGMENTS).select("anchor"), "hot")
+    used = [places, least]
     if hot.limit(1).count():
-        few = places.join(hot, "anchor").join(distinct.join(hot, "anchor").drop("least"), ["anchor", "digest"])
+        words = stage(words, "words")
+        few = places.join(hot, "anchor").join(words.join(hot, "anchor").dropDuplicates(["anchor", "digest"]), ["anchor", "digest"])
         split = _split(few.select("id", "text_key", "anchor", "first", "words"), kind, length).withColumn("digest", F.xxhash64("words"))
         split = stage(split, "split")
-        used.append(split)
+        windows_ = stage(split.groupBy("anchor", "digest").agg(F.first("words").alias("words"), F.min("id").alias("least")), "windows")
+        used += [words, split, windows_]
         places = places.join(hot, "anchor", "left_anti").unionByName(split.drop("words"))
-        distinct = distinct.join(hot, "anchor", "left_anti").unionByName(split.groupBy("anchor", "digest", "words").agg(F.min("id").alias("least")))
-    shards = max(1, -(-distinct.count() // SHARD_SEGMENTS))
-    earlier = stage(_earlier(distinct, kind, shards, length), "earlier")
+        words = words.join(hot, "anchor", "left_anti").unionByName(windows_.drop("least"))
+        least = least.join(hot, "anchor", "left_anti").unionByName(windows_.drop("words"))
+    shards = max(1, -(-least.count() // SHARD_SEGMENTS))
+    earlier = stage(_earlier(words, least, kind, shards, length), "earlier")
     found = places.join(earlier, ["anchor", "digest"])
     # A later holder of the segment has all its windows after the first holder; the first has those found in smaller ids.
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))

@@ -21,7 +21,7 @@ _POWERS: dict[str, np.ndarray] = {}
 BLOCK_BYTES = 1 << 20
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n; those of a part's usual size are kept."""
     have = _POWERS.get("up")
     if have is not None and len(have) >= n:
@@ -103,7 +103,7 @@ def _split_part(raw: np.ndarray, cut: np.ndarray, lower: bool) -> tuple[np.ndarr
     begins[cut] |= word[cut]
     ends[cut - 1] |= word[cut - 1]
     s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _powers(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])

@@ -9,10 +9,6 @@ from pyspark.sql import window as W
 from rasterlake.functions.scalars import normalise
 
 
-#: Of the vectors of `embeddings`.
-DIMENSIONS = 64
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,8 +43,8 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normalised mean vector of each label."""
-    means = patches(spark, sf_dir).groupBy(F.col("gt").alias("class_id")).agg(*[F.avg(F.try_element_at("feat", F.lit(i + 1))).alias(f"d{i}") for i in range(DIMENSIONS)])
-    return means.select("class_id", normalise(F.array(*[f"d{i}" for i in range(DIMENSIONS)])).alias("class_feat"))
+    d = patches(spark, sf_dir).select("gt", F.posexplode("feat").alias("d", "v")).groupBy("gt", "d").agg(F.avg("v").alias("v"))  # summed within tasks first
+    return d.groupBy(F.col("gt").alias("class_id")).agg(normalise(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda s: s["v"])).alias("class_feat"))
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:

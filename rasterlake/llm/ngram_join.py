@@ -15,7 +15,7 @@ from pyspark.sql import window as W
 from rasterlake.llm import key_filter
 from rasterlake.llm.components import components
 from rasterlake.llm.scratch import drop, stage
-from rasterlake.llm.words import blocks, combine, mix, split_words, text_buffer, windows
+from rasterlake.llm.words import blocks, combine, mix, split_words, text_buffer, windows, word_numbers
 
 #: Counters of the document frequencies that order n-grams, as powers of 2: at the least, 4 MB of counts
 #: a task and 1 MB as broadcast, and at the most, four times that, which 64 GB of text and more get.
@@ -32,27 +32,86 @@ SIGNATURE = 8
 _BLOCK_GRAMS, _BLOCK_SETS, _SPREAD, _COLUMNS = 1 << 19, 768, 6, 1024
 
 
-def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-gram hashes of each text and their rows, sorted by row and hash."""
-    raw, at = text_buffer(texts)
-    hashes, _, _, offsets = split_words(raw, at, lower=True)
+#: The word hash that names of sets are checked with, independent of that of the n-grams.
+_SECOND = 0x5851F42D4C957F2D
+
+
+def _hashed(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's k-word n-grams, and the whole sequence of a text of fewer words: hashes, rows and numbers of words."""
     grams, rows = windows(hashes, offsets, k)
     counts = np.diff(offsets)
-    few = [np.zeros(0, np.uint64)]
-    few_rows = [np.zeros(0, np.int64)]
-    for m in range(1, k):  # fewer words: the whole sequence as one n-gram
+    found = [(grams, rows, np.full(len(rows), k))]
+    for m in range(1, k):
         r = np.flatnonzero(counts == m)
         h = mix(hashes[offsets[r]] ^ np.uint64(m))
         for i in range(1, m):
             h = combine(h, hashes[offsets[r] + i])
-        few.append(h)
-        few_rows.append(r)
-    grams, rows = np.concatenate([grams, *few]), np.concatenate([rows, *few_rows])
+        found.append((h, r, np.full(len(r), m)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _distinct(grams: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the distinct n-grams of each row, by row and hash."""
     order = np.lexsort((grams, rows))
-    grams, rows = grams[order], rows[order]
-    keep = np.ones(len(grams), bool)
-    keep[1:] = (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1])
-    return grams[keep], rows[keep]
+    g, r = grams[order], rows[order]
+    keep = np.ones(len(g), bool)
+    keep[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
+    return order[keep]
+
+
+def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-gram hashes of each text and their rows, sorted by row and hash."""
+    hashes, _, _, offsets = split_words(*text_buffer(texts), lower=True)
+    grams, rows, _ = _hashed(hashes, offsets, k)
+    at = _distinct(grams, rows)
+    return grams[at], rows[at]
+
+
+def _sets_and_checks(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_sets`, and a number of each row's set that comes from its words by another hash."""
+    buffer = text_buffer(texts)
+    hashes, _, _, offsets = split_words(*buffer, lower=True)
+    grams, rows, _ = _hashed(hashes, offsets, k)
+    at = _distinct(grams, rows)
+    other = mix(_hashed(split_words(*buffer, lower=True, salt=_SECOND)[0], offsets, k)[0][at])
+    n = np.bincount(rows[at], minlength=len(texts))
+    check = np.zeros(len(texts), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        with np.errstate(over="ignore"):
+            check[some] = np.add.reduceat(other, (np.cumsum(n) - n)[some])
+    return grams[at], rows[at], check
+
+
+def _by_words(grams: np.ndarray, first: np.ndarray, size: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Numbers of n-grams (of `size` words from word `first` on), equal for equal words only: hashes that different words share are told apart."""
+    _, one, number = np.unique(grams, return_index=True, return_inverse=True)
+    like = one[number]
+    same = size == size[like]
+    for i in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > i)
+        same[at] &= (words[first[at] + i] == words[np.minimum(first[like[at]] + i, len(words) - 1)]) | ~same[at]
+    if same.all():
+        return number
+    table = np.full((len(grams), int(size.max()) + 1), -1)
+    table[:, 0] = size
+    for i in range(table.shape[1] - 1):
+        table[size > i, i + 1] = words[first[size > i] + i]
+    return np.unique(table, axis=0, return_inverse=True)[1].ravel()
+
+
+def _sets_by_words(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `_sets`, but n-grams are numbers within these texts, equal for equal words only, whatever their hashes."""
+    raw, cut = text_buffer(texts)
+    hashes, s, e, offsets = split_words(raw, cut, lower=True)
+    grams, rows, size = _hashed(hashes, offsets, k)
+    n = np.bincount(rows, minlength=len(texts))
+    order = np.argsort(rows, kind="stable")
+    grams, rows, size = grams[order], rows[order], size[order]
+    first = offsets[rows] + np.arange(len(rows)) - (np.cumsum(n) - n)[rows]
+    numbers = _by_words(grams, first, size, word_numbers(raw, s, e, lower=True))
+    at = _distinct(numbers, rows)
+    return numbers[at], rows[at]
 
 
 def _bucket(grams: np.ndarray, bits: int) -> np.ndarray:
@@ -98,15 +157,14 @@ def _sketch_bits(docs: DataFrame) -> int:
     return int(np.clip(SKETCH_BITS[0] + int(np.log2(max(size, 1) / 2**32)) // 2, *SKETCH_BITS))
 
 
-def _names(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> tuple[pa.Array, pa.Array]:
-    """A name of each set of so many bits, and 64 bits more of the same digest."""
-    digests = b"".join(hashlib.blake2b(grams[a:b].tobytes(), digest_size=16).digest() for a, b in zip(starts, ends, strict=True))
-    both = np.frombuffer(digests, np.int64).reshape(-1, 2)
-    return pa.array(both[:, 0] >> (64 - bits)), pa.array(both[:, 1])
+def _names(grams: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> pa.Array:
+    """A name of each set of so many bits, by its hashed n-grams."""
+    digests = b"".join(hashlib.blake2b(grams[a:b].tobytes(), digest_size=8).digest() for a, b in zip(starts, ends, strict=True))
+    return pa.array(np.frombuffer(digests, np.int64) >> (64 - bits))
 
 
 def _told_apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
-    """Sets with one 64-bit name but different further bits get names of all 128 bits; `clashes` are such names, of a chance of 2**-64 a pair."""
+    """Sets with one name but different checks, which come from the words by another hash, get names of both; `clashes` are such names."""
     if clashes is None:
         return rows
     marked = rows.join(F.broadcast(clashes.withColumn("clash", F.lit(True))), "sid", "left")
@@ -121,7 +179,7 @@ def _describe(docs: DataFrame, k: int, percent: int, bits: int, name_bits: int)
         for batch in batches:
             for start, texts in blocks(batch.column(1)):
                 n_rows = len(texts)
-                grams, rows = _sets(texts, k)
+                grams, rows, check = _sets_and_checks(texts, k)
                 n = np.bincount(rows, minlength=n_rows)
                 ends = np.cumsum(n)
                 starts = ends - n
@@ -132,7 +190,7 @@ def _describe(docs: DataFrame, k: int, percent: int, bits: int, name_bits: int)
                 length = n - (n * percent + 99) // 100 + (n > 0)
                 first = (np.arange(len(grams)) - starts[rows]) < length[rows]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(grams[order][first].view(np.int64)))
-                columns = [batch.column(0).slice(start, n_rows), batch.column(2).slice(start, n_rows), pa.array(n.astype(np.int32)), *_names(grams, starts, ends, name_bits), *[pa.array(signature[:, i]) for i in range(SIGNATURE)], prefix]
+                columns = [batch.column(0).slice(start, n_rows), batch.column(2).slice(start, n_rows), pa.array(n.astype(np.int32)), _names(grams, starts, ends, name_bits), pa.array(check.view(np.int64)), *[pa.array(signature[:, i]) for i in range(SIGNATURE)], prefix]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "n", "sid", "more", *[f"s{i}" for i in range(SIGNATURE)], "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
@@ -244,10 +302,12 @@ def _verify(texts: DataFrame, k: int, percent: int) -> DataFrame:
         for start, end in zip(starts, np.append(starts[1:], len(b)), strict=True):
             if not pivot[start]:
                 continue
-            one, _ = _sets(texts_.slice(start, 1), k)
+            pivot_text = texts_.slice(start, 1)
             at = start + int(pivot[start:end].sum())  # a repeated row repeats its pivot
             for first, some in blocks(texts_.slice(at, end - at)):
-                grams, rows = _sets(some, k)
+                grams, rows = _sets_by_words(pa.concat_arrays([pivot_text, some]), k)
+                size = int(np.searchsorted(rows, 1))
+                one, grams, rows = grams[:size], grams[size:], rows[size:] - 1
                 n = np.bincount(rows, minlength=len(some))
                 place = np.minimum(np.searchsorted(one, grams), len(one) - 1)
                 common = np.bincount(rows[one[place] == grams], minlength=len(some))
@@ -314,8 +374,7 @@ def _count_links(texts: DataFrame, comps: DataFrame, info: DataFrame, k: int, pe
     def count(table: pa.Table) -> pa.Table:
         sid, first = np.unique(table["sid"].to_numpy(), return_index=True)  # a repeated row repeats its set
         texts_ = table["text"].combine_chunks().take(pa.array(first))
-        parts = [(start + rows, grams) for start, some in blocks(texts_) for grams, rows in [_sets(some, k)]]
-        row, grams = np.concatenate([r for r, _ in parts]), np.concatenate([g for _, g in parts])
+        grams, row = _sets_by_words(texts_, k)
         n = np.bincount(row, minlength=len(sid))
         common = _common(row, grams, len(sid))
         linked = common * 100 >= (n[:, None] + n[None, :] - common) * percent
@@ -334,8 +393,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     Returns per input row the id, `n_shingles`, `set_id` (documents with the same set share it),
     `n_links` (all links to other sets), `component_id` (the smallest id that links reach) and
-    `text_hash`; without `count_links` no `n_links`. Sets are told apart by 128 bits: `name_bits`
-    name them, and the rest of the digest tells those apart that meet in a name.
+    `text_hash`; without `count_links` no `n_links`. Links are verified and counted on the words
+    themselves. A set's name has `name_bits` bits of a digest of its n-grams' hashes, and sets that
+    meet in a name are told apart by 64 bits of another hash of their words.
     Lower-cased ASCII, whole texts. A text of fewer than k words is one n-gram; a text without
     words, or null, has none and is linked with nothing. Repeated rows share a set. A null id
     takes part, but is never a component's id unless the group has no other.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rasterlake.llm import key_filter
 from rasterlake.llm.fm_index import FMIndex
 from rasterlake.llm.scratch import drop, stage
-from rasterlake.llm.words import blocks, combine, mix, powers, slices, spaced, split_words, text_buffer, windows
+from rasterlake.llm.words import blocks, combine, slices, spaced, split_words, text_buffer, windows
 
 #: Words of an anchor; a window's anchor is its least-hashed run of so many words.
 ANCHOR = 10
@@ -94,18 +94,16 @@ def _base(docs: DataFrame, kind: str, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, text_key long, n_words long, all_sha256 binary, anchors array<long>")
 
 
-def _digests(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of the words from each start to each end."""
-    up, down = powers(len(hashes) + 1)
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)])])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)).view(np.int64)
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """128 bits of a cryptographic digest of the bytes from each start to each end."""
+    view = memoryview(np.ascontiguousarray(data))
+    return pa.array([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
 
 
 def _segments(docs: DataFrame, kind: str, once: DataFrame, repeated: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """The words around each anchor that more than one document has: places, and words.
 
-    Places have `id, text_key, anchor, first, digest` (64 bits of the words), a row for each; words
+    Places have `id, text_key, anchor, first, digest` (of the words, 128 bits), a row for each; words
     have `anchor, digest, words` (with one space between), once a task for each different segment.
     Both are made from the texts when they are read. Ids that keep a text, and then the anchors made
     again from the texts, pass bitmaps of fixed size, so that no text is moved.
@@ -127,18 +125,18 @@ def _segments(docs: DataFrame, kind: str, once: DataFrame, repeated: DataFrame,
                 yield batch.column(0).slice(start, len(texts)), hashes, offsets, data, place, row, anchor, start_at, last + length
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, hashes, offsets, _, _, row, anchor, first_, end in found(batches):
-            digest = _digests(hashes, offsets[row] + first_, offsets[row] + end)
-            columns = [ids.take(pa.array(row)), pa.array(_text_keys(hashes, offsets)[row]), pa.array(anchor.view(np.int64)), pa.array(first_.astype(np.int32)), pa.array(digest)]
+        for ids, hashes, offsets, data, place, row, anchor, first_, end in found(batches):
+            digest = _digests(data, place[offsets[row] + first_], place[offsets[row] + end] - 1)
+            columns = [ids.take(pa.array(row)), pa.array(_text_keys(hashes, offsets)[row]), pa.array(anchor.view(np.int64)), pa.array(first_.astype(np.int32)), digest]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "anchor", "first", "digest"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
-        for _, hashes, offsets, data, place, row, anchor, first_, end in found(batches):
-            starts, ends = offsets[row] + first_, offsets[row] + end
-            digest = _digests(hashes, starts, ends)
+        sent: set[tuple[int, bytes]] = set()
+        for _, _, offsets, data, place, row, anchor, first_, end in found(batches):
+            starts, ends = place[offsets[row] + first_], place[offsets[row] + end] - 1
+            digest = _digests(data, starts, ends)
             new = []
-            for i, key in enumerate(zip(anchor.tolist(), digest.tolist(), strict=True)):
+            for i, key in enumerate(zip(anchor.tolist(), digest.to_pylist(), strict=True)):
                 if key not in sent:
                     sent.add(key)
                     new.append(i)
@@ -146,9 +144,9 @@ def _segments(docs: DataFrame, kind: str, once: DataFrame, repeated: DataFrame,
                 sent.clear()
             for i in range(0, len(new), 20_000):  # a long text has many
                 n = np.array(new[i : i + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[n].view(np.int64)), pa.array(digest[n]), slices(data, place[starts[n]], place[ends[n]] - 1)], names=["anchor", "digest", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[n].view(np.int64)), digest.take(pa.array(n)), slices(data, starts[n], ends[n])], names=["anchor", "digest", "words"])
 
-    return docs.mapInArrow(places, f"id {kind}, text_key long, anchor long, first int, digest long"), docs.mapInArrow(words, "anchor long, digest long, words binary")
+    return docs.mapInArrow(places, f"id {kind}, text_key long, anchor long, first int, digest binary"), docs.mapInArrow(words, "anchor long, digest binary, words binary")
 
 
 def _split(rows: DataFrame, kind: str, length: int) -> DataFrame:
@@ -184,16 +182,18 @@ def _earlier(words: DataFrame, least: DataFrame, kind: str, shards: int, length:
     and the document array tells the smallest id of them.
     """
 
-    def in_order(table: pa.Table) -> np.ndarray:
-        """Rows by anchor and digest, one of each."""
-        anchor, digest = table["anchor"].to_numpy(), table["digest"].to_numpy()
-        order = np.lexsort((digest, anchor))
-        a, d = anchor[order], digest[order]
-        return order[np.concatenate([[True], (a[1:] != a[:-1]) | (d[1:] != d[:-1])])]
+    def in_order(table: pa.Table) -> pa.Table:
+        """Rows by anchor and digest, one of each; those of one digest are compared by their words."""
+        table = table.combine_chunks().sort_by([("anchor", "ascending"), ("digest", "ascending")])
+        same = pc.and_(*[pc.equal(table[c][1:], table[c][:-1]) for c in ("anchor", "digest")]) if table.num_rows > 1 else pa.array([], pa.bool_())
+        if "words" in table.column_names and pc.any(pc.and_(same, pc.not_equal(table["words"][1:], table["words"][:-1]))).as_py():
+            raise RuntimeError("one digest of different words")
+        first = np.ones(table.num_rows, bool)
+        first[1:] = ~same.to_numpy(zero_copy_only=False) if isinstance(same, pa.Array) else ~same.to_numpy()
+        return table.filter(pa.array(first))
 
     def search(texts: pa.Table, table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(in_order(table)))
-        texts = texts.take(pa.array(in_order(texts)))
+        table, texts = in_order(table), in_order(texts)
         if not (texts["anchor"].equals(table["anchor"]) and texts["digest"].equals(table["digest"])):
             raise RuntimeError("places and words of segments differ")  # both are made from the same texts
         lists = pc.split_pattern(texts["words"].combine_chunks(), " ")
@@ -211,7 +211,7 @@ def _earlier(words: DataFrame, least: DataFrame, kind: str, shards: int, length:
 
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     one, other = words.select(shard, "anchor", "digest", "words"), least.select(shard, "anchor", "digest", "least")
-    return one.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(search, f"anchor long, digest long, least {kind}, n int, runs array<struct<a: int, b: int>>")
+    return one.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(search, f"anchor long, digest binary, least {kind}, n int, runs array<struct<a: int, b: int>>")
 
 
 def _texts_once(base: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def repeated_windows(docs: DataFrame, base: DataFrame, length: int = 50) -> Data
     if hot.limit(1).count():
         words = stage(words, "words")
         few = places.join(hot, "anchor").join(words.join(hot, "anchor").dropDuplicates(["anchor", "digest"]), ["anchor", "digest"])
-        split = _split(few.select("id", "text_key", "anchor", "first", "words"), kind, length).withColumn("digest", F.xxhash64("words"))
+        split = _split(few.select("id", "text_key", "anchor", "first", "words"), kind, length).withColumn("digest", F.unhex(F.substring(F.sha2("words", 256), 1, 32)))
         split = stage(split, "split")
         windows_ = stage(split.groupBy("anchor", "digest").agg(F.first("words").alias("words"), F.min("id").alias("least")), "windows")
         used += [words, split, windows_]
@@ -285,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of `length` words over it also starts in a document with a smaller
     id, of whatever type ids are. Null and empty texts have no words. Rows that repeat an id are
     one document, so none removes from another; rows with a null id neither lose words nor make
-    others lose any. Windows are compared by their words.
+    others lose any. Segments of text are told apart by 128 bits of a cryptographic digest of their words, and windows by the words themselves.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()

@@ -9,35 +9,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: dict[str, np.ndarray] = {}
+#: Masks of the first i bytes of 8.
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 #: Bytes of text worked on at a time; a longer document is a block alone, and its words are hashed
 #: part by part, so that what is held for it is a few numbers a word and not a byte.
 BLOCK_BYTES = 1 << 20
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; those of a part's usual size are kept."""
-    have = _POWERS.get("up")
-    if have is not None and len(have) >= n:
-        return have, _POWERS["down"]
-    size = max(n, BLOCK_BYTES + (1 << 16))
-    made = []
-    with np.errstate(over="ignore"):
-        for step in (_BASE, _INVERSE):
-            out = np.full(size, step, dtype=np.uint64)
-            out[0] = 1
-            made.append(np.multiply.accumulate(out, out=out))
-    if size == BLOCK_BYTES + (1 << 16):
-        _POWERS.update(up=made[0], down=made[1])
-    return made[0], made[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that low bits depend on all bits."""
     with np.errstate(over="ignore"):
@@ -81,34 +64,58 @@ def _cuts(raw: np.ndarray) -> list[int]:
     return [*cuts, len(raw)]
 
 
-def split_words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hash_slices(raw: np.ndarray, s: np.ndarray, e: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each raw[s:e]: its blocks of 8 bytes, each mixed with its place first, then added and mixed with the length.
+
+    Slices of up to 8 bytes and one length never meet. Another `salt` is another function.
+    """
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    n = e - s
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))  # the 8 bytes from each place on
+    with np.errstate(over="ignore"):
+        key = mix(np.arange(1, ((int(n.max()) + 7) >> 3) + 1, dtype=np.uint64) * _BASE + np.uint64(salt))
+        total = mix((eight[s] & _LOW[np.minimum(n, 8)]) ^ key[0])
+        longer = np.flatnonzero(n > 8)
+        if len(longer):
+            more = (n[longer] - 1) >> 3
+            ends = np.cumsum(more)
+            j = np.arange(ends[-1]) - np.repeat(ends - more, more) + 1
+            at = np.repeat(s[longer], more) + 8 * j
+            block = eight[at] & _LOW[np.minimum(np.repeat(e[longer], more) - at, 8)]
+            total[longer] += np.add.reduceat(mix(block ^ key[j]), ends - more)
+        return mix(total ^ (n.astype(np.uint64) * _BASE))
+
+
+def split_words(raw: np.ndarray, at: np.ndarray, lower: bool = False, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, byte starts and ends, and n+1 word offsets of the documents."""
     cuts = _cuts(raw)
     parts = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         inside = at[np.searchsorted(at, a, side="right") : np.searchsorted(at, b)] - a
-        hashes, s, e = _split_part(raw[a:b], inside, lower)
-        parts.append((hashes, s + a, e + a) if a else (hashes, s, e))
+        part = _LOWER[raw[a:b]] if lower else raw[a:b]
+        s, e = _bounds(part, inside)
+        parts.append((hash_slices(part, s, e, salt), s + a, e + a) if a else (hash_slices(part, s, e, salt), s, e))
     hashes, s, e = parts[0] if len(parts) == 1 else [np.concatenate(x) for x in zip(*parts, strict=True)]
     return hashes, s, e, np.searchsorted(s, at)
 
 
-def _split_part(raw: np.ndarray, cut: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if lower:
-        raw = _LOWER[raw]
+def _bounds(raw: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~_SPACE[raw]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]
     begins[cut] |= word[cut]
     ends[cut - 1] |= word[cut - 1]
-    s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-        hashes = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-    return hashes, s, e
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_numbers(raw: np.ndarray, s: np.ndarray, e: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A number of each word, the same for the same bytes only."""
+    data, at = spaced(_LOWER[raw] if lower else raw, s, e)
+    words = pa.Array.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+    return words.dictionary_encode().indices.to_numpy()
 
 
 def spaced(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

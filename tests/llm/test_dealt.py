@@ -508,9 +508,9 @@ def test_substring_dedup_of_awkward_rows(spark, awkward):
 def test_substring_dedup_tells_words_with_near_hashes_apart(spark):
     """Two words whose hashes agree in 32 bits: windows that differ in them alone are different."""
     tail = " ".join(f"q0_{i}" for i in range(49))
-    hashes, _, _, _ = split_words(*text_buffer(pa.array(["w10615 w65804"])))
+    hashes, _, _, _ = split_words(*text_buffer(pa.array(["w47314 w190805"])))
     assert hashes[0] & np.uint64(0xFFFFFFFF) == hashes[1] & np.uint64(0xFFFFFFFF)
-    df = spark.createDataFrame([(1, f"w10615 {tail}"), (2, f"w65804 {tail}"), (3, f"w10615 {tail}")], "doc_id long, text string")
+    df = spark.createDataFrame([(1, f"w47314 {tail}"), (2, f"w190805 {tail}"), (3, f"w47314 {tail}")], "doc_id long, text string")
     assert {x["doc_id"]: x["n_removed"] for x in substring_dedup.remove_repeats(df).collect()} == {1: 0, 2: 0, 3: 50}
 
 
@@ -667,3 +667,49 @@ def test_memory_of_a_very_long_text(what):
     assert done.returncode == 0, done.stderr
     size, before, peak = map(int, done.stdout.split()[-3:])
     assert peak - before + size < 1024, (size, before, peak)
+
+
+def thue_morse(n, a, b):
+    """Two words of n bytes whose polynomial hashes modulo 2^64 are equal for any odd base."""
+    flip = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(b if f else a for f in flip), "".join(a if f else b for f in flip)
+
+
+def test_words_with_one_polynomial_hash_are_told_apart(spark):
+    one, other = thue_morse(1024, "a", "b")
+    tail = " ".join(f"q{i}" for i in range(49))
+    few = spark.createDataFrame([(1, f"{one} x y"), (2, f"{other} x y"), (3, f"{one} X y")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(few, 3, 90).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    long_ = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"{one} {tail}")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(long_).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_ngrams_whose_hashes_meet_are_told_apart_by_their_words():
+    texts = pa.array(["a b c d", "a b x d", "a b", "a b c d a b c"])
+    raw, cut = text_buffer(texts)
+    hashes, s, e, offsets = split_words(raw, cut, lower=True)
+    _, rows, size = ngram_join._hashed(hashes, offsets, 3)
+    order = np.argsort(rows, kind="stable")
+    rows, size = rows[order], size[order]
+    n = np.bincount(rows)
+    first = offsets[rows] + np.arange(len(rows)) - (np.cumsum(n) - n)[rows]
+    numbers = ngram_join._by_words(np.zeros(len(rows), np.uint64), first, size, ngram_join.word_numbers(raw, s, e))
+    found = [tuple(raw[s[f] : e[f + m - 1]].tobytes() for f, m in [(f, m)])[0] for f, m in zip(first, size, strict=True)]
+    assert len(set(numbers)) == len(set(found)) == len(set(zip(numbers, found, strict=True)))
+
+
+def test_slices_of_one_hash_are_equal():
+    raw = np.frombuffer(b"abcdefghi abcdefgh abcdefghi abcdefg\0 abcdefghijklmnopqrstuvwxyz abcdefghijklmnopqrstuvwxyY", np.uint8)
+    s, e = words_bounds(raw)
+    from rasterlake.llm.words import hash_slices
+    hashes = hash_slices(raw, s, e)
+    texts = [raw[a:b].tobytes() for a, b in zip(s, e, strict=True)]
+    assert len(set(hashes.tolist())) == len(set(texts))
+    assert not set(hashes.tolist()) & set(hash_slices(raw, s, e, 5).tolist())
+
+
+def words_bounds(raw):
+    spaces = np.flatnonzero(np.concatenate([[32], raw, [32]]) == 32)
+    return spaces[:-1], spaces[1:] - 1

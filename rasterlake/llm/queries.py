@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import bpe, exact_dedup, html_text, license_scan, mixing, ngram_join, pii, quality_fm, quality_rules, substring_dedup
+from rasterlake.llm import bpe, exact_dedup, hard_negatives, html_text, license_scan, mixing, ngram_join, pii, quality_fm, quality_rules, resampling, substring_dedup, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -57,8 +57,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times", "weight")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int")
+    return hard_negatives.mine(rows.withColumn("label", label)).drop("blocks_read")
+
+
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality_fm": op3_quality_fm, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_license_scan": op5_license_scan, "op6_pii": op6_pii, "op7_html_text": op7_html_text, "op8_host_rules": op8_host_rules, "op9_substring_dedup": op9_substring_dedup, "op10_mixing": op10_mixing}
+    return {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op3_quality_fm": op3_quality_fm, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_license_scan": op5_license_scan, "op6_pii": op6_pii, "op7_html_text": op7_html_text, "op8_host_rules": op8_host_rules, "op9_substring_dedup": op9_substring_dedup, "op10_mixing": op10_mixing, "op11_toxicity": op11_toxicity, "op12_resampling": op12_resampling, "op13_hard_negatives": op13_hard_negatives}
 
 
 OP2_SQL = r"""
@@ -145,5 +159,38 @@ from d left join r on d.doc_id = r.doc_id
 """
 
 
+#: CRC-32 by its table of 256 remainders, which the SQL makes.
+OP12_SQL = r"""
+with crc as (select list(c order by i) as t from (select i, list_reduce([i]::bigint[] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as i))),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+f as (select doc_id, unnest(w) as w from d),
+g as (select unnest(w) as w from b),
+v as (select w, hex(encode(w)) as h from (select w from f union select w from g)),
+k as (select w, xor(list_reduce([4294967295]::bigint[] || list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 as bucket from v, crc),
+s as (select bucket, count(*) as s from f join k using (w) group by bucket),
+t as (select bucket, count(*) as t from g join k using (w) group by bucket),
+big as (select coalesce((select sum(s) from s), 0)::double as s, coalesce((select sum(t) from t), 0)::double as t),
+gain as (select x.bucket, floor(1000 * ln((coalesce(t.t, 0)::double + 1) * (big.s + 10000.0::double) / ((coalesce(s.s, 0)::double + 1) * (big.t + 10000.0::double))))::bigint as gain
+  from (select distinct bucket from k) x left join s on s.bucket = x.bucket left join t on t.bucket = x.bucket, big),
+w as (select doc_id, sum(gain)::bigint as weight from f join k using (w) join gain using (bucket) group by doc_id),
+r as (select d.doc_id, len(d.w)::bigint as n_words, coalesce(weight, 0)::bigint as weight, coalesce(weight, 0)::bigint
+    + floor(-1000::double * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id::varchar), 1, 8))::bigint::double + 0.5::double) / 4294967296.0::double)))::bigint as score from d left join w on w.doc_id = d.doc_id),
+o as (select doc_id, row_number() over (order by score desc, doc_id) as rank from r where n_words >= 20)
+select r.doc_id, n_words, n_words as n_features, weight, score, case when rank <= (select 10 * count(*) // 100 from o) then rank end as rank from r left join o on o.doc_id = r.doc_id
+"""
+
+
+OP13_SQL = r"""
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q from embeddings
+    where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select a.vec_id as a, a.label as al, b.vec_id as b, b.label as bl, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::bigint as score from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (select a, al, b, score, row_number() over (partition by a order by score desc, b) as nth from s where al = bl),
+n as (select p.a, p.b as p, p.score as ps, s.b as n, s.score as ns, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank
+  from p join s on p.nth <= 5 and s.a = p.a and s.bl <> p.al and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select a as anchor_id, p as positive_id, rank::int as rank, n as negative_id, ps as positive_score, ns as negative_score from n where rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op5_license_scan": OP5_SQL, "op8_host_rules": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_license_scan": OP5_SQL, "op8_host_rules": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op10_mixing": OP10_SQL, "op12_resampling": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -94,19 +94,23 @@ def _base(docs: DataFrame, kind: str, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, text_key long, n_words long, all_sha256 binary, anchors array<long>")
 
 
-def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """128 bits of a cryptographic digest of the bytes from each start to each end."""
+def _digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the bytes from each start to each end, two numbers of 64 bits of one cryptographic digest."""
     view = memoryview(np.ascontiguousarray(data))
-    return pa.array([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+    both = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    both = np.frombuffer(both, np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _segments(docs: DataFrame, kind: str, once: DataFrame, repeated: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """The words around each anchor that more than one document has: places, and words.
 
-    Places have `id, text_key, anchor, first, digest` (of the words, 128 bits), a row for each; words
+    Places have `id, text_key, anchor, first, digest` (of the words), a row for each; words
     have `anchor, digest, words` (with one space between), once a task for each different segment.
     Both are made from the texts when they are read. Ids that keep a text, and then the anchors made
-    again from the texts, pass bitmaps of fixed size, so that no text is moved.
+    again from the texts, pass bitmaps of fixed size, so that no text is moved. Segments of one anchor
+    and digest are compared: in a task by 64 bits more, in their shard by the words. Should any differ,
+    the job ends with an error.
     """
     bits = key_filter.BITS
     first = docs.sparkSession.sparkContext.broadcast(key_filter.collect(once.select(key_filter.place("id").alias("at"))))
@@ -126,27 +130,29 @@ def _segments(docs: DataFrame, kind: str, once: DataFrame, repeated: DataFrame,
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashes, offsets, data, place, row, anchor, first_, end in found(batches):
-            digest = _digests(data, place[offsets[row] + first_], place[offsets[row] + end] - 1)
-            columns = [ids.take(pa.array(row)), pa.array(_text_keys(hashes, offsets)[row]), pa.array(anchor.view(np.int64)), pa.array(first_.astype(np.int32)), digest]
+            digest, _ = _digests(data, place[offsets[row] + first_], place[offsets[row] + end] - 1)
+            columns = [ids.take(pa.array(row)), pa.array(_text_keys(hashes, offsets)[row]), pa.array(anchor.view(np.int64)), pa.array(first_.astype(np.int32)), pa.array(digest)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_key", "anchor", "first", "digest"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, bytes]] = set()
+        sent: dict[tuple[int, int], int] = {}
         for _, _, offsets, data, place, row, anchor, first_, end in found(batches):
             starts, ends = place[offsets[row] + first_], place[offsets[row] + end] - 1
-            digest = _digests(data, starts, ends)
+            digest, more = _digests(data, starts, ends)
             new = []
-            for i, key in enumerate(zip(anchor.tolist(), digest.to_pylist(), strict=True)):
+            for i, (key, check) in enumerate(zip(zip(anchor.tolist(), digest.tolist(), strict=True), more.tolist(), strict=True)):
                 if key not in sent:
-                    sent.add(key)
+                    sent[key] = check
                     new.append(i)
+                elif sent[key] != check:
+                    raise RuntimeError("one digest of different words")
             if len(sent) > SENT:
                 sent.clear()
             for i in range(0, len(new), 20_000):  # a long text has many
                 n = np.array(new[i : i + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[n].view(np.int64)), digest.take(pa.array(n)), slices(data, starts[n], ends[n])], names=["anchor", "digest", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[n].view(np.int64)), pa.array(digest[n]), slices(data, starts[n], ends[n])], names=["anchor", "digest", "words"])
 
-    return docs.mapInArrow(places, f"id {kind}, text_key long, anchor long, first int, digest binary"), docs.mapInArrow(words, "anchor long, digest binary, words binary")
+    return docs.mapInArrow(places, f"id {kind}, text_key long, anchor long, first int, digest long"), docs.mapInArrow(words, "anchor long, digest long, words binary")
 
 
 def _split(rows: DataFrame, kind: str, length: int) -> DataFrame:
@@ -211,7 +217,7 @@ def _earlier(words: DataFrame, least: DataFrame, kind: str, shards: int, length:
 
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
     one, other = words.select(shard, "anchor", "digest", "words"), least.select(shard, "anchor", "digest", "least")
-    return one.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(search, f"anchor long, digest binary, least {kind}, n int, runs array<struct<a: int, b: int>>")
+    return one.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(search, f"anchor long, digest long, least {kind}, n int, runs array<struct<a: int, b: int>>")
 
 
 def _texts_once(base: DataFrame) -> DataFrame:
@@ -249,7 +255,7 @@ def repeated_windows(docs: DataFrame, base: DataFrame, length: int = 50) -> Data
     if hot.limit(1).count():
         words = stage(words, "words")
         few = places.join(hot, "anchor").join(words.join(hot, "anchor").dropDuplicates(["anchor", "digest"]), ["anchor", "digest"])
-        split = _split(few.select("id", "text_key", "anchor", "first", "words"), kind, length).withColumn("digest", F.unhex(F.substring(F.sha2("words", 256), 1, 32)))
+        split = _split(few.select("id", "text_key", "anchor", "first", "words"), kind, length).withColumn("digest", F.xxhash64("words"))
         split = stage(split, "split")
         windows_ = stage(split.groupBy("anchor", "digest").agg(F.first("words").alias("words"), F.min("id").alias("least")), "windows")
         used += [words, split, windows_]
@@ -285,7 +291,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes if a window of `length` words over it also starts in a document with a smaller
     id, of whatever type ids are. Null and empty texts have no words. Rows that repeat an id are
     one document, so none removes from another; rows with a null id neither lose words nor make
-    others lose any. Segments of text are told apart by 128 bits of a cryptographic digest of their words, and windows by the words themselves.
+    others lose any. Segments of text that meet in a digest are compared, and windows are told apart by the words themselves.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from rasterlake.functions.scalars import affinity, clamp_power, dot, lab, normalise, squared_distance
+from rasterlake.operators.propagation import propagate, refine_pixels
 from rasterlake.sources.scratch import stage
 
 #: Tile edge of the pixel graph, in pixels.
 TILE = 64
-#: Blocks of nodes that a graph's few scalars are repeated for, so that no join has one graph as one key.
-NODE_BLOCKS = 32
 
 
 def zero_shot_scores(patches: DataFrame, classes: DataFrame, keys: list[str], temperature: float | None = None) -> DataFrame:
@@ -161,34 +160,6 @@ def laplacian(x: DataFrame, edges: DataFrame, alpha: float, value: str = "x") ->
     return x.join(summed, ["graph_id", "node", "class_id"], "left").withColumn("lx", F.col(value) - alpha * F.coalesce("__s", F.lit(0.0))).drop("__s")
 
 
-def propagate(edges: DataFrame, start: DataFrame, alpha: float = 0.95, iterations: int = 10, tol: float = 1e-6) -> DataFrame:
-    """Solves (I - alpha W) x = y by conjugate gradients, `iterations` at most, by graph and class at once.
-
-    `edges` are normalised; `start` has graph_id, node, class_id, y. A step is one edge join and
-    two sums by graph and class; the state is written twice a step, which cuts the lineage. The
-    sums go back to the nodes by graph, class and block of nodes, so that a graph of any size is
-    spread over tasks. A system that has converged, or is all zero, stops changing (its step is 0).
-    """
-    edges = stage(edges.repartition("graph_id", "dst"), "edges")
-    block = F.pmod(F.xxhash64("node"), F.lit(NODE_BLOCKS)).cast("int")
-    state = start.select("graph_id", "node", "class_id", F.lit(0.0).alias("x"), F.col("y").alias("r"), F.col("y").alias("p"), block.alias("block"))
-    state = stage(state, "cg")
-    keys = ["graph_id", "class_id"]
-    every = F.explode(F.sequence(F.lit(0), F.lit(NODE_BLOCKS - 1))).alias("block")
-    limit = stage(state.groupBy(*keys).agg((F.sum(F.col("r") * F.col("r")) * tol * tol).alias("limit")), "cg-limit")
-    for _ in range(iterations):
-        q = laplacian(state, edges, alpha, "p").withColumnRenamed("lx", "q")
-        q = stage(q, "cg-q")
-        sums = q.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("rho"), F.sum(F.col("p") * F.col("q")).alias("pq")).join(limit, keys)
-        step = F.when(F.col("rho") <= F.col("limit"), 0.0).otherwise(F.coalesce(F.try_divide("rho", "pq"), F.lit(0.0)))
-        moved = q.join(sums.select(*keys, "rho", step.alias("a"), every), [*keys, "block"])
-        moved = moved.withColumn("x", F.col("x") + F.col("a") * F.col("p")).withColumn("r", F.col("r") - F.col("a") * F.col("q"))
-        after = moved.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("rho2"))
-        state = moved.join(after.select(*keys, "rho2", every), [*keys, "block"]).withColumn("p", F.col("r") + F.coalesce(F.try_divide("rho2", "rho"), F.lit(0.0)) * F.col("p"))
-        state = stage(state.select("graph_id", "node", "class_id", "x", "r", "p", "block"), "cg")
-    return state.select("graph_id", "node", "class_id", "x")
-
-
 def propagate_in_groups(edges: DataFrame, start: DataFrame, alpha: float = 0.95, iterations: int = 10, tol: float = 1e-6) -> DataFrame:
     """`propagate` with one task a graph: for many graphs of at most some thousand nodes each."""
 
@@ -302,14 +273,6 @@ def tta_merge(views: DataFrame, keys: tuple[str, ...] = ("image_id", "y", "x", "
     return views.withColumn("x", x).withColumn("y", y).groupBy(*keys).agg(F.avg("score").alias("score"))
 
 
-def refine_pixels(scores: DataFrame, pixels: DataFrame, neigh: int = 6, tau: float = 0.01, alpha: float = 0.95, iterations: int = 10) -> DataFrame:
-    """Scores (image_id, y, x, class_id, score) propagated over the grid of pixels (image_id, y, x, r, g, b), alike in colour."""
-    edges = normalize_graph(pixel_grid_edges(pixels, neigh, tau))
-    start = scores.select(F.col("image_id").alias("graph_id"), (F.col("y") * 100000 + F.col("x")).cast("long").alias("node"), "class_id", F.col("score").alias("y"))
-    out = propagate(edges, start, alpha, iterations)
-    return out.select(F.col("graph_id").alias("image_id"), F.floor(F.col("node") / 100000).alias("y"), (F.col("node") % 100000).alias("x"), "class_id", F.col("x").alias("score"))
-
-
 def window_scores(patches: DataFrame, classes: DataFrame, images: DataFrame, crop: int, stride: int, patch: int, k: int = 400, gamma: float = 3.0, sigma: float = 0.01, power: float = 1.0, alpha: float = 0.95, iterations: int = 10) -> DataFrame:
     """Scores of each pixel and class (image_id, y, x, class_id, score) from features of windows' patches.
 

@@ -89,7 +89,7 @@ query("g06_laplacian", duck("v_patch v_class", "select s.image_id graph_id, s.no
 query("g08_label_propagation", duck("v_patch v_class", "select graph_id, node, class_id, round(x, 4) x from s10", **KNN, **AFF, **SCORES, **CG))(lambda s, d: rounded(G.propagate(edges(s, d), starts(s, d)), 4))
 query("g08_label_propagation_grouped", duck("v_patch v_class", "select graph_id, node, class_id, round(x, 4) x from s10", **KNN, **AFF, **SCORES, **CG))(lambda s, d: rounded(G.propagate_in_groups(edges(s, d), starts(s, d)), 4))
 query("g09_patch_propagation", duck("v_patch v_class", "select graph_id image_id, node, class_id as label from (select *, row_number() over (partition by graph_id, node order by round(x, 6) desc, class_id) rk from s10) where rk = 1", **KNN, **AFF, **SCORES, **CG))(
-    lambda s, d: M.argmax_label(G.propagate_in_groups(edges(s, d), starts(s, d)).select(F.col("graph_id").alias("image_id"), "node", "class_id", F.round("x", 6).alias("score")), ["image_id", "node"]))
+    lambda s, d: M.argmax_label(G.propagate(edges(s, d), starts(s, d)).select(F.col("graph_id").alias("image_id"), "node", "class_id", F.round("x", 6).alias("score")), ["image_id", "node"]))
 query("g13_saliency_map", duck("v_patch v_class", "select image_id, node, class_id, round(coalesce((s - lo) / nullif(hi - lo, 0), 0), 6) saliency from (select *, min(s) over w lo, max(s) over w hi from (select *, greatest(score, 0.0) s from scores) window w as (partition by image_id, class_id))", **SCORES))(lambda s, d: rounded(G.saliency(V.patches(s, d), V.class_vectors(s, d))))
 query("g14_feature_fusion", duck("v_patch v_class", "select image_id, node, class_id, round((score + score * score) / 2, 6) score from scores", **SCORES))(lambda s, d: rounded(scores(s, d).select("image_id", "node", "class_id", G.fuse(F.col("score"), F.col("score") * F.col("score"), "add").alias("score"))))
 query("a26_synonym_max_reduce", duck("v_patch v_class", "select image_id, node, greatest(class_id - 2, 0) class_id, round(max(score), 6) score from scores group by image_id, node, greatest(class_id - 2, 0)", **SCORES))(lambda s, d: rounded(G.synonym_max(scores(s, d), ["image_id", "node"], 3)))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from rasterlake.operators.selection import kth_smallest, ordered_bits, smallest
+from rasterlake.sources.scratch import stage
+
 IGNORE = 255
 
 
@@ -77,41 +80,83 @@ def lovasz_softmax(probs: DataFrame, keys: list[str] | None = None, ignore: int
     """Lovasz extension of the Jaccard loss, by class over present classes (by `keys`, such as the image, first).
 
     Errors are sorted by class; the gradient is the step of the Jaccard index along that order.
-    Ties make no difference to the sum.
+    Ties make no difference to the sum. Without keys the classes of the whole corpus are sorted in
+    ranges (`_lovasz_in_ranges`); rows need `pixel`, and with it should differ.
     """
     keys = keys or []
     rows = probs.where(F.col("gt") != ignore).withColumn("fg", (F.col("class_id") == F.col("gt")).cast("double"))
     rows = rows.withColumn("err", F.abs(F.col("fg") - F.col("score")))
-    return _lovasz(rows, [*keys, "class_id"], F.desc("err")).groupBy(*keys).agg(F.avg("loss").alias("loss"))
+    each = _lovasz(rows, [*keys, "class_id"]) if keys else _lovasz_in_ranges(rows, ["class_id"])
+    return each.groupBy(*keys).agg(F.avg("loss").alias("loss"))
+
+
+def _jaccard_step(total: Column, seen: Column, count: Column) -> Column:
+    """How far the Jaccard loss moves at a row, from the foreground and rows up to it, itself included."""
+    jaccard = lambda s, n: 1 - (total - s) / (total + n - s)
+    return jaccard(seen, count) - jaccard(seen - F.col("fg"), count - 1)
 
 
-def _lovasz(rows: DataFrame, group: list[str], order: Column) -> DataFrame:
+def _lovasz(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The loss of groups that each fit a task, such as a class of one image."""
     every = W.Window.partitionBy(*group)
-    along = every.orderBy(order, "pixel").rowsBetween(W.Window.unboundedPreceding, 0)
+    along = every.orderBy(F.desc("err"), "pixel").rowsBetween(W.Window.unboundedPreceding, 0)
     rows = rows.withColumn("total", F.sum("fg").over(every)).where("total > 0")
-    seen = F.sum("fg").over(along)
-    rows = rows.withColumn("jac", 1 - (F.col("total") - seen) / (F.col("total") + F.count(F.lit(1)).over(along) - seen))
-    step = F.col("jac") - F.coalesce(F.lag("jac").over(every.orderBy(order, "pixel")), F.lit(0.0))
+    step = _jaccard_step(F.col("total"), F.sum("fg").over(along), F.count(F.lit(1)).over(along))
+    return rows.withColumn("step", step).groupBy(*group).agg(F.sum(F.greatest(F.col("err"), F.lit(0.0)) * F.col("step")).alias("loss"))
+
+
+def _lovasz_in_ranges(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The loss of groups of any size, by distributed prefix sums.
+
+    Rows go to sampled ranges of group, error and pixel and are written once, so that the ranges stay
+    what they are. What a group has in a range is counted; sums of these few counts give what lies before each
+    range, and within a range the rows of a group are summed along. No window spans a group.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*group, F.desc("err"), "pixel"]
+    rows = stage(rows.select(*group, "err", "fg", "pixel").repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(*group, "part").agg(F.sum("fg").alias("f"), F.count(F.lit(1)).alias("n"))
+    every = W.Window.partitionBy(*group)  # as many rows as there are ranges
+    before = every.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    starts = counts.select(*group, "part", F.sum("f").over(every).alias("total"), F.coalesce(F.sum("f").over(before), zero).alias("f0"), F.coalesce(F.sum("n").over(before), zero).alias("n0")).where("total > 0")
+    along = W.Window.partitionBy(*group, "part").orderBy(F.desc("err"), "pixel").rowsBetween(W.Window.unboundedPreceding, 0)
+    rows = rows.withColumn("seen", F.sum("fg").over(along)).withColumn("count", F.count(F.lit(1)).over(along)).join(starts, [*group, "part"])
+    step = _jaccard_step(F.col("total"), F.col("seen") + F.col("f0"), F.col("count") + F.col("n0"))
     return rows.withColumn("step", step).groupBy(*group).agg(F.sum(F.greatest(F.col("err"), F.lit(0.0)) * F.col("step")).alias("loss"))
 
 
-def lovasz_hinge(logits: DataFrame, keys: list[str], ignore: int = IGNORE) -> DataFrame:
-    """The binary form on logits of class 1: errors are 1 - logit * sign."""
+def lovasz_hinge(logits: DataFrame, keys: list[str] | None = None, ignore: int = IGNORE) -> DataFrame:
+    """The binary form on logits of class 1: errors are 1 - logit * sign. Without keys all pixels are one group, sorted in ranges."""
     rows = logits.where(F.col("gt") != ignore).withColumn("fg", F.col("gt").cast("double"))
     rows = rows.withColumn("err", 1 - F.col("score") * (2 * F.col("fg") - 1))
-    return _lovasz(rows, keys, F.desc("err"))
+    if keys:
+        return _lovasz(rows, keys)
+    return _lovasz_in_ranges(rows.withColumn("all", F.lit(1)), ["all"]).select("loss")
 
 
 def hard_by_threshold(df: DataFrame, thresh: float, min_kept: int, n_images: int, key: str = "pixel") -> DataFrame:
-    """Weight 1 for rows whose probability of the truth `p` is below max(thresh, the min_kept-per-image smallest)."""
-    smallest = df.select("p").orderBy("p").limit(min_kept * n_images + 1).agg(F.max("p").alias("m"))  # a top-k plan, of as many rows as the feature asks for
-    return df.join(F.broadcast(smallest)).withColumn("weight", (F.col("p") < F.greatest(F.col("m"), F.lit(thresh))).cast("double")).drop("m")  # one row
+    """Weight 1 for rows whose probability of the truth `p` is below max(thresh, the min_kept-per-image smallest).
+
+    The smallest one is found by counting bits (`selection`), whatever its rank: no sort, and nothing
+    but counts leaves the tasks. The counts are jobs of their own.
+    """
+    keys = stage(df.select(ordered_bits(F.col("p")).alias("k")), "keys")
+    k = min(min_kept * n_images + 1, keys.count())
+    found = kth_smallest(keys, "k", k)
+    bar = ordered_bits(F.lit(float(thresh)))
+    if found is not None:
+        bar = F.greatest(bar, F.lit(found[0]))
+    return df.withColumn("weight", (F.col("p").isNotNull() & (ordered_bits(F.col("p")) < bar)).cast("double"))
 
 
 def hard_by_loss(df: DataFrame, min_kept: int, n_images: int, key: str = "pixel") -> DataFrame:
-    """Weight 1 for the largest losses, `min_kept` per image in all."""
-    top = df.orderBy(F.desc("loss"), key).limit(min_kept * n_images).select(key, F.lit(1.0).alias("weight"))
-    return df.join(top, key, "left").na.fill(0.0, ["weight"])
+    """Weight 1 for the largest losses, `min_kept` per image in all, ties by smaller key (a whole number); found by counting bits, without a sort or join."""
+    loss = F.bitwise_not(ordered_bits(F.col("loss")))
+    keys = df.select(loss.alias("__loss"), F.col(key).cast("long").alias("__key"))
+    chosen = smallest(stage(keys, "keys"), min_kept * n_images)
+    rows = df.withColumn("__loss", loss).withColumn("__key", F.col(key).cast("long"))
+    return rows.withColumn("weight", chosen.cast("double")).drop("__loss", "__key")
 
 
 def uncertainty(scores: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.sources.scratch import stage
-
 #: Bits of a value that a round looks at: at most 65,536 counts reach the driver in each of four rounds.
 DIGIT = 16
 
@@ -55,27 +53,22 @@ def kth_smallest(df: DataFrame, key: str, k: int) -> tuple[int, int] | None:
     return found - (1 << 63), below
 
 
-def mark_smallest(df: DataFrame, keys: list[str], k: int, name: str = "chosen") -> DataFrame:
-    """`df` with a boolean that is true for exactly k rows (all, if fewer), the smallest by long columns in order.
+def smallest(keys: DataFrame, k: int) -> Column:
+    """A condition that is true for the k smallest rows (all, if fewer) by the long columns of `keys`, in order, and false for others.
 
-    Each key is selected by bits among the rows that tie in all keys before; of rows equal in all
-    keys every one counts alike, so the last key should be unique, or as many as are needed are
-    taken by a hash of the row and so on until none are left over. Nothing is sorted.
+    Each column is selected by bits among the rows that tie in all columns before it, so that nothing
+    is sorted, whatever k is. Rows equal in all columns count alike: where the k-th is one of several,
+    all of them are chosen, so the last column should tell rows apart. The counts are jobs of their own.
     """
     if k < 1:
-        return df.withColumn(name, F.lit(False))
+        return F.lit(False)
     chosen, tied, need = F.lit(False), F.lit(True), k
-    for key in keys:
-        found = kth_smallest(df.where(tied), key, need)
-        if found is None:
-            return df.withColumn(name, F.coalesce(chosen | tied, F.lit(False)))
+    for key in keys.columns:
+        found = kth_smallest(keys.where(tied), key, need)
+        if found is None:  # all that tie are needed
+            break
         value, below = found
         chosen = chosen | (tied & (F.col(key) < F.lit(value)))
         tied = tied & (F.col(key) == F.lit(value))
         need -= below
-    return df.withColumn(name, F.coalesce(chosen | tied, F.lit(False)))
-
-
-def with_key(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """`df` staged with a key that several rounds read."""
-    return stage(df.withColumn(name, value), "keys")
+    return chosen | tied

@@ -101,6 +101,23 @@ query("w07_lovasz_hinge", duck("v_patch", """select image_id, round(sum(greatest
   window w as (partition by image_id order by err desc, node rows between unbounded preceding and current row)) where total > 0)) group by image_id"""))(lambda s, d: rounded(X.lovasz_hinge(V.patches(s, d).select("image_id", F.col("node").alias("pixel"), (F.col("gt") < 5).cast("int").alias("gt"), (F.element_at("feat", 1) * 10).alias("score")), ["image_id"])))
 
 
+
+def numbered_probs(spark, sf):
+    return probs(spark, sf).withColumn("pixel", F.col("image_id") * 100 + F.col("node"))
+
+
+def binary_logits(spark, sf):
+    return V.patches(spark, sf).select("image_id", (F.col("image_id") * 100 + F.col("node")).alias("pixel"), (F.col("gt") < 5).cast("int").alias("gt"), (F.element_at("feat", 1) * 10).alias("score"))
+
+
+query("w06_lovasz_softmax_corpus", duck("v_patch v_class", """select round(avg(l), 6) loss from (select class_id, sum(err * (jac - coalesce(pj, 0))) l from (select *, lag(jac) over (partition by class_id order by err desc, image_id, node) pj from
+  (select *, 1 - (total - seen) / (total + k - seen) jac from (select *, sum(fg) over (partition by class_id) total, sum(fg) over w seen, count(*) over w k from (select *, abs(fg - score) err from (select *, case when class_id = gt then 1.0::double else 0.0::double end fg from probs))
+  window w as (partition by class_id order by err desc, image_id, node rows between unbounded preceding and current row)) where total > 0)) group by 1)""", **SCORES, **LOGP, **PROBS))(lambda s, d: rounded(X.lovasz_softmax(numbered_probs(s, d))))
+query("w07_lovasz_hinge_corpus", duck("v_patch", """select round(sum(greatest(err, 0.0) * (jac - coalesce(pj, 0))), 6) loss from (select *, lag(jac) over (order by err desc, image_id, node) pj from
+  (select *, 1 - (total - seen) / (total + k - seen) jac from (select *, sum(fg) over () total, sum(fg) over w seen, count(*) over w k from (select *, 1 - score * (2 * fg - 1) err from (select image_id, node, case when gt < 5 then 1.0::double else 0.0::double end fg, feat[1] * 10 score from v_patch))
+  window w as (order by err desc, image_id, node rows between unbounded preceding and current row)) where total > 0))"""))(lambda s, d: rounded(X.lovasz_hinge(binary_logits(s, d))))
+
+
 def truth_probs(spark, sf):
     return probs(spark, sf).where("class_id = gt").select((F.col("image_id") * 100 + F.col("node")).alias("pixel"), F.round("score", 9).alias("p"), F.round(-F.col("logp"), 9).alias("loss"))
 
@@ -110,6 +127,17 @@ query("t05_hard_by_threshold", duck("v_patch v_class", "select pixel, case when
 query("t06_hard_by_loss", duck("v_patch v_class", "select pixel, case when row_number() over (order by loss desc, pixel) <= 50 then 1.0 else 0.0 end weight from truth", **SCORES, **LOGP, **TRUTH))(lambda s, d: X.hard_by_loss(truth_probs(s, d), 10, 5).select("pixel", "weight"))
 
 
+def pixel_losses(spark, sf):
+    """A probability and a loss of every pixel of the rasters, with many ties."""
+    q = (F.col("image_id") * 31 + F.col("y") * 57 + F.col("x") * 101) % 1009
+    return V.raster(spark, sf).select((F.col("image_id") * 1000000 + F.col("y") * 1000 + F.col("x")).alias("pixel"), ((q + 1) / 1010.0).alias("p"), (q * q / 1009.0).alias("loss"))
+
+
+PIXEL_LOSS = {"pl": "select image_id * 1000000 + y * 1000 + x pixel, (q + 1) / 1010.0::double p, q * q / 1009.0::double loss from (select *, (image_id * 31 + y * 57 + x * 101) % 1009 q from v_raster)", "im": "select count(*) n from v_image"}
+query("t05_hard_pixels", duck("v_raster", "select pixel, case when p < greatest(0.05::double, (select max(p) from (select p, row_number() over (order by p) r from pl), im where r <= 500 * n + 1)) then 1.0::double else 0.0::double end weight from pl", **PIXEL_LOSS))(lambda s, d: X.hard_by_threshold(pixel_losses(s, d), 0.05, 500, V.images(s, d).count()).select("pixel", "weight"))
+query("t06_hard_pixels", duck("v_raster", "select pixel, case when row_number() over (order by loss desc, pixel) <= 500 * (select n from im) then 1.0::double else 0.0::double end weight from pl", **PIXEL_LOSS))(lambda s, d: X.hard_by_loss(pixel_losses(s, d), 500, V.images(s, d).count()).select("pixel", "weight"))
+
+
 def points(spark, sf):
     rows = scores(spark, sf).withColumn("score", F.round("score", 9))
     return X.uncertainty(rows, ["image_id", "node"]).select("image_id", F.floor(F.col("node") / 10).alias("y"), (F.col("node") % 10).alias("x"), F.round("uncertainty", 8).alias("uncertainty"), F.lit(10).alias("h"), F.lit(10).alias("w"))

@@ -331,3 +331,100 @@ def test_results_and_ranges(spark, tmp_path):
     same = spark.createDataFrame([(f"prefix{i % 40:03d}",) for i in range(200)], "name string")
     got = [(r["idx"], r["name"]) for r in N.dense_index(same, [F.col("name")]).orderBy("idx").collect()]
     assert [i for i, _ in got] == list(range(200)) and [n for _, n in got] == sorted(n for _, n in got)
+
+
+def test_ordered_bits_are_in_the_order_of_doubles(spark):
+    from rasterlake.operators.selection import ordered_bits
+
+    r = np.random.default_rng(3)
+    values = [0.0, -0.0, 1.0, -1.0, 2.0**-1074, -(2.0**-1074), 2.0**-1022, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), 0.1, 0.3, 1 - 2.0**-53, 1 + 2.0**-52, 2.0**-1023]
+    values += [float(2.0**e) for e in range(-1070, 1020, 7)] + [float(np.nextafter(2.0**e, s)) for e in range(-1000, 1000, 13) for s in (0, 1e308)]
+    values += (r.normal(size=300) * 10.0 ** r.integers(-300, 300, 300)).tolist()
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double").select("v", ordered_bits(F.col("v")).alias("k")).collect()
+    assert [x["k"] for x in rows if x["v"] is None] == [-(2**63)] and max(x["k"] for x in rows) == next(x["k"] for x in rows if x["v"] is not None and x["v"] != x["v"])
+    plain = sorted((x["v"], x["k"]) for x in rows if x["v"] is not None and x["v"] == x["v"])
+    bits = {v: (lambda b: b if v > 0 or v == 0 else -(b & (2**63 - 1)))(int(np.array(v if v else 0.0).view(np.int64))) for v, _ in plain}
+    assert all(bits[v] == k for v, k in plain)
+
+
+def test_selection_by_bits(spark):
+    from rasterlake.operators.selection import kth_smallest, smallest
+
+    r = np.random.default_rng(5)
+    values = [int(x) for x in r.integers(-50, 50, 500)] + [-(2**63), 2**63 - 1, 2**40, -(2**40)]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v long, i long")
+    ordered = sorted(values)
+    for k in (1, 2, 3, 250, 503, 504):
+        assert kth_smallest(df, "v", k) == (ordered[k - 1], sum(v < ordered[k - 1] for v in values))
+    assert kth_smallest(df, "v", 505) is None and kth_smallest(df, "v", 0) is None
+    for k in (0, 1, 77, 504, 600):
+        got = {(x["v"], x["i"]) for x in df.where(smallest(df.select("v", "i"), k)).collect()}
+        assert got == set(sorted((v, i) for i, v in enumerate(values))[:k])
+
+
+def test_hard_pixels_beyond_a_million(spark):
+    df = spark.range(0, 2_500_000, 1, 8).select(F.col("id").alias("pixel"), (F.pmod(F.xxhash64("id"), F.lit(100_000)) / 100_000.0).alias("p"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("loss"))
+    hard = X.hard_by_loss(df, 600_000, 2)
+    assert hard.agg(F.sum("weight")).first()[0] == 1_200_000
+    edge = hard.groupBy("weight").agg(F.min("loss").alias("lo"), F.max("loss").alias("hi")).collect()
+    low = {x["weight"]: (x["lo"], x["hi"]) for x in edge}
+    assert low[1.0][0] in (low[0.0][1], low[0.0][1] + 1)
+    p = sorted(x["p"] for x in df.select("p").collect())
+    soft = X.hard_by_threshold(df, 0.1, 600_000, 2)
+    assert soft.agg(F.sum("weight")).first()[0] == sum(v < p[1_200_000] for v in p)
+
+
+def test_lovasz_in_ranges_is_that_of_one_window(spark):
+    r = np.random.default_rng(1)
+    rows = [(i, int(c), int(g), float(round(r.random(), 2))) for i in range(400) for g in [r.choice([0, 1, 2, 255])] for c in range(4)]
+    df = spark.createDataFrame(rows, "pixel long, class_id int, gt int, score double")
+    one = X.lovasz_softmax(df.withColumn("k", F.lit(1)), ["k"]).first()["loss"]
+    assert abs(X.lovasz_softmax(df).first()["loss"] - one) < 1e-12
+    plan = X._lovasz_in_ranges(df.withColumn("fg", F.lit(1.0)).withColumn("err", F.col("score")), ["class_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "part" in plan
+    binary = df.where("class_id = 0 and gt < 2")
+    one = X.lovasz_hinge(binary.withColumn("k", F.lit(1)), ["k"]).first()["loss"]
+    assert abs(X.lovasz_hinge(binary).first()["loss"] - one) < 1e-12
+
+
+def test_propagation_by_blocks_and_tiles(spark):
+    r = np.random.default_rng(2)
+    pairs = {}
+    for i in range(50):
+        for j in r.choice(50, 4, replace=False):
+            if i != j:
+                pairs[(i, int(j))] = pairs[(int(j), i)] = float(r.random())
+    pairs[(3, 900)] = pairs[(900, 3)] = pairs[(4, 49_000)] = pairs[(49_000, 4)] = 0.5  # 900 and 49000 have no start
+    edges = G.normalize_graph(spark.createDataFrame([(g, i, j, w) for g in (0, 7) for (i, j), w in pairs.items()], "graph_id long, src long, dst long, w double"))
+    start = spark.createDataFrame([(g, i, c, float(r.random())) for g in (0, 7) for i in range(50) for c in (0, 5)], "graph_id long, node long, class_id int, y double")
+    known = edges.where("src < 50 and dst < 50")
+    one = {(x["graph_id"], x["node"], x["class_id"]): x["x"] for x in G.propagate_in_groups(known, start).collect()}
+    two = {(x["graph_id"], x["node"], x["class_id"]): x["x"] for x in G.propagate(edges, start, block_nodes=16).collect()}
+    assert one.keys() == two.keys() and max(abs(one[k] - two[k]) for k in one) < 1e-10
+
+    pixels = spark.createDataFrame([(1, y, x, *(int(v) for v in r.integers(60, size=3))) for y in range(21) for x in range(27) if (y, x) != (9, 9)], "image_id long, y long, x long, r int, g int, b int")
+    scores = pixels.select("image_id", "y", "x", F.explode(F.array(F.lit(0), F.lit(1))).alias("class_id")).withColumn("score", F.pmod(F.xxhash64("y", "x", "class_id"), F.lit(1000)) / 1000.0)
+    graph = G.normalize_graph(G.pixel_grid_edges(pixels, 3, 0.3))
+    flat = scores.select(F.col("image_id").alias("graph_id"), (F.col("y") * 100000 + F.col("x")).alias("node"), "class_id", F.col("score").alias("y"))
+    one = {(x["node"] // 100000, x["node"] % 100000, x["class_id"]): x["x"] for x in G.propagate_in_groups(graph, flat).collect()}
+    two = {(x["y"], x["x"], x["class_id"]): x["score"] for x in G.refine_pixels(scores, pixels, 3, 0.3, tile=8).collect()}
+    assert one.keys() == two.keys() and max(abs(one[k] - two[k]) for k in one) < 1e-10
+
+
+def test_a_step_of_propagation_moves_messages_only(spark, monkeypatch):
+    from rasterlake.operators import propagation as P
+
+    plans, make = [], P._Bucketed.__init__
+    monkeypatch.setattr(P._Bucketed, "__init__", lambda self, df, n: (plans.append(df._jdf.queryExecution().executedPlan().toString()), make(self, df, n))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.createDataFrame([(0, i, (i + d) % 40, 0.2) for i in range(40) for d in (1, 39)], "graph_id long, src long, dst long, w double")
+        start = spark.createDataFrame([(0, i, 0, float(i)) for i in range(40)], "graph_id long, node long, class_id int, y double")
+        P.propagate(edges, start, iterations=2, block_nodes=8).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    step = plans[-1].split("\n")
+    sides = [i for i, line in enumerate(step) if line.startswith(("   :- ", "   +- "))]
+    own = "\n".join(step[sides[0] : sides[1]])
+    assert "Exchange" not in own and own.count("Bucketed: true") == 2

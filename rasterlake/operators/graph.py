@@ -237,19 +237,21 @@ def window_pixels(wins: DataFrame) -> DataFrame:
 def covering_windows(pixels: DataFrame, crop: int, stride: int) -> DataFrame:
     """Each pixel (with its image's h and w) once for each of its windows: `window_id`, and `wy`, `wx` within the window.
 
-    The few windows that can cover a row or column follow from its number, so there is no join.
+    The windows that cover a row or column follow from its number by arithmetic alone: those between
+    the first and last that start at multiples of the stride and reach it, and the last one, which is
+    moved back into the image.
     """
-
-    def covering(i: str, size: str) -> Column:
-        last = F.floor(F.greatest(F.col(size) - crop + stride - 1, F.lit(0)) / stride)
-        some = F.sequence(F.greatest(F.floor((F.col(i) - crop) / stride) + 1, F.lit(0)), F.least(F.floor((F.col(i) + stride - 1) / stride), last))
-        starts = F.transform(some, lambda k: F.struct(k.alias("k"), F.greatest(F.least(k * stride + crop, F.col(size)) - crop, F.lit(0)).alias("s")))
-        return F.filter(starts, lambda w: (w["s"] <= F.col(i)) & (F.col(i) < F.least(w["s"] + crop, F.col(size))))
-
+    rows = pixels
+    for i, size, k, start in (("y", "h", "__v", "wy"), ("x", "w", "__u", "wx")):
+        at, edge = F.col(i), F.col(size)
+        last = F.floor(F.greatest(edge - crop + stride - 1, F.lit(0)) / stride)
+        final = F.greatest(edge - crop, F.lit(0))  # where the last one starts
+        low = F.greatest(F.floor((at - crop) / stride) + 1, F.lit(0))
+        high = F.when(at >= final, last).otherwise(F.least(F.floor(at / stride), last - 1))
+        rows = rows.withColumn(k, F.explode(F.when(low <= high, F.sequence(low, high))))
+        rows = rows.withColumn(start, at - F.when(F.col(k) == last, final).otherwise(F.col(k) * stride))
     n_columns = F.floor(F.greatest(F.col("w") - crop + stride - 1, F.lit(0)) / stride) + 1
-    rows = pixels.withColumn("__v", F.explode(covering("y", "h"))).withColumn("__u", F.explode(covering("x", "w")))
-    rows = rows.withColumn("window_id", F.col("__v.k") * n_columns + F.col("__u.k"))
-    return rows.withColumn("wy", F.col("y") - F.col("__v.s")).withColumn("wx", F.col("x") - F.col("__u.s")).drop("__v", "__u")
+    return rows.withColumn("window_id", F.col("__v") * n_columns + F.col("__u")).drop("__v", "__u")
 
 
 def overlap_merge(scores: DataFrame, keys: tuple[str, ...] = ("image_id", "y", "x", "class_id")) -> DataFrame:

@@ -713,3 +713,12 @@ def test_slices_of_one_hash_are_equal():
 def words_bounds(raw):
     spaces = np.flatnonzero(np.concatenate([[32], raw, [32]]) == 32)
     return spaces[:-1], spaces[1:] - 1
+
+
+def test_host_rules_of_long_texts_in_pieces(docs, awkward):
+    """Every text as a long one, in pieces of a few characters."""
+    plain = quality_rules.measure(docs).collect()
+    assert sorted(map(tuple, quality_rules.measure(docs, long_text=7).collect()), key=str) == sorted(map(tuple, plain), key=str)
+    same(quality_rules.apply_rules(docs, long_text=100), queries.OP8_SQL)
+    odd = quality_rules.measure(awkward, long_text=11).collect()
+    assert sorted(map(tuple, odd), key=str) == sorted(map(tuple, quality_rules.measure(awkward).collect()), key=str)

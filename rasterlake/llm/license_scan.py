@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from rasterlake.llm.pieces import is_long, pieces, with_next
 from rasterlake.llm.scratch import stage
 
 #: Phrases of the base rule.
@@ -35,6 +36,8 @@ TEMPLATES = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of what is not a letter, a digit or beyond ASCII.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased.
+SPLIT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def words_line(text: Column) -> Column:
@@ -70,14 +73,24 @@ def template_tokens(spark: SparkSession) -> DataFrame:
     return rows.select("name", F.explode(F.array_distinct(F.split(F.trim(words_line(F.col("notice"))), " "))).alias("token"))
 
 
-def template_matches(rows: DataFrame, containment: float = 0.8) -> DataFrame:
+def _vocabulary() -> list[str]:
+    return sorted({w for _, notice in TEMPLATES for w in _ascii_words(notice)})
+
+
+def _tokens(line: Column) -> Column:
+    return F.array_intersect(F.split(line, " "), F.array(*[F.lit(t) for t in _vocabulary()]))
+
+
+def template_matches(rows: DataFrame, containment: float = 0.8, long_text: int | None = None) -> DataFrame:
     """`id, key, label, score` of the blocks that hold at least `containment` of a template's distinct words.
 
     `rows` has `id`, `key` (which tells the texts of an id apart) and `text`. Blocks are lines, and for notices that are wrapped over lines,
     windows of twice a template's words over the whole text, each half over the next: any run of
     words as long as the notice is in one of them. Only texts that hold enough of a template's
     words at all have blocks. Tokens are ordered by the number of documents that hold them,
-    counted over all documents. A block that reaches the threshold holds one of a template's
+    counted over all documents. Blocks are inverted lists: each place of a template's word says which
+    blocks it lies in, so that no array grows with the text, and texts of over `long_text` bytes
+    (1 MB) are read in pieces. A block that reaches the threshold holds one of a template's
     first size - ceil(t size) + 1 tokens (prefix filter), has at least ceil(t size) distinct
     words (length filter), and has enough of the template's tokens from its first match on
     (positional filter). The token tables are of fixed size and are the broadcast side.
@@ -87,53 +100,65 @@ def template_matches(rows: DataFrame, containment: float = 0.8) -> DataFrame:
     words_of = {_name(i): _ascii_words(notice) for i, (_, notice) in enumerate(TEMPLATES)}
     tokens_of = {name: sorted(set(words)) for name, words in words_of.items()}
     needs = {name: -(-int(containment * 1000) * len(tokens) // 1000) for name, tokens in tokens_of.items()}
-    vocabulary = F.array(*[F.lit(t) for t in sorted({w for tokens in tokens_of.values() for w in tokens})])
-    found = rows.select("id", "key", "text", F.array_intersect(F.split(words_line(F.col("text")), " "), vocabulary).alias("tokens"))
     enough = F.lit(False)
     for name, tokens in tokens_of.items():
         enough = enough | (F.size(F.array_intersect("tokens", F.array(*map(F.lit, tokens)))) >= needs[name])
-    found = stage(found.select("id", "key", "tokens", F.when(enough, F.col("text")).alias("text")), "license-tokens")  # whole texts of the few that may match
-    df = found.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    short = rows.where(~is_long(F.col("text"), long_text)).select("id", "key", "text", _tokens(words_line(F.col("text"))).alias("tokens"))
+    found = stage(short.select("id", "key", "tokens", F.when(enough, F.col("text")).alias("text")), "license-tokens")  # whole texts of the few that may match
+    texts = found.where(F.col("text").isNotNull()).select("id", "key", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("before"), "text")
+    listed, tokens = texts, found.select("tokens")
+    longer = stage(rows.where(is_long(F.col("text"), long_text)).dropDuplicates(["id", "key"]), "long-texts")
+    if longer.limit(1).count():
+        keys = ["id", "key"]
+        parts = stage(pieces(longer, keys, SPLIT, long_text), "pieces")
+        held = parts.select("id", "key", F.explode(_tokens(words_line(F.col("text")))).alias("token")).groupBy("id", "key").agg(F.collect_set("token").alias("tokens"))
+        held = stage(held.withColumn("enough", enough), "long-tokens")  # a row a long text, of the vocabulary at most
+        tokens = tokens.unionByName(held.select("tokens"))
+        some = held.where("enough").select(F.col("id").alias("w_id"), F.col("key").alias("w_key"))
+        chosen = F.col("id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))
+        words = with_next(parts.join(some, chosen, "left_semi").select("id", "key", "part", "text", F.split(F.trim(words_line(F.col("text"))), " ").alias("words")).withColumn("words", F.filter("words", lambda x: x != "")), keys, "words", 1)
+        listed = texts.unionByName(words.select("id", "key", F.col("part").cast("long").alias("part"), F.col("before").cast("long").alias("before"), "text"))
+        texts = texts.unionByName(pieces(longer.join(some, chosen, "left_semi"), keys, r"\n", long_text).select("id", "key", F.col("part").cast("long").alias("part"), F.lit(0).cast("long").alias("before"), "text"))
+    df = tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     df = stage(df, "license-df")  # at most one row a template token
     order = W.Window.partitionBy("name").orderBy("df", "token")
     size = F.count(F.lit(1)).over(W.Window.partitionBy("name"))
     ranked = templates.join(df, "token", "left").na.fill(0, ["df"]).withColumn("pos", F.row_number().over(order) - 1).withColumn("size", size)
     ranked = ranked.withColumn("need", F.ceil(F.lit(containment) * F.col("size") - 1e-9).cast("int"))
-    by_label = ranked.groupBy("name", "size", "need").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("all"))
-    template = by_label.select("name", "size", "need", F.transform("all", lambda x: x["token"]).alias("all"))
-    prefix = ranked.where(F.col("pos") <= F.col("size") - F.col("need")).select("name", "token", "pos")
-    firsts = {name: [] for name in tokens_of}
-    for r in prefix.select("name", "token").collect():  # some of the templates' tokens
-        firsts[r["name"]].append(r["token"])
-    texts = found.where(F.col("text").isNotNull())
-    lines = texts.select("id", "key", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    lines = lines.select("id", "key", F.lit(None).cast("string").alias("only"), F.col("block").cast("long").alias("block"), F.array_distinct(F.split(F.trim(words_line(F.col("line"))), " ")).alias("tokens"))
-    lines = lines.where(F.size("tokens") >= min(needs.values()))
-    texts = texts.select("id", "key", F.split(F.trim(words_line(F.col("text"))), " ").alias("words"))
-    windows = F.concat(*[_windows(name, len(words), needs[name], firsts[name]) for name, words in words_of.items()])
-    wrapped = texts.select("id", "key", F.explode(windows).alias("w")).select("id", "key", "w.only", "w.block", "w.tokens")
-    blocks = lines.unionByName(wrapped)
-    first = F.array(*[F.lit(t) for t in sorted({t for tokens in firsts.values() for t in tokens})])
-    hits = blocks.select("id", "key", "only", "block", "tokens", F.explode(F.array_intersect("tokens", first)).alias("token"))
-    hits = hits.join(F.broadcast(prefix), "token").where(F.col("only").isNull() | (F.col("only") == F.col("name")))
-    hits = hits.groupBy("id", "key", "only", "block", "name").agg(F.min("pos").alias("pos"), F.first("tokens").alias("tokens"))
-    both = hits.join(F.broadcast(template), "name").where((F.size("tokens") >= F.col("need")) & (F.col("size") - F.col("pos") >= F.col("need")))
-    both = both.withColumn("common", F.size(F.array_intersect("all", "tokens"))).where(F.col("common") >= F.col("need"))
-    return both.groupBy("id", "key", F.substring_index("name", "#", 1).alias("label")).agg(F.max(F.col("common") / F.col("size")).alias("score"))
-
-
-def _windows(name: str, n: int, need: int, first: list[str]) -> Column:
-    """Windows of 2 n words, n words apart, that pass the length filter and hold a prefix token of the template."""
-    starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / n).cast("int"))
-    windows = F.transform(starts, lambda q: F.struct(F.lit(name).alias("only"), q.cast("long").alias("block"), F.array_distinct(F.slice("words", q * n + 1, F.lit(2 * n))).alias("tokens")))
-    return F.filter(windows, lambda w: (F.size(w["tokens"]) >= need) & F.arrays_overlap(w["tokens"], F.array(*map(F.lit, first))))
+    lengths = F.create_map(*[F.lit(x) for name, words in words_of.items() for x in (name, len(words))])
+    ranked = F.broadcast(stage(ranked.select("token", "name", "pos", "size", "need", F.element_at(lengths, F.col("name")).alias("n")), "license-order"))  # a row a template and token
+
+    vocabulary = F.array(*[F.lit(t) for t in _vocabulary()])
+    in_lines = texts.select("id", "key", "part", F.posexplode(F.split("text", "\n")).alias("line", "words"))
+    in_lines = in_lines.select("id", "key", "part", "line", F.explode(F.array_intersect(F.split(words_line(F.col("words")), " "), vocabulary)).alias("token")).join(ranked, "token")
+    in_lines = in_lines.select("id", "key", "name", F.col("part").alias("a"), F.col("line").cast("long").alias("b"), "token", "pos", "size", "need")
+    placed = listed.select("id", "key", "before", F.posexplode(F.split(F.trim(words_line(F.col("text"))), " ")).alias("i", "token")).join(ranked, "token")
+    block = F.floor((F.col("before") + F.col("i")) / F.col("n"))
+    in_windows = placed.select("id", "key", "name", F.lit(-1).cast("long").alias("a"), F.explode(F.array(block, block - 1)).alias("b"), "token", "pos", "size", "need").where("b >= 0")
+    hits = in_lines.unionByName(in_windows).groupBy("id", "key", "name", "a", "b", "size", "need")
+    hits = hits.agg(F.min("pos").alias("first"), F.collect_set("token").alias("held"))  # a template's words at most
+    hits = hits.where((F.col("first") <= F.col("size") - F.col("need")) & (F.size("held") >= F.col("need")))
+    return hits.groupBy("id", "key", F.substring_index("name", "#", 1).alias("label")).agg(F.max(F.size("held") / F.col("size")).alias("score"))
 
 
 def _ascii_words(text: str) -> list[str]:
     return "".join(c.lower() if c.isascii() and c.isalnum() else " " for c in text).split()
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8) -> DataFrame:
+def _phrases(rows: DataFrame) -> DataFrame:
+    """`id, key, n_words, at, base` of lines of words: the places of phrases that start in the first `own` words (all, if null), counted on from `before`."""
+    hit = F.lit(False)
+    for phrase in PHRASES:
+        hit = hit | F.contains("line", F.lit(f" {phrase} "))
+    rows = rows.select("id", "key", "before", F.coalesce("own", _n_words(F.col("line")).cast("long")).alias("n_words"), F.when(hit, F.col("line")).alias("line"))
+    places = {label: F.when(F.col("line").isNotNull(), F.transform(phrase_places(F.col("line"), phrase), lambda i: i.cast("long"))) for phrase, label in PHRASES.items()}
+    rows = rows.select("id", "key", "before", "n_words", *[F.coalesce(p, F.array().cast("array<long>")).alias(label) for label, p in places.items()])
+    rows = rows.select("id", "key", "before", "n_words", *[F.filter(label, lambda i: i < F.col("n_words")).alias(label) for label in places])
+    at = F.transform(F.concat(*[F.col(x) for x in places]), lambda i: i + F.col("before"))
+    return rows.select("id", "key", "n_words", at.alias("at"), F.filter(F.array(*[F.when(F.size(x) > 0, F.lit(x)) for x in sorted(places)]), lambda x: x.isNotNull()).alias("base"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = 0.8, long_text: int | None = None) -> DataFrame:
     """Base phrases and template matches of every whole text, one row per input row.
 
     `n_base`, `first_word`, `last_word` and `base_labels` are of the phrases. `labels` adds the
@@ -142,18 +167,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", contai
     repeated or null.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    line = words_line(text)
     key = F.md5(text.cast("binary"))
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), line.alias("line"))
-    hit = F.lit(False)
-    for phrase in PHRASES:
-        hit = hit | F.contains("line", F.lit(f" {phrase} "))
-    rows = rows.select("id", "key", _n_words(F.col("line")).cast("long").alias("n_words"), F.when(hit, F.col("line")).alias("line"))
-    places = {label: F.when(F.col("line").isNotNull(), phrase_places(F.col("line"), phrase)) for phrase, label in PHRASES.items()}
-    rows = rows.select("id", "key", "n_words", *[p.alias(label) for label, p in places.items()])
+    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"))
     # Whole texts are read for the phrases once, and their small rows kept.
-    rows = stage(rows.select("id", "key", "n_words", F.coalesce(F.concat(*[F.col(x) for x in places]), F.array().cast("array<int>")).alias("at"), F.filter(F.array(*[F.when(F.size(F.coalesce(F.col(x), F.array().cast("array<int>"))) > 0, F.lit(x)) for x in sorted(places)]), lambda x: x.isNotNull()).alias("base")), "license-base")
-    matches = template_matches(docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text")), containment)
+    short = rows.where(~is_long(F.col("text"), long_text)).select("id", "key", words_line(F.col("text")).alias("line"), F.lit(0).cast("long").alias("before"), F.lit(None).cast("long").alias("own"))
+    base = stage(_phrases(short), "license-base")
+    longer = stage(rows.where(is_long(F.col("text"), long_text)).withColumn("row", F.monotonically_increasing_id()), "long-texts")
+    if longer.limit(1).count():
+        parts = pieces(longer.select("row", "text"), ["row"], SPLIT, long_text).withColumn("words", F.filter(F.split(F.trim(words_line(F.col("text"))), " "), lambda x: x != ""))
+        most = max(len(p.split()) for p in PHRASES) - 1
+        held = with_next(parts.select("row", "part", "words"), ["row"], "words", most)
+        line = F.concat(F.lit(" "), F.array_join(F.concat("words", "after"), " "), F.lit(" "))
+        each = _phrases(held.select(F.col("row").alias("id"), F.lit("").alias("key"), line.alias("line"), "before", F.size("words").cast("long").alias("own")))
+        whole = each.groupBy(F.col("id").alias("row")).agg(F.sum("n_words").alias("n_words"), F.flatten(F.collect_list("at")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("base")))).alias("base"))
+        none = F.array()
+        whole = longer.select("id", "key", "row").join(whole, "row", "left").select("id", "key", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("at", none.cast("array<long>")).alias("at"), F.coalesce("base", none.cast("array<string>")).alias("base"))
+        base = base.unionByName(stage(whole, "long-base"))
+    rows = base
+    matches = template_matches(docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text")), containment, long_text)
     matches = matches.groupBy(F.col("id").alias("m_id"), F.col("key").alias("m_key")).agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
     out = rows.join(matches, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left")
     none = F.array().cast("array<string>")

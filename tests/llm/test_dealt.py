@@ -722,3 +722,14 @@ def test_host_rules_of_long_texts_in_pieces(docs, awkward):
     same(quality_rules.apply_rules(docs, long_text=100), queries.OP8_SQL)
     odd = quality_rules.measure(awkward, long_text=11).collect()
     assert sorted(map(tuple, odd), key=str) == sorted(map(tuple, quality_rules.measure(awkward).collect()), key=str)
+
+
+def test_license_scan_of_long_texts_in_pieces(spark, docs, awkward):
+    """Every text as a long one, in pieces of a few characters."""
+    for df in (docs, awkward):
+        plain = license_scan.scan(df).collect()
+        for size in (9, 60):
+            assert sorted(map(str, license_scan.scan(df, long_text=size).collect())) == sorted(map(str, plain))
+    rows_ = [(j, "Some words before it.\n" + re.sub(r"(\S+ \S+ \S+) ", r"\1\n", notice) + "\nand some after it") for j, (_, notice) in enumerate(license_scan.TEMPLATES)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    assert sorted(map(str, license_scan.scan(df, long_text=40).collect())) == sorted(map(str, license_scan.scan(df).collect()))

@@ -173,6 +173,41 @@ def node_features(nodes: list[Node]) -> list[list[str]]:
     return out
 
 
+#: Parts that are never main text, by tag and by name; what is in them is not either, whatever counts say. Fixed values.
+APART_TAGS = {"nav", "footer", "aside", "form", "dialog"}
+APART_NAMES = set(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion adsense banner cookie cookies consent gdpr popup modal "
+    "nav navbar navigation menu topnav subnav breadcrumb breadcrumbs pagination pager sidebar complementary widget widgets footer contentinfo masthead "
+    "comment comments reply replies respond disqus newsletter subscribe signup login search share sharing social related recommended notice disclaimer".split()
+)
+#: How much less likely all or some of such a part is content.
+APART = 1e-9
+
+
+def set_apart(nodes: list[Node]) -> list[bool]:
+    """Whether each node is, or lies in, a part that is never main text.
+
+    An element whose tag or name says so is none if it holds an article, a main part or the first heading, or
+    over half of the page's text that is not linked: then it is a frame around the page.
+    """
+    n = len(nodes)
+    plain, frame = [0] * n, [False] * n
+    for i in range(n - 1, -1, -1):
+        node = nodes[i]
+        plain[i] += len(node.text) - node.linked
+        frame[i] |= node.tag in ("article", "main", "h1")
+        if node.parent >= 0:
+            plain[node.parent] += plain[i]
+            frame[node.parent] |= frame[i]
+    apart = [False] * n
+    for i, node in enumerate(nodes):
+        if node.parent >= 0 and apart[node.parent]:
+            apart[i] = True
+        elif node.tag in APART_TAGS or node.tag not in (None, "html", "body", "main", "article") and not APART_NAMES.isdisjoint(_NAME.findall(node.names.lower())):
+            apart[i] = not frame[i] and 2 * plain[i] <= plain[0]
+    return apart
+
+
 #: Labels of an element: none of its text is content, all is, or some is. A block of text has one of the first two.
 NONE, ALL, SOME = 0, 1, 2
 #: What is assumed of children before any is counted: under none, all and some.
@@ -214,6 +249,9 @@ class Model:
         n = len(nodes)
         (e00, e01, e02), (e10, e11, e12), (e20, e21, e22) = self.edge
         belief = [self.own(node, found) for node, found in zip(nodes, node_features(nodes), strict=True)]
+        for b, apart in zip(belief, set_apart(nodes), strict=True):
+            if apart:
+                b[0], b[1], b[2] = 1.0, APART, APART
         up = [(1.0, 1.0, 1.0)] * n  # message of a node to its parent
         for i in range(n - 1, 0, -1):  # children come after parents; a node's belief holds its subtree's by then
             a, b, c = belief[i]

@@ -733,3 +733,22 @@ def test_license_scan_of_long_texts_in_pieces(spark, docs, awkward):
     rows_ = [(j, "Some words before it.\n" + re.sub(r"(\S+ \S+ \S+) ", r"\1\n", notice) + "\nand some after it") for j, (_, notice) in enumerate(license_scan.TEMPLATES)]
     df = spark.createDataFrame(rows_, "doc_id long, text string")
     assert sorted(map(str, license_scan.scan(df, long_text=40).collect())) == sorted(map(str, license_scan.scan(df).collect()))
+
+
+ONE, TWO = "First of all there is a paragraph, which has a clause, some more words, and then an end of its own.", "Then another one follows, which is about as long as the first, and says what it has to say in full."
+APART = {
+    "form": "<form><p>{x}</p><label>Name</label></form>", "footer": "<footer><p>{x}</p></footer>", "aside": "<aside><p>{x}</p></aside>", "advert": "<div class='advert'><p>{x}</p></div>", "nav": "<nav><p>{x}</p></nav>",
+    "comments": "<section class='comments'><p>{x}</p></section>", "sidebar": "<div id='sidebar'><p>{x}</p></div>", "notice": "<div class='cookie-notice'><p>{x}</p></div>", "share": "<div class='share-tools'><p>{x}</p></div>",
+}
+FRAMES = ["<body><article><h1>Head</h1><p>{a}</p>{x}<p>{b}</p></article></body>", "<body><form id='page'><div class='content'><h1>Head</h1><p>{a}</p><p>{b}</p>{x}</div></form></body>", "<body class='has-sidebar ads'><main><h1>Head</h1>{x}<p>{a}</p><p>{b}</p></main></body>"]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_parts_that_are_no_article_go_with_the_fitted_model(spark, sf):
+    table = lambda t: spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet")
+    model = html_text.fit(html_text.labelled_pages(table("pages"), table("documents")))
+    words = "Here are some words, quite a few of them, that do not belong to the article, and an end."
+    for part, frame in itertools.product(APART.values(), FRAMES):
+        assert html_text.main_text(f"<html>{frame.format(a=ONE, b=TWO, x=part.format(x=words))}</html>", model) == f"Head\n\n{ONE}\n\n{TWO}"
+    for layout in LAYOUTS.values():
+        assert html_text.main_text(f"<html>{layout}</html>", model) == f"Head\n\n{ONE}\n\n{TWO}"

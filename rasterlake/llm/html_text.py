@@ -153,7 +153,7 @@ def _bin(n: float, ends: tuple[float, ...]) -> int:
 
 
 def node_features(nodes: list[Node]) -> list[list[str]]:
-    """What each node shows of itself: its tag and the parts of its names, or its text's form; and its share of linked text."""
+    """What each node shows of itself: its tag and the parts of its names, or its text's form; its share of linked text; and whether it is set apart."""
     size, linked = [0] * len(nodes), [0] * len(nodes)
     for i in range(len(nodes) - 1, -1, -1):
         size[i] += len(nodes[i].text)
@@ -170,6 +170,9 @@ def node_features(nodes: list[Node]) -> list[list[str]]:
             out.append(["text", f"size{_bin(len(text), (20, 60, 150, 400))}", f"end{text[-1] in '.!?:;\"'}", mark, links])
         else:
             out.append([f"tag={node.tag}", links, *dict.fromkeys(f"name={zlib.crc32(n.encode()) % NAME_CLASSES}" for n in _NAME.findall(node.names.lower()))])
+    for found, apart in zip(out, set_apart(nodes), strict=True):
+        if apart:
+            found.append("apart")
     return out
 
 
@@ -233,6 +236,8 @@ class Model:
 
     def own(self, node: Node, found: list[str]) -> list[float]:
         """What a node shows of itself, as odds of its labels that add up to 1."""
+        if "apart" in found:
+            return [1.0, APART, APART]
         a = b = c = 1.0
         for f in found:
             if shows := self.shows.get(f):
@@ -249,9 +254,6 @@ class Model:
         n = len(nodes)
         (e00, e01, e02), (e10, e11, e12), (e20, e21, e22) = self.edge
         belief = [self.own(node, found) for node, found in zip(nodes, node_features(nodes), strict=True)]
-        for b, apart in zip(belief, set_apart(nodes), strict=True):
-            if apart:
-                b[0], b[1], b[2] = 1.0, APART, APART
         up = [(1.0, 1.0, 1.0)] * n  # message of a node to its parent
         for i in range(n - 1, 0, -1):  # children come after parents; a node's belief holds its subtree's by then
             a, b, c = belief[i]

@@ -114,6 +114,14 @@ def dataset_profiles(spark, sf):
 query("s05_class_registry", "select doc_id, ['ade', 'voc', 'cocostuff'][n_chars % 3 + 1] dataset from documents")(
     lambda s, d: V.table(s, d, "documents").select("doc_id", P.canonical(F.element_at(F.array(F.lit("ade20k"), F.lit("voc12aug"), F.lit("coco-stuff")), (F.col("n_chars") % 3 + 1).cast("int"))).alias("dataset")))
 
+@query("s05_class_definitions", """select doc_id, name, r, g, b from (select doc_id, ['potsdam', 'stare', 'voc'][n_chars % 3 + 1] ds, n_chars % 2 c from documents) d
+  join (values ('potsdam', 0, 'impervious_surface', 255, 255, 255), ('potsdam', 1, 'building', 0, 0, 255), ('stare', 0, 'background', 120, 120, 120), ('stare', 1, 'vessel', 6, 230, 230), ('voc', 0, 'background', 0, 0, 0), ('voc', 1, 'aeroplane', 128, 0, 0)) v(ds, c, name, r, g, b) on v.ds = d.ds and v.c = d.c""")
+def class_definitions(spark, sf):
+    """Names and colours of classes by aliases of datasets."""
+    alias = F.element_at(F.array(F.lit("potsdam"), F.lit("STARE"), F.lit("voc12aug")), (F.col("n_chars") % 3 + 1).cast("int"))
+    return P.with_class(V.table(spark, sf, "documents").select("doc_id", "n_chars"), alias, F.col("n_chars") % 2, P.class_defs(spark)).select("doc_id", "name", "r", "g", "b")
+
+
 query("w01_moving_avg_100", duck("v_step", "select run_id, epoch, step, round(avg(loss) over (partition by run_id, epoch order by step rows between 99 preceding and current row), 9) loss_mean from v_step"))(lambda s, d: rounded(T.moving_mean(V.steps(s, d)).select("run_id", "epoch", "step", "loss_mean"), 9))
 
 

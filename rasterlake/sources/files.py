@@ -41,34 +41,57 @@ def manifest_from_split(spark: SparkSession, path: str, img_suffix: str, seg_suf
     return spark.read.text(path).where(F.length(stem) > 0).select(F.concat(stem, F.lit(img_suffix)).alias("file_name"), F.concat(stem, F.lit(seg_suffix)).alias("mask_name"))
 
 
-def _decoded(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*")
+def _images(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(path).select("image.*")
     return rows.select(F.xxhash64("origin").alias("image_id"), "origin", F.col("height").alias("h"), F.col("width").alias("w"), F.col("nChannels").alias("n_channels"), "data")
 
 
-def load_image(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels of all images below a path by Spark's image source: image_id, origin, h, w, y, x, r, g, b. Grey images have three equal values; an alpha channel is left out."""
+def unreadable_images(spark: SparkSession, path: str) -> DataFrame:
+    """`origin` of the files below a path that are no images."""
+    return _images(spark, path).where("h < 0").select("origin")
+
+
+def _decoded(spark: SparkSession, path: str, invalid: str) -> DataFrame:
+    if invalid not in ("error", "skip"):
+        raise ValueError("invalid is error or skip")
+    rows = _images(spark, path)
+    if invalid == "skip":
+        return rows.where("h >= 0")
+    broken = F.raise_error(F.concat(F.lit("not an image: "), "origin")).cast("int")
+    return rows.withColumn("n_channels", F.when(F.col("h") >= 0, F.col("n_channels")).otherwise(broken))  # which every use of the rows tests
+
+
+def _colours(images: DataFrame) -> DataFrame:
+    """Colour pixels of images of three or four channels, of which the source has blue first; alpha is left out."""
     from rasterlake.operators.raster import unpack
 
-    images = _decoded(spark, path)
-    keys = images.select("image_id", "origin")
+    swap = lambda df: df.withColumnsRenamed({"r": "__b", "b": "r"}).withColumnRenamed("__b", "b")
+    return swap(unpack(images.where("n_channels = 3"), 3)).unionByName(swap(unpack(images.where("n_channels = 4"), 4).drop("a")))
+
+
+def load_image(spark: SparkSession, path: str, invalid: str = "error") -> DataFrame:
+    """Pixels of all images below a path by Spark's image source: image_id, origin, h, w, y, x, r, g, b.
+
+    Grey images have three equal values; an alpha channel is left out. A file that is no image is an
+    error that names it, or with `invalid` "skip" left out (`unreadable_images` lists such files).
+    """
+    from rasterlake.operators.raster import unpack
+
+    images = _decoded(spark, path, invalid)
     gray = unpack(images.where("n_channels = 1")).withColumns({c: F.col("label") for c in "rgb"}).drop("label")
-    # The source has blue first.
-    colour = unpack(images.where("n_channels = 3"), 3).withColumnsRenamed({"r": "__b", "b": "r"}).withColumnRenamed("__b", "b")
-    alpha = unpack(images.where("n_channels = 4"), 4).drop("a").withColumnsRenamed({"r": "__b", "b": "r"}).withColumnRenamed("__b", "b")
-    return gray.unionByName(colour).unionByName(alpha).join(keys, "image_id")
+    return gray.unionByName(_colours(images)).join(images.select("image_id", "origin"), "image_id")
 
 
-def load_mask(spark: SparkSession, path: str, palette: DataFrame | None = None) -> DataFrame:
+def load_mask(spark: SparkSession, path: str, palette: DataFrame | None = None, invalid: str = "error") -> DataFrame:
     """Label pixels of all masks below a path: image_id, origin, h, w, y, x, label.
 
     A grey mask holds its labels. An indexed mask comes out of the image source in its colours: with
-    a `palette` (class_id, r, g, b) each colour is its class again; a colour that is in none, or a
-    coloured mask without a palette, is an error.
+    a `palette` (class_id, r, g, b) each colour is its class again, an alpha channel left out; a colour
+    that is in none, or a coloured mask without a palette, is an error. Files that are no images: as in `load_image`.
     """
     from rasterlake.operators.raster import unpack
 
-    images = _decoded(spark, path)
+    images = _decoded(spark, path, invalid)
     keys = images.select("image_id", "origin")
     gray = unpack(images.where("n_channels = 1"))
     coloured = images.where("n_channels > 1")
@@ -76,25 +99,34 @@ def load_mask(spark: SparkSession, path: str, palette: DataFrame | None = None)
         message = F.concat(F.lit("a coloured mask needs a palette: "), "origin")
         labels = coloured.select("image_id", "h", "w", *[F.lit(0).cast("long").alias(c) for c in ("y", "x")], F.raise_error(message).cast("int").alias("label"))
     else:
-        pixels = unpack(coloured.where("n_channels = 3"), 3).withColumnsRenamed({"r": "__b", "b": "r"}).withColumnRenamed("__b", "b")
-        named = pixels.join(palette.select(F.col("class_id").alias("label"), "r", "g", "b"), ["r", "g", "b"], "left")
+        named = _colours(coloured).join(palette.select(F.col("class_id").alias("label"), "r", "g", "b"), ["r", "g", "b"], "left")
         unknown = F.raise_error(F.concat_ws(" ", F.lit("no class of colour"), "r", "g", "b")).cast("int")
         labels = named.select("image_id", "h", "w", "y", "x", F.coalesce("label", unknown).alias("label"))
     return gray.unionByName(labels).join(keys, "image_id")
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, categories and annotations of COCO documents; `segmentation` stays JSON text."""
-    doc = spark.read.schema(COCO).option("multiLine", "true").json(path)
-    return tuple(doc.select(F.inline(c)) for c in ("images", "categories", "annotations"))
+    """Images, categories and annotations of COCO documents, with the document's path as `doc`; `segmentation` stays JSON text."""
+    doc = spark.read.schema(COCO).option("multiLine", "true").json(path).select("*", F.col("_metadata.file_path").alias("doc"))
+    return tuple(doc.select(F.inline(c), "doc") for c in ("images", "categories", "annotations"))
 
 
 def map_categories(annotations: DataFrame, categories: DataFrame, labels: dict[str, int]) -> DataFrame:
-    """Annotations with their label id; a category that `labels` lacks is an error."""
+    """Annotations with their label id. An annotation's category is that of its own document, where both tables have `doc`.
+
+    An annotation whose category is listed nowhere, a category that `labels` lacks, and one id with
+    two names (in a document, or over all where documents are not told apart) are errors.
+    """
     names = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
-    label = F.coalesce(F.element_at(names, F.col("name")), F.raise_error(F.concat(F.lit("unknown category "), F.col("name"))).cast("int"))
-    names_ = categories.select(F.col("id").alias("category_id"), F.trim("name").alias("name")).distinct()  # documents repeat them
-    return annotations.join(names_, "category_id").withColumn("label", label)
+    keys = ["doc", "category_id"] if "doc" in annotations.columns and "doc" in categories.columns else ["category_id"]
+    listed = categories.withColumnRenamed("id", "category_id").withColumn("name", F.trim("name"))
+    found = listed.groupBy(*keys).agg(F.min("name").alias("name"), F.max("name").alias("__other"))
+    rows = annotations.join(found, keys, "left")
+    error = lambda *words: F.raise_error(F.concat_ws(" ", *words)).cast("int")
+    clash = error(F.lit("category"), "category_id", F.lit("is both"), "name", F.lit("and"), "__other")
+    unlisted = error(F.lit("no category"), "category_id", F.lit("for annotation"), "id")
+    label = F.when(F.col("name").isNull(), unlisted).when(F.col("name") != F.col("__other"), clash).otherwise(F.coalesce(F.element_at(names, F.col("name")), error(F.lit("unknown category"), "name")))
+    return rows.withColumn("label", label).drop("__other")
 
 
 def parse_segmentation(annotations: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -428,3 +428,55 @@ def test_a_step_of_propagation_moves_messages_only(spark, monkeypatch):
     sides = [i for i, line in enumerate(step) if line.startswith(("   :- ", "   +- "))]
     own = "\n".join(step[sides[0] : sides[1]])
     assert "Exchange" not in own and own.count("Bucketed: true") == 2
+
+
+def test_broken_files_and_masks_with_alpha(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    png(folder / "good.png", [[0, 1], [1, 0]])
+    (folder / "bad.png").write_bytes(b"no image at all")
+    with pytest.raises(Exception, match=r"not an image: .*bad\.png"):
+        S.load_image(spark, str(folder)).collect()
+    assert S.load_image(spark, str(folder), invalid="skip").count() == 4
+    assert [r["origin"].rsplit("/", 1)[1] for r in S.unreadable_images(spark, str(folder)).collect()] == ["bad.png"]
+
+    masks = tmp_path / "alpha"
+    masks.mkdir()
+    raw = b"".join(b"\0" + bytes(v for c in row for v in (*c, 200)) for row in [[(9, 8, 7), (1, 2, 3)], [(1, 2, 3), (9, 8, 7)]])
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    (masks / "m.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    palette = spark.createDataFrame([(4, 9, 8, 7), (6, 1, 2, 3)], "class_id int, r int, g int, b int")
+    got = {(r["y"], r["x"]): r["label"] for r in S.load_mask(spark, str(masks), palette).collect()}
+    assert got == {(0, 0): 4, (0, 1): 6, (1, 0): 6, (1, 1): 4}
+    with pytest.raises(Exception, match="no class of colour"):
+        S.load_mask(spark, str(masks), palette.where("class_id = 4")).collect()
+
+
+def test_categories_of_documents(spark, tmp_path):
+    doc = lambda names, used: {"images": [], "categories": [{"id": i, "name": n} for i, n in names], "annotations": [{"id": k, "image_id": 1, "category_id": c, "segmentation": []} for k, c in enumerate(used)]}
+    def write(name, *docs):
+        (tmp_path / name).mkdir()
+        for i, d in enumerate(docs):
+            (tmp_path / name / f"{i}.json").write_text(json.dumps(d, indent=1))
+        _, categories, annotations = S.read_coco(spark, str(tmp_path / name))
+        return S.map_categories(annotations, categories, {"a": 1, "b": 2})
+
+    # One id that two documents name differently is each document's own.
+    both = write("both", doc([(1, "a "), (2, "b")], [1, 2]), doc([(1, "b")], [1, 1]))
+    assert sorted(r["label"] for r in both.collect()) == [1, 2, 2, 2]
+    for name, docs, match in (("unlisted", [doc([(1, "a")], [1, 3])], "no category 3 for annotation 1"), ("clash", [doc([(1, "a"), (1, "b")], [1])], "category 1 is both a and b"), ("unknown", [doc([(1, "z")], [1])], "unknown category z")):
+        with pytest.raises(Exception, match=match):
+            write(name, *docs).collect()
+
+
+def test_class_definitions(spark):
+    from rasterlake.sources import profiles as P
+
+    defs = P.class_defs(spark)
+    assert defs.groupBy("dataset").count().count() == 7 and defs.groupBy("dataset", "class_id").count().where("count > 1").count() == 0
+    assert [P.bit_colour(i) for i in (0, 1, 2, 3, 8, 15, 20)] == [(0, 0, 0), (128, 0, 0), (0, 128, 0), (128, 128, 0), (64, 0, 0), (192, 128, 128), (0, 64, 128)]
+    df = spark.createDataFrame([("iSAID", 14), ("voc12", 20)], "alias string, c int")
+    assert {tuple(r)[2:] for r in P.with_class(df, F.col("alias"), F.col("c"), defs).collect()} == {("plane", 0, 127, 255), ("tvmonitor", 0, 64, 128)}
+    for alias, c, match in (("nothing", 0, "unrecognised dataset"), ("stare", 9, "no class 9 of stare")):
+        with pytest.raises(Exception, match=match):
+            P.with_class(spark.createDataFrame([(alias, c)], "alias string, c int"), F.col("alias"), F.col("c"), defs).collect()

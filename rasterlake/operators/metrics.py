@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from rasterlake.operators.boxes import boundary_counts, boundary_pixels
+
 IGNORE = 255
 
 
@@ -155,38 +157,22 @@ def boundary_width(h: Column, w: Column, ratio: float = 0.02) -> Column:
     return F.greatest(F.lit(1), F.bround(F.lit(ratio) * F.sqrt(h * h + w * w)).cast("int"))
 
 
-def boundary_mask(mask: DataFrame, d: int, key: str = "image_id", label: str = "label") -> DataFrame:
-    """Pixels of each class within d steps of another class or of the frame.
+def boundary_mask(mask: DataFrame, d: int | Column, key: str = "image_id", label: str = "label") -> DataFrame:
+    """`key, y, x, label` of the pixels of each class within d steps of another class or of the frame.
 
-    A pixel is inside if all (2d+1)^2 pixels around it have its class. Counts along rows, then
-    along columns, take two windows by image and line, not (2d+1)^2 joins.
+    A pixel is inside if all (2d+1)^2 pixels around it have its class, which two summed-area tables
+    of a tile tell by four look-ups each, for any d, also one that differs by image (`boxes`).
     """
-    along = W.Window.partitionBy(key, label, "y").orderBy("x").rangeBetween(-d, d)
-    across = W.Window.partitionBy(key, label, "x").orderBy("y").rangeBetween(-d, d)
-    rows = mask.withColumn("__row", (F.count(F.lit(1)).over(along) == 2 * d + 1).cast("int"))
-    return rows.withColumn("__in", F.coalesce(F.sum("__row").over(across), F.lit(0)) == 2 * d + 1).where("not __in").drop("__row", "__in")
+    return boundary_pixels(mask, d, key, label)
 
 
-def boundary_areas(df: DataFrame, ratio: float = 0.02, ignore: int = IGNORE, key: str = "image_id", widths: list[int] | None = None) -> DataFrame:
+def boundary_areas(df: DataFrame, ratio: float = 0.02, ignore: int = IGNORE, key: str = "image_id") -> DataFrame:
     """Areas of boundary masks by image and class, over the classes in ground truth or prediction.
 
-    `df` has h and w. The window frames need literal widths: one branch for each of the few widths.
-    They are `widths` (an image of another width is an error), or are looked up by a job of its own.
+    `df` has h and w, which give each image's width of the boundary. One pass over tiles of the images, of any widths.
     """
-    df = df.withColumn("d", boundary_width(F.col("h"), F.col("w"), ratio)).withColumn("pred", F.when(F.col("gt") == ignore, ignore).otherwise(F.col("pred")))
-    out = None
-    if widths is None:
-        widths = sorted(d for (d,) in df.select("d").distinct().collect())  # few image sizes, fewer widths
-    else:
-        known = F.when(F.col("d").isin(*widths), F.col("d")).otherwise(F.raise_error(F.concat(F.lit("no such boundary width: "), F.col("d").cast("string"))).cast("int"))
-        df = df.withColumn("d", known)
-    for d in widths:
-        part = df.where(F.col("d") == d)
-        sides = [boundary_mask(part.select(key, "y", "x", F.col(c).alias("label")).where(F.col("label") != ignore), d, key).select(key, "label", "y", "x", F.lit(int(c == "gt")).alias("g")) for c in ("gt", "pred")]
-        both = sides[0].unionByName(sides[1]).groupBy(key, "label", "y", "x").agg(F.max("g").alias("g"), F.max(1 - F.col("g")).alias("p"))
-        areas = both.groupBy(key, F.col("label").alias("class_id")).agg(F.sum((F.col("g") * F.col("p")).cast("long")).alias("a_inter"), F.count(F.lit(1)).alias("a_union"), F.sum(F.col("p").cast("long")).alias("a_pred"), F.sum(F.col("g").cast("long")).alias("a_gt"))
-        out = areas if out is None else out.unionByName(areas)
-    return out
+    pairs = df.withColumn("pred", F.when(F.col("gt") == ignore, ignore).otherwise(F.col("pred")))
+    return boundary_counts(pairs, boundary_width(F.col("h"), F.col("w"), ratio), ignore, key)
 
 
 def average_over_datasets(results: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:

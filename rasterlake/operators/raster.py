@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from rasterlake.functions.scalars import draw, from_hsv, gray, hsv, uint8, unit
+from rasterlake.operators.boxes import box_histograms
 
 IGNORE = 255
 
@@ -151,18 +152,20 @@ def crop_offsets(images: DataFrame, size: int, tries: int = 10, salt: int = 0) -
 
 
 def random_crop(pixels: DataFrame, images: DataFrame, size: int, max_share: float = 1.0, tries: int = 10, salt: int = 0, label: str = "gt") -> DataFrame:
-    """The first of `tries` drawn crops in which no class has more than `max_share`, else the last redraw."""
-    offs = crop_offsets(images, size, tries if max_share < 1 else 0, salt)
-    offs = offs.groupBy("image_id").agg(F.collect_list(F.struct("attempt", "oy", "ox")).alias("__offs"))  # one short list an image
-    inside = lambda o: (F.col("y") >= o["oy"]) & (F.col("y") < o["oy"] + size) & (F.col("x") >= o["ox"]) & (F.col("x") < o["ox"] + size)
-    # A pixel gets rows only for the crops that hold it.
-    cells = pixels.join(offs, "image_id").select("*", F.inline(F.filter("__offs", inside))).drop("__offs")
+    """The first of `tries` drawn crops in which no class has more than `max_share`, else the last redraw.
+
+    Crops are judged by counts from summed-area tables of tiles (`boxes.box_histograms`), so that a
+    pixel gets a row only for the crop that is chosen.
+    """
+    offs = crop_offsets(images, size, tries if max_share < 1 else 0, salt).select("image_id", "attempt", "oy", "ox")
     if max_share < 1:
-        shares = label_share(cells, ["image_id", "attempt"], label)
+        counted = box_histograms(pixels, offs, size, label, IGNORE)
+        shares = counted.groupBy("image_id", "attempt").agg((F.max("n") / F.sum("n")).alias("share"), F.count(F.lit(1)).alias("n_classes"))
         good = shares.where((F.col("share") < max_share) & (F.col("n_classes") > 1)).groupBy("image_id").agg(F.min("attempt").alias("good"))
-        chosen = images.select("image_id").join(good, "image_id", "left").select("image_id", F.coalesce("good", F.lit(tries)).alias("attempt"))
-        cells = cells.join(chosen, ["image_id", "attempt"])
-    return cells.withColumn("y", F.col("y") - F.col("oy")).withColumn("x", F.col("x") - F.col("ox")).drop("oy", "ox", "attempt", "h", "w")
+        offs = offs.join(good, "image_id", "left").where(F.col("attempt") == F.coalesce("good", F.lit(tries))).drop("good")
+    cells = pixels.join(offs.drop("attempt"), "image_id")  # a row an image
+    cells = cells.where((F.col("y") >= F.col("oy")) & (F.col("y") < F.col("oy") + size) & (F.col("x") >= F.col("ox")) & (F.col("x") < F.col("ox") + size))
+    return cells.withColumn("y", F.col("y") - F.col("oy")).withColumn("x", F.col("x") - F.col("ox")).drop("oy", "ox", "h", "w")
 
 
 def warp(pixels: DataFrame, images: DataFrame, angle: Column, scale: Column, shift_y: Column, shift_x: Column, values: dict[str, int], mode: str = "constant", bilinear: bool = False, auto_bound: bool = False) -> DataFrame:

@@ -480,3 +480,41 @@ def test_class_definitions(spark):
     for alias, c, match in (("nothing", 0, "unrecognised dataset"), ("stare", 9, "no class 9 of stare")):
         with pytest.raises(Exception, match=match):
             P.with_class(spark.createDataFrame([(alias, c)], "alias string, c int"), F.col("alias"), F.col("c"), defs).collect()
+
+
+@pytest.mark.parametrize("tile", [5, 64])
+def test_boundaries_and_crops_by_summed_tables(spark, tile):
+    from rasterlake.operators import boxes as B
+
+    r = np.random.default_rng(4)
+    pictures = {i: (np.kron(r.integers(0, 3, (5, 6)), np.ones((4, 4), int))[: 17 + i, : 22 - i], 1 + i) for i in range(3)}
+    rows = [(i, y, x, int(a[y, x]), int((a[y, x] + (y * 7 + x) % 11 // 9) % 3), d) for i, (a, d) in pictures.items() for y in range(a.shape[0]) for x in range(a.shape[1]) if (y, x) != (8, 9)]
+    rows = [(i, y, x, 255 if (x + 3 * y) % 37 == 0 else g, p, d) for i, y, x, g, p, d in rows]
+    df = spark.createDataFrame(rows, "image_id long, y long, x long, gt int, pred int, d int")
+
+    def edge(cells, d):
+        return {(y, x, c) for (y, x), c in cells.items() if any(cells.get((y + a, x + b)) != c for a in range(-d, d + 1) for b in range(-d, d + 1))}
+
+    want, areas = set(), {}
+    for i, (_, d) in pictures.items():
+        gt = {(y, x): g for j, y, x, g, _, _ in rows if j == i}
+        want |= {(i, *e) for e in edge(gt, d)}
+        g = edge({k: v for k, v in gt.items() if v != 255}, d)
+        p = edge({(y, x): p for j, y, x, g, p, _ in rows if j == i}, d)
+        for c in range(3):
+            a, b = {e for e in g if e[2] == c}, {e for e in p if e[2] == c}
+            if a | b:
+                areas[(i, c)] = (len(a & b), len(a | b), len(b), len(a))
+    got = B.boundary_pixels(df, F.col("d"), label="gt", tile=tile).collect()
+    assert {(x["image_id"], x["y"], x["x"], x["gt"]) for x in got} == want and len(got) == len(want)
+    got = B.boundary_counts(df, F.col("d"), 255, tile=tile).collect()
+    assert {(x["image_id"], x["class_id"]): (x["a_inter"], x["a_union"], x["a_pred"], x["a_gt"]) for x in got} == areas
+
+    offs = [(i, k, int(r.integers(0, 12)), int(r.integers(0, 12))) for i in range(3) for k in range(4)]
+    got = B.box_histograms(df, spark.createDataFrame(offs, "image_id long, attempt int, oy long, ox long"), 9, tile=tile).collect()
+    plain = {}
+    for i, k, oy, ox in offs:
+        for j, y, x, g, _, _ in rows:
+            if j == i and g != 255 and oy <= y < oy + 9 and ox <= x < ox + 9:
+                plain[(i, k, g)] = plain.get((i, k, g), 0) + 1
+    assert {(x["image_id"], x["attempt"], x["gt"]): x["n"] for x in got} == plain

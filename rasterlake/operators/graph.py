@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from rasterlake.functions.scalars import affinity, clamp_power, dot, lab, normalise, squared_distance
+from rasterlake.functions.scalars import affinity, clamp_power, dot, lab, norm, normalise, squared_distance
 from rasterlake.operators.propagation import propagate, refine_pixels
 from rasterlake.sources.scratch import stage
 
@@ -79,6 +79,93 @@ def knn_join(vectors: DataFrame, k: int, block_size: int = 1024) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _matrix(table: pa.Table) -> np.ndarray:
+    return np.array(table["feat"].to_pylist(), float).reshape(table.num_rows, -1)
+
+
+def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k best of each row, ties by id; `ids` ascend."""
+    return np.argsort(-sims, axis=1, kind="stable")[:, :k]
+
+
+def knn_join_pruned(vectors: DataFrame, k: int, block_size: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """`knn_join` for large graphs of grouped vectors, and a report: `graph_id, pairs, skipped` of blocks.
+
+    A graph's nodes go to the nearest of some of its nodes (those of least hash, one for each
+    `block_size` nodes), and groups above that size are split, so that a block lies close together.
+    Each block is multiplied with itself first. Its centre c and radius r bound the products of two
+    blocks by c1.c2 + |c1| r2 + |c2| r1 + r1 r2, and blocks are multiplied only where that reaches the
+    least k-th best that a node of the first one has so far. The result is that of `knn_join`, exactly.
+    """
+    vectors = vectors.select(F.col("graph_id").cast("long").alias("graph_id"), F.col("node").cast("long").alias("node"), "feat")
+    sizes = vectors.groupBy("graph_id").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("blocks"))
+    rows = vectors.join(sizes, "graph_id").withColumn("h", F.xxhash64("node")).withColumn("dealt", F.pmod(F.col("h"), F.col("blocks")).cast("int"))
+    nth = F.row_number().over(W.Window.partitionBy("graph_id").orderBy("h", "node"))
+    seeds = rows.withColumn("nth", nth).where(F.col("nth") <= F.col("blocks")).select("graph_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("dealt"), F.col("nth").alias("group"), F.col("feat").alias("centre"))
+
+    def assign(part: pa.Table, centres: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return part.select(["graph_id", "node"]).append_column("group", pa.array([], pa.int32())).append_column("feat", part["feat"])
+        x, c = _matrix(part), np.array(centres["centre"].to_pylist(), float)
+        order = np.argsort(centres["group"].to_numpy(), kind="stable")
+        c, names = c[order], centres["group"].to_numpy()[order]
+        near = np.concatenate([((c * c).sum(axis=1) - 2 * x[i : i + 512] @ c.T).argmin(axis=1) for i in range(0, len(x), 512)])
+        return pa.table({"graph_id": part["graph_id"], "node": part["node"], "group": pa.array(names[near].astype(np.int32)), "feat": part["feat"]})
+
+    mine = rows.select("graph_id", "node", "feat", "dealt")
+    placed = mine.groupBy("graph_id", "dealt").cogroup(seeds.select(*[F.col(c).alias(c) for c in seeds.columns]).groupBy("graph_id", "dealt")).applyInArrow(assign, "graph_id long, node long, group int, feat array<double>")
+    placed = stage(placed, "groups")
+    split = placed.groupBy("graph_id", "group").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("pieces"))
+    placed = placed.join(split, ["graph_id", "group"]).withColumn("block", (F.col("group").cast("long") * (1 << 31) + F.pmod(F.xxhash64("node"), F.col("pieces"))).cast("long"))
+    placed = stage(placed.select("graph_id", "block", "node", "feat"), "blocks")
+
+    def within(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("node")
+        x, ids = _matrix(part), part["node"].to_numpy()
+        centre = x.mean(axis=0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max()) * (1 + 1e-9) + 1e-12
+        src, dst, sim, least = [], [], [], np.inf
+        for i in range(0, len(x), 256):
+            sims = x[i : i + 256] @ x.T
+            best = _best(sims, ids, k)
+            values = np.take_along_axis(sims, best, 1)
+            src.append(np.repeat(ids[i : i + 256], best.shape[1]))
+            dst.append(ids[best].ravel())
+            sim.append(values.ravel())
+            least = min(least, values[:, -1].min()) if best.shape[1] == k else -np.inf
+        lists = {"src": (src, pa.int64()), "dst": (dst, pa.int64()), "sim": (sim, pa.float64())}
+        return pa.table({"graph_id": pa.array([key[0].as_py()]), "block": pa.array([key[1].as_py()]), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius]), "least": pa.array([float(least)]), **{c: pa.array([np.concatenate(v)], pa.list_(t)) for c, (v, t) in lists.items()}})
+
+    own = stage(placed.groupBy("graph_id", "block").applyInArrow(within, "graph_id long, block long, centre array<double>, radius double, least double, src array<long>, dst array<long>, sim array<double>"), "within")
+    a, b = (own.select("graph_id", F.col("block").alias(f"{s}"), F.col("centre").alias(f"c{s}"), F.col("radius").alias(f"r{s}"), F.col("least").alias(f"least{s}")) for s in ("l", "r"))
+    bound = dot(F.col("cl"), F.col("cr")) + norm(F.col("cl")) * F.col("rr") + norm(F.col("cr")) * F.col("rl") + F.col("rl") * F.col("rr")
+    pairs = stage(a.join(b, "graph_id").where("l <> r").select("graph_id", "l", "r", (bound * (1 + 1e-9) + 1e-9 >= F.col("leastl")).alias("needed")), "pairs")
+    report = pairs.groupBy("graph_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.when(F.col("needed"), 0).otherwise(1)).alias("skipped"))
+    needed = pairs.where("needed").select("graph_id", "l", "r")
+    left = placed.withColumnRenamed("block", "l").join(needed, ["graph_id", "l"])
+    right = placed.select("graph_id", F.col("block").alias("r"), "node", "feat").join(needed, ["graph_id", "r"])
+    right = right.select(*[F.col(c).alias(c) for c in ("graph_id", "l", "r", "node", "feat")])
+
+    def across(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = {"graph_id": pa.array([], pa.int64()), "src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())}
+        if x.num_rows and y.num_rows:
+            y = y.sort_by("node")
+            m, other, ids, nodes = _matrix(x), _matrix(y), y["node"].to_numpy(), x["node"].to_numpy()
+            parts = []
+            for i in range(0, len(m), 256):
+                sims = m[i : i + 256] @ other.T
+                best = _best(sims, ids, k)
+                parts.append((np.repeat(nodes[i : i + 256], best.shape[1]), ids[best].ravel(), np.take_along_axis(sims, best, 1).ravel()))
+            src, dst, sim = (np.concatenate(v) for v in zip(*parts, strict=True))
+            out = {"graph_id": pa.array(np.full(len(src), x["graph_id"][0].as_py())), "src": pa.array(src), "dst": pa.array(dst), "sim": pa.array(sim)}
+        return pa.table(out)
+
+    far = left.groupBy("graph_id", "l", "r").cogroup(right.groupBy("graph_id", "l", "r")).applyInArrow(across, "graph_id long, src long, dst long, sim double")
+    near = own.select("graph_id", F.inline(F.arrays_zip("src", "dst", "sim")))
+    rank = F.row_number().over(W.Window.partitionBy("graph_id", "src").orderBy(F.desc("sim"), "dst"))
+    return near.unionByName(far).withColumn("rank", rank).where(F.col("rank") <= k), report
+
+
 def knn_join_plain(vectors: DataFrame, k: int) -> DataFrame:
     """`knn_join` as one join and rank; for graphs of some hundred nodes."""
     a = vectors.select("graph_id", F.col("node").alias("src"), F.col("feat").alias("fa"))

@@ -74,6 +74,7 @@ query("a25_prompt_mean", duck("v_patch", f"select gt, unnest(range(len(m)))::int
     lambda s, d: rounded(G.prompt_mean(V.patches(s, d), ["gt"]).select("gt", F.posexplode("feat").alias("d", "v"))))
 query("j10_knn_join", duck("v_patch", "select graph_id, src, dst, round(sim, 6) sim, cast(rank as int) rank from knn", **KNN))(lambda s, d: rounded(G.knn_join(nodes(s, d), 10)))
 query("j10_knn_join_plain", duck("v_patch", "select graph_id, src, dst, round(sim, 6) sim, cast(rank as int) rank from knn", **KNN))(lambda s, d: rounded(G.knn_join_plain(nodes(s, d), 10)))
+query("j10_knn_join_pruned", duck("v_patch", "select graph_id, src, dst, round(sim, 6) sim, cast(rank as int) rank from knn", **KNN))(lambda s, d: rounded(G.knn_join_pruned(nodes(s, d), 10, 16)[0]))
 query("g02_knn_affinity", duck("v_patch", "select graph_id, src, dst, round(w, 6) w from aff", **KNN, ctr=AFF["ctr"], aff=AFF["aff"]))(lambda s, d: rounded(G.knn_affinity(G.knn_join(nodes(s, d), 10), centers(s, d), 3.0, 0.01)))
 query("g03_geometry_affinity", duck("v_patch", "select k.graph_id, src, dst, round(exp(-0.01::double * sqrt((a.cy - b.cy) * (a.cy - b.cy) + (a.cx - b.cx) * (a.cx - b.cx))), 6) w from knn k join ctr a on k.graph_id = a.graph_id and k.src = a.node join ctr b on k.graph_id = b.graph_id and k.dst = b.node", **KNN, ctr=AFF["ctr"]))(lambda s, d: rounded(G.knn_affinity(G.knn_join(nodes(s, d), 10), centers(s, d), 0.0, 0.01)))
 query("g04_symmetrize", duck("v_patch", "select graph_id, src, dst, round(w, 6) w from sym", **KNN, **{k: AFF[k] for k in ("ctr", "aff", "sym")}))(lambda s, d: rounded(G.symmetrize(G.knn_affinity(G.knn_join(nodes(s, d), 10), centers(s, d), 3.0, 0.01))))

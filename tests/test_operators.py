@@ -518,3 +518,18 @@ def test_boundaries_and_crops_by_summed_tables(spark, tile):
             if j == i and g != 255 and oy <= y < oy + 9 and ox <= x < ox + 9:
                 plain[(i, k, g)] = plain.get((i, k, g), 0) + 1
     assert {(x["image_id"], x["attempt"], x["gt"]): x["n"] for x in got} == plain
+
+
+def test_pruned_neighbours_are_all_neighbours(spark):
+    r = np.random.default_rng(6)
+    far = r.normal(size=(8, 5)) * 20
+    rows = [(g, i, (far[i % 8] * (g == 0) + r.normal(size=5)).tolist()) for g, n in ((0, 240), (1, 50), (2, 3)) for i in range(n)]
+    rows += [(0, 1000 + i, rows[5][2]) for i in range(30)]  # ties
+    df = spark.createDataFrame(rows, "graph_id long, node long, feat array<double>")
+    found, report = G.knn_join_pruned(df, 7, 16)
+    got = {(x["graph_id"], x["src"], x["rank"]): (x["dst"], round(x["sim"], 9)) for x in found.collect()}
+    plain = {(x["graph_id"], x["src"], x["rank"]): (x["dst"], round(x["sim"], 9)) for x in G.knn_join_plain(df, 7).collect()}
+    assert got.keys() == plain.keys() and all(got[k][1] == plain[k][1] for k in got)
+    assert sum(got[k] != plain[k] for k in got) < 0.02 * len(got)  # sums in another order may swap equal ones
+    skipped = {x["graph_id"]: (x["pairs"], x["skipped"]) for x in report.collect()}
+    assert skipped[0][1] > 0.3 * skipped[0][0] and 2 not in skipped

@@ -130,15 +130,20 @@ def template_matches(rows: DataFrame, containment: float = 0.8, long_text: int |
 
     vocabulary = F.array(*[F.lit(t) for t in _vocabulary()])
     in_lines = texts.select("id", "key", "part", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    in_lines = in_lines.select("id", "key", "part", "line", F.explode(F.array_intersect(F.split(words_line(F.col("words")), " "), vocabulary)).alias("token")).join(ranked, "token")
+    in_lines = in_lines.select("id", "key", "part", "line", F.array_intersect(F.split(words_line(F.col("words")), " "), vocabulary).alias("tokens")).where(F.size("tokens") >= min(needs.values()))
+    in_lines = in_lines.select("id", "key", "part", "line", F.explode("tokens").alias("token")).join(ranked, "token")
     in_lines = in_lines.select("id", "key", "name", F.col("part").alias("a"), F.col("line").cast("long").alias("b"), "token", "pos", "size", "need")
     placed = listed.select("id", "key", "before", F.posexplode(F.split(F.trim(words_line(F.col("text"))), " ")).alias("i", "token")).join(ranked, "token")
     block = F.floor((F.col("before") + F.col("i")) / F.col("n"))
     in_windows = placed.select("id", "key", "name", F.lit(-1).cast("long").alias("a"), F.explode(F.array(block, block - 1)).alias("b"), "token", "pos", "size", "need").where("b >= 0")
     hits = in_lines.unionByName(in_windows).groupBy("id", "key", "name", "a", "b", "size", "need")
-    hits = hits.agg(F.min("pos").alias("first"), F.collect_set("token").alias("held"))  # a template's words at most
-    hits = hits.where((F.col("first") <= F.col("size") - F.col("need")) & (F.size("held") >= F.col("need")))
-    return hits.groupBy("id", "key", F.substring_index("name", "#", 1).alias("label")).agg(F.max(F.size("held") / F.col("size")).alias("score"))
+    # The template's tokens that a block holds are bits, by their place in the order.
+    marks = range(-(-max(map(len, tokens_of.values())) // 60))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("pos") % 60).cast("int"))
+    hits = hits.agg(F.min("pos").alias("first"), *[F.bit_or(F.when(F.floor(F.col("pos") / 60) == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"held{i}") for i in marks])
+    hits = hits.withColumn("common", sum((F.bit_count(f"held{i}") for i in marks), F.lit(0)))
+    hits = hits.where((F.col("first") <= F.col("size") - F.col("need")) & (F.col("common") >= F.col("need")))
+    return hits.groupBy("id", "key", F.substring_index("name", "#", 1).alias("label")).agg(F.max(F.col("common") / F.col("size")).alias("score"))
 
 
 def _ascii_words(text: str) -> list[str]:

@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One query of each kind; the driver compares all of them.
 CHECKED = [
     "a01_areas_per_image", "a03_mean_iou", "a05_fscore", "a07_dataset_evaluate", "a09_metrics_from_confusion", "a10_group_collapsed", "a13_boundary_areas", "a16_topk_accuracy", "a17_cross_entropy", "w06_lovasz_softmax",
-    "g05_normalize_graph", "g08_label_propagation_grouped", "j10_knn_join", "j03_resolve_by_priority", "r02_tile_pixels_reflect", "r04_resize_bilinear", "r11_random_crop", "r23_mixup", "s10_rasterize_rle", "s10_rasterize_coco", "g07_pixel_grid_edges", "r24_cutmix", "r25_mosaic", "r26_mix_pipeline", "s01_manifest_from_dir", "u03_shard_for_workers", "w03_exact_split", "st2_progressive_eval",
+    "g05_normalize_graph", "g08_label_propagation_grouped", "j10_knn_join", "j03_resolve_by_priority", "r02_tile_pixels_reflect", "r04_resize_bilinear", "r11_random_crop", "r23_mixup", "s10_rasterize_rle", "s10_rasterize_coco", "g07_pixel_grid_edges", "r24_cutmix", "r25_mosaic", "r26_mix_pipeline", "s01_manifest_from_dir", "u03_shard_for_workers", "w03_exact_split", "st2_progressive_eval", "w06_lovasz_softmax_corpus", "w07_lovasz_hinge_corpus", "t05_hard_pixels", "t06_hard_pixels", "s05_class_definitions", "j10_knn_join_pruned", "w05_boundary_mask",
 ]
 
 

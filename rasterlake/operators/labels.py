@@ -55,7 +55,7 @@ def propagate_ignore(gt: Column, pred: Column, ignore: int = IGNORE) -> Column:
 
 def join_pred_gt(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """Prediction and ground truth of a pixel side by side."""
-    return gt.select("image_id", "y", "x", F.col("label").alias("gt")).join(pred.select("image_id", "y", "x", F.col("label").alias("pred")), ["image_id", "y", "x"])
+    return gt.select("image_id", "y", "x", F.col("label").alias("gt")).join(pred.select("image_id", "y", "x", F.col("label").alias("pred")).hint("merge"), ["image_id", "y", "x"])
 
 
 def format_labels(label: Column, dataset: str) -> Column:

@@ -13,10 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Pixels of images that one task makes.
+PIXELS = 1 << 18
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An image per supplier, of six sizes."""
+    """An image per supplier, of six sizes; dealt to tasks by the number of their pixels, as the table is one small file whose rows become a thousand pixels each."""
     k = F.col("s_suppkey").cast("long")
-    return table(spark, sf_dir, "supplier").select(k.alias("image_id"), (24 + 8 * (k % 3)).alias("h"), (32 + 8 * (k % 2)).alias("w"))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("image_id"), (24 + 8 * (k % 3)).alias("h"), (32 + 8 * (k % 2)).alias("w"))
+    pixels = rows.agg(F.sum(F.col("h") * F.col("w"))).first()[0] or 0
+    return rows.repartition(pixels // PIXELS + 1, "image_id")
 
 
 def grid(images_: DataFrame) -> DataFrame:
@@ -24,10 +30,10 @@ def grid(images_: DataFrame) -> DataFrame:
     return images_.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)))
 
 
-def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground truth, prediction (6 classes, 255 to ignore) and colour per pixel."""
+def raster(spark: SparkSession, sf_dir: str, images_: DataFrame | None = None) -> DataFrame:
+    """Ground truth, prediction (6 classes, 255 to ignore) and colour per pixel, of all images or of those given."""
     i, y, x = F.col("image_id"), F.col("y"), F.col("x")
-    g = grid(images(spark, sf_dir)).withColumn("c", (i + 2 * F.floor(y / 12) + 3 * F.floor(x / 14)) % 6)
+    g = grid(images(spark, sf_dir) if images_ is None else images_).withColumn("c", (i + 2 * F.floor(y / 12) + 3 * F.floor(x / 14)) % 6)
     c = F.col("c")
     return g.select(
         "image_id", "h", "w", "y", "x", F.when((y * 41 + x + i) % 17 == 0, 255).otherwise(c).cast("int").alias("gt"), F.when((7 * i + 3 * y + 5 * x) % 11 < 2, (c + 1) % 6).otherwise(c).cast("int").alias("pred"),

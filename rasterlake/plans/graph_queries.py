@@ -155,7 +155,8 @@ def chain_images(spark, sf):
 
 def chain_pixels(spark, sf):
     own = chain_images(spark, sf).select("image_id", F.col("h0").alias("h"), F.col("w0").alias("w"))
-    colours = V.raster(spark, sf).select((F.col("image_id") - 1).alias("image_id"), "y", "x", "r", "g", "b")
+    wanted = own.withColumn("image_id", F.col("image_id") + 1)  # pixels are made for these images alone
+    colours = V.raster(spark, sf, wanted).select((F.col("image_id") - 1).alias("image_id"), "y", "x", "r", "g", "b")
     fine = R.resize_bilinear(colours, own, F.lit(32), F.lit(32), ["r", "g", "b"])
     return fine.select("image_id", "y", "x", *[F.floor(F.col(c) + 0.5).cast("int").alias(c) for c in "rgb"])
 

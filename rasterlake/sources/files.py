@@ -195,7 +195,7 @@ def polygon_pixels(polygons: DataFrame) -> DataFrame:
 def paint(cells: DataFrame, grid: DataFrame) -> DataFrame:
     """A label per pixel of `grid`: the last annotation over it, 0 elsewhere."""
     top = cells.groupBy("image_id", "y", "x").agg(F.max_by("label", "ann_id").alias("label"))
-    return grid.select("image_id", "y", "x").join(top, ["image_id", "y", "x"], "left").na.fill(0, ["label"])
+    return grid.select("image_id", "y", "x").join(top.hint("merge"), ["image_id", "y", "x"], "left").na.fill(0, ["label"])
 
 
 def write_split(df: DataFrame, path: str) -> None:

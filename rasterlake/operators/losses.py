@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from rasterlake.operators.selection import kth_smallest, ordered_bits, smallest
+from rasterlake.operators.selection import bits_of, double_of, kth_smallest, ordered_bits, smallest
 from rasterlake.sources.scratch import stage
 
 IGNORE = 255
@@ -144,10 +145,10 @@ def hard_by_threshold(df: DataFrame, thresh: float, min_kept: int, n_images: int
     keys = stage(df.select(ordered_bits(F.col("p")).alias("k")), "keys")
     k = min(min_kept * n_images + 1, keys.count())
     found = kth_smallest(keys, "k", k)
-    bar = ordered_bits(F.lit(float(thresh)))
+    bar = int(bits_of(np.array([float(thresh)]))[0])
     if found is not None:
-        bar = F.greatest(bar, F.lit(found[0]))
-    return df.withColumn("weight", (F.col("p").isNotNull() & (ordered_bits(F.col("p")) < bar)).cast("double"))
+        bar = max(bar, found[0])
+    return df.withColumn("weight", (F.col("p").isNotNull() & (F.col("p").cast("double") < F.lit(double_of(bar)))).cast("double"))
 
 
 def hard_by_loss(df: DataFrame, min_kept: int, n_images: int, key: str = "pixel") -> DataFrame:

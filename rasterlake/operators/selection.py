@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Bits of a value that a round looks at: at most 65,536 counts reach the driver in each of four rounds.
 DIGIT = 16
 
 
-def ordered_bits(value: Column) -> Column:
-    """A long in the order of a double: null first, -0.0 as 0.0, NaN last.
+def bits_of(values: np.ndarray) -> np.ndarray:
+    """Numbers in the order of doubles: -0.0 as 0.0, NaN last."""
+    size = np.abs(values).view(np.int64)
+    return np.where(np.isnan(values), np.iinfo(np.int64).max, np.where(values < 0, -size, size))
 
-    It is the number of a double among all doubles, made from its exponent and fraction, both exact.
-    """
-    v = value.cast("double")
-    a = F.abs(v)
-    small = a < F.lit(2.0**-1022)  # subnormal: all of it is fraction
-    e = F.floor(F.log2(F.when(small | F.isnan(a) | (a > F.lit(1.7976931348623157e308)), F.lit(1.0)).otherwise(a))).cast("int")
-    power = F.pow(F.lit(2.0), e.cast("double"))
-    e = F.when(a < power, e - 1).when(a / power >= 2.0, e + 1).otherwise(e)  # a logarithm next to a power of 2 may be off by one
-    # In two steps, as 2^-e itself may be no double.
-    half = F.floor(e / 2).cast("double")
-    fraction = a * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - e.cast("double"))
-    normal = F.shiftleft((e + 1023).cast("long"), 52) + ((fraction - 1.0) * F.lit(2.0**52)).cast("long")
-    size = F.when(small, (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("long")).when(a > F.lit(1.7976931348623157e308), F.lit(2047 << 52)).otherwise(normal)
-    top = F.lit(2**63 - 1)
-    return F.when(v.isNull(), F.lit(-(2**63))).when(F.isnan(v), top).when(v < 0, -size).otherwise(size).cast("long")
+
+def double_of(bits: int) -> float:
+    """The double of a number of `bits_of`."""
+    if bits == 2**63 - 1:
+        return float("nan")
+    return float(np.copysign(np.array([abs(bits)], np.int64).view(np.float64)[0], 1.0 if bits >= 0 else -1.0))
+
+
+def _bits(values: pa.Array) -> pa.Array:
+    found = bits_of(values.fill_null(0.0).to_numpy(zero_copy_only=False))
+    return pa.array(np.where(values.is_null().to_numpy(zero_copy_only=False), np.iinfo(np.int64).min, found))
+
+
+def ordered_bits(value: Column) -> Column:
+    """A long in the order of a double, that of its bits: null first, -0.0 as 0.0, NaN last."""
+    return F.arrow_udf(_bits, LongType())(value.cast("double"))
 
 
 def kth_smallest(df: DataFrame, key: str, k: int) -> tuple[int, int] | None:

@@ -39,3 +39,35 @@ def test_no_pixel_table_is_broadcast(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
     assert broadcast_of_pixels(plan) == []
+
+
+def optimised(spark, name: str) -> str:
+    return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["r12_rotate_whole_bilinear", "r17_clahe"])
+def test_no_list_is_searched_for_each_pixel(spark, name):
+    assert " filter(" not in optimised(spark, name).replace("[filter(", " filter(").replace("(filter(", " filter(")
+
+
+def test_photometric_draws_once_a_pixel(spark):
+    """Nine draws, each of nine places with the first product."""
+    assert optimised(spark, "r20_photometric").count("48271") <= 81
+
+
+@pytest.mark.parametrize("name", ["t05_hard_pixels", "t06_hard_pixels"])
+def test_bits_of_doubles_are_taken_in_one_step(spark, name):
+    """By logarithms and powers of 2 their number needed the value many times."""
+    assert "LOG2" not in optimised(spark, name).upper() and "POWER" not in optimised(spark, name).upper()
+
+
+def test_bits_and_doubles_turn_into_each_other():
+    import numpy as np
+
+    from rasterlake.operators.selection import bits_of, double_of
+
+    values = np.array([-np.inf, -1.5, -5e-324, 0.0, 5e-324, 0.1, 1e308, np.inf, np.nan])
+    bits = bits_of(values)
+    assert list(bits) == sorted(bits)
+    np.testing.assert_array_equal([double_of(int(b)) for b in bits], values)
+    assert bits_of(np.array([-0.0]))[0] == 0

@@ -23,6 +23,8 @@ from rasterlake.sources.scratch import new_path, stage
 
 #: Nodes of a block of a graph; tile edge of a picture, in pixels.
 BLOCK_NODES, TILE = 1024, 64
+#: Values (of a node and class) that one task of a step has.
+VALUES = 1 << 16
 KEYS = ["graph_id", "block"]
 _STATE = "graph_id long, block long, x binary, r binary, p binary, q binary, sums array<double>"
 _MESSAGE = "graph_id long, block long, sender long, data binary"
@@ -187,12 +189,14 @@ def _finish(fixed: _Bucketed, state: _Bucketed, coefficients: DataFrame, classes
     return held.select("graph_id", "block", "fixed", "x", "p", "c").mapInArrow(rows_of, f"graph_id long, {kinds}, class_id int, value double")
 
 
-def _buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _measure(start: DataFrame) -> tuple[list[int], int]:
+    """The classes, and into how many buckets the values of nodes and classes go: as many tasks each step has.
 
-
-def _classes(start: DataFrame) -> list[int]:
-    return sorted(r["class_id"] for r in start.select("class_id").distinct().collect())  # as many as there are classes
+    By the number of values and not `spark.sql.shuffle.partitions`, as ten steps of nearly empty
+    tasks take longer than the sums in them.
+    """
+    counts = {r["class_id"]: r["count"] for r in start.groupBy("class_id").count().collect()}  # as many as there are classes
+    return sorted(counts), sum(counts.values()) // VALUES + 1
 
 
 # Sparse rows of any graph.
@@ -237,7 +241,7 @@ def propagate(edges: DataFrame, start: DataFrame, alpha: float = 0.95, iteration
     many edges lead to it, and no edge moves. Edges to nodes without a start, or from them, count for nothing.
     """
     size = block_nodes or BLOCK_NODES
-    classes, n = _classes(start), _buckets(start)
+    classes, n = _measure(start)
     if not classes:
         return start.select("graph_id", "node", "class_id", F.col("y").alias("x"))
     n_classes = len(classes)
@@ -390,7 +394,7 @@ def refine_pixels(scores: DataFrame, pixels: DataFrame, neigh: int = 6, tau: flo
     size = tile or TILE
     if 2 * neigh > size:
         raise ValueError("a tile must be at least twice as wide as the neighbourhood")
-    classes, n = _classes(scores), _buckets(scores)
+    classes, n = _measure(scores)
     if not classes:
         return scores.select("image_id", "y", "x", "class_id", "score")
     if iterations < 1:

@@ -77,3 +77,19 @@ def test_the_centre_of_a_mosaic_is_drawn_before_pixels_are_joined(spark):
     """Not in the condition of their join, where each pixel would draw it at each place that uses it."""
     joins = [line for line in optimised(spark, "r25_mosaic").splitlines() if " Join " in f" {line}" and "quadrant" in line]
     assert joins and not any("48271" in line for line in joins)
+
+
+def test_propagation_has_tasks_by_its_values(spark):
+    """Not as many as `spark.sql.shuffle.partitions`, which its few values leave nearly empty in every step."""
+    from rasterlake.operators import propagation as P
+
+    start = spark.range(2 * P.VALUES // 10 + 10).selectExpr("0L graph_id", "id node", "explode(sequence(0, 9)) class_id", "1D y")
+    classes, n = P._measure(start)
+    assert classes == list(range(10)) and n == 3
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        out = P.propagate(spark.createDataFrame([(0, 0, 1, 1.0), (0, 1, 0, 1.0)], "graph_id long, src long, dst long, w double"), spark.createDataFrame([(0, 0, 0, 1.0), (0, 1, 0, 0.0)], "graph_id long, node long, class_id int, y double"), iterations=1)
+        assert out.rdd.getNumPartitions() == 1 and out.count() == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -196,10 +196,10 @@ def manifest_from_split(spark, sf):
 def manifest_from_dir(spark, sf):
     """Every file below a folder; each was written into a folder of its own name."""
     path = new_path(spark, "folder")
-    V.files(spark, sf).select("file_name", "page_id").repartition("file_name").write.partitionBy("file_name").parquet(path)
-    found = S.manifest_from_dir(spark, path, ".parquet", "_mask.png")
+    S.write_folders(V.files(spark, sf).select("file_name", F.col("page_id").cast("string")), "file_name", path)
+    found = S.manifest_from_dir(spark, path, ".txt", "_mask.png")
     name = F.regexp_extract("path", "file_name=([^/]+)/[^/]*$", 1)
-    return found.select(name.alias("name"), F.substring("file_name", 1, 4).alias("kind"), (F.col("mask_name") == F.replace("file_name", F.lit(".parquet"), F.lit("_mask.png"))).alias("has_mask"))
+    return found.select(name.alias("name"), F.substring("file_name", 1, 4).alias("kind"), (F.col("mask_name") == F.replace("file_name", F.lit(".txt"), F.lit("_mask.png"))).alias("has_mask"))
 
 
 def coco_documents(spark, sf):

@@ -208,6 +208,21 @@ def write_split_lists(df: DataFrame, path: str, suffix: str = "_gtFine_polygons.
     df.select("split", F.regexp_replace("file_name", suffix.replace(".", r"\.") + "$", "").alias("value")).write.mode("overwrite").partitionBy("split").text(path)
 
 
+#: Folders of `write_folders` that one task makes.
+FOLDERS = 256
+
+
+def write_folders(df: DataFrame, column: str, path: str) -> None:
+    """A folder for each value of a column, with one text file of the other column's values, below a folder a task.
+
+    Dealt to tasks by the number of rows, as a file takes its time however short it is, and Spark
+    would put small rows together in one task. A task moves its own files into place, and readers
+    list a task's folders in one task.
+    """
+    rows = df.repartition(df.count() // FOLDERS + 1, column).withColumn("part", F.spark_partition_id())
+    rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("part", column).text(path)
+
+
 def write_results(masks: DataFrame, path: str, folders: int = 256) -> None:
     """Label maps by image: rows with `out_name`, the image's name with .png, in a fixed number of folders by the name's hash."""
     out = masks.withColumn("out_name", F.concat(F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit(".png")))

@@ -79,6 +79,18 @@ def test_the_centre_of_a_mosaic_is_drawn_before_pixels_are_joined(spark):
     assert joins and not any("48271" in line for line in joins)
 
 
+def test_folders_are_dealt_to_tasks_by_their_number(spark, tmp_path):
+    """Each is a file that takes its time; by their few bytes they would all go to one task."""
+    from rasterlake.sources.files import FOLDERS, manifest_from_dir, write_folders
+
+    names = spark.range(2 * FOLDERS + 10).selectExpr("concat('n', id) name", "cast(id as string) value")
+    path = f"file://{tmp_path}/folders"
+    write_folders(names, "name", path)
+    found = manifest_from_dir(spark, path, ".txt").selectExpr("regexp_extract(path, 'part=([0-9]+)/', 1) part", "regexp_extract(path, 'name=([^/]+)/[^/]*$', 1) name").collect()
+    assert len({r["part"] for r in found}) == 3
+    assert sorted(r["name"] for r in found) == sorted(f"n{i}" for i in range(2 * FOLDERS + 10))
+
+
 def test_propagation_has_tasks_by_its_values(spark):
     """Not as many as `spark.sql.shuffle.partitions`, which its few values leave nearly empty in every step."""
     from rasterlake.operators import propagation as P

@@ -44,12 +44,24 @@ def uniform(labels: np.ndarray, d: int) -> np.ndarray:
     return (odd == 0) & (across == 0) & (down == 0)
 
 
-def _grid(table: pa.Table, column: str, tile: int, d: int) -> np.ndarray:
-    out = np.full((tile + 2 * d, tile + 2 * d), _MISSING)
-    y = table["y"].to_numpy() - table["ty"][0].as_py() * tile + d
-    x = table["x"].to_numpy() - table["tx"][0].as_py() * tile + d
-    out[y, x] = table[column].to_numpy()
-    return out
+def _grid(table: pa.Table, columns: list[str], tile: int, d: int) -> tuple[list[np.ndarray], int, int]:
+    """Label maps of the rectangle that a tile's own pixels fill, with a rim of d pixels, and the rectangle's upper left corner.
+
+    A small picture takes no more room than it has pixels, whatever the tile's edge; a tile that has pixels of its rim only is empty.
+    """
+    top, left = table["ty"][0].as_py() * tile, table["tx"][0].as_py() * tile
+    y, x = table["y"].to_numpy() - top, table["x"].to_numpy() - left
+    own = (y >= 0) & (y < tile) & (x >= 0) & (x < tile)
+    if not own.any():
+        return [np.zeros((2 * d, 2 * d), np.int64) for _ in columns], top, left
+    (y0, y1), (x0, x1) = ((int(i[own].min()), int(i[own].max()) + 1) for i in (y, x))
+    near = (y >= y0 - d) & (y < y1 + d) & (x >= x0 - d) & (x < x1 + d)
+    at, out = (y[near] - y0 + d, x[near] - x0 + d), []
+    for column in columns:
+        labels = np.full((y1 - y0 + 2 * d, x1 - x0 + 2 * d), _MISSING)
+        labels[at] = table[column].to_numpy()[near]
+        out.append(labels)
+    return out, top + y0, left + x0
 
 
 def _kind(df: DataFrame, column: str) -> str:
@@ -64,11 +76,11 @@ def boundary_pixels(mask: DataFrame, d: int | Column, key: str = "image_id", lab
 
     def find(table: pa.Table) -> pa.Table:
         d = table["d"][0].as_py()
-        labels = _grid(table, "label", size, d)
-        own = labels[d : d + size, d : d + size]
+        (labels,), y0, x0 = _grid(table, ["label"], size, d)
+        own = labels[d : len(labels) - d, d : labels.shape[1] - d]
         y, x = np.nonzero((own != _MISSING) & ~uniform(labels, d))
         n = len(y)
-        return pa.table({key: table[key].take(pa.array(np.zeros(n, np.int64))), "y": pa.array(y + table["ty"][0].as_py() * size), "x": pa.array(x + table["tx"][0].as_py() * size), "label": pa.array(own[y, x], pa.int64())})
+        return pa.table({key: table[key].take(pa.array(np.zeros(n, np.int64))), "y": pa.array(y + y0), "x": pa.array(x + x0), "label": pa.array(own[y, x], pa.int64())})
 
     found = in_tiles(rows, size, F.col("d")).groupBy(key, "ty", "tx").applyInArrow(find, f"{key} {kind}, y long, x long, label long")
     return found.select(key, "y", "x", F.col("label").cast(label_kind).alias(label))
@@ -83,10 +95,9 @@ def boundary_counts(pairs: DataFrame, d: Column, ignore: int, key: str = "image_
     def count(table: pa.Table) -> pa.Table:
         d = table["d"][0].as_py()
         sides = []
-        for column in ("gt", "pred"):
-            labels = _grid(table, column, size, d)
+        for labels in _grid(table, ["gt", "pred"], size, d)[0]:
             labels[labels == ignore] = _MISSING
-            own = labels[d : d + size, d : d + size]
+            own = labels[d : len(labels) - d, d : labels.shape[1] - d]
             sides.append(np.where(uniform(labels, d), _MISSING, own))
         g, p = sides
         classes, at = np.unique(np.concatenate([g.ravel(), p.ravel()]), return_inverse=True)
@@ -117,9 +128,8 @@ def box_histograms(pixels: DataFrame, wanted: DataFrame, size: int, label: str =
     def count(table: pa.Table, boxes_: pa.Table) -> pa.Table:
         out = {"attempt": [np.zeros(0, np.int32)], "label": [np.zeros(0, np.int64)], "n": [np.zeros(0, np.int64)]}
         if table.num_rows and boxes_.num_rows:
-            y0, x0 = table["ty"][0].as_py() * edge, table["tx"][0].as_py() * edge
-            labels = _grid(table, "label", edge, 0)
-            y, x = (np.clip(np.stack([b, b + size]) - o, 0, edge) for b, o in ((boxes_["oy"].to_numpy(), y0), (boxes_["ox"].to_numpy(), x0)))
+            (labels,), y0, x0 = _grid(table, ["label"], edge, 0)
+            y, x = (np.clip(np.stack([b, b + size]) - o, 0, n) for b, o, n in ((boxes_["oy"].to_numpy(), y0, labels.shape[0]), (boxes_["ox"].to_numpy(), x0, labels.shape[1])))
             attempt = boxes_["attempt"].to_numpy()
             for c in np.unique(table["label"].to_numpy()):
                 t = summed(labels == c)

@@ -105,3 +105,20 @@ def test_propagation_has_tasks_by_its_values(spark):
         assert out.rdd.getNumPartitions() == 1 and out.count() == 2
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_small_picture_takes_no_whole_tile():
+    """Sums are made of its own pixels and a rim, not of 256 x 256 places."""
+    import numpy as np
+    import pyarrow as pa
+
+    from rasterlake.operators import boxes as B
+
+    y, x = (i.ravel() for i in np.mgrid[0:30, 0:40])
+    picture = pa.table({"y": y + 256, "x": x, "ty": np.ones(1200, np.int64), "tx": np.zeros(1200, np.int64), "label": y % 3})
+    (labels,), top, left = B._grid(picture, ["label"], 256, 2)
+    assert labels.shape == (34, 44) and (top, left) == (256, 0)
+    np.testing.assert_array_equal(labels[2:-2, 2:-2], np.arange(30)[:, None] % 3 * np.ones((1, 40), np.int64))
+    assert (labels[:2] == B._MISSING).all() and (labels[:, -2:] == B._MISSING).all()
+    rim = picture.set_column(0, "y", pa.array(y + 226))  # the pixels of a neighbour only
+    assert B._grid(rim, ["label"], 256, 2)[0][0].shape == (4, 4)

@@ -17,13 +17,28 @@ def _spine(df: DataFrame, keys: list[str], n_classes: int) -> DataFrame:
     return keyed.withColumn("class_id", F.explode(F.array(*[F.lit(c) for c in range(n_classes)])))
 
 
+#: Up to so many classes an image's counts are columns of one row.
+FEW_CLASSES = 8
+
+
 def areas_per_image(df: DataFrame, n_classes: int, ignore: int = IGNORE, key: str = "image_id") -> DataFrame:
     """Intersection, prediction, ground-truth and union pixels by image and class.
 
     Pixels to ignore leave all counts; labels outside 0..C-1 count nowhere. One aggregation over
-    the pixels: pairs of labels are counted per task before the shuffle, and the classes are
-    made from those few rows.
+    the pixels. With few classes an image's counts are columns of one group, so that nothing is shuffled
+    or grouped again; otherwise pairs of labels are counted per task before the shuffle, and the
+    classes are made from those few rows.
     """
+    if n_classes <= FEW_CLASSES:
+        kept, sides = df.where(F.col("gt") != ignore), {}
+        for c in range(n_classes):
+            hits = {"i": (F.col("gt") == c) & (F.col("pred") == c), "p": F.col("pred") == c, "g": F.col("gt") == c}
+            sides |= {f"{k}{c}": F.count(F.when(hit, 1)).alias(f"{k}{c}") for k, hit in hits.items()}
+        rows = kept.groupBy(key).agg(*sides.values())
+        return rows.select(key, F.inline(F.array(*[
+            F.struct(F.lit(c).alias("class_id"), F.col(f"i{c}").alias("a_inter"), (F.col(f"p{c}") + F.col(f"g{c}") - F.col(f"i{c}")).alias("a_union"), F.col(f"p{c}").alias("a_pred"), F.col(f"g{c}").alias("a_gt"))
+            for c in range(n_classes)
+        ])))
     pairs = df.where(F.col("gt") != ignore).groupBy(key, "gt", "pred").agg(F.count(F.lit(1)).alias("n"))
     sides = F.array(
         F.struct(F.col("gt").alias("class_id"), F.when(F.col("gt") == F.col("pred"), F.col("n")).otherwise(0).alias("i"), F.lit(0).cast("long").alias("p"), F.col("n").alias("g")),

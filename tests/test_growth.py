@@ -146,3 +146,18 @@ def test_lines_keep_missing_pixels_apart_from_empty_ones(spark):
     assert cells(whole) == {(0, 0): 0.0, (0, 1): 5.0, (1, 0): 0.0, (1, 1): 0.0, (2, 0): 7.0, (2, 1): 8.0}
     with pytest.raises(Exception, match="a pixel is given twice"):
         R.pad(pixels.unionAll(pixels), image, F.lit(3), F.lit(6), {"v": 9}).collect()
+
+
+def test_areas_of_few_classes_are_grouped_once(spark, monkeypatch):
+    """Not by pairs of labels and by classes again; with many classes the counts are the same."""
+    from rasterlake.operators import metrics as M
+
+    plan = optimised(spark, "a01_areas_per_image")
+    assert sum("Aggregate " in line for line in plan.splitlines()) == 1
+    rows = [(i, (i * 7 + k * k) % 5 if k % 6 else 255, (k * 3) % 7 if k % 5 else None) for i in range(4) for k in range(30)] + [(9, 255, 1), (8, None, 1), (7, 6, 6)]
+    df = spark.createDataFrame(rows, "image_id long, gt int, pred int")
+    few = M.areas_per_image(df, 4)
+    monkeypatch.setattr(M, "FEW_CLASSES", 0)
+    many = M.areas_per_image(df, 4)
+    assert few.dtypes == many.dtypes
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.functions.scalars import draw
+from rasterlake.operators.raster import join_lines
 
 IGNORE = 255
 # Ids without a class among the 182 of COCO-Stuff, the highest thing id, and Cityscapes' ids of train ids 0 to 18.
@@ -54,8 +55,8 @@ def propagate_ignore(gt: Column, pred: Column, ignore: int = IGNORE) -> Column:
 
 
 def join_pred_gt(pred: DataFrame, gt: DataFrame) -> DataFrame:
-    """Prediction and ground truth of a pixel side by side."""
-    return gt.select("image_id", "y", "x", F.col("label").alias("gt")).join(pred.select("image_id", "y", "x", F.col("label").alias("pred")).hint("merge"), ["image_id", "y", "x"])
+    """Prediction and ground truth of a pixel side by side, from x = 0 on; whole lines are joined, and a pixel given twice by one side is an error."""
+    return join_lines(gt.withColumnRenamed("label", "gt"), pred.withColumnRenamed("label", "pred"), ["gt"], ["pred"])
 
 
 def format_labels(label: Column, dataset: str) -> Column:

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rasterlake.plans import fixtures as V
 from rasterlake.plans.all_queries import QUERIES
@@ -161,3 +162,18 @@ def test_areas_of_few_classes_are_grouped_once(spark, monkeypatch):
     many = M.areas_per_image(df, 4)
     assert few.dtypes == many.dtypes
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_prediction_and_truth_meet_by_lines(spark):
+    """A row a line is moved, not a row a pixel; lines with gaps, without labels or of one side only give the pixels of both."""
+    from rasterlake.operators import labels as L
+
+    plan = QUERIES["j05_join_pred_gt"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[image_id#\d+L?, sy#\d+L?\]", plan)
+    side = lambda cells: spark.createDataFrame([(1, *c) for c in cells], "image_id long, y int, x int, label int")
+    pred, gt = side([(0, 0, 1), (0, 1, 2), (0, 2, None), (1, 3, 4), (2, 0, 5)]), side([(0, 0, 7), (0, 2, 8), (0, 4, 9), (1, 1, 6), (1, 3, None), (3, 0, 1)])
+    met = L.join_pred_gt(pred, gt)
+    assert dict(met.dtypes) == {"image_id": "bigint", "y": "int", "x": "int", "gt": "int", "pred": "int"}
+    assert sorted(map(tuple, met.collect())) == [(1, 0, 0, 7, 1), (1, 0, 2, 8, None), (1, 1, 3, None, 4)]
+    with pytest.raises(Exception, match="a pixel is given twice"):
+        L.join_pred_gt(pred.unionAll(pred), gt).collect()

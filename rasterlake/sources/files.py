@@ -223,8 +223,18 @@ def write_folders(df: DataFrame, column: str, path: str) -> None:
     rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("part", column).text(path)
 
 
+#: Rows of label maps that one task writes, some more or less by the hash.
+ROWS = 1 << 19
+
+
 def write_results(masks: DataFrame, path: str, folders: int = 256) -> None:
-    """Label maps by image: rows with `out_name`, the image's name with .png, in a fixed number of folders by the name's hash."""
+    """Label maps by image: rows with `out_name`, the image's name with .png, in a fixed number of folders by the name's hash.
+
+    Rows are counted first and dealt to tasks by their number, a large folder to several, each of
+    which sorts its own; an image stays in one file.
+    """
     out = masks.withColumn("out_name", F.concat(F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit(".png")))
     out = out.withColumn("folder", F.pmod(F.xxhash64("out_name"), F.lit(folders)).cast("int"))
-    out.repartition("folder").sortWithinPartitions("folder", "out_name").write.mode("overwrite").partitionBy("folder").parquet(path)
+    tasks = masks.count() // ROWS + 1
+    piece = F.pmod(F.xxhash64("out_name", F.lit(1)), F.lit(-(-tasks // folders)))
+    out.repartition(tasks, "folder", piece).sortWithinPartitions("folder", "out_name").write.mode("overwrite").partitionBy("folder").parquet(path)

@@ -177,3 +177,17 @@ def test_prediction_and_truth_meet_by_lines(spark):
     assert sorted(map(tuple, met.collect())) == [(1, 0, 0, 7, 1), (1, 0, 2, 8, None), (1, 1, 3, None, 4)]
     with pytest.raises(Exception, match="a pixel is given twice"):
         L.join_pred_gt(pred.unionAll(pred), gt).collect()
+
+
+def test_results_are_dealt_to_tasks_by_their_rows(spark, tmp_path, monkeypatch):
+    """Of two folders, one file each before; an image stays in one file, in order."""
+    from rasterlake.sources import files as S
+
+    monkeypatch.setattr(S, "ROWS", 100, raising=False)
+    df = spark.range(2000).select(F.concat(F.lit("n"), F.col("id") % 40, F.lit(".jpg")).alias("file_name"), F.col("id").alias("label"))
+    S.write_results(df, f"file://{tmp_path}/out", folders=2)
+    back = spark.read.parquet(f"file://{tmp_path}/out").withColumn("file", F.input_file_name())
+    per = back.groupBy("out_name").agg(F.countDistinct("file").alias("files"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(per) == 40 and {(r["files"], r["n"]) for r in per} == {(1, 50)}
+    assert back.select("file").distinct().count() > 4
+    assert sorted(r["label"] for r in back.select("label").collect()) == list(range(2000))

@@ -194,12 +194,12 @@ def manifest_from_split(spark, sf):
 
 @query("s01_manifest_from_dir", duck("v_file", "select distinct file_name as name, 'part' as kind, true as has_mask from v_file"))
 def manifest_from_dir(spark, sf):
-    """Every file below a folder; each was written into a folder of its own name."""
+    """Every file below a folder; each was written under its own name, many in a folder."""
     path = new_path(spark, "folder")
-    S.write_folders(V.files(spark, sf).select("file_name", F.col("page_id").cast("string")), "file_name", path)
+    S.write_files(V.files(spark, sf), "file_name", "page_id", path, "part-")
     found = S.manifest_from_dir(spark, path, ".txt", "_mask.png")
-    name = F.regexp_extract("path", "file_name=([^/]+)/[^/]*$", 1)
-    return found.select(name.alias("name"), F.substring("file_name", 1, 4).alias("kind"), (F.col("mask_name") == F.replace("file_name", F.lit(".txt"), F.lit("_mask.png"))).alias("has_mask"))
+    name = S.unescaped(F.regexp_extract("file_name", r"^part-(.*)\.txt$", 1))
+    return found.select(name.alias("name"), F.substring("file_name", 1, 4).alias("kind"), (F.col("mask_name") == F.regexp_replace("file_name", r"\.txt$", "_mask.png")).alias("has_mask"))
 
 
 def coco_documents(spark, sf):

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from itertools import chain, groupby
+from urllib.parse import quote
+
+from pyarrow.fs import FileSystem, FileType
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
@@ -223,6 +228,48 @@ def write_folders(df: DataFrame, column: str, path: str) -> None:
     rows.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("part", column).text(path)
 
 
+#: Files of `write_files` that one task makes in one folder, some more or less by the hash.
+FILES = 1 << 11
+
+
+def write_files(df: DataFrame, name: str, value: str, path: str, prefix: str = "", suffix: str = ".txt") -> None:
+    """A text file for each value of `name` with a line for each of its rows, many files in a folder, below a new folder.
+
+    Named by `prefix`, the value with all but letters, digits and `_.-~` as % escapes (`unescaped`),
+    and `suffix`; without a prefix, Spark's readers leave out names that begin with . or _. A null name is an error.
+    Written by pyarrow's file systems (local, S3, GCS, Azure, HDFS): Spark's writer makes a folder a
+    file and, on a local disk, starts a program for each folder, file and checksum to set its
+    permissions. A task that runs again writes the same files again.
+    """
+
+    def write(rows: Iterator[Row]) -> None:
+        fs, base = FileSystem.from_uri(path)
+        folder = None
+        for key, group in groupby(rows, lambda r: r["name"]):
+            if key is None:
+                raise ValueError("a file without a name")
+            first = next(group)
+            if folder is None:
+                folder = f"{base}/part={first['part']}"
+                fs.create_dir(folder)
+            with fs.open_output_stream(f"{folder}/{prefix}{quote(key, safe='')}{suffix}") as out:
+                for row in chain([first], group):
+                    out.write(f"{row['value'] or ''}\n".encode())
+
+    fs, base = FileSystem.from_uri(path)
+    if fs.get_file_info(base).type != FileType.NotFound:
+        raise FileExistsError(path)
+    fs.create_dir(base)
+    rows = df.select(F.col(name).cast("string").alias("name"), F.col(value).cast("string").alias("value"))
+    rows = rows.repartition(df.count() // FILES + 1, "name").sortWithinPartitions("name")
+    rows.withColumn("part", F.spark_partition_id()).foreachPartition(write)
+
+
+def unescaped(name: Column) -> Column:
+    """The value of which `write_files` made this part of a name."""
+    return F.url_decode(name)
+
+
 #: Rows of label maps that one task writes, some more or less by the hash.
 ROWS = 1 << 19
 

@@ -92,6 +92,35 @@ def test_folders_are_dealt_to_tasks_by_their_number(spark, tmp_path):
     assert sorted(r["name"] for r in found) == sorted(f"n{i}" for i in range(2 * FOLDERS + 10))
 
 
+def test_files_share_folders(spark, tmp_path, monkeypatch):
+    """A folder a task, not a folder a file; each file has its own name, whatever letters are in it, and all its lines."""
+    from rasterlake.plans import run_queries as Q
+    from rasterlake.sources import files as S
+
+    path = f"file://{tmp_path}/query"
+    monkeypatch.setattr(Q, "new_path", lambda spark, name: path)
+    found = QUERIES["s01_manifest_from_dir"](spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == 50 and [r["name"] for r in found] == sorted(r["name"] for r in found)
+    assert len([p for p in (tmp_path / "query").rglob("*") if p.is_dir()]) == 1
+
+    monkeypatch.setattr(S, "FILES", 4)
+    names = ["a/b", "ü %", "_c", ".d", "e+f", "", *[f"n{i}" for i in range(20)]]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names * 2)] + [("n0", None)], "name string, value int")
+    S.write_files(df, "name", "value", f"{path}-2", "p-")
+    listed = S.manifest_from_dir(spark, f"{path}-2", ".txt").select(S.unescaped(F.regexp_extract("file_name", r"^p-(.*)\.txt$", 1)).alias("name"), "path").collect()
+    assert sorted(r["name"] for r in listed) == sorted(names)
+    assert 2 < len({r["path"].rsplit("/", 1)[0] for r in listed}) <= 14
+    text = spark.read.option("recursiveFileLookup", "true").text(f"{path}-2").collect()
+    assert sorted(r["value"] for r in text) == sorted(["", *map(str, range(2 * len(names)))])
+    assert (tmp_path / "query-2").rglob("p-n0.txt").__next__().read_text().count("\n") == 3
+    S.write_files(df.where("false"), "name", "value", f"{path}-3")
+    assert S.manifest_from_dir(spark, f"{path}-3", ".txt").count() == 0
+    with pytest.raises(FileExistsError):
+        S.write_files(df, "name", "value", f"{path}-2")
+    with pytest.raises(Exception, match="a file without a name"):
+        S.write_files(df.withColumn("name", F.lit(None)), "name", "value", f"{path}-4")
+
+
 def test_propagation_has_tasks_by_its_values(spark):
     """Not as many as `spark.sql.shuffle.partitions`, which its few values leave nearly empty in every step."""
     from rasterlake.operators import propagation as P
